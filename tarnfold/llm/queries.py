@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import mixing, packing, simhash, tokens
+from tarnfold.llm import chat, mixing, packing, secrets, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,10 +12,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_turns(*chat.branches(_table(spark, sf_dir, "conversations")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -29,5 +37,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_packing": op5_packing, "op7_tokens": op7_tokens, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op7_tokens, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL}
