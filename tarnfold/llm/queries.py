@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import chat, mixing, packing, secrets, simhash, tokens
+from tarnfold.llm import chat, mixing, packing, secrets, simhash, spotsigs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +32,14 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op7_tokens, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op7_tokens, op9_spotsigs, op10_simhash)}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL}
