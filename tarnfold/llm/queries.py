@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import chat, mixing, packing, secrets, simhash, spotsigs, tokens
+from tarnfold.llm import chat, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +50,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op7_tokens, op9_spotsigs, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL}
