@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import chat, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
+from tarnfold.llm import chat, extraction, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_extraction, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL}
