@@ -1,7 +1,9 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, compared in bit planes.
+"""SimHash near-duplicates: fingerprints of word shingles, compared in bit planes.
 
-Fingerprints within `radius` bits agree wholly on two of six blocks of bits (radius 4, by the pigeonhole principle),
-so one of 15 block pairs puts both into one bucket. A bucket's fingerprints are laid out as bit planes of 64 lanes; a
+64-bit fingerprints within `radius` bits agree wholly on two of six blocks of bits (radius 4, by the pigeonhole principle),
+so one of 15 block pairs puts both into one bucket and no link is lost. 128-bit fingerprints estimate the cosine of two shingle sets,
+and link where it is `similarity` or more; their buckets are tables of sampled bits, as many as find all but one in a hundred pairs of
+Jaccard likeness `similarity`. A bucket's fingerprints are laid out as bit planes of 64 lanes; a
 query updates 64 distances at a time with carry-save counters and a block is abandoned once all its lanes are beyond
 the radius. Equal fingerprints are compared once. Buckets above `tile` rows are cut into tiles, so that no task gets
 more than two tiles' rows of a hot bucket and yet each pair of its rows meets in one of them.
@@ -9,7 +11,7 @@ more than two tiles' rows of a hot bucket and yet each pair of its rows meets in
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,15 +23,12 @@ from pyspark.sql import functions as F
 from tarnfold.llm.common import map_columns, stored
 from tarnfold.llm.components import components
 
-WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 17
 
 
-def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> Iterator[np.ndarray]:
-    """XXH64 of each shingle as rows of eight big-endian bytes, a bounded chunk at a time."""
-    from xxhash import xxh64_digest
-
+def shingle_hashes(text: str | None, width: int, digest, seed: int) -> Iterator[np.ndarray]:
+    """The digest of each shingle as a row of big-endian bytes, a bounded chunk at a time."""
     joined = b" ".join((text or "").encode().translate(LOWER).split())
     if not joined:
         return
@@ -40,26 +39,33 @@ def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> Iterator
     else:
         starts, ends = starts[: len(starts) - width + 1], ends[width - 1 :]
     for i in range(0, len(starts), _CHUNK):
-        found = [xxh64_digest(joined[s:e], seed) for s, e in zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist(), strict=True)]
-        yield np.frombuffer(b"".join(found), np.uint8).reshape(-1, 8)
+        found = [digest(joined[s:e], seed) for s, e in zip(starts[i : i + _CHUNK].tolist(), ends[i : i + _CHUNK].tolist(), strict=True)]
+        yield np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+
 
+def fingerprint_of(text: str | None, width: int = 4, bits: int = 64, seed: int = 42) -> list[int]:
+    """The fingerprint as signed 64-bit integers, bits / 64 of them; no words give 0. 64 bits: XXH64; 128: XXH3."""
+    from xxhash import xxh3_128_digest, xxh64_digest
 
-def fingerprint_of(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint as a signed 64-bit integer; no words give 0."""
-    counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, width, seed):
+    counts, n = np.zeros(bits, np.int64), 0
+    for hashes in shingle_hashes(text, width, xxh64_digest if bits == 64 else xxh3_128_digest, seed):
         counts += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
         n += len(hashes)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True) if n else 0
+    return np.packbits(counts * 2 > n).view(">i8").tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty, repeated ids keep a row each."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = 64) -> DataFrame:
+    """(doc_id, fp[, fp2]) for every row; a null text counts as empty, repeated ids keep a row each."""
 
     def run(rows: dict) -> dict:
-        return {"doc_id": pa.array(rows[id_col], pa.int64()), "fp": pa.array([fingerprint_of(t, width) for t in rows[text_col]], pa.int64())}
+        parts = zip(*(fingerprint_of(t, width, bits) for t in rows[text_col]), strict=True)
+        return {"doc_id": pa.array(rows[id_col], pa.int64())} | {name: pa.array(part, pa.int64()) for name, part in zip(_parts(bits), parts, strict=True)}
+
+    return map_columns(docs, [id_col, text_col], "doc_id long" + "".join(f", {name} long" for name in _parts(bits)), run)
 
-    return map_columns(docs, [id_col, text_col], "doc_id long, fp long", run)
+
+def _parts(bits: int) -> list[str]:
+    return ["fp", "fp2"][: bits // 64]
 
 
 def band_keys(fp: Column, radius: int) -> Column:
@@ -72,18 +78,38 @@ def band_keys(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-def linked_pairs(fps: np.ndarray, first: np.ndarray, radius: int, step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i < j, of one bucket within the radius. first[j]: where the bucket of j starts; buckets lie one after another.
+def sampled_keys(fps: DataFrame, key_bits: int, tables: int, seed: int = 11) -> DataFrame:
+    """fps with a row and a key for each table: a table's key is key_bits bits of the 128, sampled without replacement."""
+    rng = np.random.default_rng(seed)
+    chosen = np.stack([rng.permutation(128)[:key_bits] for _ in range(tables)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits([np.asarray(batch.column(n)).view(np.uint64) for n in ("fp", "fp2")])
+            keys = np.concatenate([(np.int64(t) << 48) + bits[:, at].astype(np.int64) @ (1 << np.arange(key_bits)) for t, at in enumerate(chosen)])
+            again = pa.array(np.tile(np.arange(batch.num_rows), tables))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(n).take(again) for n in ("node", "fp", "fp2"))], ["key", "node", "fp", "fp2"])
+
+    return fps.select("node", "fp", "fp2").mapInArrow(run, "key long, node long, fp long, fp2 long")
+
+
+def _bits(words: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each fingerprint."""
+    return np.concatenate([np.unpackbits(np.ascontiguousarray(w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for w in words], axis=1)
+
+
+def linked_pairs(words: list[np.ndarray], first: np.ndarray, radius: int, step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j), i < j, of one bucket within the radius. words: the fingerprints' unsigned 64-bit parts. first[j]: where the bucket of j starts; buckets lie one after another.
 
     Lanes are 64 neighbours of the sorted order, a plane holds one bit of each. Row q meets the blocks of lanes from its
     bucket's start to itself.
     """
-    n = len(fps)
+    n = len(first)
     n_blocks = -(-n // 64)
-    padded = np.zeros(n_blocks * 64, np.uint64)
-    padded[:n] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(64, n_blocks, 64), axis=2, bitorder="little")).view(np.uint64).reshape(64, n_blocks)
+    bits = np.zeros((n_blocks * 64, 64 * len(words)), np.uint8)
+    bits[:n] = _bits(words)
+    planes = np.ascontiguousarray(np.packbits(bits.T.reshape(-1, n_blocks, 64), axis=2, bitorder="little")).view(np.uint64).reshape(-1, n_blocks)
+    del bits
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     where = np.arange(n)
     b0, b1 = first // 64, where // 64
@@ -102,14 +128,14 @@ def linked_pairs(fps: np.ndarray, first: np.ndarray, radius: int, step: int = 1
         keep = lanes != 0
         q, block, lanes = q[keep], block[keep], lanes[keep]
         c = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length() + 1)]
-        for k in range(64):
+        for k in range(len(planes)):
             if not len(q):
                 break
-            carry = planes[k, block] ^ np.where((fps[q] >> np.uint64(k)) & np.uint64(1), full, np.uint64(0))
+            carry = planes[k, block] ^ np.where((words[k // 64][q] >> np.uint64(k % 64)) & np.uint64(1), full, np.uint64(0))
             for i in range(len(c) - 1):
                 c[i], carry = c[i] ^ carry, c[i] & carry
             c[-1] |= carry  # sticky: a count of 2 ** (len(c) - 1) and more
-            if k % 8 == 7 or k == 63:
+            if k % 8 == 7:
                 over = c[-1].copy()  # counts above the radius
                 equal = np.full(len(q), full)
                 for i in range(len(c) - 2, -1, -1):
@@ -147,64 +173,92 @@ def _hang(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 
 
 def _compare(radius: int):
-    def edges(keys: list[np.ndarray], fps: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(fps), bool)
+    def edges(keys: list[np.ndarray], nodes: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
+        new = np.ones(len(nodes), bool)
         new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
         starts = np.flatnonzero(new)
         first = starts[np.cumsum(new) - 1]
-        parent = np.arange(len(fps))
-        for i, j in linked_pairs(fps.view(np.uint64), first, radius):
+        parent = np.arange(len(nodes))
+        for i, j in linked_pairs([w.view(np.uint64) for w in words], first, radius):
             _hang(parent, i, j)
-        hung = np.flatnonzero(parent != np.arange(len(fps)))
-        return pa.RecordBatch.from_pydict({"a": pa.array(fps[hung]), "b": pa.array(fps[parent[hung]])})
+        hung = np.flatnonzero(parent != np.arange(len(nodes)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[hung]), "b": pa.array(nodes[parent[hung]])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and tile; whole buckets are compared, many at once."""
         kept: list[np.ndarray] | None = None
         for batch in batches:
-            rows = [np.asarray(batch.column(i)) for i in range(3)]
+            rows = [np.asarray(batch.column(i)) for i in range(batch.num_columns)]
             kept = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
             if len(kept[0]) >= 50_000:
                 last = (kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1])
                 cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
                 if cut:
-                    yield edges([kept[0][:cut], kept[1][:cut]], kept[2][:cut])
+                    yield edges([kept[0][:cut], kept[1][:cut]], kept[2][:cut], [x[:cut] for x in kept[3:]])
                     kept = [x[cut:] for x in kept]
         if kept is not None and len(kept[0]):
-            yield edges(kept[:2], kept[2])
+            yield edges(kept[:2], kept[2], kept[3:])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that join all pairs within the radius; fps has a column fp of distinct values.
+def bucket_links(entries: DataFrame, radius: int, tile: int, lone: bool) -> DataFrame:
+    """Edges (a, b) between nodes of one bucket within the radius; entries: key, node and the fingerprint's parts.
 
-    Links within a bucket come as a forest: each fingerprint with its smallest linked one, never as all pairs.
+    Links come as a forest, each node with the smallest linked one, never as all pairs. A bucket of over `tile` rows is cut
+    into parts, and each pair of parts is a tile of its own. lone: most buckets hold one row, which is dropped before the comparison.
     """
-    bands = fps.select("fp", F.explode(band_keys(F.col("fp"), radius)).alias("key"))
-    full = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chunks = F.ceil(F.col("n") / tile).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
+    counts = entries.groupBy("key").agg(F.count("*").alias("n"))
+    if lone:
+        counted = entries.join(counts.filter("n > 1"), "key")
+    else:
+        counted = entries.join(counts.filter(F.col("n") > tile), "key", "left")
+    counted = counted.withColumn("m", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     other = F.explode(F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("m") - 1), F.col("own"))))
-    tiles = bands.join(full, "key").withColumn("m", chunks).withColumn("own", own).withColumn("other", other)
-    tiles = tiles.select("key", (F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).cast("long").alias("tile"), "fp")
+    parts = [c for c in ("fp", "fp2") if c in entries.columns]
+    tiles = counted.withColumn("other", other).select("key", (F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).cast("long").alias("tile"), "node", *parts)
     dealt = tiles.repartition("key", "tile").sortWithinPartitions("key", "tile")
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, tile: int = 8192) -> DataFrame:
-    """One row for each document: doc_id, fp (long), component_id, the smallest doc_id that its links reach.
+def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
+    """Edges (a, b) that join all pairs of 64-bit fingerprints within the radius; fps has node and fp, one row for each distinct value."""
+    return bucket_links(fps.select("node", "fp", F.explode(band_keys(F.col("fp"), radius)).alias("key")), radius, tile, True)
+
+
+def similar_links(fps: DataFrame, n: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192) -> DataFrame:
+    """Edges (a, b) between 128-bit fingerprints whose estimated cosine is `similarity` or more; fps has node, fp and fp2, n rows.
 
+    A key has as many bits as keep a bucket of chance meetings below some hundred rows, and there are so many tables that
+    two sets of Jaccard likeness `similarity` share a key in one of them but for the share `missed` of pairs.
+    """
+    differing = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    key_bits = max(12, round(math.log2(max(n, 2))) - 6)
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing) ** key_bits))
+    return bucket_links(sampled_keys(fps, key_bits, tables), int(128 * math.acos(similarity) / math.pi), tile, False)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, similarity: float | None = None, tile: int = 8192) -> DataFrame:
+    """One row for each document: doc_id, fp (long)[, fp2], component_id, the smallest doc_id that its links reach.
+
+    Fingerprints of 64 bits link within the radius; with a similarity, they have 128 bits and link by that instead.
     Null and empty texts have fingerprint 0 and link like others. Repeated ids keep a row each. If every id of a component
     is null, component_id is null. An empty table gives no rows; other columns of docs are ignored.
     """
-    prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(least.select("fp"), radius, tile))
-    of = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    bits = 64 if similarity is None else 128
+    parts = _parts(bits)
+    prints = stored(fingerprints(docs, id_col, text_col, width, bits), "fingerprints")
+    prints = prints.withColumn("node", F.col("fp") if bits == 64 else F.xxhash64(*parts))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(p).alias(p) for p in parts))
+    if similarity is None:
+        links = fingerprint_links(least, radius, tile)
+    else:
+        least = stored(least, "nodes")
+        links = similar_links(least, least.count(), similarity, tile=tile)
+    of = least.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(classes, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = of.join(classes, "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", *parts, "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -212,8 +266,8 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The document with the smallest id of each group; columns as in docs. Rows without id stay. Of repeated ids' rows all stay or none."""
-    found = near_duplicates(docs, id_col, **options)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options) -> DataFrame:
+    """The document with the smallest id of each group of near copies; columns as in docs. Rows without id stay; of the rows of one id all stay or none."""
+    found = near_duplicates(docs, id_col, text_col, width=width, similarity=similarity, **options)
+    gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
