@@ -1,10 +1,8 @@
-"""All registered queries of the package proper, by name."""
+"""All registered queries of the package proper, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tarnfold.plans import state_queries, stream_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = state_queries.QUERIES | text_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = state_queries.ORACLE_SQL | text_queries.ORACLE_SQL
