@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that no file name or link may hold, and invisible ones.
 ILLEGAL = r'[\\/:*?"<>|#／＼：＜＞｜＂？＃＊]'
@@ -32,7 +33,7 @@ REDACTIONS = (
 PHONE = r"(^|[^0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}($|[^0-9])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, for which Spark has no function; apply it to texts beyond ASCII only."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

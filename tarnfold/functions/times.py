@@ -38,7 +38,7 @@ def retry_window(failed_at: Column, n: Column, ladder_ms: tuple[int, ...] = (900
     """Earliest and latest moment of try n + 1 after the n-th failure, in epoch milliseconds; null beyond the ladder."""
     base = F.try_element_at(F.array(*map(F.lit, ladder_ms)), n.cast("int"))
     at = F.unix_millis(failed_at)
-    return at + F.greatest(F.lit(0), F.round(base * (1 - ratio)).cast("long")), at + F.round(base * (1 + ratio)).cast("long")
+    return F.when(base.isNotNull(), at + F.greatest(F.lit(0), F.round(base * (1 - ratio)).cast("long"))), at + F.round(base * (1 + ratio)).cast("long")
 
 
 def human_bytes(n: Column) -> Column:

@@ -5,4 +5,4 @@ from __future__ import annotations
 from tarnfold.plans import state_queries, stream_queries, text_queries
 
 QUERIES = state_queries.QUERIES | text_queries.QUERIES | stream_queries.QUERIES
-ORACLE_SQL = state_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+ORACLE_SQL = state_queries.ORACLE_SQL | text_queries.ORACLE_SQL | stream_queries.ORACLE_SQL

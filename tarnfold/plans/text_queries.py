@@ -1,2 +1,506 @@
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+"""Queries over pages and notes: identities, URLs, text, times, arrays, readers' and writers' rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnfold.functions import arrays, identity, text, times, urls
+from tarnfold.operators.html_job import html_to_markdown
+from tarnfold.plans import views
+from tarnfold.plans.views import ARTIFACTS, LINKED, NOTES, PAGES, RESOURCES
+from tarnfold.sources import readers, writers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+HOSTS = ("example.com", "example.net", "example.org")
+PATH = r"^/[a-z]{2}/([0-9]+)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def s_(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+def part_sql(url: str, n: int) -> str:
+    return f"regexp_extract({url}, {s_(urls.PARTS)}, {n})"
+
+
+def trim_sql(c: str) -> str:
+    return f"regexp_replace(coalesce({c}, ''), {s_(identity._ENDS)}, '', 'g')"
+
+
+def fingerprint_sql(**fields: str) -> str:
+    return "'sha256:' || sha256(" + " || chr(0) || ".join(trim_sql(fields[f]) if f in fields else "''" for f in identity.FIELDS) + ")"
+
+
+_HOST = f"lower(regexp_replace(regexp_replace({part_sql('original_url', 2)}, '^.*@', ''), ':[0-9]*$', ''))"
+_ON = "(" + " OR ".join(f"ends_with('.' || {_HOST}, '.{h}')" for h in HOSTS) + ")"
+_ID = f"CASE WHEN {_ON} AND regexp_extract({part_sql('original_url', 3)}, {s_(PATH)}, 1) <> '' THEN regexp_extract({part_sql('original_url', 3)}, {s_(PATH)}, 1) END"
+_TRACK = ", ".join(s_(t) for t in urls.TRACKING)
+_PARAMS = f"list_filter(string_split({part_sql('original_url', 4)}[2:], '&'), lambda p: p <> '' AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({_TRACK}))"
+_SORTED = f"list_transform(list_sort(list_transform({_PARAMS}, lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda x: x.p)"
+_CANON = (
+    f"CASE WHEN lower({part_sql('original_url', 1)}) IN ('http', 'https') AND {_ON} THEN lower({part_sql('original_url', 1)}) || '://' || lower({part_sql('original_url', 2)}) || CASE WHEN {part_sql('original_url', 3)} = '' THEN '/' ELSE {part_sql('original_url', 3)} END "
+    f"|| CASE WHEN len({_PARAMS}) > 0 THEN '?' || array_to_string({_SORTED}, '&') ELSE '' END ELSE original_url END"
+)
+_V1 = f"{PAGES}, u1 AS (SELECT *, {_CANON} AS canonical_url, {_ID} AS content_id FROM v1)"
+
+
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("original_url")
+    return views.pages(spark, d).withColumn("canonical_url", urls.canonical_url(u, HOSTS)).withColumn("content_id", urls.content_id(u, HOSTS, PATH))
+
+
+# --- identity
+
+
+@query(f"WITH {NOTES} SELECT ordinal, {fingerprint_sql(title='title', author='notebook', raw='body')} AS fingerprint FROM v2")
+def h1_fingerprint(spark, d):
+    f = {"title": F.col("title"), "author": F.col("notebook"), "raw": F.col("body")}
+    return views.notes(spark, d).select("ordinal", identity.fingerprint(**f).alias("fingerprint"))
+
+
+_IDENTITY = f"""i2 AS (SELECT *, CASE WHEN source_position % 4 = 0 THEN content_id END AS cid, CASE WHEN source_position % 4 < 2 THEN canonical_url END AS canon, CASE WHEN source_position % 4 < 3 THEN 'page ' || source_position END AS title FROM u1),
+i3 AS (SELECT *, CASE WHEN {trim_sql('cid')} <> '' THEN 1 WHEN {trim_sql('canon')} <> '' THEN 2 WHEN {trim_sql('title')} <> '' THEN 3 ELSE 4 END AS level FROM i2)"""
+
+
+@query(
+    f"""WITH {_V1}, {_IDENTITY} SELECT source_position, CAST(level AS BIGINT) AS identity_level, CASE level WHEN 1 THEN {fingerprint_sql(external_id='cid')} WHEN 2 THEN {fingerprint_sql(canonical_url='canon')}
+    WHEN 3 THEN {fingerprint_sql(title='title')} ELSE {fingerprint_sql(raw='original_url')} END AS fingerprint FROM i3"""
+)
+def h2_item_identity(spark, d):
+    n = F.col("source_position") % 4
+    w = _web(spark, d).withColumn("content_id", F.when(n == 0, F.col("content_id"))).withColumn("canonical_url", F.when(n < 2, F.col("canonical_url")))
+    w = w.withColumn("title", F.when(n < 3, F.concat(F.lit("page "), F.col("source_position").cast("string")))).withColumn("author", F.lit(None).cast("string")).withColumn("published_at", F.lit(None).cast("string"))
+    return identity.item_identity(w).select("source_position", "identity_level", "fingerprint")
+
+
+@query(
+    f"""WITH {LINKED}, n AS (SELECT guid, file_id, ordinal, title, ordinal % 3 AS k FROM v6), t AS (SELECT *, sha256(file_id::VARCHAR) AS file_sha256 FROM n)
+SELECT file_id, ordinal, CASE k WHEN 0 THEN 'note-guid:' || guid WHEN 1 THEN 'note-link:app:///view/1/s1/' || guid || '/' ELSE 'enex:file%23' || file_id || '#' || ordinal END AS external_id,
+    'sha256:' || sha256(repeat(chr(0), 6) || CASE k WHEN 0 THEN 'guid:' || guid WHEN 1 THEN 'link:app:///view/1/s1/' || guid || '/' ELSE file_sha256 || chr(0) || ordinal || chr(0) || title || chr(0) END) AS fingerprint FROM t"""
+)
+def h3_note_identity(spark, d):
+    notes, _ = views.linked_notes(spark, d)
+    k = F.col("ordinal") % 3
+    n = notes.select(
+        "file_id", "ordinal", "title", F.when(k == 0, F.concat(F.lit(" {"), F.upper("guid"), F.lit("} "))).alias("guid"), F.when(k == 1, F.concat(F.lit("App:///view/1/s1/"), "guid", F.lit("/"))).when(k == 2, "app://anything").alias("app_link"),
+        F.concat(F.lit("file#"), F.col("file_id").cast("string")).alias("file_name"), F.lit(None).cast("string").alias("created"), F.sha2(F.col("file_id").cast("string"), 256).alias("file_sha256"),
+    )
+    return identity.note_identity(n).select("file_id", "ordinal", "external_id", "fingerprint")
+
+
+@query(
+    f"WITH {NOTES}, f AS (SELECT ordinal, notebook, sha256(notebook || chr(0) || {fingerprint_sql(raw='body')}) AS stable_key FROM v2) SELECT ordinal, stable_key, 'im-' || stable_key[1:16] AS item_key, stable_key[1:10] AS short_id, 'im:' || notebook || ':' || stable_key AS full_id FROM f"
+)
+def h4_stable_keys(spark, d):
+    n = views.notes(spark, d)
+    key = n.withColumn("stable_key", identity.stable_key(F.col("notebook"), identity.fingerprint(raw=F.col("body"))))
+    k = F.col("stable_key")
+    return key.select("ordinal", "stable_key", identity.item_key(k).alias("item_key"), identity.short_id(k).alias("short_id"), identity.full_id(F.col("notebook"), k).alias("full_id"))
+
+
+@query(f"WITH {NOTES} SELECT ordinal, sha256(file_sha256 || chr(0) || stack || chr(0) || notebook) AS notebook_key, sha256('merge' || chr(0) || stack || '/' || notebook) AS merge_key FROM v2")
+def h5_notebook_keys(spark, d):
+    c = {n: F.col(n) for n in ("file_sha256", "stack", "notebook")}
+    return views.notes(spark, d).select("ordinal", identity.notebook_key(*c.values()).alias("notebook_key"), identity.merge_key(F.concat_ws("/", "stack", "notebook")).alias("merge_key"))
+
+
+@query(
+    f"""WITH {NOTES} SELECT ordinal, sha256('{{"ordinal":' || ordinal || ',"notebook":' || to_json(notebook) || ',"missing":null}}') AS source_hash, sha256(body) AS target_hash, sha256(encode(body)) AS file_hash FROM v2"""
+)
+def h6_content_hashes(spark, d):
+    n = views.notes(spark, d).withColumn("missing", F.lit(None).cast("string"))
+    return n.select("ordinal", identity.source_hash("ordinal", "notebook", "missing").alias("source_hash"), identity.target_hash(F.col("body")).alias("target_hash"), identity.file_hash(F.encode("body", "UTF-8")).alias("file_hash"))
+
+
+@query("""SELECT event_id AS position, CASE WHEN event_id % 10 <> 9 THEN sha256('{"a":[1,{"x":null,"y":2}],"k":' || json_extract_string(props, '$.k') || '}') END AS config_hash FROM events""")
+def h7_config_hash(spark, d):
+    k = F.get_json_object("props", "$.k")
+    odd = F.concat(F.lit('{"k": '), k, F.lit(', "a": [1, {"y": 2, "x": null}]}'))
+    even = F.concat(F.lit('{"a":[1,{"x":null,"y":2}],"k":'), k, F.lit("}"))
+    n = F.col("position") % 10
+    return views.attempts(spark, d).select("position", identity.config_hash(F.when(n == 9, F.lit("{broken")).when(n % 2 == 0, even).otherwise(odd)).alias("config_hash"))
+
+
+# --- URLs
+
+
+@query(f"WITH {_V1} SELECT source_position, canonical_url FROM u1")
+def l1_canonical_url(spark, d):
+    return _web(spark, d).select("source_position", "canonical_url")
+
+
+@query(f"WITH {_V1} SELECT source_position, content_id FROM u1")
+def l2_content_id(spark, d):
+    return _web(spark, d).select("source_position", "content_id")
+
+
+@query(f"WITH {_V1} SELECT source_position, coalesce(CASE WHEN source_position % 2 = 0 THEN content_id END, CASE WHEN source_position % 3 = 0 THEN 'p' || source_position END, canonical_url) AS dedup_key FROM u1")
+def l3_dedup_key(spark, d):
+    w = _web(spark, d)
+    n = F.col("source_position")
+    path = F.when(n % 2 == 0, F.col("original_url")).otherwise(F.regexp_replace("original_url", PATH[1:], "/x"))
+    key = F.coalesce(urls.content_id(path, HOSTS, PATH), F.when(n % 3 == 0, F.concat(F.lit("p"), n.cast("string"))), F.col("canonical_url"))
+    return w.select("source_position", key.alias("dedup_key"))
+
+
+@query(
+    f"""WITH {PAGES}, k AS (SELECT source_position AS p, regexp_replace(original_url, '/[a-z]{{2}}/', ['/Article/', '/wenda/', '/video/', '/w/', '/world/'][source_position % 5 + 1]) AS url, CASE WHEN source_position % 7 = 0 THEN ' 图集 ' WHEN source_position % 11 = 0 THEN 'nonsense' END AS hint FROM v1)
+SELECT p AS source_position, CASE WHEN trim(hint) = '图集' THEN 'gallery' ELSE ['article', 'question-answer', 'video', 'short-post', 'unknown'][p % 5 + 1] END AS kind FROM k"""
+)
+def l4_content_kind(spark, d):
+    n = F.col("source_position")
+    folder = F.element_at(F.array(*map(F.lit, ("/Article/", "/wenda/", "/video/", "/w/", "/world/"))), (n % 5 + 1).cast("int"))
+    hint = F.when(n % 7 == 0, " 图集 ").when(n % 11 == 0, "nonsense")
+    return views.pages(spark, d).select("source_position", urls.content_kind(F.regexp_replace("original_url", F.lit("/[a-z]{2}/"), folder), hint).alias("kind"))
+
+
+@query(
+    f"""WITH {PAGES} SELECT source_position, CASE WHEN source_position % 3 = 0 THEN 'https://' || regexp_replace(original_url, '^https?://', '') ELSE original_url END || CASE WHEN contains(original_url, '#') THEN '' WHEN contains(original_url, '?') THEN '&tab=fav&source=x' ELSE '?tab=fav&source=x' END AS url FROM v1"""
+)
+def l5_repair_list_url(spark, d):
+    u, n = F.col("original_url"), F.col("source_position")
+    bare = F.when(n % 3 == 0, F.regexp_replace(u, "^https?://", "")).otherwise(u)
+    noisy = F.concat(F.lit("\n  \r\n ​"), bare, F.when(u.contains("#"), F.lit("")).otherwise(F.lit("?tab=fav?source=x")), F.lit(" \nsecond line"))
+    return views.pages(spark, d).select("source_position", urls.repair_list_url(noisy).alias("url"))
+
+
+_LINKS = r"""lk AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2)) AS inner_html, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)))) AS nth, url FROM pages)"""
+
+
+def plain_sql(c: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"WITH {_LINKS} SELECT page_id AS page, nth, {part_sql('url', 1)} || '://' || {part_sql('url', 2)} || href AS target FROM lk WHERE href <> ''")
+def l6_resolve_url(spark, d):
+    rows = readers.read_observations(views.pages(spark, d))
+    base = views.pages(spark, d).select(F.col("source_position").alias("page"), "original_url")
+    return rows.join(base, "page").select("page", "nth", urls.resolve_url(F.col("original_url"), F.col("href")).alias("target"))
+
+
+@query(f"WITH {PAGES} SELECT source_position, source_position % 3 = 1 AS redirect FROM v1")
+def l7_needs_redirect(spark, d):
+    n = F.col("source_position")
+    share = F.when(n % 3 == 0, F.lit("https://m.example.com/is/12345/")).when(n % 3 == 1, F.concat(F.lit("https://m.example.com/is/aB"), n.cast("string"), F.lit("/"))).otherwise(F.lit("https://evilexample.com/is/aBc/"))
+    return views.pages(spark, d).select("source_position", urls.needs_redirect(share, HOSTS).alias("redirect"))
+
+
+@query(f"WITH {PAGES} SELECT source_position, CASE WHEN source_position % 2 = 0 THEN 'tos/' || source_position || '~x.jpg' ELSE string_split(original_url, '?')[1] END AS asset_key FROM v1")
+def l8_asset_key(spark, d):
+    n = F.col("source_position")
+    u = F.when(n % 2 == 0, F.concat(F.lit("https://p3.cdn.example/img/tos/"), n.cast("string"), F.lit("~x.jpg?sign=1"))).otherwise(F.col("original_url"))
+    return views.pages(spark, d).select("source_position", urls.asset_key(u).alias("asset_key"))
+
+
+@query(f"WITH {PAGES} SELECT source_position, CASE WHEN source_position % 5 = 0 THEN {_HOST} ELSE array_to_string(list_filter(string_split({part_sql('original_url', 3)}, '/'), lambda x: x <> '')[1:2], ' ') END AS title FROM v1")
+def l9_title_from_url(spark, d):
+    u = F.when(F.col("source_position") % 5 == 0, F.concat(urls.part(F.col("original_url"), 1), F.lit("://"), urls.part(F.col("original_url"), 2))).otherwise(F.col("original_url"))
+    return views.pages(spark, d).select("source_position", urls.title_from_url(u).alias("title"))
+
+
+# --- text
+
+
+
+
+def safe_sql(c: str, most: int) -> str:
+    clean = f"regexp_replace(regexp_replace(replace(coalesce({c}, ''), '&quot;', '\"'), {s_(text.ILLEGAL)}, '-', 'g'), {s_(text.CONTROL)}, '', 'g')"
+    end = lambda x: rf"regexp_replace({x}, '[\s.]+$', '')"
+    cut = end(f"substring({end(clean)}, 1, {most})")
+    named = rf"CASE WHEN regexp_matches({cut}, {s_(text.RESERVED)}) THEN '_' || {cut} ELSE {cut} END"
+    return f"coalesce(nullif({named}, ''), '_')"
+
+
+_NOISY = "['con', 'a/b:c', 'x&quot;y&quot;. .', '...', title, '[' || title || ']'][id % 6 + 1]"
+
+
+def _noisy() -> F.Column:
+    raw = F.array(F.lit("con"), F.lit("a/b:c"), F.lit("x&quot;y&quot;. ."), F.lit("..."), F.col("title"), F.concat(F.lit("["), "title", F.lit("]")))
+    return F.element_at(raw, (F.col("id") % 6 + 1).cast("int"))
+
+
+@query(f"WITH {ARTIFACTS} SELECT id, {safe_sql(_NOISY, 100)} AS name FROM v8")
+def x1_safe_filename(spark, d):
+    return views.artifacts(spark, d).select("id", text.safe_filename(_noisy()).alias("name"))
+
+
+@query(f"WITH {ARTIFACTS}, n AS (SELECT id, kind, regexp_replace({safe_sql(_NOISY, 89)} || '-' || sha256(id::VARCHAR)[1:10], '[\\[\\]]', '', 'g') AS body FROM v8) SELECT id, 'Imports/web-' || id % 3 || '/' || kind || '/' || coalesce(nullif(body, ''), '_') || '.md' AS path FROM n")
+def x2_note_path(spark, d):
+    key = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 10)
+    return views.artifacts(spark, d).select("id", text.note_path(_noisy(), F.concat(F.lit("web/"), (F.col("id") % 3).cast("string")), F.col("kind"), key).alias("path"))
+
+
+@query(f"WITH {ARTIFACTS} SELECT id, 'Attachments/web/im-' || id || '/' || coalesce(nullif(regexp_replace({safe_sql(_NOISY, 200)}, '[\\[\\]#^]', '', 'g'), ''), 'asset') AS path FROM v8")
+def x3_asset_path(spark, d):
+    return views.artifacts(spark, d).select("id", text.asset_path(_noisy(), F.lit("web"), F.concat(F.lit("im-"), F.col("id").cast("string"))).alias("path"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS decoded FROM pages")
+def x4_decode_entities(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.decode_entities(F.col("html")).alias("decoded"))
+
+
+@query(f"SELECT page_id, {plain_sql('html')} AS plain FROM pages")
+def x5_plain_text(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?i)</?meta\b[^>]*>', '', 'g') AS clean FROM pages")
+def x6_sanitize_html(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.sanitize_html(F.col("html")).alias("clean"))
+
+
+@query("SELECT page_id, nth, url || '/' || name AS src FROM (SELECT page_id, CAST(nth AS BIGINT) AS nth, regexp_extract(url, '^[a-z]+://[^/?#]*') AS url, ['a.png', 'b.png', 'd.png'][nth + 1] AS name FROM pages, range(3) r(nth))")
+def x7_extract_images(spark, d):
+    tags = F.lit('<img src="/a.png"><IMG data-src="/b.png" src="x.gif"><img src="/a.png"><img srcset="/d.png 1x, /e.png 2x"><img src="data:image/png;base64,AA"><img>')
+    page = views.table(spark, d, "pages").select("page_id", "url", F.concat("html", tags).alias("html"))
+    return page.select("page_id", F.posexplode(text.extract_images(F.col("html"), F.col("url"))).alias("nth", "src")).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, nth, href, {plain_sql('inner_html')} AS text FROM lk")
+def x8_extract_links(spark, d):
+    rows = views.table(spark, d, "pages").select("page_id", F.posexplode(text.extract_links(F.col("html"))).alias("nth", "l"))
+    return rows.select("page_id", F.col("nth").cast("long").alias("nth"), "l.href", "l.text")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS body FROM pages")
+def x9_pick_body(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.pick_body(F.col("html")).alias("body"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'head ' || page_id ELSE 'og ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'someone' END AS author FROM pages")
+def x10_page_metadata(spark, d):
+    n = F.col("page_id").cast("string")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"headline":"head '), n, F.lit('","author":{"name":"someone"}}]}</script>'))
+    page = F.concat(F.col("html"), F.lit('<meta property="og:title" content="og '), n, F.lit('">'), F.when(F.col("page_id") % 2 == 0, ld).otherwise(F.lit('<script type="application/ld+json">{broken</script>')))
+    m = views.table(spark, d, "pages").withColumn("m", text.page_metadata(page))
+    return m.select("page_id", "m.title", "m.author")
+
+
+@query(rf"SELECT page_id, {plain_sql(r'''regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)''')} AS title FROM pages")
+def x11_page_title(spark, d):
+    return views.table(spark, d, "pages").select("page_id", text.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query()
+def x12_html_to_markdown(spark, d):
+    return html_to_markdown(views.pages(spark, d))
+
+
+@query(r"SELECT doc_id, '```' || chr(10) || '<b>kept</b>' || chr(10) || '```' || regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') || ' x' AS md FROM documents")
+def x13_post_clean(spark, d):
+    md = F.concat(F.lit("```\n<b>kept</b>\n```"), F.col("text"), F.lit(" <i>[x](javascript:alert(1)"))
+    return views.table(spark, d, "documents").select("doc_id", text.post_clean(md).alias("md"))
+
+
+@query(
+    f"""WITH {NOTES} SELECT ordinal, '> [!info] Source' || chr(10) || '> - Source: ' || notebook || chr(10) || CASE WHEN ordinal % 2 = 0 THEN '> - Author: ' || stack || chr(10) ELSE '' END || '> - [Original](<https://example.com/' || ordinal || '>)' || chr(10) || chr(10) || body || chr(10)
+    || CASE WHEN ordinal % 3 = 0 THEN chr(10) || '## Attachments' || chr(10) || chr(10) || '- [[files/' || ordinal || '.pdf]]' || chr(10) ELSE '' END AS note FROM v2"""
+)
+def x14_render_note(spark, d):
+    n = F.col("ordinal").cast("string")
+    files = F.when(F.col("ordinal") % 3 == 0, F.array(F.concat(F.lit("files/"), n, F.lit(".pdf")))).otherwise(F.array().cast("array<string>"))
+    note = text.render_note(F.col("notebook"), F.col("body"), F.when(F.col("ordinal") % 2 == 0, F.col("stack")), F.lit(None).cast("string"), F.concat(F.lit("https://example.com/"), n), files)
+    return views.notes(spark, d).select("ordinal", note.alias("note"))
+
+
+@query(
+    f"""WITH {NOTES} SELECT ordinal, '---' || chr(10) || 'title: "' || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '"' || chr(10) || CASE WHEN ordinal % 2 = 0 THEN 'source_url: "https://example.com/' || ordinal || '"' || chr(10) ELSE '' END || 'tags: ["' || stack || '"]' || chr(10)
+    || 'source_notebook: "' || notebook || '"' || chr(10) || 'source_content_hash: "' || file_sha256 || '"' || chr(10) || '---' || chr(10) AS front FROM v2"""
+)
+def x15_front_matter(spark, d):
+    url = F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("https://example.com/"), F.col("ordinal").cast("string")))
+    fields = [("title", F.col("title")), ("source_url", url), ("source_notebook", F.col("notebook")), ("source_content_hash", F.col("file_sha256"))]
+    tags = arrays.clean_tags(F.array(F.concat(F.lit(" #"), "stack"), F.lit("two words"), F.lit("#")))
+    return views.notes(spark, d).select("ordinal", text.front_matter(fields, tags).alias("front"))
+
+
+def redact_sql(c: str) -> str:
+    out = c
+    for pattern, to in text.REDACTIONS:
+        for i in (1, 2, 3):
+            to = to.replace(f"${i}", f"\\{i}")
+        out = f"regexp_replace({out}, {s_(pattern)}, {s_(to)}, 'g')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, {s_(text.PHONE)}, '\\1[REDACTED_PHONE]\\2', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents")
+def x18_redact(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+
+
+_NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def guard_sql(c: str) -> str:
+    return rf"CASE WHEN regexp_matches({c}, '^\s*[=+\-@\t\r\n]') AND NOT regexp_matches({c}, {s_(_NUMBER)}) THEN '''' || {c} ELSE {c} END"
+
+
+@query(f"WITH {NOTES}, c AS (SELECT ordinal, ['=', '-', ' @', '', '+1.5e3 ', chr(9)][ordinal % 6 + 1] || CASE WHEN ordinal % 6 = 4 THEN '' ELSE title END AS v FROM v2) SELECT ordinal, {guard_sql('v')} AS cell FROM c")
+def x19_csv_guard(spark, d):
+    lead = F.element_at(F.array(*map(F.lit, ("=", "-", " @", "", "+1.5e3 ", "\t"))), (F.col("ordinal") % 6 + 1).cast("int"))
+    cell = F.concat(lead, F.when(F.col("ordinal") % 6 == 4, "").otherwise(F.col("title")))
+    return views.notes(spark, d).select("ordinal", text.csv_guard(cell).alias("cell"))
+
+
+# --- times
+
+
+@query("SELECT event_id AS position, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS t FROM events")
+def d1_export_time(spark, d):
+    n = F.col("position") % 3
+    raw = F.when(n == 0, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'")).when(n == 1, "20241301T000000Z").otherwise("yesterday")
+    return views.attempts(spark, d).select("position", times.export_time(raw).alias("t"))
+
+
+@query("SELECT event_id AS position, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m') WHEN 1 THEN '2023-05' ELSE 'unknown' END AS month FROM events")
+def d2_month_key(spark, d):
+    n = F.col("position") % 4
+    saved = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd")).when(n == 2, "2024-13-01")
+    return views.attempts(spark, d).select("position", times.month_key(saved, F.when(n == 1, "2023-05-09")).alias("month"))
+
+
+@query("SELECT event_id AS position, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M') ELSE 'soon' END AS t FROM events")
+def d3_wall_time(spark, d):
+    n = F.col("position") % 3
+    raw = F.when(n == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).when(n == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+08:00'")).otherwise("soon")
+    raw = F.when(n == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).otherwise(raw)
+    return views.attempts(spark, d).select("position", times.wall_time(raw).alias("t"))
+
+
+@query("SELECT event_id AS position, CASE event_id % 2 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS t FROM events")
+def d4_parseable_time(spark, d):
+    raw = F.when(F.col("position") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("2 hours ago")
+    return views.attempts(spark, d).select("position", times.parseable_time(raw).alias("t"))
+
+
+@query("SELECT event_id AS position, CASE WHEN event_id % 2 = 0 THEN 'updated' WHEN event_id % 3 = 0 THEN 'created' END AS t FROM events")
+def d5_updated_or_created(spark, d):
+    n = F.col("position")
+    return views.attempts(spark, d).select("position", times.updated_or_created(F.when(n % 2 == 0, "updated"), F.when(n % 3 == 0, "created")).alias("t"))
+
+
+@query("WITH w AS (SELECT event_id AS position, epoch_us(ts) // 1000 AS ms, [900000, 1800000, 2700000, NULL][event_id % 4 + 1] AS base FROM events) SELECT position, CAST(ms + base // 2 AS BIGINT) AS earliest_ms, CAST(ms + base * 3 // 2 AS BIGINT) AS latest_ms FROM w")
+def m1_retry_window(spark, d):
+    first, last = times.retry_window(F.col("ts"), F.col("position") % 4 + 1)
+    return views.attempts(spark, d).select("position", first.alias("earliest_ms"), last.alias("latest_ms"))
+
+
+_SIZE = "(CAST(n_chars AS BIGINT) * [1, 100, 10000, 10000000][doc_id % 4 + 1])"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_SIZE} < 1024 THEN printf('%d B', {_SIZE}) WHEN {_SIZE} < 1048576 THEN printf('%.1f KB', floor({_SIZE} / 102.4::DOUBLE + 0.5) / 10) WHEN {_SIZE} < 1073741824 THEN printf('%.1f MB', floor({_SIZE} / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f GB', floor({_SIZE} / 1073741824.0::DOUBLE * 10 + 0.5) / 10) END AS size FROM documents")
+def m2_human_bytes(spark, d):
+    n = F.col("n_chars") * F.element_at(F.array(*map(F.lit, (1, 100, 10000, 10000000))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return views.table(spark, d, "documents").select("doc_id", times.human_bytes(n).alias("size"))
+
+
+@query("SELECT doc_id, length(base64(encode(text))) // 4 * 3 > 4096 AS over FROM documents")
+def m3_over_limit(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", times.over_limit(F.length(F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")), 4096).alias("over"))
+
+
+# --- arrays, JSON, binary
+
+
+@query(f"WITH {ARTIFACTS} SELECT id, CASE WHEN regexp_matches(published, '^[0-9]{{4}}-(0[1-9]|1[0-2])') THEN published[1:7] ELSE 'unknown' END || '-' || kind || '-' || unnest(collections) AS shard FROM v8")
+def ar1_shard_keys(spark, d):
+    return arrays.shard_keys(views.artifacts(spark, d).withColumn("saved", F.lit(None).cast("string")), ("month", "kind", "collection")).select("id", "shard")
+
+
+@query(f"WITH {ARTIFACTS} SELECT id, collections[1] || ',' || collections[2] AS tags FROM v8")
+def ar2_clean_tags(spark, d):
+    raw = F.concat(F.transform("collections", lambda t: F.concat(F.lit(" #"), t)), F.array(F.lit("#"), F.lit("a b"), F.lit("")))
+    return views.artifacts(spark, d).select("id", F.array_join(arrays.clean_tags(F.filter(raw, lambda t: t != " #")), ",").alias("tags"))
+
+
+@query("SELECT event_id AS position, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type || ',x' ELSE '' END AS collections FROM events")
+def ar3_collections_of(spark, d):
+    n = F.col("position") % 4
+    json = F.when(n == 0, F.concat(F.lit('{"collections": "'), "reason", F.lit('"}'))).when(n == 1, F.concat(F.lit('{"collections": ["'), "reason", F.lit('", "x"]}'))).when(n == 2, "{broken").otherwise(F.col("props"))
+    return views.attempts(spark, d).select("position", F.array_join(arrays.collections_of(json), ",").alias("collections"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang END AS stack, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source ELSE '@@@' || source END AS notebook FROM documents")
+def ar4_split_stack(spark, d):
+    n = F.col("doc_id") % 3
+    name = F.when(n == 0, F.concat("lang", F.lit(" @@@ "), "source")).when(n == 1, F.col("source")).otherwise(F.concat(F.lit("@@@"), "source"))
+    return views.table(spark, d, "documents").withColumn("s", arrays.split_stack(name, "@@@")).select("doc_id", "s.stack", "s.notebook")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(strlen(text) AS BIGINT) END AS n_bytes, CASE doc_id % 4 WHEN 1 THEN 'illegal_characters' WHEN 2 THEN 'bad_length' WHEN 3 THEN 'empty' END AS error FROM documents")
+def ar5_decode_base64(spark, d):
+    n, b = F.col("doc_id") % 4, F.base64(F.encode("text", "UTF-8"))
+    raw = F.when(n == 0, F.concat(F.lit(" \n"), b)).when(n == 1, F.concat(F.lit("!"), b)).when(n == 2, F.concat(F.lit("A"), F.translate(b, "=", "A"), F.when(F.length(F.translate(b, "\r\n", "")) % 4 == 3, "A").otherwise(""))).otherwise("  ")
+    return views.table(spark, d, "documents").withColumn("r", arrays.decode_base64(raw)).select("doc_id", F.length("r.bytes").cast("long").alias("n_bytes"), "r.error")
+
+
+_HEX = ("FFD8FFE0", "89504E470D0A1A0A00", "474946383961", "255044462D31", "524946460000000057454250", "52494646000000004156492A", "")
+
+
+@query(f"WITH {RESOURCES} SELECT note_id, position, ['image/jpeg', 'image/png', 'image/gif', 'application/pdf', 'image/webp', NULL, NULL][position % 7 + 1] AS mime FROM res")
+def ar6_sniff_mime(spark, d):
+    content = F.unhex(F.element_at(F.array(*map(F.lit, _HEX)), (F.col("position") % 7 + 1).cast("int")))
+    return views.resources(spark, d).select("note_id", "position", arrays.sniff_mime(content).alias("mime"))
+
+
+@query(
+    f"""WITH {ARTIFACTS}, m AS (SELECT id, id % 5 AS k FROM v8) SELECT id, ['image/jpeg', 'image/png', 'application/pdf', 'application/octet-stream', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'][k + 1] AS actual_mime, k = 1 AS mime_mismatch,
+    ['image', 'image', 'pdf', 'other', 'office'][k + 1] AS asset_kind, ['jpg', 'png', 'pdf', 'bin', 'docx'][k + 1] AS extension FROM m"""
+)
+def ar7_mime_columns(spark, d):
+    k = (F.col("id") % 5 + 1).cast("int")
+    declared = F.element_at(F.array(*map(F.lit, (" Image/JPG ", "image/jpeg", "application/pdf", "", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"))), k)
+    a = views.artifacts(spark, d).withColumn("mime", declared).withColumn("sniffed", F.when(k == 2, "image/png").when(k == 1, "image/jpeg"))
+    return arrays.mime_columns(a).select("id", "actual_mime", "mime_mismatch", "asset_kind", "extension")
+
+
+# --- rows that readers and writers make
+
+
+@query(f"WITH {_LINKS} SELECT page_id AS page, nth, href, {plain_sql('inner_html')} AS text FROM lk WHERE href <> ''")
+def s4_read_observations(spark, d):
+    return readers.read_observations(views.pages(spark, d))
+
+
+@query(f"WITH {NOTES} SELECT ordinal::VARCHAR AS ordinal, {guard_sql('title')} AS title, {guard_sql('stack')} AS stack FROM v2")
+def s6_csv_rows(spark, d):
+    return writers.guarded(views.notes(spark, d).select("ordinal", "title", "stack"))
+
+
+@query("SELECT count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(NULL AS VARCHAR) AS note FROM orders")
+def s7_summary(spark, d):
+    return views.table(spark, d, "orders").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_failed"), F.lit(None).cast("string").alias("note"))
+
+
+@query(f"WITH {NOTES} SELECT notebook AS shard, 'notes/' || ordinal || '.md' AS relative_path, sha256(body) AS content_hash FROM v2")
+def s8_note_rows(spark, d):
+    return views.notes(spark, d).select(F.col("notebook").alias("shard"), F.concat(F.lit("notes/"), F.col("ordinal").cast("string"), F.lit(".md")).alias("relative_path"), identity.target_hash(F.col("body")).alias("content_hash"))
+
+
+@query(f"WITH {RESOURCES} SELECT sha256, max(size) AS size, count(*) AS n_refs FROM res GROUP BY 1")
+def s9_unique_assets(spark, d):
+    return writers.unique_assets(views.resources(spark, d))
+
+
+@query(f"SELECT doc_id, {redact_sql('text')} AS message FROM documents")
+def s10_redacted_log(spark, d):
+    return writers.redacted_log(views.table(spark, d, "documents").select("doc_id", F.col("text").alias("message")))
