@@ -29,6 +29,8 @@ REDACTIONS = (
     (r"(?i)(验证码|verification code|otp)(\s*[:=]?\s*)(\d{4,8})", "$1$2[REDACTED]"),
     (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[REDACTED_EMAIL]"),
 )
+#: What a text must hold, in lower case, for any of these patterns to match: most texts skip them all.
+NEEDED = ("-----begin", "cookie", "authorization", "token", "pass", "secret", "apikey", "api_key", "api-key", "--", "验证码", "verification code", "otp", "@")
 #: A phone number between characters that aren't digits; neighbours share one, so this runs twice.
 PHONE = r"(^|[^0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}($|[^0-9])"
 
@@ -170,7 +172,8 @@ def front_matter(fields: list[tuple[str, Column]], tags: Column | None = None) -
 
 
 def redact(c: Column, home: str | None = None) -> Column:
-    out = reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), REDACTIONS, c)
+    may = reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in NEEDED])
+    out = F.when(may, reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), REDACTIONS, c)).otherwise(c)
     for _ in range(2):
         out = F.regexp_replace(out, PHONE, "$1[REDACTED_PHONE]$2")
     if home and home != "/":
