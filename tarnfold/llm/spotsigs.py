@@ -6,6 +6,8 @@ content words, over further anchors where the run is short. A text without any a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,17 +28,18 @@ _RUN = f" *{_CUT}[ {_CUT}]*"
 
 def _runs(text: Column) -> Column:
     """The text's runs of content words; its words where it has no anchor."""
-    words = F.concat(F.lit("  "), F.replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACES, " "), F.lit(" "), F.lit("  ")), F.lit("  "))
-    marked = F.regexp_replace(F.regexp_replace(words, _ANCHOR, _CUT), _RUN, _CUT)
-    plain = F.trim(F.replace(marked, F.lit("  "), F.lit(" ")))
-    return F.split(F.when(F.instr(plain, _CUT) > 0, plain).otherwise(F.replace(plain, F.lit(" "), F.lit(_CUT))), _CUT, -1)
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACES, " "), " ")
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.lit(_CUT)).otherwise(w)), " ")
+    parted = F.split(F.when(F.instr(marked, _CUT) > 0, marked).otherwise(F.replace(marked, F.lit(" "), F.lit(_CUT))), _CUT, -1)
+    return F.filter(F.transform(parted, lambda r: F.trim(r)), lambda r: r != "")
 
 
 def with_chains(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df and the sorted set of chains of a text as an array of strings. A null text counts as empty; a text without words has no chains."""
-    chain = lambda i: F.substring_index(F.array_join(F.slice("runs_", i + 1, CHAIN), " "), " ", CHAIN)
-    out = df.withColumn("runs_", F.filter(_runs(text), lambda r: r != ""))
-    return out.withColumn(name, F.array_sort(F.array_distinct(F.transform("runs_", lambda r, i: chain(i))))).drop("runs_")
+    heads = F.transform(_runs(text), lambda r: F.substring_index(r, " ", CHAIN))
+    chain = lambda r, i: F.substring_index(F.concat_ws(" ", r, *(F.get(F.col("heads_"), i + k) for k in range(1, CHAIN))), " ", CHAIN)
+    out = df.withColumn("heads_", heads)
+    return out.withColumn(name, F.sort_array(F.array_distinct(F.transform("heads_", chain)))).drop("heads_")
 
 
 def fingerprint(chains: Column) -> Column:
@@ -57,8 +60,6 @@ def spotsigs_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     of frequency can't be all that they share), and a pair is met once, at the first they share. Lengths outside the bound and then the
     exact likeness decide. Empty sets have no pairs. Frequency order keeps common signatures out of the index.
     """
-    import math
-
     sized = sets.withColumn("n", F.size("sig")).filter("n > 0")
     flat = sized.select("set_id", "n", F.explode("sig").alias("s"))
     counts = flat.groupBy("s").agg(F.count("*").alias("f"))
@@ -75,7 +76,23 @@ def spotsigs_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     return told.filter(F.col("likeness") >= least)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int = 20_000) -> DataFrame:
+#: Ranges of ids at most; the driver holds a cut for each.
+_RANGES = 1 << 16
+
+
+def _rank(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts aren't above value: first among every n-th cut, then among the n behind that one."""
+    if not cuts:
+        return F.lit(0)
+    n = math.isqrt(len(cuts)) + 1
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda c: c <= value))
+    coarse = below(longs(cuts[n - 1 :: n]))
+    groups = F.array(*[longs(cuts[i : i + n]) for i in range(0, len(cuts), n)])
+    return coarse * n + F.coalesce(below(F.get(groups, coarse)), F.lit(0))
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int = 4000) -> DataFrame:
     """(doc_id, text, next_text, ghost): each row with the text that follows in order of id; null ids come last, ties go by text.
 
     Ids are cut into ranges at approximate quantiles, and each range is ordered by itself. The first row of a range also
@@ -83,10 +100,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int =
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = docs.count()
-    share = max(1, -(-n // rows_a_bucket))
-    cuts = docs.select(F.percentile_approx(F.col(id_col), [i / share for i in range(1, share)], 100 * share)).first()[0] if share > 1 else []
+    share = min(_RANGES, max(1, -(-n // rows_a_bucket)))
+    cuts = docs.select(F.percentile_approx(F.col(id_col), [i / share for i in range(1, share)], 20 * share)).first()[0] if share > 1 else []
     cuts = sorted(set(cuts or []))
-    bucket = F.aggregate(F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>"), F.lit(0), lambda a, c: a + F.when(F.col("doc_id") >= c, 1).otherwise(0))
+    bucket = _rank(F.col("doc_id"), cuts)
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket))
     firsts = docs.select(F.col(id_col).alias("doc_id")).withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket)).groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # a row for each range
     order = [r["bucket"] for r in firsts]
