@@ -109,7 +109,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int =
     order = [r["bucket"] for r in firsts]
     to = {r["bucket"]: (r["first"], order[i - 1]) for i, r in enumerate(firsts)}
     if not to:
-        return rows.withColumn("next_text", F.lit(None).cast("string")).withColumn("ghost", F.lit(False)).drop("bucket")
+        return rows.withColumn("next_text", F.lit(None).cast("string")).withColumn("ghost", F.lit(False))
     table = F.create_map(*[F.lit(x) for b, (first, before) in to.items() for x in (b, before)])
     first_of = F.create_map(*[x for b, (first, _) in to.items() for x in (F.lit(b), F.lit(first).cast("long"))])
     is_first = F.col("doc_id").eqNullSafe(first_of[F.col("bucket")])
