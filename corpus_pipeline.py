@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnfold.llm import mixing, packing, quality, secrets, simhash, tokens
 from tarnfold.llm.common import stored
@@ -26,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; owner-specific secrets in them are masked."""
-    return secrets.redact(docs)
+    """All documents; owner-specific secrets in them are masked, and n_chars tells the new length."""
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
