@@ -15,19 +15,23 @@ from tarnfold.checkpoints import shared_dir
 from tarnfold.functions.vocabulary import JOB_TRANSITIONS, PERMANENT_HTTP, RATE_LIMITED
 
 
-def _ranked(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame:
-    rest = [c for c, kind in df.dtypes if c not in by and not kind.startswith(("map", "variant"))]
-    return df.withColumn("rank_", F.row_number().over(W.partitionBy(*by).orderBy(*order, *rest)))
+def _outermost(df: DataFrame, key: list[str], order: list[str], pick) -> DataFrame:
+    """The row of each key with the least or greatest (order, other columns): an aggregate with map-side combine, so a key with very many rows is no hot task."""
+    rest = [c for c in df.columns if c not in key and c not in order]
+    if any(kind.startswith(("map", "variant")) for c, kind in df.dtypes if c in rest):
+        raise ValueError("columns of maps have no order; leave them out or make them arrays first")
+    kept = df.groupBy(*key).agg(pick(F.struct(*order, *rest)).alias("row_"))
+    return kept.select(*(F.col(c) if c in key else F.col(f"row_.`{c}`").alias(c) for c in df.columns))
 
 
 def first_observation(obs: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key; all other columns break ties."""
-    return _ranked(obs, key, order).filter("rank_ = 1").drop("rank_")
+    """The first row of each key; all other columns break ties, nulls first."""
+    return _outermost(obs, key, order, F.min)
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in order; nulls are earliest."""
-    return _ranked(df, key, [F.col(c).desc_nulls_last() for c in order]).filter("rank_ = 1").drop("rank_")
+    return _outermost(df, key, order, F.max)
 
 
 def latest_artifact(artifacts: DataFrame) -> DataFrame:
