@@ -85,7 +85,7 @@ class MarkdownWriter(HTMLParser):
             name = self.resources.get(a.get("hash", "").lower())
             self.counts["media" if name else "missing"] += 1
             image = a.get("type", "").startswith("image/")
-            self.out.append(f"{'!' if image else ''}[[{name}]]" if name else f"[missing attachment {a.get('hash', '')}]")
+            self.out.append(f"{'!' if image else ''}[[{name}]]" if name else f"[missing attachment {a.get('hash', '').lower()}]")
         elif tag == "en-crypt":
             self.counts["encrypted"] += 1
             self.out.append("[encrypted content]")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.checkpoints import shared_dir
 from tarnfold.functions import arrays, identity, text, times, urls
-from tarnfold.operators.html_job import html_to_markdown
+from tarnfold.operators.html_job import enml_to_html, html_to_markdown, rewrite_wikilinks
 from tarnfold.plans import views
 from tarnfold.plans.views import ARTIFACTS, LINKED, NOTES, PAGES, RESOURCES
 from tarnfold.sources import readers, writers
@@ -176,7 +178,7 @@ def l4_content_kind(spark, d):
 def l5_repair_list_url(spark, d):
     u, n = F.col("original_url"), F.col("source_position")
     bare = F.when(n % 3 == 0, F.regexp_replace(u, "^https?://", "")).otherwise(u)
-    noisy = F.concat(F.lit("\n  \r\n ​"), bare, F.when(u.contains("#"), F.lit("")).otherwise(F.lit("?tab=fav?source=x")), F.lit(" \nsecond line"))
+    noisy = F.concat(F.lit("\n  \r\n \u200b"), bare, F.when(u.contains("#"), F.lit("")).otherwise(F.lit("?tab=fav?source=x")), F.lit(" \nsecond line"))
     return views.pages(spark, d).select("source_position", urls.repair_list_url(noisy).alias("url"))
 
 
@@ -504,3 +506,45 @@ def s9_unique_assets(spark, d):
 @query(f"SELECT doc_id, {redact_sql('text')} AS message FROM documents")
 def s10_redacted_log(spark, d):
     return writers.redacted_log(views.table(spark, d, "documents").select("doc_id", F.col("text").alias("message")))
+
+
+# --- structural jobs over rows that hold what the tables lack
+
+
+@query(
+    """WITH n AS (SELECT doc_id AS note_id, source, lang, md5(text) AS h FROM documents)
+SELECT note_id, '- [' || CASE WHEN note_id % 2 = 0 THEN 'x' ELSE ' ' END || '] ' || source || CASE WHEN note_id % 3 = 0 THEN '![[' || lang || '.png]]' ELSE '[missing attachment ' || h || ']' END || CASE WHEN note_id % 5 = 0 THEN '[encrypted content]' ELSE '' END AS markdown,
+    CASE WHEN note_id % 3 = 0 AND note_id % 5 <> 0 THEN 'full' ELSE 'degraded' END AS quality, concat_ws(',', CASE WHEN note_id % 3 <> 0 THEN 'asset-incomplete' END, CASE WHEN note_id % 5 = 0 THEN 'unresolved-embedded-content' END) AS degradations,
+    CAST(1 AS BIGINT) AS n_todo, CAST(note_id % 3 = 0 AS BIGINT) AS n_media, CAST(note_id % 3 <> 0 AS BIGINT) AS n_missing, CAST(note_id % 5 = 0 AS BIGINT) AS n_encrypted, CAST(0 AS BIGINT) AS n_lost FROM n"""
+)
+def x16_enml_to_html(spark, d):
+    n, h = F.col("doc_id"), F.md5("text")
+    todo = F.when(n % 2 == 0, F.lit('<en-todo checked="true"/>')).otherwise(F.lit("<en-todo/>"))
+    body = F.concat(F.lit("<en-note>"), todo, "source", F.lit('<en-media type="image/png" hash="'), F.upper(h), F.lit('"/>'), F.when(n % 5 == 0, F.lit("<en-crypt>secret</en-crypt>")).otherwise(F.lit("")), F.lit("</en-note>"))
+    names = F.when(n % 3 == 0, F.create_map(h, F.concat("lang", F.lit(".png")))).otherwise(F.create_map().cast("map<string,string>"))
+    return enml_to_html(views.table(spark, d, "documents").select(n.alias("note_id"), body.alias("html"), names.alias("names")))
+
+
+@query(f"WITH {LINKED} SELECT l.from_guid AS note_id, 'see ' || CASE WHEN v.guid IS NULL THEN '[next](note:' || l.to_guid || ')' ELSE '[[' || v.title || '|next]]' END || ' and [gone](note:00000000-0000-0000-0000-000000000000).' AS markdown FROM l6 l LEFT JOIN v6 v ON v.guid = l.to_guid")
+def x17_rewrite_wikilinks(spark, d):
+    notes, links = views.linked_notes(spark, d)
+    md = F.concat(F.lit("see [next](note:"), "to_guid", F.lit(") and [gone](note:00000000-0000-0000-0000-000000000000)."))
+    return rewrite_wikilinks(links.select(F.col("from_guid").alias("note_id"), md.alias("markdown")), notes.select("guid", F.col("title").alias("file")))
+
+
+@query("SELECT doc_id, nfc_normalize(replace(replace(text, chr(233), 'e' || chr(769)), chr(252), 'u' || chr(776))) AS composed FROM documents")
+def e3_nfc(spark, d):
+    apart = F.replace(F.replace(F.col("text"), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00fc"), F.lit("u\u0308"))
+    return views.table(spark, d, "documents").select("doc_id", text.composed(apart).alias("composed"))
+
+
+@query("SELECT source AS title, doc_id::VARCHAR AS guid, lang AS tag, CAST(length(text) AS BIGINT) AS n_chars, '20240102T030405Z' AS created FROM documents WHERE doc_id % 10 <> 9")
+def s1_read_enex(spark, d):
+    """Documents written as one note export a task and read again; every tenth note is damaged and goes to the issues."""
+    docs = views.table(spark, d, "documents")
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    good = F.concat(F.lit("<note><title>"), "source", F.lit("</title><content>"), safe, F.lit("</content><created>20240102T030405Z</created><tag>"), "lang", F.lit("</tag><guid>"), F.col("doc_id").cast("string"), F.lit("</guid></note>"))
+    root = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    docs.select(F.when(F.col("doc_id") % 10 == 9, F.lit("<note><title>damaged</note>")).otherwise(good).alias("value")).write.option("lineSep", "\n").text(root)
+    notes, _ = readers.read_enex(spark, root)
+    return notes.select("title", "guid", F.array_join("tags", ",").alias("tag"), F.char_length("content").cast("long").alias("n_chars"), "created")
