@@ -26,8 +26,8 @@ def status_slice(df: DataFrame, slice_: str, state: str = "state") -> DataFrame:
 def title_search(df: DataFrame, text: str, cap: int = 100, title: str = "title", order: str = "id") -> DataFrame:
     """The first matches and, with each, the count of all."""
     hits = df.filter(F.lower(title).contains(text.strip().lower()))
-    counted = hits.agg(F.count("*").alias("n_matches"))
-    return hits.orderBy(title, order).limit(cap).crossJoin(F.broadcast(counted))  # one row
+    counted = hits.agg(F.count("*").alias("n_matches")).withColumn("one_", F.lit(1))  # one row
+    return hits.orderBy(title, order).limit(cap).withColumn("one_", F.lit(1)).join(counted, "one_").drop("one_")
 
 
 def log_filter(df: DataFrame, level: str, column: str = "level") -> DataFrame:

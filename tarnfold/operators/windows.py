@@ -39,14 +39,26 @@ def latest_artifact(artifacts: DataFrame) -> DataFrame:
     return latest(artifacts.filter("status = 'verified' and kind = 'note'"), ["target_id", "item_id"], ["created", "artifact_id"])
 
 
+def spread_row_number(df: DataFrame, by: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
+    """df with the number of each row in its group, counted bucket by bucket: rows are ordered inside a bucket only, and the counts of the buckets before are added.
+
+    bucket is a column that rises with the order. A group of a third of all rows is as many tasks as it has buckets. Keys aren't null.
+    """
+    counts = df.groupBy(*by, bucket).agg(F.count("*").alias("n_"))
+    before = counts.select(*by, bucket, (F.sum("n_").over(W.partitionBy(*by).orderBy(bucket)) - F.col("n_")).alias("before_"))
+    own = F.row_number().over(W.partitionBy(*by, bucket).orderBy(*order))
+    return df.withColumn(name, own).join(before, [*by, bucket]).withColumn(name, F.col(name) + F.col("before_")).drop("before_")
+
+
 def assign_paths(plan: DataFrame, path: str = "path", key: str = "stable_key") -> DataFrame:
     """A free path for each stable key: the first key of a path keeps it, the next get -2, -3 and so on before the extension.
 
-    A suffixed path may be another key's own; such rows go round again until no path is taken twice. Rounds are few, as
+    Keys are hexadecimal hashes, so their first two digits deal a path that very many keys want over 256 buckets. A suffixed path may be another key's own; such rows go round again until no path is taken twice. Rounds are few, as
     each needs a title that ends like a suffix.
     """
     stem, ext = F.regexp_extract(F.col(path), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col(path), r"^(.*?)(\.[^./]*)?$", 2)
-    now = plan.select(key, path).distinct().withColumn("n_", F.row_number().over(W.partitionBy(path).orderBy(key)))
+    keyed = plan.select(key, path).distinct().withColumn("bucket_", F.substring(key, 1, 2))
+    now = spread_row_number(keyed, [path], "bucket_", [key], "nth_").withColumnRenamed("nth_", "n_").drop("bucket_")
     named = now.withColumn("free_path", F.when(F.col("n_") == 1, F.col(path)).otherwise(F.concat(stem, F.lit("-"), F.col("n_").cast("string"), ext)))
     shared_dir(plan.sparkSession)
     while True:
@@ -151,6 +163,8 @@ def retry_outcome(attempts: DataFrame, key: list[str], max_tries: int = 3, backo
     return out.withColumn("ok", last < 400).withColumn("may_retry", (last >= 400) & ~last.isin(*PERMANENT_HTTP) & (F.col("tries") < max_tries))
 
 
-def order_ordinals(notes: DataFrame, file: str, order: list[str]) -> DataFrame:
-    """1-based number of each note in its file."""
+def order_ordinals(notes: DataFrame, file: str, order: list[str], bucket: str | None = None) -> DataFrame:
+    """1-based number of each note in its file. bucket: a column that rises with the order, such as the block of a large file, by which the count is dealt out."""
+    if bucket is not None:
+        return spread_row_number(notes, [file], bucket, order, "note_no")
     return notes.withColumn("note_no", F.row_number().over(W.partitionBy(file).orderBy(*order)).cast("long"))

@@ -19,7 +19,7 @@ def read_enex(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, D
     A note that doesn't parse, or whose piece holds no or several <note>, is an issue. Ordinals count all notes of a file, damaged ones too.
     """
     raw = spark.read.option("lineSep", "</note>").text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    pieces = order_ordinals(raw.filter(F.col("value").contains("<note>")), "path", ["block", "nth"]).withColumnRenamed("note_no", "ordinal")
+    pieces = order_ordinals(raw.filter(F.col("value").contains("<note>")), "path", ["nth"], "block").withColumnRenamed("note_no", "ordinal")
     xml = F.concat(F.regexp_extract("value", r"(?s)(<note>.*)$", 1), F.lit("</note>"))
     parsed = pieces.withColumn("n", F.from_xml(xml, _NOTE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "note"}))
     bad = F.col("n").isNull() | F.col("n._corrupt").isNotNull() | (F.regexp_count("value", F.lit("<note>")) != 1)
