@@ -35,6 +35,7 @@ EDGES = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None,
         ('<script>if (a < b) "</p>"</script><style>p{}</style><article>x<script>y</script><br>z</article>', "x z"),
         ("<main><header>H</header><p>body</p></main>", "H body"),
         ('<body><header>H</header><div class="with-sidebar"><p>kept</p></div><div class="cookie-notice">no</div></body>', "kept"),
+        ('<article><p>kept</p><div class="ad-slot">no</div><ul class="share-buttons"><li>no</ul><DIV ID="comments-area"><article class="comment">no</article></DIV><p title="a > b">end</p></article>', "kept end"),
         ("<article>a &lt;b&gt; &#233;&nbsp;c</article>", "a <b> é c"),
         ("<article><p>unclosed <b>bold", "unclosed bold"),
         (None, ""), ("", ""), ("plain text", "plain text"), ("<article></article><p>outside</p>", ""),
