@@ -355,3 +355,24 @@ def test_pipeline_stages(spark):
     assert packed.agg(F.sum("length")).first()[0] == total
     sizes = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert sizes[0] <= 2048 and sizes[1] <= total / 2048 * 1.05 + 1
+
+
+def test_pipeline_takes_edge_cases(spark):
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    rows = [(i, t, None if k % 2 else "en", None if k % 3 else "s", None, "clash") for k, (i, t) in enumerate(EDGES)] + [(50, "token=" + "a1b2" * 6 + " and more plain words of the text", "en", "s", 1, "clash")]
+    for table in (rows, []):
+        out = spark.createDataFrame(table, schema)
+        for name, stage in pipeline.STAGES:
+            before, out = out, stage(spark, out, SF)
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == before.columns
+            out.collect()
+    # stages by themselves on all rows
+    every = spark.createDataFrame(rows, schema)
+    masked = {r["doc_id"]: r for r in pipeline.secret_scan(spark, every, SF).collect()}
+    assert masked[50]["text"].startswith("[SECRET] and") and masked[50]["n_chars"] == len(masked[50]["text"]) and masked[2]["n_chars"] is None
+    one = pipeline.near_duplicates(spark, every, SF).collect()
+    assert sorted(r["doc_id"] for r in one if r["doc_id"] in (2, 3, 6)) == [2]
+    assert pipeline.mix_sources(spark, every, SF).count() <= 2 * len(rows)
