@@ -174,8 +174,8 @@ def front_matter(fields: list[tuple[str, Column]], tags: Column | None = None) -
 def redact(c: Column, home: str | None = None) -> Column:
     may = reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in NEEDED])
     out = F.when(may, reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), REDACTIONS, c)).otherwise(c)
-    for _ in range(2):
-        out = F.regexp_replace(out, PHONE, "$1[REDACTED_PHONE]$2")
+    phones = reduce(lambda x, _: F.regexp_replace(x, PHONE, "$1[REDACTED_PHONE]$2"), range(2), out)
+    out = F.when(c.rlike("1[3-9][0-9]{9}"), phones).otherwise(out)
     if home and home != "/":
         out = F.regexp_replace(out, "(?i)" + "[\\\\/]".join(re.escape(p) for p in home.replace("\\", "/").split("/")), "[HOME]")
     return out
