@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, estimated similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH)
     return simhash.keep_one(docs)
 

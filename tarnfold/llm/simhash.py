@@ -1,9 +1,9 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared in bit planes.
 
 64-bit fingerprints within `radius` bits agree wholly on two of six blocks of bits (radius 4, by the pigeonhole principle),
-so one of 15 block pairs puts both into one bucket and no link is lost. 128-bit fingerprints estimate the cosine of two shingle sets,
-and link where it is `similarity` or more; their buckets are tables of sampled bits, as many as find all but one in a hundred pairs of
-Jaccard likeness `similarity`. A bucket's fingerprints are laid out as bit planes of 64 lanes; a
+so one of 15 block pairs puts both into one bucket and no link is lost. With a similarity, shingle sets link by their exact
+Jaccard likeness: 128-bit fingerprints of the sets find candidates in tables of sampled bits, within a radius and in as many tables as
+miss one in a hundred pairs of likeness `similarity` at most, whatever the number of rows; the sets of candidates decide. A bucket's fingerprints are laid out as bit planes of 64 lanes; a
 query updates 64 distances at a time with carry-save counters and a block is abandoned once all its lanes are beyond
 the radius. Equal fingerprints are compared once. Buckets above `tile` rows are cut into tiles, so that no task gets
 more than two tiles' rows of a hot bucket and yet each pair of its rows meets in one of them.
@@ -64,6 +64,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_columns(docs, [id_col, text_col], "doc_id long" + "".join(f", {name} long" for name in _parts(bits)), run)
 
 
+def shingle_set(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """The 128-bit digests of the distinct shingles as rows of two numbers, in order of the first, which tells them apart."""
+    from xxhash import xxh3_128_digest
+
+    found = np.empty((0, 2), ">u8")
+    for hashes in shingle_hashes(text, width, xxh3_128_digest, seed):
+        found = np.concatenate((found, hashes.view(">u8")))
+        found = found[np.unique(found[:, 0], return_index=True)[1]]
+    return found
+
+
+def set_fingerprint(shingles: np.ndarray) -> list[int]:
+    """The 128-bit fingerprint of a shingle set as two signed integers; none gives 0."""
+    counts = np.zeros(128, np.int64)
+    for i in range(0, len(shingles), _CHUNK):
+        counts += np.unpackbits(np.ascontiguousarray(shingles[i : i + _CHUNK]).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles)).view(">i8").tolist()
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """One number for each distinct shingle set."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(np.ascontiguousarray(shingles[:, 0]).tobytes()) - (1 << 63)
+
+
+def set_prints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, at, fp, fp2, node, size) for every row of (doc_id, at, text): fingerprint, number and size of its shingle set."""
+
+    def run(rows: dict) -> dict:
+        sets = [shingle_set(t, width) for t in rows["text"]]
+        fp, fp2 = zip(*map(set_fingerprint, sets), strict=True)
+        out = {"doc_id": rows["doc_id"], "at": rows["at"], "fp": fp, "fp2": fp2, "node": list(map(set_node, sets)), "size": list(map(len, sets))}
+        return {k: pa.array(v, pa.int64()) for k, v in out.items()}
+
+    return map_columns(docs, ["doc_id", "at", "text"], "doc_id long, at long, fp long, fp2 long, node long, size long", run)
+
+
 def _parts(bits: int) -> list[str]:
     return ["fp", "fp2"][: bits // 64]
 
@@ -172,17 +210,24 @@ def _hang(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             parent[:] = up
 
 
+def _firsts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where the bucket of each row starts; rows are sorted by the keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _forest(nodes: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    hung = np.flatnonzero(parent != np.arange(len(nodes)))
+    return pa.RecordBatch.from_pydict({"a": pa.array(nodes[hung]), "b": pa.array(nodes[parent[hung]])})
+
+
 def _compare(radius: int):
     def edges(keys: list[np.ndarray], nodes: np.ndarray, words: list[np.ndarray]) -> pa.RecordBatch:
-        new = np.ones(len(nodes), bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        starts = np.flatnonzero(new)
-        first = starts[np.cumsum(new) - 1]
-        parent = np.arange(len(nodes))
+        first, parent = _firsts(keys), np.arange(len(nodes))
         for i, j in linked_pairs([w.view(np.uint64) for w in words], first, radius):
             _hang(parent, i, j)
-        hung = np.flatnonzero(parent != np.arange(len(nodes)))
-        return pa.RecordBatch.from_pydict({"a": pa.array(nodes[hung]), "b": pa.array(nodes[parent[hung]])})
+        return _forest(nodes, parent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and tile; whole buckets are compared, many at once."""
@@ -202,6 +247,59 @@ def _compare(radius: int):
     return run
 
 
+def _decide(radius: int, similarity: float):
+    """Like _compare, but a pair within the radius links only if its shingle sets are of the Jaccard likeness or more; pairs that links join already aren't asked."""
+
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+    def edges(keys: list[np.ndarray], nodes: np.ndarray, words: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+        first, parent = _firsts(keys), np.arange(len(nodes))
+        sizes = np.array([len(x) for x in sets])
+        for i, j in linked_pairs([w.view(np.uint64) for w in words], first, radius):
+            near = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+            i, j = i[near], j[near]
+            while len(i):
+                apart = parent[i] != parent[j]
+                i, j = i[apart], j[apart]
+                asked = np.unique(j, return_index=True)[1]
+                a, b = i[asked], j[asked]
+                yes = np.array([alike(sets[x], sets[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                _hang(parent, a[yes], b[yes])
+                i, j = np.delete(i, asked), np.delete(j, asked)
+        return _forest(nodes, parent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key and tile; small groups are compared together."""
+        kept, sets, held = None, [], 0
+        for batch in batches:
+            rows = [np.asarray(batch.column(i)) for i in range(5)]
+            kept = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+            sets += [np.frombuffer(x, np.uint64) for x in batch.column(5).to_pylist()]
+            held += batch.column(5).nbytes
+            if held >= 1 << 25:
+                last = (kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1])
+                cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+                if cut:
+                    yield edges([kept[0][:cut], kept[1][:cut]], kept[2][:cut], [x[:cut] for x in kept[3:]], sets[:cut])
+                    kept, sets = [x[cut:] for x in kept], sets[cut:]
+                    held = sum(x.nbytes for x in sets)
+        if kept is not None and len(kept[0]):
+            yield edges(kept[:2], kept[2], kept[3:], sets)
+
+    return run
+
+
+def _dealt(entries: DataFrame, tiles: Column) -> DataFrame:
+    """entries (key, node, more, tiles' columns) sorted by key and tile: a key's rows are cut into `tiles` parts by node, and each pair of parts is a tile of its own."""
+    counted = entries.withColumn("m", tiles.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    other = F.explode(F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("m") - 1), F.col("own"))))
+    parts = [c for c in ("fp", "fp2", "shingles") if c in entries.columns]
+    dealt = counted.withColumn("other", other).select("key", (F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).cast("long").alias("tile"), "node", *parts)
+    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
 def bucket_links(entries: DataFrame, radius: int, tile: int, lone: bool) -> DataFrame:
     """Edges (a, b) between nodes of one bucket within the radius; entries: key, node and the fingerprint's parts.
 
@@ -213,12 +311,7 @@ def bucket_links(entries: DataFrame, radius: int, tile: int, lone: bool) -> Data
         counted = entries.join(counts.filter("n > 1"), "key")
     else:
         counted = entries.join(counts.filter(F.col("n") > tile), "key", "left")
-    counted = counted.withColumn("m", F.ceil(F.coalesce("n", F.lit(1)) / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    other = F.explode(F.when(F.col("m") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("m") - 1), F.col("own"))))
-    parts = [c for c in ("fp", "fp2") if c in entries.columns]
-    tiles = counted.withColumn("other", other).select("key", (F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).cast("long").alias("tile"), "node", *parts)
-    dealt = tiles.repartition("key", "tile").sortWithinPartitions("key", "tile")
-    return dealt.mapInArrow(_compare(radius), "a long, b long")
+    return _dealt(counted, F.ceil(F.coalesce("n", F.lit(1)) / tile)).mapInArrow(_compare(radius), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
@@ -226,39 +319,85 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> Data
     return bucket_links(fps.select("node", "fp", F.explode(band_keys(F.col("fp"), radius)).alias("key")), radius, tile, True)
 
 
-def similar_links(fps: DataFrame, n: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192) -> DataFrame:
-    """Edges (a, b) between 128-bit fingerprints whose estimated cosine is `similarity` or more; fps has node, fp and fp2, n rows.
+def table_plan(n: int, similarity: float = 0.8, missed: float = 0.01) -> tuple[int, int, int]:
+    """(radius, bits of a key, tables) that miss the share `missed` of pairs of Jaccard likeness `similarity` at most, for any n.
 
-    A key has as many bits as keep a bucket of chance meetings below some hundred rows, and there are so many tables that
-    two sets of Jaccard likeness `similarity` share a key in one of them but for the share `missed` of pairs.
+    Two such sets of like size have the least cosine, and their differing bits are binomial. Half of `missed` may lie beyond the radius; the tables
+    are so many that these and the pairs within it that share no key, averaged over the differing bits, are `missed` together.
+    A key has as many bits as keep a bucket of chance meetings below some hundred rows.
     """
-    differing = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    key_bits = max(12, round(math.log2(max(n, 2))) - 6)
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - differing) ** key_bits))
-    return bucket_links(sampled_keys(fps, key_bits, tables), int(128 * math.acos(similarity) / math.pi), tile, False)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    share = np.array([math.comb(128, d) * p**d * (1 - p) ** (128 - d) for d in range(129)])
+    radius = next(r for r in range(129) if share[r + 1 :].sum() <= missed / 2)
+    key_bits = max(12, round(math.log2(max(n, 2))) - 8)
+    apart = np.array([1 - math.comb(128 - d, key_bits) / math.comb(128, key_bits) for d in range(radius + 1)])
+    low, high = 1, 1 << 20
+    while low < high:
+        tables = (low + high) // 2
+        if share[: radius + 1] @ apart**tables + share[radius + 1 :].sum() <= missed:
+            high = tables
+        else:
+            low = tables + 1
+    return radius, key_bits, low
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192, set_tile: int = 2048) -> DataFrame:
+    """Edges (a, b) that join shingle sets of Jaccard likeness `similarity` or more; nodes has node, fp, fp2, size and at, n rows, one for each distinct set, and docs a text for each at.
+
+    Tables join candidates into loose groups; only their members' sets are made again and compared, each pair of a group within the radius.
+    A group above set_tile rows or set_tile * 1024 shingles is cut into tiles like a hot bucket.
+    """
+    radius, key_bits, tables = table_plan(n, similarity, missed)
+    loose = components(bucket_links(sampled_keys(nodes, key_bits, tables), radius, tile, False))
+    found = stored(nodes.join(loose.distinct(), "node").withColumnRenamed("root", "key"), "candidates")
+    weights = found.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / 1024) / set_tile).alias("tiles")).filter("tiles > 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+            same = pa.array([set_node(x) == node for x, node in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            sets = pa.array([x[:, 0].astype(np.uint64).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "fp", "fp2")), sets], ["key", "node", "fp", "fp2", "shingles"]).filter(same)
+
+    held = docs.select("at", "text").join(found.select("at", "key", "node", "fp", "fp2"), "at").dropDuplicates(["at"])
+    sets = held.select("key", "node", "fp", "fp2", "text").mapInArrow(run, "key long, node long, fp long, fp2 long, shingles binary")
+    dealt = _dealt(sets.join(weights, "key", "left"), F.coalesce("tiles", F.lit(1)))
+    return dealt.mapInArrow(_decide(radius, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, similarity: float | None = None, tile: int = 8192) -> DataFrame:
     """One row for each document: doc_id, fp (long)[, fp2], component_id, the smallest doc_id that its links reach.
 
-    Fingerprints of 64 bits link within the radius; with a similarity, they have 128 bits and link by that instead.
+    Fingerprints of 64 bits link within the radius; with a similarity, they have 128 bits and texts link by the exact Jaccard likeness of their shingle sets instead.
     Null and empty texts have fingerprint 0 and link like others. Repeated ids keep a row each. If every id of a component
     is null, component_id is null. An empty table gives no rows; other columns of docs are ignored.
     """
-    bits = 64 if similarity is None else 128
-    parts = _parts(bits)
-    prints = stored(fingerprints(docs, id_col, text_col, width, bits), "fingerprints")
-    prints = prints.withColumn("node", F.col("fp") if bits == 64 else F.xxhash64(*parts))
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(p).alias(p) for p in parts))
-    if similarity is None:
-        links = fingerprint_links(least, radius, tile)
-    else:
-        least = stored(least, "nodes")
-        links = similar_links(least, least.count(), similarity, tile=tile)
+    if similarity is not None:
+        return _similar(docs, id_col, text_col, width, similarity, tile).drop("at")
+    prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints").withColumn("node", F.col("fp"))
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
+    return prints.join(_named(least, fingerprint_links(least, radius, tile)), "node").select("doc_id", "fp", "component_id")
+
+
+def _named(least: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id) for nodes and the smallest id of each."""
     of = least.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(classes, "root").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", *parts, "component_id")
+    return of.join(classes, "root").select("node", "component_id")
+
+
+def _at(id_col: str, text_col: str) -> Column:
+    """A number for a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, tile: int) -> DataFrame:
+    """doc_id, at, fp, fp2, component_id by likeness."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _at(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
+    prints = stored(set_prints(rows, width), "fingerprints")
+    least = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size"))), "nodes")
+    links = similar_links(rows, least, least.count(), width, similarity, tile=tile)
+    return prints.join(_named(least, links), "node").select("doc_id", "at", "fp", "fp2", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -327,6 +327,52 @@ def test_similar_documents_are_found(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60)) and kept.columns == docs(spark, []).columns
 
 
+def test_likeness_decides_and_tables_miss_few(spark):
+    rnd = random.Random(4)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    rows, want = [], {}
+    for i in range(300):
+        text = [word() for _ in range(254)]
+        near = i % 3  # one in three falls short of 0.8: 40 changed shingles of 250 are 0.72, 25 are 0.82
+        copy = list(text)
+        for at in range(5, 5 + 10 * (5 if near else 8), 10):
+            copy[at] = word()
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+        want[1000 + i] = i if near else 1000 + i
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), width=5, similarity=0.8).collect()}
+    assert all(got[i] == i for i in range(300)) and all(got[i] == i for i, w in want.items() if w == i)
+    assert sum(got[i] != w for i, w in want.items()) <= 5  # of 200 pairs
+
+
+def test_likeness_of_repetitive_texts(spark):
+    rows = [(1, "buy it now and save " * 50), (2, "buy it now and save " * 20), (3, "buy it now and save " * 20 + " ".join(f"w{i}" for i in range(9))), (4, None), (5, " ")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(spark, rows), width=5, similarity=0.8).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("n", [1000, 256_000, 15_000_000, 1_000_000_000])
+def test_tables_miss_the_same_at_every_size(n):
+    radius, key_bits, tables = simhash.table_plan(n)
+    rnd = np.random.default_rng(n)
+    differing = rnd.binomial(128, np.arccos(2 * 0.8 / 1.8) / np.pi, 200_000)
+    apart = np.array([1 - np.prod((128 - d - np.arange(key_bits)) / (128 - np.arange(key_bits))) if d <= 128 - key_bits else 1.0 for d in range(129)])
+    assert np.where(differing > radius, 1.0, apart[differing] ** tables).mean() < 0.0115
+
+
+@pytest.mark.parametrize("set_tile", [3, 2048])
+def test_tiled_groups_link_by_likeness(spark, set_tile):
+    rnd = random.Random(1)
+    base = [f"w{rnd.randint(0, 10**9)}" for _ in range(100)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 100, 4)] + [f"other {i} text of words here" for i in range(20)]
+    rows = docs(spark, list(enumerate(texts))).selectExpr("doc_id", "doc_id as at", "text")
+    nodes = simhash.set_prints(rows, 5)
+    links = simhash.similar_links(rows, nodes, 45, 5, set_tile=set_tile)
+    of = {r["at"]: r["node"] for r in nodes.collect()}
+    where = {v: k for k, v in of.items()}
+    edges = {tuple(sorted((where[r["a"]], where[r["b"]]))) for r in links.collect()}
+    assert roots(45, edges) == [0] * 25 + list(range(25, 45))
+
+
 # --- pipeline
 
 
