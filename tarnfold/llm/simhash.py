@@ -405,8 +405,9 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, **options) -> DataFrame:
-    """The document with the smallest id of each group of near copies; columns as in docs. Rows without id stay; of the rows of one id all stay or none."""
-    found = near_duplicates(docs, id_col, text_col, width=width, similarity=similarity, **options)
-    gone = stored(found.filter("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "copies")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tile: int = 8192) -> DataFrame:
+    """The document with the smallest id of each group of near copies; columns as in docs. Rows without id stay; a repeated id stays in the groups whose smallest it is and goes from others."""
+    found = _similar(docs, id_col, text_col, width, similarity, tile)
+    gone = stored(found.filter("doc_id != component_id").select("doc_id", "at").distinct(), "copies")
+    of = (F.col(f"docs.{id_col}").cast("long") == F.col("gone.doc_id")) & (_at(f"docs.{id_col}", f"docs.{text_col}") == F.col("gone.at"))
+    return docs.alias("docs").join(gone.alias("gone"), of, "left_anti").select(*docs.columns)

@@ -373,6 +373,15 @@ def test_tiled_groups_link_by_likeness(spark, set_tile):
     assert roots(45, edges) == [0] * 25 + list(range(25, 45))
 
 
+def test_repeated_ids_keep_one_of_each_group(spark):
+    rnd = random.Random(2)
+    a, b = ([f"w{rnd.randint(0, 10**9)}" for _ in range(200)] for _ in range(2))
+    near = lambda t: " ".join(t[:50] + ["changed"] + t[51:])
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (9, near(b)), (None, near(b))]
+    kept = simhash.keep_one(docs(spark, rows))
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, near(b)), (1, " ".join(a)), (5, " ".join(b))] and kept.columns == docs(spark, []).columns
+
+
 # --- pipeline
 
 
