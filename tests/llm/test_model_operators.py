@@ -46,6 +46,25 @@ def test_page_parts(html, text):
     assert (" ".join(w for block in outside for w in block) if article is None else article) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article>a<script>for(var i=0;i<n;i++){f(i)}</script>b</article><script>x</script>", "a b"),
+        ("<head><title>a<b</title><script>if(i<n){s='it'}</SCRIPT ></head><body><article>kept</article></body>", "kept"),
+        ("<script>s = \"don't\"; i<n</script><style>a<b{}</style><article>kept</article>", "kept"),
+        ("<html><head><title>T</title><meta charset=utf-8><body><article>kept</article>", "kept"),
+        ("<head><title>T</title><article>kept</article>", "kept"),
+        ("<head><title>T</title>plain <p>text", "plain text"),
+        ("<head><!-- c --><template><div>no</div></template><link href=x></head><p>kept", "kept"),
+        ("<article>a<textarea><b</textarea>b<iframe><p</iframe>c</article>", "a b c"),
+        ("<article>kept</article><script>i<n", "kept"),
+    ],
+)
+def test_raw_text_and_open_heads(html, text):
+    article, outside = extraction.page_parts(html)
+    assert (" ".join(w for block in outside for w in block) if article is None else article) == text
+
+
 def test_suffix_array_against_sorting():
     rnd = np.random.default_rng(1)
     stream = rnd.integers(0, 3, 300).astype(np.uint64)
