@@ -7,7 +7,7 @@ survivors' exact distances on the original vectors decide.
 
 The rotation's size is the dimension and the centroids are fitted on a bounded sample; every row is indexed. How many lists a
 query probes is measured, not guessed: a bounded number of queries is held against all rows by brute force, and as many
-lists are probed as hold the wanted share of their true neighbours. A long list
+lists are probed as hold the wanted share of their true neighbours, and more by a query whose lists hold too few rows. A long list
 is dealt over several groups by a hash of the id, and so are the queries of a list that very many probe.
 """
 
@@ -163,7 +163,24 @@ def search(
     index = stored(rows.mapInArrow(assigned(1), kept), "lists")
     asked = rows.filter(F.col("vec_id") % every == 0)
     probes = _probes(index, asked.orderBy(F.xxhash64(F.lit("trial"), "vec_id"), "vec_id").limit(trials), fitted, k, recall)
-    queries = stored(rows.filter(F.col("vec_id") % every == 0).mapInArrow(assigned(probes), kept), "probes")
+    held = np.zeros(len(at), np.int64)
+    for r in index.groupBy("list").count().collect():  # a row for each list
+        held[r["list"]] = r["count"]
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The nearest `probes` lists, and further ones until they hold k rows besides the query's own id."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                near = nearest_lists(_matrix(batch.column("v")), fitted.value[0], len(held))
+                need = k + np.asarray(batch.column("own"))[:, None]
+                take = np.minimum(len(held), np.maximum(probes, 1 + (np.cumsum(held[near], axis=1) < need).sum(axis=1)))
+                rep = np.repeat(np.arange(len(take)), take)
+                own = near[rep, np.arange(len(rep)) - np.repeat(np.cumsum(take) - take, take)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rep)), batch.column("v").take(pa.array(rep)), pa.array(own.astype(np.int32))], ["vec_id", "v", "list"])
+
+    repeats = asked.groupBy("vec_id").agg(F.count("*").alias("own"))
+    queries = stored(asked.join(repeats, "vec_id").select("vec_id", "v", "own").mapInArrow(probed, kept), "probes")
     salts = index.groupBy("list").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("salts"))
     parts = queries.groupBy("list").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("parts"))
     sizes = stored(salts.join(parts, "list"), "list-sizes")

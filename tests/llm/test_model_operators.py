@@ -243,6 +243,19 @@ def test_neighbour_edges(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_queries_in_short_lists_get_all_neighbours(spark):
+    rnd = np.random.default_rng(3)
+    made = [(rnd.standard_normal(8).tolist(), 100) for _ in range(30)] + [((50 * rnd.standard_normal(8)).tolist(), 3) for _ in range(5)]
+    rows, far = [], []
+    for n, (v, copies) in enumerate(made):
+        rows += [(100 * (n + 1) + i, v) for i in range(copies)]
+        far += [100 * (n + 1)] if copies == 3 else []
+    rows += [(far[0], made[30][0])] * 12  # a repeated id is no candidate of its own
+    out = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), rows_a_list=80).collect()
+    got = {q: {r["rank"] for r in out if r["query_id"] == q} for q in (100 * (n + 1) for n in range(35))}
+    assert all(ranks == set(range(1, 11)) for ranks in got.values())
+
+
 def test_split_lists_give_the_same(spark):
     rnd = np.random.default_rng(0)
     rows = [(i, rnd.standard_normal(8).tolist()) for i in range(400)] + [(1000 + i, [1.0] * 8) for i in range(300)]
