@@ -1,4 +1,4 @@
-"""From raw documents to packed training sequences, in five stages; each stage's rows are written as Parquet and read again by the next."""
+"""From raw documents to packed training sequences, in five stages; each stage's rows are written as Parquet and read again by the next, and what it stored on the way is deleted."""
 
 from __future__ import annotations
 
@@ -8,21 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.llm import mixing, packing, quality, secrets, simhash, tokens
-from tarnfold.llm.common import stored
-
-#: Rows of a batch that goes to Python, so that a batch of long texts stays small.
-_BATCH = "500"
+from tarnfold.llm.common import deleted, scratch, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH)
     return simhash.keep_one(docs)
 
 
@@ -37,9 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document: which sequence it is in, and where."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH)
-    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    """One row for each piece of a document: its token ids, which sequence it is in, and where; packing.sequences joins them."""
+    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,7 +50,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents. Nulls, repeated rows, empty tables and extra columns are as each operator's docstring has it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs, path = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            deleted(spark, before)
+        before = path
     return docs

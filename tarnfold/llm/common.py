@@ -4,28 +4,85 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnfold.checkpoints import shared_dir
 
+#: Tables written inside each open scratch().
+_OPEN: list[list[str]] = []
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: no lineage, one computation, exact sizes."""
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written once as Parquet in the shared folder and read again, and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written and read again: no lineage, one computation, exact sizes. Inside scratch() the table lives as long as that."""
+    out, path = written(df, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at its end, so what follows from them has to be written before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            deleted(spark, path)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many rows and bytes; a single row may be larger."""
+    n = batch.num_rows
+    if n > rows or (n > 1 and batch.nbytes > size):
+        yield from slices(batch.slice(0, n // 2), rows, size)
+        yield from slices(batch.slice(n // 2), rows, size)
+    elif n:
+        yield batch
 
 
 def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callable[..., dict]) -> DataFrame:
-    """mapInArrow over the named columns; function takes a dict of Python lists and returns a dict of columns."""
+    """mapInArrow over the named columns; function takes a dict of Python lists and returns a dict of columns. It gets a bounded number of bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 out = function({n: batch.column(i).to_pylist() for i, n in enumerate(columns)})
                 yield pa.RecordBatch.from_pydict(out)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, total: int, size: str = "n", least: int = 1 << 14, hot: int = 20_000) -> DataFrame:
+    """big joined with small on keys, no task getting more than a bounded share of a hot key's rows.
+
+    small has one row for each key and in `size` the rows that big has of it, about `total` in all. Keys of more than max(least, total / hot)
+    rows are hot: about `hot` keys at most whatever the input, so they are broadcast to big, whose rows of a hot
+    key are dealt over salts by a hash of `by`; small has a row for each salt.
+    """
+    part = max(least, total // hot)
+    salts = F.ceil(F.col(size) / part).cast("int")
+    hottest = small.filter(F.col(size) > part).select(*(F.col(k).alias(f"hot_{k}") for k in keys), salts.alias("salts_"))
+    same = [F.col(k) == F.col(f"hot_{k}") for k in keys]
+    dealt = big.join(F.broadcast(hottest), same, "left")
+    dealt = dealt.withColumn("salt_", F.when(F.col("salts_").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("salts_")).cast("int"))).drop(*(f"hot_{k}" for k in keys), "salts_")
+    spread = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(spread.drop(size), [*keys, "salt_"]).drop("salt_")

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import map_columns, stored
-from tarnfold.llm.tokens import encode
+from tarnfold.llm.tokens import word_encoder
 
 
 class RoomTree:
@@ -89,16 +89,16 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter."""
 
     def run(rows: dict) -> dict:
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for doc, text in zip(rows[id_col], rows[text_col], strict=True):
-            ids = np.append(encode(text, ranks_path).astype("<u4"), np.uint32(end_id))
+        for doc, found in zip(rows[id_col], word_encoder(json_path)(rows[text_col]), strict=True):
+            ids = np.append(found, np.array([end_id], "<u4"))
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].astype(np.int32) if with_ids else None)):
+                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].view(np.int32) if with_ids else None)):
                     out[name].append(value)
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
         return {k: pa.array(out[k], v) for k, v in kinds.items()}
@@ -136,12 +136,12 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
     return ranked.select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, capacity: int = 2048, with_ids: bool = False, **columns) -> DataFrame:
+def pack_documents(docs: DataFrame, json_path: str, capacity: int = 2048, with_ids: bool = False, **columns) -> DataFrame:
     """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
 
     A null or empty text is its end token alone. Repeated rows are packed as often as they come; an empty table gives no rows; other columns are ignored.
     """
-    return pack(stored(token_pieces(docs, ranks_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity)
+    return pack(stored(token_pieces(docs, json_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

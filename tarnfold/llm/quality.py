@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns
+from tarnfold.llm.common import map_columns, slices
 
 TERMS = 1024
 _EXTRA = 64  # of them for words and their repetition
@@ -153,10 +153,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, neighbours: int = 10, power: f
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for i in range(0, len(texts), 256):
-                good = vote(held.value, np.stack([term_counts(t) for t in texts[i : i + 256]]), neighbours, power) >= threshold
-                yield batch.slice(i, 256).filter(pa.array(good))
+        for whole in batches:
+            for batch in slices(whole, 256):
+                good = vote(held.value, np.stack([term_counts(t) for t in batch.column(text_col).to_pylist()]), neighbours, power) >= threshold
+                yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

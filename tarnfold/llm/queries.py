@@ -8,7 +8,6 @@ from tarnfold.llm import chat, extraction, mixing, neighbours, packing, quality,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,7 +28,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns, stored
+from tarnfold.llm.common import map_columns, salted_join, slices, stored
 from tarnfold.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -83,23 +83,23 @@ def set_fingerprint(shingles: np.ndarray) -> list[int]:
     return np.packbits(counts * 2 > len(shingles)).view(">i8").tolist()
 
 
-def set_node(shingles: np.ndarray) -> int:
-    """One number for each distinct shingle set."""
-    from xxhash import xxh64_intdigest
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a distinct shingle set, as two numbers."""
+    from xxhash import xxh3_128_digest
 
-    return xxh64_intdigest(np.ascontiguousarray(shingles[:, 0]).tobytes()) - (1 << 63)
+    return tuple(np.frombuffer(xxh3_128_digest(np.ascontiguousarray(shingles).tobytes()), ">i8").tolist())
 
 
 def set_prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, at, fp, fp2, node, size) for every row of (doc_id, at, text): fingerprint, number and size of its shingle set."""
+    """(doc_id, at, fp, fp2, set1, set2, size) for every row of (doc_id, at, text): fingerprint, name and size of its shingle set."""
+    names = ["doc_id", "at", "fp", "fp2", "set1", "set2", "size"]
 
     def run(rows: dict) -> dict:
         sets = [shingle_set(t, width) for t in rows["text"]]
-        fp, fp2 = zip(*map(set_fingerprint, sets), strict=True)
-        out = {"doc_id": rows["doc_id"], "at": rows["at"], "fp": fp, "fp2": fp2, "node": list(map(set_node, sets)), "size": list(map(len, sets))}
-        return {k: pa.array(v, pa.int64()) for k, v in out.items()}
+        (fp, fp2), (set1, set2) = (zip(*map(of, sets), strict=True) for of in (set_fingerprint, set_name))
+        return {k: pa.array(v, pa.int64()) for k, v in zip(names, (rows["doc_id"], rows["at"], fp, fp2, set1, set2, list(map(len, sets))), strict=True)}
 
-    return map_columns(docs, ["doc_id", "at", "text"], "doc_id long, at long, fp long, fp2 long, node long, size long", run)
+    return map_columns(docs, ["doc_id", "at", "text"], ", ".join(f"{n} long" for n in names), run)
 
 
 def _parts(bits: int) -> list[str]:
@@ -342,7 +342,7 @@ def table_plan(n: int, similarity: float = 0.8, missed: float = 0.01) -> tuple[i
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192, set_tile: int = 2048) -> DataFrame:
-    """Edges (a, b) that join shingle sets of Jaccard likeness `similarity` or more; nodes has node, fp, fp2, size and at, n rows, one for each distinct set, and docs a text for each at.
+    """Edges (a, b) that join shingle sets of Jaccard likeness `similarity` or more; nodes has node (any number), set1, set2, fp, fp2, size and at, n rows, one for each distinct set, and docs a text for each at.
 
     Tables join candidates into loose groups; only their members' sets are made again and compared, each pair of a group within the radius.
     A group above set_tile rows or set_tile * 1024 shingles is cut into tiles like a hot bucket.
@@ -353,14 +353,14 @@ def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similar
     weights = found.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / 1024) / set_tile).alias("tiles")).filter("tiles > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            same = pa.array([set_node(x) == node for x, node in zip(sets, batch.column("node").to_pylist(), strict=True)], pa.bool_())
+            same = pa.array([set_name(x) == name for x, name in zip(sets, zip(*(batch.column(c).to_pylist() for c in ("set1", "set2")), strict=True), strict=True)], pa.bool_())
             sets = pa.array([x[:, 0].astype(np.uint64).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "fp", "fp2")), sets], ["key", "node", "fp", "fp2", "shingles"]).filter(same)
 
-    held = docs.select("at", "text").join(found.select("at", "key", "node", "fp", "fp2"), "at").dropDuplicates(["at"])
-    sets = held.select("key", "node", "fp", "fp2", "text").mapInArrow(run, "key long, node long, fp long, fp2 long, shingles binary")
+    held = docs.select("at", "text").join(found.select("at", "key", "node", "set1", "set2", "fp", "fp2"), "at").dropDuplicates(["at"])
+    sets = held.select("key", "node", "set1", "set2", "fp", "fp2", "text").mapInArrow(run, "key long, node long, fp long, fp2 long, shingles binary")
     dealt = _dealt(sets.join(weights, "key", "left"), F.coalesce("tiles", F.lit(1)))
     return dealt.mapInArrow(_decide(radius, similarity), "a long, b long")
 
@@ -375,15 +375,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         return _similar(docs, id_col, text_col, width, similarity, tile).drop("at")
     prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints").withColumn("node", F.col("fp"))
-    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    return prints.join(_named(least, fingerprint_links(least, radius, tile)), "node").select("doc_id", "fp", "component_id")
+    least = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+    named = _named(least, fingerprint_links(least, radius, tile), ["node"], prints.count())
+    return salted_join(prints, named, ["node"], F.coalesce("doc_id", F.lit(0)), prints.count()).select("doc_id", "fp", "component_id")
 
 
-def _named(least: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component_id) for nodes and the smallest id of each."""
-    of = least.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(classes, "root").select("node", "component_id")
+def _named(least: DataFrame, links: DataFrame, names: list[str], total: int) -> DataFrame:
+    """names, n and component_id, the smallest id of its class, for each node; a class of any size is no hot key."""
+    of = least.select("node", "least", "n", *(c for c in names if c != "node")).join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    return salted_join(of, classes, ["root"], F.col("node"), total, "nodes").select(*names, "n", "component_id")
 
 
 def _at(id_col: str, text_col: str) -> Column:
@@ -395,9 +396,12 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     """doc_id, at, fp, fp2, component_id by likeness."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _at(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
     prints = stored(set_prints(rows, width), "fingerprints")
-    least = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size"))), "nodes")
+    least = prints.groupBy("set1", "set2").agg(F.min("doc_id").alias("least"), F.min("at").alias("at"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size")))
+    least = stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers stay as they are once written
     links = similar_links(rows, least, least.count(), width, similarity, tile=tile)
-    return prints.join(_named(least, links), "node").select("doc_id", "at", "fp", "fp2", "component_id")
+    total = prints.count()
+    named = _named(least, links, ["set1", "set2"], total)
+    return salted_join(prints, named, ["set1", "set2"], F.col("at"), total).select("doc_id", "at", "fp", "fp2", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -1,16 +1,19 @@
-"""Token counts of whole texts, and the encoders that other operators use.
+"""Token counts of whole texts, and the encoders that other operators use; every id comes from the tokenizers library.
 
-Ordinary texts are encoded whole. A huge text is encoded in overlapping chunks with offsets; neighbours are spliced at a
-boundary between pre-tokens that both chunks have and that is proven stable: it lies further from the left chunk's end
+Short texts are encoded whole. A text above one chunk is encoded in overlapping chunks with offsets; neighbours are spliced
+at a boundary between pre-tokens that both chunks have and that is proven stable: it lies further from the left chunk's end
 than any look-ahead of the splitter or any special string reaches, so cutting the text there changed nothing before it,
 and from a common boundary on both scans go through the same states. Where chunks have no such boundary in common, the
-right one starts earlier, by doubling overlaps, at last at the splice before it, which is a proven boundary itself.
+right one starts earlier, by overlaps four times as wide, at last at the splice before it, which is a proven boundary itself. A left chunk
+without any stable boundary (one long run of white space, say) grows to twice its length, so work stays in proportion to the text.
 """
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Callable
+import os
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,8 +22,6 @@ from pyspark.sql import DataFrame
 
 from tarnfold.llm.common import map_columns
 
-Encoded = tuple[np.ndarray, np.ndarray, np.ndarray]
-
 
 def vocabulary(name: str) -> str:
     """Where the public vocabulary file of this name is installed."""
@@ -30,88 +31,130 @@ def vocabulary(name: str) -> str:
 
 
 @lru_cache(4)
-def fast_encoder(ranks_path: str, special: str = "<|endoftext|>", special_id: int = 50256):
-    """The byte-level BPE encoder of a ranks file: the same ids as the tokenizers library with the same vocabulary (tests hold them equal on every code point), at a quarter of the time."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={special: special_id})
-
-
-def encode(text: str | None, ranks_path: str) -> np.ndarray:
-    """Ids of a whole text as uint32; special strings in it count as the library's default has it, one id each."""
-    return fast_encoder(ranks_path).encode_to_numpy(text or "", allowed_special="all")
-
-
-@lru_cache(4)
-def offset_encoder(json_path: str) -> tuple[Callable[[str], Encoded], int]:
-    """A function from text to ids, character offsets and pre-token starts; and the margin beyond which a cut can't be seen."""
-    import os
-
+def library(json_path: str):
+    """The tokenizer of a vocabulary file; one thread, as a task has one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(json_path)
-    margin = 2 + max([0, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
-
-    def run(text: str) -> Encoded:
-        found = tokenizer.encode(text, add_special_tokens=False)
-        word = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        first = np.ones(len(word), bool)
-        first[1:] = (word[1:] != word[:-1]) | (word[1:] < 0)
-        return np.array(found.ids, np.uint32), np.array([a for a, _ in found.offsets], np.int64), first
+    return Tokenizer.from_file(json_path)
 
-    return run, margin
 
+#: Pre-tokens that word_encoder remembers, each of at most so many characters.
+_MEMORY, _WORD = 1 << 19, 64
 
-def spliced(text: str, encoder: Callable[[str], Encoded], margin: int, chunk: int = 1 << 15, overlap: int = 256) -> np.ndarray:
-    """The ids of the whole text from overlapping chunks."""
 
-    def boundaries(part: Encoded, at: int) -> tuple[np.ndarray, np.ndarray]:
-        where = np.flatnonzero(part[2])
-        return part[1][where] + at, where
+@lru_cache(4)
+def word_encoder(json_path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
+    """A function from whole texts to their ids as the library gives them, each different pre-token encoded once.
 
-    out, left, at = [], encoder(text[:chunk]), 0
-    from_token, splice, end = 0, 0, min(chunk, len(text))
+    Byte-level BPE encodes pre-tokens one by one, so texts are cut at special strings, parted by the vocabulary's public pattern, and
+    only pre-tokens that the bounded memory doesn't hold go to the library. Tests hold the ids equal to those of whole texts.
+    """
+    import public_tokenizers
+    import regex
+
+    tokenizer = library(json_path)
+    words = regex.compile(public_tokenizers.PATTERN)
+    special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+    parts = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+    known: dict[str, bytes] = {}
+
+    def run(texts: list[str | None]) -> list[np.ndarray]:
+        cut = []
+        for text in texts:
+            found: list[str] = []
+            for part in parts.split(text or "") if parts else (text or "",):
+                if part in special:
+                    found.append(part)
+                else:
+                    found += words.findall(part)
+            cut.append(found)
+        new = list(set().union(*cut) - known.keys())
+        held = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        if len(known) + len(new) > _MEMORY:
+            held |= {w: known[w] for found in cut for w in found if w not in held}
+            known.clear()
+        known.update((w, ids) for w, ids in held.items() if len(w) <= _WORD)
+        of = known if all(len(w) <= _WORD for w in new) and len(known) < _MEMORY else known | held
+        return [np.frombuffer(b"".join(map(of.__getitem__, found)), "<u4") for found in cut]
+
+    return run
+
+
+class Chunk:
+    """A part of a text as the library encodes it, with offsets: text[at:upto]."""
+
+    def __init__(self, tokenizer, text: str, at: int, upto: int):
+        self.at, self.found = at, tokenizer.encode(text[at:upto], add_special_tokens=False)
+        self.n = len(self.found)
+
+    def start(self, i: int) -> int:
+        return self.at + self.found.token_to_chars(i)[0]
+
+    def first(self, i: int) -> bool:
+        """Whether a pre-token or a special string begins here."""
+        word = self.found.token_to_word(i)
+        return i == 0 or word is None or word != self.found.token_to_word(i - 1)
+
+    def token(self, place: int) -> int:
+        """The first token that starts at the place or beyond."""
+        return bisect_left(range(self.n), place, key=self.start)
+
+    def boundaries(self, low: int, high: int) -> dict[int, int]:
+        """Place to token of every pre-token that starts from low to high."""
+        return {self.start(i): i for i in range(self.token(low), self.token(high + 1)) if self.first(i)}
+
+    def any_boundary(self, low: int, high: int) -> bool:
+        """Whether a pre-token starts from low to high."""
+        i, least = self.token(high + 1) - 1, self.token(low)
+        if i < least:
+            return False
+        word = self.found.token_to_word(i)
+        return word is None or self.found.word_to_tokens(word)[0] >= least
+
+
+def spliced(tokenizer, text: str, chunk: int = 1 << 13, overlap: int = 128) -> Iterator[tuple[Chunk, int, int]]:
+    """Chunks and their ranges of tokens that make up the whole text, in order."""
+    margin = 2 + max([0, *(len(t.content) for t in tokenizer.get_added_tokens_decoder().values())])  # beyond it a cut can't be seen
+    splice, from_token, end = 0, 0, min(chunk, len(text))
+    left = Chunk(tokenizer, text, 0, end)
     while end < len(text):
-        lap, after = overlap, min(len(text), end + chunk - overlap)
-        while True:
-            begin = max(end - lap, splice)
-            right = encoder(text[begin:after])
-            if begin == splice:  # a proven boundary: the right chunk replaces the left one
-                p, i, j = splice, from_token, 0
-                break
-            (mine, ids_mine), (theirs, ids_theirs) = boundaries(left, at), boundaries(right, begin)
-            common = np.intersect1d(mine[(mine > splice) & (mine <= end - margin)], theirs)
-            if len(common):
-                p = int(common[-1])
-                i, j = int(ids_mine[np.searchsorted(mine, p)]), int(ids_theirs[np.searchsorted(theirs, p)])
-                break
-            lap *= 2
-        out.append(left[0][from_token:i])
-        left, at, from_token, splice, end = right, begin, j, p, after
-    out.append(left[0][from_token:])
-    return np.concatenate(out)
-
-
-def count_tokens(docs: DataFrame, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, huge: int = 1 << 16) -> DataFrame:
-    """doc_id, n_bytes (UTF-8), n_tokens, over_limit for each row.
+        if not left.any_boundary(splice + 1, end - margin):
+            after = min(len(text), end + max(chunk, end - splice))
+            left, from_token, end = Chunk(tokenizer, text, splice, after), 0, after
+            continue
+        after, lap, common = min(len(text), end + chunk), overlap, set()
+        while not common:  # an overlap back to the splice has every stable boundary in common
+            begin = max(splice, end - lap)
+            right = Chunk(tokenizer, text, begin, after)
+            low = max(begin, splice + 1)
+            mine, theirs = left.boundaries(low, end - margin), right.boundaries(low, end - margin)
+            common = mine.keys() & theirs.keys()
+            lap *= 4
+        splice = max(common)
+        yield left, from_token, mine[splice]
+        left, from_token, end = right, theirs[splice], after
+    yield left, from_token, left.n
+
+
+def spliced_ids(tokenizer, text: str, chunk: int = 1 << 13, overlap: int = 128) -> np.ndarray:
+    return np.array([i for part, a, b in spliced(tokenizer, text, chunk, overlap) for i in part.found.ids[a:b]], np.uint32)
+
+
+def count_tokens(docs: DataFrame, json_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk: int = 1 << 13) -> DataFrame:
+    """doc_id, n_bytes (UTF-8), n_tokens, over_limit, spliced (went by overlapping chunks) for each row.
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep a row each; an empty table gives none;
-    other columns are ignored. Texts above `huge` characters go by overlapping chunks.
+    other columns are ignored. Texts above `chunk` characters go by overlapping chunks.
     """
 
-    def count(text: str | None) -> int:
-        if text and len(text) > huge:
-            encoder, margin = offset_encoder(json_path)
-            return len(spliced(text, encoder, margin))
-        return len(encode(text, ranks_path))
-
     def run(rows: dict) -> dict:
-        n = [count(t) for t in rows[text_col]]
-        size = [len((t or "").encode()) for t in rows[text_col]]
-        return {"doc_id": pa.array(rows[id_col], pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())}
-
-    return map_columns(docs, [id_col, text_col], "doc_id long, n_bytes long, n_tokens long, over_limit boolean", run)
+        texts, tokenizer = [t or "" for t in rows[text_col]], library(json_path)
+        short = iter(tokenizer.encode_batch_fast([t for t in texts if len(t) <= chunk], add_special_tokens=False))
+        n = [len(next(short)) if len(t) <= chunk else sum(b - a for _, a, b in spliced(tokenizer, t, chunk)) for t in texts]
+        return {
+            "doc_id": pa.array(rows[id_col], pa.int64()), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()),
+            "over_limit": pa.array([x > limit for x in n], pa.bool_()), "spliced": pa.array([len(t) > chunk for t in texts], pa.bool_()),
+        }
+
+    return map_columns(docs, [id_col, text_col], "doc_id long, n_bytes long, n_tokens long, over_limit boolean, spliced boolean", run)

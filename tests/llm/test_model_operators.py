@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm import components, extraction, neighbours, packing, quality, queries, simhash, tokens
 
-RANKS, JSON = tokens.vocabulary("byte_bpe_50k.tiktoken"), tokens.vocabulary("byte_bpe_50k.json")
+JSON = tokens.vocabulary("byte_bpe_50k.json")
+LIBRARY = tokens.library(JSON)
+
+
+def run(text):
+    return LIBRARY.encode(text, add_special_tokens=False).ids
+
 DOCS = "doc_id long, text string, fp string, piece string, score string, node string"
 
 
@@ -111,30 +117,61 @@ def test_extraction_of_the_table(spark):
 # --- tokens and packing
 
 
-def test_both_libraries_agree_on_code_points():
-    run, _ = tokens.offset_encoder(JSON)
-    for c in [*range(0, 0x3000, 3), *range(0x3000, 0x20000, 97), 0x10FFFF]:
-        if not 0xD800 <= c < 0xE000:
-            t = f"a{chr(c)}b {chr(c)} 1{chr(c)}\n {chr(c)}"
-            assert tokens.encode(t, RANKS).tolist() == run(t)[0].tolist(), hex(c)
+def test_remembered_words_give_the_ids_of_whole_texts():
+    encode = tokens.word_encoder(JSON)
+    texts = [f"a{chr(c)}b {chr(c)} 1{chr(c)}\n {chr(c)}" for c in [*range(0, 0x3000, 3), *range(0x3000, 0x20000, 97), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    assert [e.tolist() for e in encode(texts)] == [run(t) for t in texts]
+    assert [e.tolist() for e in encode([None, "", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "x" * 100 + " x"])] == [run(t) for t in ("", "", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "x" * 100 + " x")]
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "_MEMORY", 50)
+    encode = tokens.word_encoder.__wrapped__(JSON)
+    texts = [" ".join(f"w{i % 70} common" for i in range(k, k + 60)) for k in range(0, 200, 20)]
+    for t in (texts[:3], texts[3:], texts):
+        assert [e.tolist() for e in encode(t)] == [run(x) for x in t]
 
 
 def test_spliced_chunks_equal_whole_texts():
-    run, margin = tokens.offset_encoder(JSON)
     rnd = random.Random(1)
     for _ in range(120):
-        t = "".join(rnd.choice(["a", "b ", "  ", "\n", "<|endoftext|>", "é", "中", "'s", "123", "!!", "   x", "the ", "a" * rnd.randint(1, 80), " " * rnd.randint(1, 90)]) for _ in range(rnd.randint(1, 300)))
-        assert tokens.spliced(t, run, margin, rnd.choice([64, 100, 150]), rnd.choice([4, 16, 32])).tolist() == run(t)[0].tolist()
+        t = "".join(rnd.choice(["a", "b ", "  ", "\n", "<|endoftext|>", "é", "中", "😀", "'s", "123", "!!", "   x", "the ", "a" * rnd.randint(1, 80), " " * rnd.randint(1, 90)]) for _ in range(rnd.randint(1, 300)))
+        assert tokens.spliced_ids(LIBRARY, t, rnd.choice([64, 100, 150]), rnd.choice([4, 16, 32])).tolist() == run(t)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" * 2_000_000, "\n" * 2_000_000, "x" + " " * 1_100_000 + "y " * 1000, (" " * 60_000 + "x") * 20])
+def test_long_runs_take_work_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    want = run(text)
+    whole = time.process_time() - began
+    assert tokens.spliced_ids(LIBRARY, text).tolist() == want
+    assert time.process_time() - began - whole < 12 * whole + 1
+    assert tokens.word_encoder(JSON)([text])[0].tolist() == want
 
 
 def test_counts(spark):
-    run, _ = tokens.offset_encoder(JSON)
-    got = tokens.count_tokens(docs(spark, EDGES), JSON, RANKS, huge=1000).collect()
-    assert len(got) == len(EDGES)
-    for r, (i, t) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted(EDGES, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
-        n = len(run(t or "")[0])
-        assert (r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) == (i, len((t or "").encode()), n, n > 1024)
-    assert tokens.count_tokens(docs(spark, []), JSON, RANKS).count() == 0
+    rows = [*EDGES, (7, " " * 1_100_000), (8, "words of many lengths, " * 900)]
+    got = tokens.count_tokens(docs(spark, rows), JSON, chunk=1000).collect()
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+        n = len(run(t or ""))
+        assert (r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"], r["spliced"]) == (i, len((t or "").encode()), n, n > 1024, len(t or "") > 1000)
+    assert tokens.count_tokens(docs(spark, []), JSON).count() == 0
+
+
+def test_count_query_splices_real_rows(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op7_tokens(spark, d).collect()
+    assert sum(r["spliced"] for r in got) > 10
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(run(t or "")) for i, t in texts.items()}
+
+
+def test_packing_takes_long_runs_of_white_space(spark):
+    packed = packing.pack_documents(docs(spark, [(1, " " * 1_100_000), (2, "x")]), JSON).collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 1) == len(run(" " * 1_100_000)) + 1
 
 
 def test_plan_is_best_fit_decreasing():
@@ -165,17 +202,16 @@ def test_plan_is_best_fit_decreasing():
 
 
 def test_packing_round_trip(spark):
-    run, _ = tokens.offset_encoder(JSON)
-    packed = packing.pack_documents(docs(spark, EDGES), RANKS, 64, with_ids=True)
+    packed = packing.pack_documents(docs(spark, EDGES), JSON, 64, with_ids=True)
     rows = packed.collect()
-    whole = sorted(sum(([*run(t or "")[0].tolist(), 0] for _, t in EDGES), []))
+    whole = sorted(sum(([*run(t or ""), 0] for _, t in EDGES), []))
     assert sorted(sum((r["ids"] for r in rows), [])) == whole
     held = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
     assert all(len(ids) <= 64 for ids in held.values()) and all(held[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"] for r in rows)
     long = sorted((r for r in rows if r["doc_id"] == 4), key=lambda r: r["piece"])
     assert [r["piece"] for r in long] == list(range(len(long))) and all(r["length"] == 64 for r in long[1:])
-    assert sum((r["ids"] for r in long), []) == [*run(EDGES[5][1])[0].tolist(), 0]
-    assert packing.pack_documents(docs(spark, []), RANKS).count() == 0
+    assert sum((r["ids"] for r in long), []) == [*run(EDGES[5][1]), 0]
+    assert packing.pack_documents(docs(spark, []), JSON).count() == 0
 
 
 # --- quality
@@ -397,7 +433,7 @@ def test_tiled_groups_link_by_likeness(spark, set_tile):
     base = [f"w{rnd.randint(0, 10**9)}" for _ in range(100)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 100, 4)] + [f"other {i} text of words here" for i in range(20)]
     rows = docs(spark, list(enumerate(texts))).selectExpr("doc_id", "doc_id as at", "text")
-    nodes = simhash.set_prints(rows, 5)
+    nodes = simhash.set_prints(rows, 5).withColumn("node", F.col("at") * 3 + 1)
     links = simhash.similar_links(rows, nodes, 45, 5, set_tile=set_tile)
     of = {r["at"]: r["node"] for r in nodes.collect()}
     where = {v: k for k, v in of.items()}
@@ -414,9 +450,32 @@ def test_repeated_ids_keep_one_of_each_group(spark):
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, near(b)), (1, " ".join(a)), (5, " ".join(b))] and kept.columns == docs(spark, []).columns
 
 
+def test_stars_with_hot_centres(spark, monkeypatch):
+    join = simhash.salted_join
+    for where in (simhash, components):
+        monkeypatch.setattr(where, "salted_join", lambda *args, **more: join(*args, **more, least=7))
+    links = [(0, i) for i in range(1, 200)] + [(i, 500 + i) for i in range(1, 50)] + [(900, 901)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(200), *range(501, 550)]}, 900: 900, 901: 900}
+    same = simhash.near_duplicates(docs(spark, [(i, "the same few words in a row") for i in range(100)] + [(None, None), (200, "")])).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in same) == [*((False, i, 0) for i in range(100)), (False, 200, 200), (True, 0, 200)]
+
+
 # --- pipeline
 
 
+def test_pipeline_deletes_what_it_stored(spark):
+    import os
+
+    import corpus_pipeline as pipeline
+    from tarnfold.checkpoints import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = pipeline.run(spark, SF)
+    assert out.count() > 0 and len(set(os.listdir(folder)) - before) == 1
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
@@ -437,9 +496,20 @@ def test_pipeline_stages(spark):
     assert ids(clean) == ids(single)
     live = {r["doc_id"] for r in __import__("tarnfold.llm.secrets", fromlist=["x"]).secret_report(single).filter("n_live > 0").collect()}
     assert {r["doc_id"] for r in clean.collect() if r["text"] != texts[r["doc_id"]]} == live
-    run, _ = tokens.offset_encoder(JSON)
-    total = sum(len(run(r["text"] or "")[0]) + 1 for r in mixed.collect())
+    whole = {}
+    for r in mixed.collect():
+        whole[r["doc_id"]] = whole.get(r["doc_id"], []) + [*run(r["text"] or ""), 0]
+    total = sum(map(len, whole.values()))
     assert packed.agg(F.sum("length")).first()[0] == total
+    held = {}
+    for r in packing.sequences(packed).collect():
+        held[r["sequence_id"]] = r["ids"]
+    again = {}
+    for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["sequence_id"], r["offset"])):
+        part = held[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert part == r["ids"]
+        again[r["doc_id"]] = again.get(r["doc_id"], []) + part
+    assert {d: sorted(x) for d, x in again.items()} == {d: sorted(x) for d, x in whole.items()}
     sizes = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*")).first()
     assert sizes[0] <= 2048 and sizes[1] <= total / 2048 * 1.05 + 1
 
