@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_turns(*chat.branches(_table(spark, sf_dir, "conversations")))
+    return chat.preferences(*chat.branches(_table(spark, sf_dir, "conversations")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

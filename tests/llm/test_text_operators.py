@@ -21,24 +21,54 @@ def test_query_equals_sql(spark, name):
 TURNS = "pair_id long, turn long, role string, text string, extra string"
 
 
+def said(role, text):
+    return f"<|{role}|>\n{text}<|end|>\n"
+
+
+def trained(text, spans):
+    return [text[int(a) : int(b)] for a, b in (x.split(":") for x in spans.split(",") if x)]
+
+
 def test_chat_prefix_and_masks(spark):
-    chosen = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x"), (1, 2, "user", "more", "x"), (2, 0, None, None, "x"), (None, 0, "user", "q", "x"), (3, 0, "user", "only", "x"), (1, 0, "user", "q", "x")]
-    rejected = [(1, 0, "user", "q", "y"), (1, 1, "assistant", "b", "y"), (1, 2, "user", "more", "y"), (2, 0, "user", "", "y")]
-    out = chat.preference_turns(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS))
-    rows = {(r["pair_id"], r["turn"]): r for r in out.collect()}
-    assert len(rows) == 5 and out.count() == 5
-    assert rows[1, 0]["prompt"] == "<|user|>\nq<|end|>\n" and rows[1, 0]["n_prompt"] == 1 and rows[1, 0]["chosen"] is None
-    assert (rows[1, 1]["chosen"], rows[1, 1]["rejected"]) == ("<|assistant|>\na<|end|>\n", "<|assistant|>\nb<|end|>\n") and rows[1, 1]["chosen_masked"] is False
-    assert rows[1, 2]["prompt"] is None and rows[1, 2]["chosen_masked"] is True  # equal again, but after the first difference
-    assert rows[2, 0]["n_prompt"] == 1  # null role and text are user and empty
-    assert rows[3, 0]["n_prompt"] == 0 and rows[3, 0]["rejected"] is None
-    folded = {r["pair_id"]: r for r in chat.preference_rows(out).collect()}
-    assert folded[1]["prompt"] == "<|user|>\nq<|end|>\n" and folded[1]["chosen"].startswith("<|assistant|>\na") and [tuple(s) for s in folded[1]["chosen_masked"]] == [(len("<|assistant|>\na<|end|>\n"), len(folded[1]["chosen"]))]
+    chosen = [(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x"), (1, 2, "user", "more", "x"), (2, 0, None, None, "x"), (None, 0, "user", "q", "x"), (3, 0, "user", "only", "x"), (1, 0, "user", "q", "x"), (4, 0, "user", "😀<|end|> <\\|", "x")]
+    rejected = [(1, 0, "user", "q", "y"), (1, 1, "assistant", "b<|user|>", "y"), (1, 2, "user", "more", "y"), (2, 0, "user", "", "y"), (4, 0, "user", "other", "y"), (4, 1, "assistant", "é", "y")]
+    out = chat.preferences(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS))
+    rows = {r["pair_id"]: r for r in out.collect()}
+    assert len(rows) == 4 and out.count() == 4
+    one = rows[1]
+    assert one["prompt"] == said("user", "q") and one["n_prompt"] == 1 and one["part"] == 0
+    assert one["chosen"] == said("assistant", "a") + said("user", "more")  # equal again, but after the first difference
+    assert one["rejected"] == said("assistant", "b<\\|user|>") + said("user", "more")
+    assert trained(one["chosen"], one["chosen_trained"]) == ["a<|end|>\n"] and trained(one["rejected"], one["rejected_trained"]) == ["b<\\|user|><|end|>\n"]
+    assert (rows[2]["n_prompt"], rows[2]["prompt"], rows[2]["chosen"]) == (1, said("user", ""), "")  # null role and text are user and empty
+    assert rows[3]["n_prompt"] == 0 and rows[3]["rejected"] == "" and rows[3]["chosen_trained"] == ""
+    assert rows[4]["chosen"] == said("user", "😀<\\|end|> <\\\\|") and trained(rows[4]["rejected"], rows[4]["rejected_trained"]) == ["é<|end|>\n"]
+
+
+def test_chat_long_conversations_come_in_parts(spark, monkeypatch):
+    join = chat.salted_join
+    monkeypatch.setattr(chat, "salted_join", lambda *args, **more: join(*args, **more, least=3))
+    turns = [(1, i, "assistant" if i % 2 else "user", f"turn {i}", "x") for i in range(1000)]
+    rejected = [(p, i, r, t if i < 700 else t + "!", e) for p, i, r, t, e in turns]
+    out = sorted(chat.preferences(spark.createDataFrame(turns, TURNS), spark.createDataFrame(rejected, TURNS), turns_a_row=10).collect(), key=lambda r: r["part"])
+    assert len(out) == 100 and sum(r["n_prompt"] for r in out) == 700
+    assert "".join(r["prompt"] for r in out) == "".join(said(r, t) for _, _, r, t, _ in turns[:700])
+    assert "".join(r["rejected"] for r in out) == "".join(said(r, t) for _, _, r, t, _ in rejected[700:])
+    assert sum((trained(r["chosen"], r["chosen_trained"]) for r in out), []) == [f"turn {i}<|end|>\n" for i in range(701, 1000, 2)]
+
+
+def test_branches_share_their_first_half(spark):
+    rows = [(c, t, "user", f"{c} {t}") for c in (1, 2, 5) for t in range(4)] + [(None, 0, "user", "x"), (1, None, "user", "x")]
+    chosen, rejected = chat.branches(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chosen.count() == 12
+    assert sorted((r["pair_id"], r["turn"], r["text"]) for r in rejected.collect()) == sorted([(c, t, f"{c} {t}") for c in (1, 2, 5) for t in (0, 1)] + [(1, t, f"2 {t}") for t in (2, 3)])
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.preferences(*chat.branches(none)).count() == 0
 
 
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], TURNS)
-    assert chat.preference_turns(empty, empty).count() == 0
+    assert chat.preferences(empty, empty).count() == 0
 
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, target double, key string, taken string"
@@ -125,6 +155,17 @@ def test_ownership_and_redaction(spark):
     assert clean[0] == rows[0][1] and clean[10] == "mine [SECRET] [SECRET] end" and clean[11] == "mine [SECRET]" and clean[12] is None and clean[13] == "clean"
 
 
+def test_repositories_decide_between_two_owners(spark):
+    value = "token=" + "twoowners123" * 2
+    few = [(1, value, "s0", "en"), (2, value, "s1", "en")]
+    many = few + [(3, value, "s0", "de"), (4, value, "s1", "de")]
+    own = [(i, value, "s0", f"l{i}") for i in range(6)]
+    for rows, want in ((few, (1, 0, 2, 2, 0, 0)), (many, (0, 1, 0, 0, 2, 4)), (own, (1, 0, 1, 6, 0, 0))):
+        for r in secrets.secret_report(docs(spark, rows)).collect():
+            assert tuple(r[c] for c in ("n_live", "n_shared", "live_owners", "live_repositories", "shared_owners", "shared_repositories")) == want
+            assert r["live_spans"] == (r["spans"] if want[0] else "")
+
+
 def test_redaction_merges_overlaps(spark):
     out = secrets.redact(docs(spark, [(1, "a token=0123456789abcdef0123 b", "s", "en")])).first()
     assert out["text"] == "a [SECRET] b" and out["taken"] == "clash"
