@@ -1,13 +1,15 @@
 """SpotSigs fingerprints: chains of content words behind common-word anchors, compared by Jaccard likeness of their sets.
 
 SQL functions only. Anchors cut the text into runs of content words; each run with words begins a chain of the next three
-content words, over further anchors where the run is short. A text without any anchor begins a chain at every word.
+content words, over further anchors where the run is short. A long run begins a further chain every six words, so that no stretch of a text is
+left out where anchors are rare. A text without any anchor begins a chain at every word.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,18 +22,21 @@ ANCHORS = (
     "el los las y con por no su para es al lo como"
 ).split()
 CHAIN = 3
+#: Words of a run that one chain stands for.
+STRETCH = 6
 _CUT = "\u0001"
 _SPACES = r"[^\p{L}\p{N}]+"
 _ANCHOR = f" (?:{'|'.join(dict.fromkeys(ANCHORS))}) "
+_STRETCH = f"[^ ]+(?: [^ ]+){{0,{STRETCH - 1}}}"
 _RUN = f" *{_CUT}[ {_CUT}]*"
 
 
 def _runs(text: Column) -> Column:
-    """The text's runs of content words; its words where it has no anchor."""
+    """The text's runs of content words, long ones in stretches; its words where it has no anchor."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _SPACES, " "), " ")
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.lit(_CUT)).otherwise(w)), " ")
     parted = F.split(F.when(F.instr(marked, _CUT) > 0, marked).otherwise(F.replace(marked, F.lit(" "), F.lit(_CUT))), _CUT, -1)
-    return F.filter(F.transform(parted, lambda r: F.trim(r)), lambda r: r != "")
+    return F.flatten(F.transform(parted, lambda r: F.regexp_extract_all(r, F.lit(_STRETCH), F.lit(0))))
 
 
 def with_chains(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -76,58 +81,58 @@ def spotsigs_pairs(sets: DataFrame, least: float = 0.8) -> DataFrame:
     return told.filter(F.col("likeness") >= least)
 
 
-#: Ranges of ids at most; the driver holds a cut for each.
-_RANGES = 1 << 16
+def _cuts(ids: DataFrame, share: int) -> list[int]:
+    """The first ids of about `share` ranges of like size, ascending. Spark samples the ranges; each range's least id is exact. One long for each range."""
+    ranges = ids.filter("doc_id is not null").repartitionByRange(share, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in ranges.select("first").collect())
 
 
-def _rank(value: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts aren't above value: first among every n-th cut, then among the n behind that one."""
-    if not cuts:
-        return F.lit(0)
-    n = math.isqrt(len(cuts)) + 1
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda xs: F.size(F.filter(xs, lambda c: c <= value))
-    coarse = below(longs(cuts[n - 1 :: n]))
-    groups = F.array(*[longs(cuts[i : i + n]) for i in range(0, len(cuts), n)])
-    return coarse * n + F.coalesce(below(F.get(groups, coarse)), F.lit(0))
+def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int | None = None) -> DataFrame:
+    """(doc_id, text, next_text, ghost): each row with the text that follows in order of id; null ids come last, among them by hash of the text; ties go by text.
 
-
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_a_bucket: int = 4000) -> DataFrame:
-    """(doc_id, text, next_text, ghost): each row with the text that follows in order of id; null ids come last, ties go by text.
-
-    Ids are cut into ranges at approximate quantiles, and each range is ordered by itself. The first row of a range also
-    stands, as a ghost, at the end of the range before it (of the first range: the last), so ranges need no more of each other.
+    Ids are cut into ranges of about rows_a_bucket rows (of 4,000 to 100,000, by the number of rows, if not given), rows without id into ranges of their texts' hashes, and each
+    range is ordered by itself. The first rows of a range also stand, as ghosts, at the end of the range before it (of the first range: the last), so
+    ranges need no more of each other. A row's range comes from a binary search; the table of ranges has a row for each.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = docs.count()
-    share = min(_RANGES, max(1, -(-n // rows_a_bucket)))
-    cuts = docs.select(F.percentile_approx(F.col(id_col), [i / share for i in range(1, share)], 20 * share)).first()[0] if share > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = _rank(F.col("doc_id"), cuts)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket))
-    firsts = docs.select(F.col(id_col).alias("doc_id")).withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(bucket)).groupBy("bucket").agg(F.min("doc_id").alias("first")).orderBy("bucket").collect()  # a row for each range
-    order = [r["bucket"] for r in firsts]
-    to = {r["bucket"]: (r["first"], order[i - 1]) for i, r in enumerate(firsts)}
-    if not to:
-        return rows.withColumn("next_text", F.lit(None).cast("string")).withColumn("ghost", F.lit(False))
-    table = F.create_map(*[F.lit(x) for b, (first, before) in to.items() for x in (b, before)])
-    first_of = F.create_map(*[x for b, (first, _) in to.items() for x in (F.lit(b), F.lit(first).cast("long"))])
-    is_first = F.col("doc_id").eqNullSafe(first_of[F.col("bucket")])
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n, n_null = docs.agg(F.count("*"), F.count_if(F.col(id_col).isNull())).first()
+    each = rows_a_bucket or min(100_000, max(4000, n // 1000))
+    share = lambda n: max(1, -(-n // each))
+    cuts = _cuts(docs.select(F.col(id_col).cast("long").alias("doc_id")), share(n - n_null)) if n > n_null else []
+    splits = sorted({float(c) for c in cuts[1:]})
+    if splits:  # by double precision: ids that it can't tell apart are in one range
+        found = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol="id_", outputCol="range_", handleInvalid="keep").transform(rows.withColumn("id_", F.col("doc_id").cast("double"))).drop("id_")
+    else:
+        found = rows.withColumn("range_", F.lit(0.0))
+    last = len(splits) + 1
+    tail = F.floor((F.shiftright(hashed(), 32) + F.lit(1 << 31)) * F.lit(float(share(n_null))) / F.lit(float(1 << 32)))
+    rows = found.withColumn("bucket", F.when(F.col("doc_id").isNull(), last + tail).otherwise(F.col("range_")).cast("long")).drop("range_")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", hashed().alias("h")))
+    thin = rows.groupBy("bucket").agg(first.alias("first")).select("bucket", "first.doc_id", "first.h").orderBy("bucket").collect()  # a row for each range
+    table = spark.createDataFrame([(r["bucket"], r["doc_id"], r["h"], thin[i - 1]["bucket"]) for i, r in enumerate(thin)], "bucket long, first long, first_h long, before long")
+    rows = rows.join(F.broadcast(table) if len(thin) <= 1_000_000 else table, "bucket")
     # every row with a range's first id goes along: ties of that id are ordered where they arrive
-    twice = F.when(is_first, F.array(F.struct(F.lit(False).alias("ghost"), F.col("bucket").alias("b")), F.struct(F.lit(True).alias("ghost"), table[F.col("bucket")].alias("b")))).otherwise(F.array(F.struct(F.lit(False).alias("ghost"), F.col("bucket").alias("b"))))
+    heads = F.when(F.col("doc_id").isNull(), F.col("first").isNull() & (hashed() == F.col("first_h"))).otherwise(F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
+    to = lambda ghost, bucket: F.struct(F.lit(ghost).alias("ghost"), F.col(bucket).alias("b"))
+    twice = F.when(heads, F.array(to(False, "bucket"), to(True, "before"))).otherwise(F.array(to(False, "bucket")))
     dealt = rows.withColumn("to", F.explode(twice)).select("doc_id", "text", F.col("to.ghost").alias("ghost"), F.col("to.b").alias("bucket"))
     return dealt.withColumn("next_text", F.lead("text").over(_order()))
 
 
+def hashed() -> Column:
+    return F.xxhash64("text")
+
+
 def _order():
-    return W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_last(), "text")
+    return W.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_last(), F.when(F.col("doc_id").isNull(), hashed()), "text")
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's,
-    in order of id, null ids last, ties by text; after the last comes the first, and a table of one row follows itself. A null text counts as empty. A fingerprint
+    in order of id, null ids last and among themselves by XXH64 of the text, ties by text; after the last comes the first, and a table of one row follows itself. A null text counts as empty. A fingerprint
     is the SHA-256 of the sorted chains. Repeated rows keep a row each; an empty table gives none; other columns are ignored.
     """
     n_chars = F.char_length("text")
@@ -148,7 +153,8 @@ def _sql() -> str:
         cut, run = "chr(1)", r" *\x01[ \x01]*"
         marked = f"regexp_replace(regexp_replace({words}, '{_ANCHOR}', {cut}, 'g'), '{run}', {cut}, 'g')"
         plain = f"trim(replace({marked}, '  ', ' '), ' ')"
-        return f"list_filter(string_split(CASE WHEN contains({plain}, {cut}) THEN {plain} ELSE replace({plain}, ' ', {cut}) END, {cut}), lambda r: r != '')"
+        parted = f"string_split(CASE WHEN contains({plain}, {cut}) THEN {plain} ELSE replace({plain}, ' ', {cut}) END, {cut})"
+        return f"flatten(list_transform({parted}, lambda r: regexp_extract_all(r, '{_STRETCH}')))"
 
     chain = lambda runs: f"list_sort(list_distinct(list_transform(range(1, len({runs}) + 1), lambda i: array_to_string(list_slice(string_split(array_to_string({runs}[i:i + {CHAIN - 1}], ' '), ' '), 1, {CHAIN}), ' '))))"
     near = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"

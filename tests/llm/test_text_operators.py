@@ -181,18 +181,21 @@ def brute_chains(text):
                 now = []
             elif w:
                 now.append(w)
-        runs = [r for r in runs if r]
+        runs = [r[i : i + 6] for r in runs for i in range(0, len(r), 6)]
     else:
         runs = [[w] for w in words if w]
     return sorted({" ".join([w for r in runs[i : i + 3] for w in r][:3]) for i in range(len(runs))})
 
 
 def test_spotsigs_against_brute_force(spark):
-    texts = ["The cat of a dog in the big red house", "no stops here at", "", None, "the of the", "word", "Über das Haus und die Tür", "x " * 20000, "the same text", "the same text"]
+    texts = ["The cat of a dog in the big red house", "no stops here at", "", None, "the of the", "word", "Über das Haus und die Tür", "x " * 20000, "the same text", "the same text", "the " + " ".join(f"w{i}" for i in range(50))]
     rows = [(10 * i, t, "s", "en") for i, t in enumerate(texts)] + [(None, "last of all", "s", "en"), (30, "a tie of ids", "s", "en")]
     got = spotsigs.fingerprint_report(docs(spark, rows)).collect()
     assert len(got) == len(rows)
-    order = sorted(((i is None, i or 0, t or "") for i, t, *_ in rows))
+    rows += [(None, f"without id {k}", "s", "en") for k in range(5)]
+    h = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    got = spotsigs.fingerprint_report(docs(spark, rows)).collect()
+    order = sorted(((i is None, i or 0, h[t or ""] if i is None else 0, t or "") for i, t, *_ in rows))
     texts_of = [t for *_, t in order]
     want = []
     for k, t in enumerate(texts_of):
@@ -212,6 +215,9 @@ def test_spotsigs_against_brute_force(spark):
 def test_spotsigs_ranges_meet(spark):
     rows = [(i * 7 % 101, f"text number {i * 7 % 101} of the day", "s", "en") for i in range(101)]
     found = spotsigs.with_next(docs(spark, rows), "doc_id", "text", 5).filter("not ghost").collect()
+    none = [(None, f"no id {i}", "s", "en") for i in range(40)]
+    with_none = spotsigs.with_next(docs(spark, rows[:3] + none), "doc_id", "text", 5).filter("not ghost").collect()
+    assert len(with_none) == 43 and {r["next_text"] for r in with_none} == {r["text"] for r in with_none}
     assert len(found) == 101 and all(r["next_text"] == f"text number {(r['doc_id'] + 1) % 101} of the day" for r in found)
 
 
