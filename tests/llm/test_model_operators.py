@@ -33,6 +33,12 @@ EDGES = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None,
 # --- extraction
 
 
+def markup_text(html):
+    """What markup alone gives where nothing repeats."""
+    article, outside, marked = extraction.page_parts(html)
+    return " ".join(w for block, m in zip(outside, marked, strict=True) if not m for w in block) if article is None else article
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
@@ -44,12 +50,14 @@ EDGES = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (3, ""), (None,
         ('<article><p>kept</p><div class="ad-slot">no</div><ul class="share-buttons"><li>no</ul><DIV ID="comments-area"><article class="comment">no</article></DIV><p title="a > b">end</p></article>', "kept end"),
         ("<article>a &lt;b&gt; &#233;&nbsp;c</article>", "a <b> é c"),
         ("<article><p>unclosed <b>bold", "unclosed bold"),
-        (None, ""), ("", ""), ("plain text", "plain text"), ("<article></article><p>outside</p>", ""),
+        (None, ""), ("", ""), ("plain text", "plain text"), ("<article></article><p>outside</p>", "outside"),
+        ("<article><p title=it's>hello <b>world</b> it's nice</p><p class='a>b'>quoted</p><p title=\"open>rest</p></article>", "hello world it's nice quoted rest"),
+        ("<div><article class=card><p>teaser card</p></article></div><div><p>the main text of this page is long</p><p>and has more words than the card</p></div>", "teaser card the main text of this page is long and has more words than the card"),
+        ("<article>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>", "so x=2 holds"),
     ],
 )
 def test_page_parts(html, text):
-    article, outside = extraction.page_parts(html)
-    assert (" ".join(w for block in outside for w in block) if article is None else article) == text
+    assert markup_text(html) == text
 
 
 @pytest.mark.parametrize(
@@ -67,42 +75,70 @@ def test_page_parts(html, text):
     ],
 )
 def test_raw_text_and_open_heads(html, text):
-    article, outside = extraction.page_parts(html)
-    assert (" ".join(w for block in outside for w in block) if article is None else article) == text
+    assert markup_text(html) == text
 
 
 def test_suffix_array_against_sorting():
     rnd = np.random.default_rng(1)
-    stream = rnd.integers(0, 3, 300).astype(np.uint64)
-    order, rank = extraction.suffix_array(stream, 8)
-    heads = [tuple(stream[i : i + 8].tolist()) for i in range(300)]
-    assert [heads[i] for i in order] == sorted(heads)
-    assert all((heads[i] == heads[j]) == (rank[i] == rank[j]) for i in range(0, 300, 7) for j in range(300))
+    for stream in (rnd.integers(0, 3, 300), np.zeros(90, int), np.arange(40), np.array([], int), np.array([5]), np.tile(np.arange(7), 20)):
+        stream = stream.astype(np.uint64)
+        order, common = extraction.suffix_array(stream)
+        suffixes = [stream[i:].tolist() for i in order.tolist()]
+        assert suffixes == sorted(stream[i:].tolist() for i in range(len(stream)))
+        for k in range(1, len(suffixes)):
+            a, b = suffixes[k - 1], suffixes[k]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
 def test_stream_heads_against_brute_force():
     rnd = random.Random(2)
     pages = [(i * 11, [f"w{rnd.randint(0, 3)}" for _ in range(rnd.randint(0, 60))]) for i in range(12)]
     hashed = [(p, extraction.token_hashes(w)) for p, w in pages]
-    head, least, most = extraction.stream_heads(hashed, 4)
+    head, least, most, n = extraction.stream_heads(hashed, 4)
     want = {}
     for p, w in hashed:
         for h in extraction.head_hashes(w, 4).tolist():
-            a, b = want.get(h, (p, p))
-            want[h] = (min(a, p), max(b, p))
-    assert {h: (a, b) for h, a, b in zip(head.tolist(), least.tolist(), most.tolist(), strict=True)} == want
+            a, b, k = want.get(h, (p, p, 0))
+            want[h] = (min(a, p), max(b, p), k + 1)
+    assert {h: x for h, *x in zip(head.tolist(), zip(least.tolist(), most.tolist(), n.tolist(), strict=True), strict=True)} == {h: [x] for h, x in want.items()}
+
+
+PAGES = "page_id long, url string, html string"
 
 
-def test_open_pages_lose_host_boilerplate(spark):
+def test_host_boilerplate_is_removed(spark):
     top, end = "Home News Sport all the latest from around the world", "All rights reserved by the owners of this site since the year one"
     rows = [(i, f"http://h.example/{i}", f"<body><div>{top}</div><p>story {i} is told {i} here</p><div>{end}</div></body>") for i in range(5)]
+    rows += [(6, "http://h.example/6", f"<body><div>{top}</div><article><p>an article of its own</p><p>{end}</p></article><div>{end}</div></body>")]
     rows += [(9, "http://other.example/", rows[0][2]), (9, "http://other.example/", rows[0][2]), (10, None, None), (None, "broken [", "<p>x</p>")]
-    out = extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    out = extraction.main_text(spark.createDataFrame(rows, PAGES).withColumn("text", F.lit("clash"))).collect()
     assert len(out) == len(rows)
     by = {r["page_id"]: r for r in out}
-    assert all(by[i]["text"] == f"story {i} is told {i} here" and by[i]["n_repeated"] == len(f"{top} {end}".split()) for i in range(5))
+    assert all(by[i]["text"] == f"story {i} is told {i} here" and by[i]["n_repeated"] == len(f"{top} {end}".split()) and by[i]["longest_repeat"] == len(end.split()) for i in range(5))
+    assert by[6]["text"] == f"an article of its own {end}" and by[6]["n_repeated"] == len(f"{top} {end}".split())  # the article's own words stay, the site's go
     assert by[9]["text"].startswith("Home") and by[10]["text"] == "" and by[None]["n_chars"] == 1
-    assert extraction.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert extraction.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_pages_without_markup_keep_what_is_unique(spark):
+    """The given pages with every tag a plain div and one site frame: what is left is the articles and each page's own menu and advert."""
+    frame = "this frame of the site stands on each and every page of it"
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    bare = lambda h: re.sub(r"</?(?:article|nav|footer|h1|ul|li|p)\b[^>]*>", "<div>", re.sub(r"<div[^>]*>|</div>", "<div>", h))
+    rows = [(r["page_id"], "http://one.example/", bare(r["html"]).replace("</head><body>", f"</head><body><div>{frame}</div>")) for r in pages]
+    got = {r["page_id"]: r for r in extraction.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    whole = {r["page_id"]: r["text"] for r in queries.op3_extraction(spark, SF).collect()}
+    assert all(frame not in r["text"] and r["n_repeated"] >= len(frame.split()) for r in got.values())
+    lone = [i for i, r in got.items() if r["n_repeated"] == len(frame.split())]  # articles without passages of another page
+    assert len(lone) >= 15 and all(set(whole[i].split()) <= set(got[i]["text"].split()) for i in lone)
+
+
+def test_hot_heads_are_dealt_out(spark, monkeypatch):
+    join = extraction.salted_join
+    monkeypatch.setattr(extraction, "salted_join", lambda *args, **more: join(*args, **more, least=3))
+    rows = [(i, "http://h.example/", f"<p>the very same words of the site on all of its pages</p><p>own {i}</p>") for i in range(60)]
+    got = extraction.main_text(spark.createDataFrame(rows, PAGES), stream_tokens=50).collect()
+    assert all(r["text"] == f"own {r['page_id']}" and r["n_repeated"] == 12 for r in got) and len(got) == 60
 
 
 def test_extraction_of_the_table(spark):
