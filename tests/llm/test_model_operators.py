@@ -129,8 +129,9 @@ def test_pages_without_markup_keep_what_is_unique(spark):
     got = {r["page_id"]: r for r in extraction.main_text(spark.createDataFrame(rows, PAGES)).collect()}
     whole = {r["page_id"]: r["text"] for r in queries.op3_extraction(spark, SF).collect()}
     assert all(frame not in r["text"] and r["n_repeated"] >= len(frame.split()) for r in got.values())
-    lone = [i for i, r in got.items() if r["n_repeated"] == len(frame.split())]  # articles without passages of another page
-    assert len(lone) >= 15 and all(set(whole[i].split()) <= set(got[i]["text"].split()) for i in lone)
+    whole_kept = [set(whole[i].split()) <= set(r["text"].split()) for i, r in got.items()]
+    assert sum(whole_kept) >= 20  # the others are near copies of each other, or share passages
+    assert all(kept or r["n_repeated"] > len(frame.split()) for kept, r in zip(whole_kept, got.values(), strict=True))
 
 
 def test_hot_heads_are_dealt_out(spark, monkeypatch):
