@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this name in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -113,12 +113,6 @@ def extract_links(html: Column) -> Column:
     return F.transform(F.arrays_zip(href.alias("href"), inner.alias("inner")), lambda x: F.struct(x["href"].alias("href"), plain_text(x["inner"]).alias("text")))
 
 
-def pick_body(html: Column) -> Column:
-    """The content container, the article, else the body."""
-    tries = (r"""(?is)<div\b[^>]*class="[^"]*(?:article-content|post-content)[^"]*"[^>]*>(.*?)</div>""", r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<body\b[^>]*>(.*?)</body>")
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, t, 1), F.lit("")) for t in tries), html)
-
-
 def page_metadata(html: Column) -> Column:
     """Struct (title, author, published, image, description): JSON-LD first, then Open Graph, then meta tags; the first value wins."""
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
@@ -154,11 +148,25 @@ def post_clean(md: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, clean(p)).otherwise(p)), "```")
 
 
-def render_note(source: Column, body: Column, author: Column, published: Column, url: Column, attachments: Column) -> Column:
-    """Info block, body, and the list of attachments; lines without a value are left out."""
+def link_target(path: Column) -> Column:
+    """A path as the destination of a Markdown link: in angle brackets where it holds white space or brackets, with <, > and line ends encoded."""
+    safe = F.regexp_replace(F.replace(F.replace(path, F.lit("<"), F.lit("%3C")), F.lit(">"), F.lit("%3E")), "[\r\n]+", "%0A")
+    return F.when(safe.rlike(r"[\s()]"), F.concat(F.lit("<"), safe, F.lit(">"))).otherwise(safe)
+
+
+def file_link(path: Column, style: str = "wiki") -> Column:
+    """A link to a file of the library, as a wiki link or as a Markdown link named after the file."""
+    if style == "wiki":
+        return F.concat(F.lit("[["), path, F.lit("]]"))
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"([\\\[\]])", r"\\$1")
+    return F.concat(F.lit("["), name, F.lit("]("), link_target(path), F.lit(")"))
+
+
+def render_note(source: Column, body: Column, author: Column, published: Column, url: Column, attachments: Column, style: str = "wiki") -> Column:
+    """Info block, body, and the list of attachments; lines without a value are left out. style: of links to files, wiki or markdown."""
     line = lambda label, value: F.when(value.isNotNull(), F.concat(F.lit(f"> - {label}"), value))
     head = F.array(F.lit("> [!info] Source"), line("Source: ", source), line("Author: ", author), line("Published: ", published), F.when(url.isNotNull(), F.concat(F.lit("> - [Original](<"), url, F.lit(">)"))))
-    files = F.when(F.size(attachments) > 0, F.concat(F.array(F.lit("## Attachments"), F.lit("")), F.transform(attachments, lambda a: F.concat(F.lit("- [["), a, F.lit("]]"))), F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+    files = F.when(F.size(attachments) > 0, F.concat(F.array(F.lit("## Attachments"), F.lit("")), F.transform(attachments, lambda a: F.concat(F.lit("- "), file_link(a, style))), F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.filter(F.concat(head, F.array(F.lit(""), F.coalesce(body, F.lit("")), F.lit("")), files), lambda x: x.isNotNull()), "\n")
 
 

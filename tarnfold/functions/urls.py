@@ -38,7 +38,7 @@ def on_hosts(url: Column, hosts: tuple[str, ...]) -> Column:
 def canonical_url(url: Column, hosts: tuple[str, ...], tracking: tuple[str, ...] = TRACKING) -> Column:
     """On these hosts and by http or https: no fragment, no tracking keys, parameters sorted by key. Any other text is left alone."""
     name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-    params = F.filter(F.split(F.substring(part(url, 4), 2, 1 << 20), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*tracking))
+    params = F.filter(F.split(F.regexp_replace(part(url, 4), "^[?]", ""), "&"), lambda p: (p != "") & ~name(p).startswith("utm_") & ~name(p).isin(*tracking))
     keyed = F.transform(params, lambda p, i: F.struct(F.split_part(p, F.lit("="), F.lit(1)).alias("k"), i.alias("i"), p.alias("p")))
     query = F.array_join(F.transform(F.array_sort(keyed), lambda x: x["p"]), "&")
     path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
@@ -73,7 +73,7 @@ def repair_list_url(raw: Column) -> Column:
     bare = ~clean.rlike("(?i)^https?://") & clean.rlike(r"(?i)^(www\.|[a-z0-9-]+(\.[a-z0-9-]+)+)([:/?#]|$)")
     full = F.when(bare, F.concat(F.lit("https://"), clean)).otherwise(clean)
     before, query, after = F.regexp_extract(full, r"^([^?#]*)(\?[^#]*)?(#.*)?$", 1), F.regexp_extract(full, r"^([^?#]*)(\?[^#]*)?(#.*)?$", 2), F.regexp_extract(full, r"^([^?#]*)(\?[^#]*)?(#.*)?$", 3)
-    return F.when(full.rlike("(?i)^https?://"), F.concat(before, F.when(query != "", F.concat(F.lit("?"), F.replace(F.substring(query, 2, 1 << 20), F.lit("?"), F.lit("&")))).otherwise(""), after)).otherwise(full)
+    return F.when(full.rlike("(?i)^https?://"), F.concat(before, F.when(query != "", F.concat(F.lit("?"), F.replace(F.regexp_replace(query, "^[?]", ""), F.lit("?"), F.lit("&")))).otherwise(""), after)).otherwise(full)
 
 
 def resolve_url(base: Column, href: Column) -> Column:

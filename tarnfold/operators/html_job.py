@@ -10,7 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DROP = {"script", "style", "iframe", "object", "embed", "noscript", "template", "svg", "math", "nav", "footer", "aside", "form", "head", "button"}
+from tarnfold.operators.html_body import VOID, body_of
+
+_DROP = {"script", "style", "iframe", "object", "noscript", "template", "svg", "math", "nav", "footer", "aside", "form", "head", "button", "en-crypt"}
+#: Content from elsewhere that Markdown can't hold.
+_EMBEDDED = {"iframe", "object", "embed", "audio", "video"}
+_NOTE_LINK = re.compile(r"^(?:evernote:|note:)", re.I)
 _BLOCK = {"p", "div", "section", "article", "main", "header", "figure", "figcaption", "table", "tr", "address", "dl", "dt", "dd"}
 _SCHEME = re.compile(r"^\s*(?:https?:|mailto:|[^:]*$|[/?#.])", re.I)
 
@@ -21,11 +26,14 @@ class MarkdownWriter(HTMLParser):
     def __init__(self, resources: dict[str, str] | None = None):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.open: list[str] = []
         self.drop = 0
+        self.swallowed = 0  # characters since the outermost dropped element opened
         self.pre = 0
         self.lists: list[list] = []
         self.links: list[str | None] = []
-        self.counts = {"todo": 0, "media": 0, "missing": 0, "encrypted": 0, "lost": 0}
+        self.counts = {"todo": 0, "media": 0, "missing": 0, "encrypted": 0, "lost": 0, "embedded": 0}
+        self.seen: dict[str, list[str]] = {"remote_images": [], "internal_links": [], "external_links": [], "crypt_blocks": []}
         self.resources = resources or {}
 
     def _break(self, text: str = "\n\n") -> None:
@@ -33,8 +41,17 @@ class MarkdownWriter(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
-        if tag in _DROP:
-            self.drop += 1
+        if tag in _EMBEDDED and not self.drop:
+            self.counts["embedded"] += 1
+        if tag not in VOID and not (tag in ("en-todo", "en-media")):
+            self.open.append(tag)
+            if tag in _DROP:
+                self.swallowed = self.swallowed if self.drop else 0
+                self.drop += 1
+                if tag == "en-crypt" and self.drop == 1:
+                    self.counts["encrypted"] += 1
+                    self.out.append("[encrypted content]")
+                    self.seen["crypt_blocks"].append("|".join(a.get(k, "") for k in ("hint", "cipher", "length")))
         if self.drop:
             return
         if re.fullmatch("h[1-6]", tag):
@@ -65,7 +82,11 @@ class MarkdownWriter(HTMLParser):
             self.out.append("`")
         elif tag == "a":
             href = a.get("href", "")
-            self.links.append(href if _SCHEME.match(href) and href else None)
+            self.links.append(href if href and (_SCHEME.match(href) or _NOTE_LINK.match(href)) else None)
+            if _NOTE_LINK.match(href):
+                self.seen["internal_links"].append(href)
+            elif re.match("https?:", href, re.I):
+                self.seen["external_links"].append(href)
             if self.links[-1]:
                 self.out.append("[")
             elif href:
@@ -73,6 +94,8 @@ class MarkdownWriter(HTMLParser):
         elif tag == "img":
             src = next((a[k] for k in ("data-original", "data-src", "src") if a.get(k)), "")
             if src and _SCHEME.match(src):
+                if re.match("(?:https?:)?//", src, re.I):
+                    self.seen["remote_images"].append(src)
                 self.out.append(f"![{a.get('alt', '')}]({src})")
             else:
                 self.counts["lost"] += 1
@@ -86,23 +109,23 @@ class MarkdownWriter(HTMLParser):
             self.counts["media" if name else "missing"] += 1
             image = a.get("type", "").startswith("image/")
             self.out.append(f"{'!' if image else ''}[[{name}]]" if name else f"[missing attachment {a.get('hash', '').lower()}]")
-        elif tag == "en-crypt":
-            self.counts["encrypted"] += 1
-            self.out.append("[encrypted content]")
-            self.drop += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in _DROP:
-            return
+        """A slash closes the note format's own elements; elsewhere it means nothing, as in HTML."""
         self.handle_starttag(tag, attrs)
-        if tag not in ("br", "hr", "img", "en-todo", "en-media"):
+        if tag == "en-crypt":
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _DROP or tag == "en-crypt":
-            self.drop = max(0, self.drop - 1)
+        if tag in self.open:  # what is still open inside ends with it
+            while True:
+                last = self.open.pop()
+                self.drop -= last in _DROP
+                if last == tag:
+                    break
+        elif tag not in VOID:
             return
-        if self.drop:
+        if self.drop or tag in _DROP:
             return
         if re.fullmatch("h[1-6]", tag) or tag in _BLOCK or tag == "blockquote":
             self._break()
@@ -125,7 +148,9 @@ class MarkdownWriter(HTMLParser):
                 self.out.append(f"]({href})")
 
     def handle_data(self, data: str) -> None:
-        if not self.drop:
+        if self.drop:
+            self.swallowed += len(data.strip())
+        else:
             self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
 
     def markdown(self) -> str:
@@ -136,7 +161,7 @@ class MarkdownWriter(HTMLParser):
 
 
 def to_markdown(html: str | None, resources: dict[str, str] | None = None) -> dict:
-    """markdown, quality (full or degraded), degradation codes joined by commas, and the counters."""
+    """markdown, quality (full or degraded), degradation codes joined by commas, the counters, and by line remote images, links to notes, links elsewhere, and hint|cipher|length of encrypted blocks."""
     writer = MarkdownWriter(resources)
     codes = []
     try:
@@ -146,27 +171,29 @@ def to_markdown(html: str | None, resources: dict[str, str] | None = None) -> di
     except (AssertionError, ValueError, RecursionError):
         text = ""
         codes.append("unsupported-structure")
+    if writer.drop and (writer.swallowed or writer.open[-1] in ("script", "style")) and "unsupported-structure" not in codes:
+        codes.append("unsupported-structure")  # an element that was never closed took the rest along
     if not text:
         codes.append("body-missing")
     if writer.counts["missing"]:
         codes.append("asset-incomplete")
-    if writer.counts["encrypted"]:
+    if writer.counts["encrypted"] or writer.counts["embedded"]:
         codes.append("unresolved-embedded-content")
-    return {"markdown": text, "quality": "degraded" if codes else "full", "degradations": ",".join(codes)} | {f"n_{k}": v for k, v in writer.counts.items()}
+    return {"markdown": text, "quality": "degraded" if codes else "full", "degradations": ",".join(codes)} | {f"n_{k}": v for k, v in writer.counts.items()} | {k: "\n".join(v) for k, v in writer.seen.items()}
 
 
-_SCHEMA = "markdown string, quality string, degradations string, n_todo long, n_media long, n_missing long, n_encrypted long, n_lost long"
+_SCHEMA = "markdown string, quality string, degradations string, n_todo long, n_media long, n_missing long, n_encrypted long, n_lost long, n_embedded long, remote_images string, internal_links string, external_links string, crypt_blocks string"
 
 
-def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None = None) -> DataFrame:
-    """key and what to_markdown gives for each row; one pass, no shuffle. resources: a column of a map from content hash to name."""
+def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None = None, pick: bool = False) -> DataFrame:
+    """key and what to_markdown gives for each row; one pass, no shuffle. resources: a column of a map from content hash to name. pick: of the page's body only."""
     kind = dict(df.dtypes)[key]
     columns = [key, html] + ([resources] if resources else [])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             maps = part[resources] if resources else [None] * len(part)
-            rows = [to_markdown(h, dict(m) if m is not None else None) for h, m in zip(part[html], maps, strict=True)]
+            rows = [to_markdown(body_of(h) if pick else h, dict(m) if m is not None else None) for h, m in zip(part[html], maps, strict=True)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
             out.insert(0, key, part[key].values)
             yield out
@@ -176,13 +203,11 @@ def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None
 
 def html_to_markdown(pages: DataFrame, key: str = "source_position") -> DataFrame:
     """The picked body of each page as Markdown."""
-    from tarnfold.functions.text import pick_body
-
-    return html_job(pages.withColumn("html", pick_body(F.col("html"))), key)
+    return html_job(pages, key, pick=True)
 
 
 def enml_to_html(notes: DataFrame, key: str = "note_id") -> DataFrame:
-    """Note bodies (html) with their resources (names by hash) as Markdown: to-dos, media, missing ones and encrypted blocks are each counted."""
+    """Note bodies (html) with their resources (names by hash) as Markdown: to-dos, media, missing ones and encrypted blocks are each counted, links and remote images listed."""
     return html_job(notes, key, "html", "names")
 
 
@@ -196,7 +221,7 @@ def rewrite_wikilinks(notes: DataFrame, targets: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("markdown", F.lit(pattern), F.lit(0))
     pieces = notes.select("note_id", F.posexplode(F.arrays_zip(parts.alias("before"), found.alias("link"))).alias("nth", "p"))
     pieces = pieces.withColumn("guid", F.regexp_extract("p.link", pattern, 2))
-    met = pieces.join(targets.select("guid", "file").dropDuplicates(["guid"]), "guid", "left")
+    met = pieces.join(targets.groupBy("guid").agg(F.min("file").alias("file")), "guid", "left")
     link = F.when(F.col("file").isNotNull(), F.concat(F.lit("[["), F.col("file"), F.lit("|"), F.regexp_extract("p.link", pattern, 1), F.lit("]]"))).otherwise(F.coalesce("p.link", F.lit("")))
     rows = met.select("note_id", F.struct("nth", F.concat("p.before", link).alias("t")).alias("s"))
     return rows.groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("markdown"))

@@ -66,8 +66,8 @@ def overwrite_decision(plan: DataFrame, observed: DataFrame, expected: DataFrame
 
 
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
-    """links with the target's title, null where there is none."""
-    return links.join(notes.select(F.col("guid").alias("to_guid"), F.col("title").alias("target_title")).dropDuplicates(["to_guid"]), "to_guid", "left")
+    """links with the target's title, null where there is none; of notes with one guid the least title."""
+    return links.join(notes.groupBy(F.col("guid").alias("to_guid")).agg(F.min("title").alias("target_title")), "to_guid", "left")
 
 
 def unresolved_links(links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def localize_assets(images: DataFrame, assets: DataFrame, key) -> DataFrame:
 
 
 def apply_mappings(files: DataFrame, mappings: DataFrame) -> DataFrame:
-    """files (name) with the user's stack and notebook: a mapping for the plain name goes before one with the suffix."""
-    m = mappings.select("name", F.struct("stack", "notebook").alias("to")).dropDuplicates(["name"])
+    """files (name) with the user's stack and notebook: a mapping for the plain name goes before one with the suffix; of mappings with one name the least counts."""
+    m = mappings.groupBy("name").agg(F.min(F.struct("stack", "notebook")).alias("to"))
     plain = F.regexp_replace("name", r"\.[A-Za-z0-9]+$", "")
     met = files.withColumn("plain", plain).join(m.select(F.col("name").alias("plain"), F.col("to").alias("by_plain")), "plain", "left").join(m.select("name", F.col("to").alias("by_name")), "name", "left")
     to = F.coalesce("by_plain", "by_name")

@@ -11,8 +11,8 @@ from tarnfold.operators.windows import first_observation
 
 
 def union_observations(*parts: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of all selectors, each element once."""
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(key)
+    """Rows of all selectors, each element once; where selectors differ on one, its least row."""
+    return first_observation(reduce(DataFrame.unionByName, parts), key, [])
 
 
 def union_report_rows(*parts: DataFrame) -> DataFrame:

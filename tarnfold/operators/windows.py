@@ -122,15 +122,15 @@ def pause_cutoff(attempts: DataFrame, states: Column | None = None) -> DataFrame
 
 
 def prefix_length(items: DataFrame, key: str, order: list[str], ladder: tuple[int, ...]) -> DataFrame:
-    """The shortest prefix on the ladder that no earlier item has; the last rung, the whole key, always fits.
+    """The shortest prefix on the ladder that no earlier item took; the last rung, the whole key, always fits.
 
-    An item is earlier by order and key. Earlier items hold the prefix they took, so a rung is free where no earlier item shares it.
+    An item is earlier by order and key. It takes one rung only, so at each rung the first of those that lost the rungs before takes the prefix, and the others go on.
     """
-    out = items
+    out = items.withColumn("length", F.lit(None).cast("long"))
     for n in ladder[:-1]:
-        out = out.withColumn(f"at_{n}", F.row_number().over(W.partitionBy(F.substring(key, 1, n)).orderBy(*order, key)))
-    length = reduce(lambda c, n: c.when(F.col(f"at_{n}") == 1, n), ladder[:-1], F.when(F.lit(False), 0)).otherwise(ladder[-1])
-    return out.withColumn("length", length.cast("long")).withColumn("prefix", F.expr(f"substring({key}, 1, cast(length as int))")).drop(*(f"at_{n}" for n in ladder[:-1]))
+        first = F.row_number().over(W.partitionBy(F.col("length").isNull(), F.substring(key, 1, n)).orderBy(*order, key))
+        out = out.withColumn("nth_", first).withColumn("length", F.coalesce("length", F.when(F.col("nth_") == 1, F.lit(n).cast("long")))).drop("nth_")
+    return out.withColumn("length", F.coalesce("length", F.lit(ladder[-1]).cast("long"))).withColumn("prefix", F.expr(f"substring({key}, 1, cast(length as int))"))
 
 
 def reason_samples(attempts: DataFrame, n: int = 3) -> DataFrame:

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.checkpoints import scratch_folder
 from tarnfold.functions.arrays import shard_keys
 from tarnfold.functions.vocabulary import ARTIFACT_STATES, FAILED_STATES, FINAL_STATES, RECOVERABLE_STATES
 from tarnfold.operators import aggregates, filters, guards, joins, sets, windows
 from tarnfold.plans import views
 from tarnfold.plans.views import ARTIFACTS, ATTEMPTS, COUNTS, ITEM_STATES, JOBS, LINKED, QUALITY, RESOURCES
+from tarnfold.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -207,8 +209,10 @@ def w9_pause_cutoff(spark, d):
 
 
 @query(
-    """WITH k AS (SELECT DISTINCT sha256(text) AS stable_key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY stable_key[1:4] ORDER BY stable_key) AS a, row_number() OVER (PARTITION BY stable_key[1:8] ORDER BY stable_key) AS b FROM k),
-l AS (SELECT stable_key, CAST(CASE WHEN a = 1 THEN 4 WHEN b = 1 THEN 8 ELSE 64 END AS BIGINT) AS length FROM r) SELECT stable_key, length, substring(stable_key, 1, length) AS prefix FROM l"""
+    """WITH k AS (SELECT DISTINCT sha256(text) AS stable_key FROM documents),
+a AS (SELECT stable_key FROM k WHERE EXISTS (SELECT 1 FROM k e WHERE e.stable_key[1:4] = k.stable_key[1:4] AND e.stable_key < k.stable_key)),
+b AS (SELECT stable_key FROM a WHERE EXISTS (SELECT 1 FROM a e WHERE e.stable_key[1:8] = a.stable_key[1:8] AND e.stable_key < a.stable_key)),
+l AS (SELECT stable_key, CAST(CASE WHEN stable_key IN (FROM b) THEN 64 WHEN stable_key IN (FROM a) THEN 8 ELSE 4 END AS BIGINT) AS length FROM k) SELECT stable_key, length, substring(stable_key, 1, length) AS prefix FROM l"""
 )
 def w10_prefix_length(spark, d):
     return windows.prefix_length(views.notes(spark, d).select(F.col("file_sha256").alias("stable_key")).distinct(), "stable_key", [], (4, 8, 64))
@@ -554,10 +558,11 @@ def g7_verify_files(spark, d):
 
 @query(f"WITH {ARTIFACTS} SELECT id, status FROM v8 WHERE status NOT IN ({quoted(ARTIFACT_STATES[2:])})")
 def s5_state_tables(spark, d):
-    """Artifacts through a state table: shaped to its schema, and those that aren't verified or later."""
-    from tarnfold.sources.readers import shaped
-
-    shape = shaped(views.artifacts(spark, d).withColumn("artifact_id", F.col("id")), "target_artifacts")
-    return shape.filter(~F.col("status").isin(*ARTIFACT_STATES[2:])).select(F.col("artifact_id").alias("id"), "status")
+    """Artifacts through a state table: an older version and then the whole, written and read again; those that aren't verified or later."""
+    root = scratch_folder(spark, "state")
+    rows = views.artifacts(spark, d).withColumn("artifact_id", F.col("id"))
+    for version in (rows.filter("id % 2 = 0"), rows):
+        writers.write_state(version, root, "target_artifacts")
+    return readers.read_state(spark, root, "target_artifacts").filter(~F.col("status").isin(*ARTIFACT_STATES[2:])).select(F.col("artifact_id").alias("id"), "status")
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.checkpoints import shared_dir
+from tarnfold.checkpoints import scratch_folder
 from tarnfold.functions import arrays, identity, text, times, urls
-from tarnfold.operators.html_job import enml_to_html, html_to_markdown, rewrite_wikilinks
+from tarnfold.operators.html_body import pick_body
+from tarnfold.operators.html_job import enml_to_html, html_job, html_to_markdown, rewrite_wikilinks
+from tarnfold.operators.migration import NoteFolder, PageSource, migrate
 from tarnfold.plans import views
 from tarnfold.plans.views import ARTIFACTS, LINKED, NOTES, PAGES, RESOURCES
 from tarnfold.sources import readers, writers
@@ -283,7 +284,7 @@ def x8_extract_links(spark, d):
 
 @query(r"SELECT page_id, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1) AS body FROM pages")
 def x9_pick_body(spark, d):
-    return views.table(spark, d, "pages").select("page_id", text.pick_body(F.col("html")).alias("body"))
+    return pick_body(views.table(spark, d, "pages"), "page_id")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'head ' || page_id ELSE 'og ' || page_id END AS title, CASE WHEN page_id % 2 = 0 THEN 'someone' END AS author FROM pages")
@@ -300,9 +301,29 @@ def x11_page_title(spark, d):
     return views.table(spark, d, "pages").select("page_id", text.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
-@query()
+def _markdown_sql() -> str:
+    """Markdown of the given pages' articles, which hold headings, paragraphs, lists, bold text and line breaks only."""
+    text_ = r"regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '\s+', ' ', 'g')"
+    for pattern, to in (("<h1>", "\n\n# "), ("</h1>|</?p>|</?div[^>]*>", "\n\n"), ("<br>", "  \n"), ("</?b>", "**"), ("</?[uo]l>", "\n"), ("<li>", "\n- "), ("</?[A-Za-z][^>]*>", "")):
+        text_ = f"regexp_replace({text_}, '{pattern}', '{to}', 'g')".replace("\n", "' || chr(10) || '")
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text_ = f"replace({text_}, '{a}', '{b}')"
+    text_ = rf"regexp_replace({text_}, '\*\*\s*\*\*', '', 'g')"
+    text_ = rf"regexp_replace(regexp_replace(regexp_replace({text_}, '  \n', chr(1), 'g'), '[ \t]+(\x01|\n)', '\1', 'g'), '\x01', '  ' || chr(10), 'g')"
+    return rf"trim(regexp_replace({text_}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"SELECT page_id AS source_position, {_markdown_sql()} AS markdown, 'full' AS quality, '' AS degradations FROM pages")
 def x12_html_to_markdown(spark, d):
-    return html_to_markdown(views.pages(spark, d))
+    return html_to_markdown(views.pages(spark, d)).select("source_position", "markdown", "quality", "degradations")
+
+
+@query("SELECT page_id AS source_position, 'full' AS quality, CAST(0 AS BIGINT) AS n_missing, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^>]*href=\"https?:')) AS BIGINT) AS n_external, CAST(0 AS BIGINT) AS n_embedded FROM pages")
+def e4_html_job(spark, d):
+    """The structural pass over whole pages: what it counts."""
+    told = html_job(views.pages(spark, d), "source_position")
+    n = F.when(F.col("external_links") == "", 0).otherwise(F.size(F.split("external_links", "\n")))
+    return told.select("source_position", "quality", "n_missing", n.cast("long").alias("n_external"), "n_embedded")
 
 
 @query(r"SELECT doc_id, '```' || chr(10) || '<b>kept</b>' || chr(10) || '```' || regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') || ' x' AS md FROM documents")
@@ -485,27 +506,64 @@ def s4_read_observations(spark, d):
 
 @query(f"WITH {NOTES} SELECT ordinal::VARCHAR AS ordinal, {guard_sql('title')} AS title, {guard_sql('stack')} AS stack FROM v2")
 def s6_csv_rows(spark, d):
-    return writers.guarded(views.notes(spark, d).select("ordinal", "title", "stack"))
+    """Notes written as a CSV report and read again."""
+    path = scratch_folder(spark, "report")
+    writers.write_csv_report(views.notes(spark, d).select("ordinal", "title", "stack"), path)
+    rows = spark.read.option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').schema("ordinal string, title string, stack string").csv(path)
+    return rows.select("ordinal", F.coalesce("title", F.lit("")).alias("title"), "stack")
 
 
 @query("SELECT count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(NULL AS VARCHAR) AS note FROM orders")
 def s7_summary(spark, d):
-    return views.table(spark, d, "orders").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_failed"), F.lit(None).cast("string").alias("note"))
+    """A summary of orders written as JSON and read again."""
+    path = scratch_folder(spark, "summary")
+    writers.write_summary(views.table(spark, d, "orders").agg(F.count("*").alias("n_orders"), F.count_if(F.col("o_orderstatus") == "F").alias("n_failed"), F.lit(None).cast("string").alias("note")), path)
+    return spark.read.schema("n_orders long, n_failed long, note string").json(path)
 
 
-@query(f"WITH {NOTES} SELECT notebook AS shard, 'notes/' || ordinal || '.md' AS relative_path, sha256(body) AS content_hash FROM v2")
+@query(f"WITH {NOTES} SELECT notebook AS shard, 'notes/' || ordinal || '.md' AS relative_path, sha256(body) AS content_hash, CAST(length(body) AS BIGINT) AS n_chars FROM v2")
 def s8_note_rows(spark, d):
-    return views.notes(spark, d).select(F.col("notebook").alias("shard"), F.concat(F.lit("notes/"), F.col("ordinal").cast("string"), F.lit(".md")).alias("relative_path"), identity.target_hash(F.col("body")).alias("content_hash"))
+    """Notes written in a folder for each notebook and read again."""
+    path = scratch_folder(spark, "notes")
+    writers.write_notes(views.notes(spark, d).select(F.col("notebook").alias("shard"), F.concat(F.lit("notes/"), F.col("ordinal").cast("string"), F.lit(".md")).alias("relative_path"), F.col("body").alias("text")), path)
+    return spark.read.parquet(path).select("shard", "relative_path", "content_hash", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query(f"WITH {RESOURCES} SELECT sha256, max(size) AS size, count(*) AS n_refs FROM res GROUP BY 1")
 def s9_unique_assets(spark, d):
-    return writers.unique_assets(views.resources(spark, d))
+    """Resources written once for each content and read again, with who refers to them."""
+    path = scratch_folder(spark, "assets")
+    docs = views.table(spark, d, "documents").filter("doc_id % 5 <> 0")
+    writers.write_assets(docs.select(F.sha2("text", 256).alias("sha256"), F.encode("text", "UTF-8").alias("content")), path)
+    files = spark.read.parquet(path).select("sha256", F.octet_length("content").cast("long").alias("size"))
+    return files.join(writers.unique_assets(views.resources(spark, d)).drop("size"), "sha256")
 
 
 @query(f"SELECT doc_id, {redact_sql('text')} AS message FROM documents")
 def s10_redacted_log(spark, d):
-    return writers.redacted_log(views.table(spark, d, "documents").select("doc_id", F.col("text").alias("message")))
+    """Texts written as a redacted log and read again."""
+    path = scratch_folder(spark, "log")
+    writers.write_redacted_log(views.table(spark, d, "documents").select("doc_id", F.col("text").alias("message")), path)
+    return spark.read.schema("doc_id long, message string").json(path)
+
+
+@query("SELECT 'book=' || page_id AS notebook, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, sha256(html || chr(10)) AS file_sha256, CAST(strlen(html) + 1 AS BIGINT) AS size FROM pages")
+def s2_read_html_export(spark, d):
+    """Pages written as a folder of one file a note and read again."""
+    root = scratch_folder(spark, "html-export")
+    pages = views.table(spark, d, "pages").select(F.col("page_id").alias("book"), "html")
+    pages.repartition(8).write.partitionBy("book").text(root)
+    return readers.read_html_export(spark, root, "*.txt").select("notebook", "title", "file_sha256", "size")
+
+
+@query("SELECT page_id, 'skipped' AS kind, CASE WHEN page_id % 3 = 0 THEN 'resource_folder' ELSE 'unknown_extension' END AS reason, CAST(strlen(html) + 1 AS BIGINT) AS size FROM pages")
+def s3_inventory_inputs(spark, d):
+    """Pages written as files, some in resource folders; none is an input, and each is listed with the reason."""
+    root = scratch_folder(spark, "inputs")
+    folder = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".resources").otherwise(""))
+    views.table(spark, d, "pages").select(folder.alias("folder"), "html").repartition(8).write.partitionBy("folder").text(root)
+    found = readers.inventory_inputs(spark, [root])
+    return found.select(F.regexp_extract("path", "folder=([0-9]+)", 1).cast("long").alias("page_id"), "kind", "reason", "size")
 
 
 # --- structural jobs over rows that hold what the tables lack
@@ -513,14 +571,17 @@ def s10_redacted_log(spark, d):
 
 @query(
     """WITH n AS (SELECT doc_id AS note_id, source, lang, md5(text) AS h FROM documents)
-SELECT note_id, '- [' || CASE WHEN note_id % 2 = 0 THEN 'x' ELSE ' ' END || '] ' || source || CASE WHEN note_id % 3 = 0 THEN '![[' || lang || '.png]]' ELSE '[missing attachment ' || h || ']' END || CASE WHEN note_id % 5 = 0 THEN '[encrypted content]' ELSE '' END AS markdown,
+SELECT note_id, '- [' || CASE WHEN note_id % 2 = 0 THEN 'x' ELSE ' ' END || '] ' || source || CASE WHEN note_id % 3 = 0 THEN '![[' || lang || '.png]]' ELSE '[missing attachment ' || h || ']' END || CASE WHEN note_id % 5 = 0 THEN '[encrypted content]' ELSE '' END || CASE WHEN note_id % 2 = 0 THEN '[to](evernote:///view/' || note_id || ')' ELSE '![](https://img.example.com/' || note_id || '.png)' END AS markdown,
     CASE WHEN note_id % 3 = 0 AND note_id % 5 <> 0 THEN 'full' ELSE 'degraded' END AS quality, concat_ws(',', CASE WHEN note_id % 3 <> 0 THEN 'asset-incomplete' END, CASE WHEN note_id % 5 = 0 THEN 'unresolved-embedded-content' END) AS degradations,
-    CAST(1 AS BIGINT) AS n_todo, CAST(note_id % 3 = 0 AS BIGINT) AS n_media, CAST(note_id % 3 <> 0 AS BIGINT) AS n_missing, CAST(note_id % 5 = 0 AS BIGINT) AS n_encrypted, CAST(0 AS BIGINT) AS n_lost FROM n"""
+    CAST(1 AS BIGINT) AS n_todo, CAST(note_id % 3 = 0 AS BIGINT) AS n_media, CAST(note_id % 3 <> 0 AS BIGINT) AS n_missing, CAST(note_id % 5 = 0 AS BIGINT) AS n_encrypted, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_embedded,
+    CASE WHEN note_id % 2 = 1 THEN 'https://img.example.com/' || note_id || '.png' ELSE '' END AS remote_images, CASE WHEN note_id % 2 = 0 THEN 'evernote:///view/' || note_id ELSE '' END AS internal_links, '' AS external_links, CASE WHEN note_id % 5 = 0 THEN 'a hint|AES|128' ELSE '' END AS crypt_blocks FROM n"""
 )
 def x16_enml_to_html(spark, d):
     n, h = F.col("doc_id"), F.md5("text")
     todo = F.when(n % 2 == 0, F.lit('<en-todo checked="true"/>')).otherwise(F.lit("<en-todo/>"))
-    body = F.concat(F.lit("<en-note>"), todo, "source", F.lit('<en-media type="image/png" hash="'), F.upper(h), F.lit('"/>'), F.when(n % 5 == 0, F.lit("<en-crypt>secret</en-crypt>")).otherwise(F.lit("")), F.lit("</en-note>"))
+    key = n.cast("string")
+    more = F.when(n % 2 == 0, F.concat(F.lit('<a href="evernote:///view/'), key, F.lit('">to</a>'))).otherwise(F.concat(F.lit('<img src="https://img.example.com/'), key, F.lit('.png"/>')))
+    body = F.concat(F.lit("<en-note>"), todo, "source", F.lit('<en-media type="image/png" hash="'), F.upper(h), F.lit('"/>'), F.when(n % 5 == 0, F.lit('<en-crypt hint="a hint" cipher="AES" length="128">secret</en-crypt>')).otherwise(F.lit("")), more, F.lit("</en-note>"))
     names = F.when(n % 3 == 0, F.create_map(h, F.concat("lang", F.lit(".png")))).otherwise(F.create_map().cast("map<string,string>"))
     return enml_to_html(views.table(spark, d, "documents").select(n.alias("note_id"), body.alias("html"), names.alias("names")))
 
@@ -544,7 +605,42 @@ def s1_read_enex(spark, d):
     docs = views.table(spark, d, "documents")
     safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     good = F.concat(F.lit("<note><title>"), "source", F.lit("</title><content>"), safe, F.lit("</content><created>20240102T030405Z</created><tag>"), "lang", F.lit("</tag><guid>"), F.col("doc_id").cast("string"), F.lit("</guid></note>"))
-    root = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    root = scratch_folder(spark, "export")
     docs.select(F.when(F.col("doc_id") % 10 == 9, F.lit("<note><title>damaged</note>")).otherwise(good).alias("value")).write.option("lineSep", "\n").text(root)
     notes, _ = readers.read_enex(spark, root)
     return notes.select("title", "guid", F.array_join("tags", ",").alias("tag"), F.char_length("content").cast("long").alias("n_chars"), "created")
+
+
+# --- the whole way of a migration
+
+
+def _source(spark: SparkSession, d: str) -> PageSource:
+    return PageSource(views.pages(spark, d), HOSTS)
+
+
+@query(f"WITH {_V1}, f AS (SELECT canonical_url, min(source_position) AS source_position FROM u1 GROUP BY 1) SELECT source_position, sha256('web' || chr(0) || sha256(canonical_url)) AS stable_key, {plain_sql(r'''regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)''')} AS title, 'full' AS quality FROM f JOIN pages ON page_id = source_position")
+def e1_source(spark, d):
+    """The source of saved pages: scanned items with what is extracted from them."""
+    source = _source(spark, d)
+    return source.extract(source.scan(spark)).select("source_position", "stable_key", "title", "quality")
+
+
+@query("SELECT lang AS shard, count(*) AS n, count(DISTINCT doc_id) AS n_paths, true AS ok FROM documents GROUP BY 1")
+def e2_target(spark, d):
+    """The folder of notes: documents of one title planned, written, verified and listed by shard."""
+    target = NoteFolder(scratch_folder(spark, "library"), "lang")
+    content = views.table(spark, d, "documents").select(
+        F.sha2(F.col("doc_id").cast("string"), 256).alias("stable_key"), F.lit("docs").alias("source_instance_id"), F.lit(None).cast("string").alias("original_url"), F.concat("source", F.lit(" title")).alias("title"), F.col("text").alias("markdown"), "lang",
+    )
+    plan = target.plan(content)
+    checked = target.verify(target.write(plan))
+    listed = target.index(plan).groupBy("shard").agg(F.sum("n").alias("n"))
+    of = plan.select("relative_path", F.col("lang").alias("shard")).join(checked, "relative_path").groupBy("shard").agg(F.count_distinct("relative_path").alias("n_paths"), F.bool_and(F.col("outcome") == "ok").alias("ok"))
+    return listed.join(of, "shard")
+
+
+@query(f"WITH {_V1}, f AS (SELECT DISTINCT canonical_url FROM u1) SELECT 'job' AS job_id, true AS ok, 'ok' AS reason, count(*) AS final_items FROM f")
+def m1_migrate(spark, d):
+    """Saved pages to a folder of notes, from scan to reconciliation."""
+    _, report = migrate(spark, _source(spark, d), NoteFolder(scratch_folder(spark, "library")))
+    return report

@@ -30,9 +30,9 @@ def read_enex(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, D
     return notes, parsed.filter(bad).select("path", "ordinal", F.lit("damaged_note").alias("issue"))
 
 
-def read_html_export(spark: SparkSession, root: str) -> DataFrame:
-    """One note for each .html file: title, notebook (the parent folder), hash of the bytes, relative path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(root)
+def read_html_export(spark: SparkSession, root: str, names: str = "*.html") -> DataFrame:
+    """One note for each .html file, or each file that names matches: title, notebook (the parent folder), hash of the bytes, relative path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     relative = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
     html = F.decode("content", "UTF-8")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html$", "")

@@ -31,7 +31,7 @@ def guarded(df: DataFrame) -> DataFrame:
 def write_csv_report(df: DataFrame, path: str) -> None:
     """RFC 4180 with a header; no rows give empty files without one."""
     rows = guarded(df)
-    rows.write.mode("overwrite").option("header", str(not rows.isEmpty()).lower()).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    rows.write.mode("overwrite").option("header", str(not rows.isEmpty()).lower()).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.operators import adapters, aggregates, filters, guards, joins, windows
+from tarnfold.operators.html_body import body_of
 from tarnfold.operators.html_job import enml_to_html, html_job, rewrite_wikilinks, to_markdown
 
 
@@ -97,6 +98,97 @@ def test_markdown(html, markdown):
     assert to_markdown(html)["markdown"] == markdown
 
 
+@pytest.mark.parametrize(
+    ("html", "body"),
+    [
+        ('<div class="article-content"><div>in</div><p>after<div>deep<div>er</div></div>end</div>tail', "<div>in</div><p>after<div>deep<div>er</div></div>end"),
+        ('<div class="post-content">post</div><article>art</article>', "post"), ('<div class="article-content"> </div><div class="post-content">post</div>', "post"),
+        ("<article>a<article>b</article>c</article><p>d", "a<article>b</article>c"), ("<article></article><div class='the-content'>x</div>", "x"),
+        ('<div class="ad content">an advert that is very long</div><div class="main-content">short</div><div class="content">rather longer</div>', "rather longer"),
+        ("<body><nav>n</nav><p>one</p><header>h<div>h</div></header><p>two<script>if (a<b) c</script></body>", "<p>one</p><p>two"), ("no tags", "no tags"), (None, ""),
+        ('<div class="article-content"><embed src="x"><br>text<p>never closed', '<embed src="x"><br>text<p>never closed'),
+    ],
+)
+def test_body_of(html, body):
+    assert body_of(html) == body
+
+
+@pytest.mark.parametrize(
+    ("html", "markdown", "degradations"),
+    [
+        ('<p>a</p><embed src="x"><p>kept</p>', "a\n\nkept", "unresolved-embedded-content"), ("<div><form><p>gone</div><p>kept</p>", "kept", ""), ("<p>a</p><form><p>the rest", "a", "unsupported-structure"),
+        ("<p>a</p><nav>menu</nav></nav></aside><p>b</p>", "a\n\nb", ""), ("<p>a<iframe src=x>old browsers</iframe>b</p>", "ab", "unresolved-embedded-content"), ("<p>a<svg><g></svg>b", "ab", ""), ("a<script>never closed", "a", "unsupported-structure"),
+    ],
+)
+def test_nothing_is_lost_as_full(html, markdown, degradations):
+    told = to_markdown(html)
+    assert (told["markdown"], told["degradations"], told["quality"]) == (markdown, degradations, "degraded" if degradations else "full")
+
+
+@pytest.mark.parametrize(("keys", "ladder", "lengths"), [(["abcdefgh11", "abcdefgh22"], (4, 8, 10), [4, 8]), (["abcd000000", "abcd000011", "abcd000022", "abcd111111"], (4, 8, 10), [4, 8, 8, 8]), (["abcdefgh11", "abcdefgh12", "abcdefgh13"], (4, 8, 10), [4, 8, 10])])
+def test_prefix_length_is_what_is_left(spark, keys, ladder, lengths):
+    taken, want = set(), []
+    for k in keys:  # one item after another
+        n = next((n for n in ladder if k[:n] not in taken), len(k))
+        taken.add(k[:n])
+        want.append(n)
+    out = windows.prefix_length(spark.createDataFrame([(k,) for k in keys], "k string"), "k", [], ladder)
+    got = {r["k"]: r["length"] for r in out.collect()}
+    assert [got[k] for k in keys] == want
+    assert want[:2] == lengths[:2]
+
+
+def test_migration_ends_in_a_final_state(spark, tmp_path):
+    from tarnfold.operators import migration
+
+    pages = [("web", 1, "https://example.com/en/1?utm_source=x", "<article><h1>One</h1><p>text</p></article>"), ("web", 2, "https://example.com/en/1", "<article><h1>Again</h1></article>"), ("web", 3, "https://example.com/en/3", ""), ("web", 4, "https://example.com/en/4", "<article><h1>One</h1><p>other</p></article>")]
+    source = migration.PageSource(spark.createDataFrame(pages, "source_instance_id string, source_position long, original_url string, html string"), ("example.com",))
+    assert isinstance(source, adapters.Source) and adapters.contract_violations(source, spark) == []
+    target = migration.NoteFolder(str(tmp_path / "notes"))
+    assert isinstance(target, adapters.Target)
+    states, report = migration.migrate(spark, source, target)
+    rows = states.collect()
+    assert sorted(r["state"] for r in rows) == ["degraded", "verified", "verified"] and len({r["relative_path"] for r in rows}) == 3
+    assert report.first()["reason"] == "ok" and report.first()["final_items"] == 3
+    text = {r["relative_path"]: r["text"] for r in spark.read.parquet(str(tmp_path / "notes")).collect()}
+    assert any("# One" in t and "text" in t for t in text.values()) and any(p.endswith("One-2.md") for p in text)
+
+    class Lossy(migration.NoteFolder):
+        def write(self, plan):
+            super().write(plan.filter("quality = 'full'"))
+            return plan.select("stable_key", "relative_path", F.sha2("text", 256).alias("expected"))
+
+    states, report = migration.migrate(spark, source, Lossy(str(tmp_path / "lossy")))
+    assert sorted(r["state"] for r in states.collect()) == ["conflict", "verified", "verified"] and report.first()["ok"]
+    none = migration.PageSource(spark.createDataFrame([], "source_instance_id string, source_position long, original_url string, html string"), ())
+    states, report = migration.migrate(spark, none, migration.NoteFolder(str(tmp_path / "none")))
+    assert states.count() == 0 and [r["final_items"] for r in report.collect()] == [0]
+
+
+def test_shards_that_clean_to_one_name_are_refused(spark):
+    from tarnfold.operators import migration
+
+    assert {r["shard_file"] for r in migration.index_names(spark.createDataFrame([("a",), ("b",)], "shard string")).collect()} == {"a.md", "b.md"}
+    with pytest.raises(Exception, match="want the index file"):
+        migration.index_names(spark.createDataFrame([("a:b",), ("a?b",)], "shard string")).collect()
+
+
+def test_markdown_links_to_files(spark):
+    from tarnfold.functions import text
+
+    df = spark.createDataFrame([("a/b c(1).png",), ("a/x[1].png",)], "p string")
+    assert [r[0] for r in df.select(text.file_link(F.col("p"), "markdown")).collect()] == ["[b c(1).png](<a/b c(1).png>)", "[x\\[1\\].png](a/x[1].png)"]
+
+
+def test_picks_are_the_same_in_any_order(spark):
+    from tarnfold.operators import sets
+
+    links, notes = spark.createDataFrame([("g",)], "to_guid string"), [("g", "z"), ("g", "a")]
+    for rows in (notes, notes[::-1]):
+        assert joins.resolve_links(links, spark.createDataFrame(rows, "guid string, title string")).first()["target_title"] == "a"
+        assert sets.union_observations(spark.createDataFrame(rows, "k string, v string"), spark.createDataFrame(rows, "k string, v string"), key=["k"]).first()["v"] == "a"
+
+
 def test_empty_page_degrades(spark):
     rows = html_job(spark.createDataFrame([(1, None), (2, "<p>x</p>")], "id long, html string"), "id").collect()
     assert {r["id"]: (r["quality"], r["degradations"]) for r in rows} == {1: ("degraded", "body-missing"), 2: ("full", "")}
