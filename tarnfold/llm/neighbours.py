@@ -49,7 +49,11 @@ def nearest_lists(vectors: np.ndarray, at: np.ndarray, probes: int) -> np.ndarra
     out = []
     for i in range(0, len(vectors), 4096):
         far = (at * at).sum(1) - 2 * vectors[i : i + 4096] @ at.T
-        out.append(np.argsort(far, axis=1, kind="stable")[:, :probes])
+        if probes == 1:
+            out.append(far.argmin(axis=1)[:, None])
+            continue
+        near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < len(at) else np.broadcast_to(np.arange(len(at)), far.shape)
+        out.append(np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1))
     return np.concatenate(out) if out else np.empty((0, probes), np.int64)
 
 
@@ -129,13 +133,14 @@ def _probes(index: DataFrame, trial: DataFrame, fitted, k: int, recall: float) -
 
 
 def search(
-    vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_list: int = 500, sample: int = 20_000, recall: float = 0.96, trials: int = 200, block: int = 16, slack: float = 2.5, group_rows: int = 20_000, group_queries: int = 5_000
+    vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_list: int = 500, sample: int = 20_000, recall: float = 0.96, trials: int = 200, block: int = 16, slack: float = 2.5, group_rows: int | None = None, group_queries: int | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest found among all rows but its own; queries are the rows whose id `every` divides.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller vec_id. Vectors that
     are null, zero or hold null or non-finite components take no part, nor do those of another dimension than the largest there is;
-    rows with a repeated id are candidates of their own, but not of queries with that id. Fewer than k candidates are all returned; an empty table gives no rows.
+    rows with a repeated id are candidates of their own, but not of queries with that id. group_rows and group_queries bound what a task holds of a list and of its queries; if not given, by 64 and 32 MB of vectors, so that a list is
+    read once for very many queries. Fewer than k candidates are all returned; an empty table gives no rows.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -144,6 +149,7 @@ def search(
     if not seen["n"]:
         return spark.createDataFrame([], schema)
     rows, dimension = rows.filter(F.size("v") == seen["d"]), seen["d"]
+    group_rows, group_queries = group_rows or max(1, (64 << 20) // (8 * dimension)), group_queries or max(1, (32 << 20) // (8 * dimension))
     lists = int(np.clip(seen["n"] // rows_a_list, 1, sample // 4))
     picked = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(sample).select("v").toArrow()  # at most `sample` rows
     at = centroids(_matrix(picked.column("v").combine_chunks()), lists)

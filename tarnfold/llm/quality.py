@@ -1,6 +1,6 @@
 """Quality scores by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are trigrams of the shapes of its characters and how its words repeat; they are weighted by inverse document
+A text's terms are trigrams of the shapes of its characters, its words (hashed), and how its words repeat; they are weighted by inverse document
 frequency and projected on the leading singular directions of a bounded labelled sample. Every document's vector is
 held against all labelled vectors in blocks of exact cosine products, and its nearest neighbours vote, weighted by likeness.
 """
@@ -8,6 +8,7 @@ held against all labelled vectors in blocks of exact cosine products, and its ne
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,15 +18,19 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.common import map_columns, slices
 
-TERMS = 1024
-_EXTRA = 64  # of them for words and their repetition
+TERMS = 2048
+_EXTRA = 64  # of them for the repetition of words
+_SHAPED = 960
+_WORDED = TERMS - _EXTRA - _SHAPED
+#: What words weigh beside shapes.
+WORD_WEIGHT = 0.1
 #: Shape of each byte: lower case, upper case, digit, space, line end and byte beyond ASCII are one each, and each sign is its own.
 _SHAPES = bytes(
     1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b == 32 else 5 if b in (10, 13) else 6 if b >= 128 else 7 if b < 33 or b == 127 else 8 + sorted(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123))).index(b)
     for b in range(256)
 )
 _N = 40
-_TABLE = ((np.arange(_N**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % (TERMS - _EXTRA)
+_TABLE = ((np.arange(_N**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % _SHAPED
 
 
 def term_counts(text: str | None) -> np.ndarray:
@@ -39,11 +44,14 @@ def term_counts(text: str | None) -> np.ndarray:
     for i in range(0, max(1, len(shape) - 2), 1 << 20):
         part = shape[i : i + (1 << 20) + 2]
         if len(part) > 2:
-            out[: TERMS - _EXTRA] += np.bincount(_TABLE[(part[:-2] * _N + part[1:-1]) * _N + part[2:]], minlength=TERMS - _EXTRA)
+            out[:_SHAPED] += np.bincount(_TABLE[(part[:-2] * _N + part[1:-1]) * _N + part[2:]], minlength=_SHAPED)
     out /= max(1.0, out.sum())
     n = len(words)
+    each = Counter(words)
+    at = np.fromiter(map(zlib.crc32, each), np.int64, len(each)) % _WORDED
+    out[_SHAPED : _SHAPED + _WORDED] = np.bincount(at, np.fromiter(each.values(), np.float64, len(each)), _WORDED) * (WORD_WEIGHT / n)
     same = sum(map(bytes.__eq__, words, words[1:])) / n
-    again = 1 - len(set(words)) / n
+    again = 1 - len(each) / n
     pairs = 1 - len(set(zip(words, words[1:], strict=False))) / max(1, n - 1)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     twice = 1 - len(set(lines)) / len(lines)
@@ -109,7 +117,7 @@ def vote(model: Model, counts: np.ndarray, neighbours: int, power: float, block:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, dimensions: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most `sample` labelled documents, half of them of each label where there are as many.
 
-    Only ids whose crc32 as text isn't divisible by 5 are learned from. The sample is the labelled ids with the smallest
+    Only ids whose crc32 as text isn't divisible by 5 are learned from. Of the texts of a repeated id the least counts. The sample is the labelled ids with the smallest
     seeded hashes, so its size and what the driver and each task hold are bounded by `sample`, whatever the input.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
@@ -120,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     if not picked:
         return fit(np.zeros((0, TERMS), np.float32), np.zeros(0), dimensions)
     ids = spark.createDataFrame(list(picked.items()), "doc_id long, label int")  # at most `sample` rows
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(rows: dict) -> dict:
         return {"doc_id": pa.array(rows["doc_id"], pa.int64()), "counts": pa.array([term_counts(t).tobytes() for t in rows["text"]], pa.binary())}

@@ -261,6 +261,24 @@ def test_held_out_accuracy(spark):
     assert r["n"] > 500 and r["acc"] > 0.98
 
 
+def test_words_take_part_in_scores():
+    """Texts of one shape, told apart by their words alone."""
+    rnd = random.Random(3)
+    good, bad = ([f"{a}{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)] for a in ("ka", "zo"))
+    made = lambda words: " ".join(rnd.choices(words, k=120))
+    texts = [made(good if i % 2 else bad) for i in range(200)]
+    model = quality.fit(np.stack([quality.term_counts(t) for t in texts]), np.array([i % 2 for i in range(200)]), 64)
+    told = quality.vote(model, np.stack([quality.term_counts(made(good)), quality.term_counts(made(bad))]), 10, 8.0)
+    assert told[0] > 0.8 and told[1] < 0.2
+
+
+def test_repeated_ids_train_one_model(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    rows = [(i, f"{'text' if i % 2 else 'JUNK !!'} number {i} " * 5) for i in range(1, 40)] + [(i, f"zz another text of the id {i}") for i in range(1, 40)]
+    models = [quality.train(docs(spark, r).repartition(5), labels) for r in (rows, rows[::-1])]
+    assert (models[0].vectors == models[1].vectors).all() and (models[0].labels == models[1].labels).all()
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (4, 1), (None, 1), (7, None)], "doc_id long, quality int")
     table = docs(spark, EDGES)
