@@ -90,7 +90,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter."""
+    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter. with_ids: and the ids themselves, four little-endian bytes each."""
 
     def run(rows: dict) -> dict:
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -98,12 +98,12 @@ def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "
             ids = np.append(found, np.array([end_id], "<u4"))
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].view(np.int32) if with_ids else None)):
+                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].tobytes() if with_ids else None)):
                     out[name].append(value)
-        kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+        kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
         return {k: pa.array(out[k], v) for k, v in kinds.items()}
 
-    return map_columns(docs, [id_col, text_col], "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids, run)
+    return map_columns(docs, [id_col, text_col], "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, run)
 
 
 def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> DataFrame:
@@ -137,14 +137,17 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
 
 
 def pack_documents(docs: DataFrame, json_path: str, capacity: int = 2048, with_ids: bool = False, **columns) -> DataFrame:
-    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset.
+    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]. Places are found without the ids, which move once.
 
     A null or empty text is its end token alone. Repeated rows are packed as often as they come; an empty table gives no rows; other columns are ignored.
     """
-    return pack(stored(token_pieces(docs, json_path, capacity, with_ids=with_ids, **columns), "pieces"), capacity)
+    pieces = stored(token_pieces(docs, json_path, capacity, with_ids=with_ids, **columns).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers stay as they are once written
+    if not with_ids:
+        return pack(pieces.drop("row"), capacity)
+    return pack(pieces.drop("ids"), capacity).join(pieces.select("row", "ids"), "row").drop("row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id and its ids, pieces joined in order of offset; a sequence holds at most `capacity` tokens. Needs with_ids."""
+    """sequence_id and its ids, four little-endian bytes each, pieces joined in order of offset; a sequence holds at most `capacity` tokens. Needs with_ids."""
     held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held"))
-    return held.select("sequence_id", F.flatten(F.transform("held", lambda x: x["ids"])).alias("ids"))
+    return held.select("sequence_id", F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
