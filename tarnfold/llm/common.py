@@ -71,6 +71,11 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callab
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it has so few rows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, total: int, size: str = "n", least: int = 1 << 14, hot: int = 20_000) -> DataFrame:
     """big joined with small on keys, no task getting more than a bounded share of a hot key's rows.
 

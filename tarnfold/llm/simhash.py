@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns, salted_join, slices, stored
+from tarnfold.llm.common import map_columns, salted_join, slices, small_side, stored
 from tarnfold.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -310,7 +310,7 @@ def bucket_links(entries: DataFrame, radius: int, tile: int, lone: bool) -> Data
     if lone:
         counted = entries.join(counts.filter("n > 1"), "key")
     else:
-        counted = entries.join(counts.filter(F.col("n") > tile), "key", "left")
+        counted = entries.join(small_side(stored(counts.filter(F.col("n") > tile), "hot-buckets")), "key", "left")
     return _dealt(counted, F.ceil(F.coalesce("n", F.lit(1)) / tile)).mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -351,6 +351,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similar
     loose = components(bucket_links(sampled_keys(nodes, key_bits, tables), radius, tile, False))
     found = stored(nodes.join(loose.distinct(), "node").withColumnRenamed("root", "key"), "candidates")
     weights = found.groupBy("key").agg(F.ceil(F.greatest(F.count("*"), F.sum("size") / 1024) / set_tile).alias("tiles")).filter("tiles > 1")
+    weights = small_side(stored(weights, "hot-groups"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -359,7 +360,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similar
             sets = pa.array([x[:, 0].astype(np.uint64).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "fp", "fp2")), sets], ["key", "node", "fp", "fp2", "shingles"]).filter(same)
 
-    held = docs.select("at", "text").join(found.select("at", "key", "node", "set1", "set2", "fp", "fp2"), "at").dropDuplicates(["at"])
+    held = docs.select("at", "text").join(small_side(found.select("at", "key", "node", "set1", "set2", "fp", "fp2")), "at").dropDuplicates(["at"])
     sets = held.select("key", "node", "set1", "set2", "fp", "fp2", "text").mapInArrow(run, "key long, node long, fp long, fp2 long, shingles binary")
     dealt = _dealt(sets.join(weights, "key", "left"), F.coalesce("tiles", F.lit(1)))
     return dealt.mapInArrow(_decide(radius, similarity), "a long, b long")
