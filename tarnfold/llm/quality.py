@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.common import map_columns, slices
 
-TERMS = 2048
+TERMS = 1280
 _EXTRA = 64  # of them for the repetition of words
 _SHAPED = 960
 _WORDED = TERMS - _EXTRA - _SHAPED
