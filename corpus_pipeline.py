@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each piece of a document: its token ids, which sequence it is in, and where; packing.sequences joins them."""
+    """One row for each piece of a document: its token ids as bytes, which sequence it is in, and where; packing.sequences joins them."""
     return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 

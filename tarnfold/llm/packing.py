@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfold.llm.common import map_columns, stored
-from tarnfold.llm.tokens import word_encoder
+from tarnfold.llm.tokens import library, word_encoder
 
 
 class RoomTree:
@@ -89,8 +89,14 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
+def id_bytes(json_path: str) -> int:
+    """Bytes that hold any id of the vocabulary: two or four."""
+    return 2 if library(json_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
 def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter. with_ids: and the ids themselves, four little-endian bytes each."""
+    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter. with_ids: and the ids themselves, little-endian, of id_bytes each."""
+    kind = f"<u{id_bytes(json_path)}"
 
     def run(rows: dict) -> dict:
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -98,7 +104,7 @@ def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "
             ids = np.append(found, np.array([end_id], "<u4"))
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].tobytes() if with_ids else None)):
+                for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].astype(kind).tobytes() if with_ids else None)):
                     out[name].append(value)
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
         return {k: pa.array(out[k], v) for k, v in kinds.items()}
@@ -148,6 +154,6 @@ def pack_documents(docs: DataFrame, json_path: str, capacity: int = 2048, with_i
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id and its ids, four little-endian bytes each, pieces joined in order of offset; a sequence holds at most `capacity` tokens. Needs with_ids."""
+    """sequence_id and its ids, little-endian, of id_bytes each, pieces joined in order of offset; a sequence holds at most `capacity` tokens. Needs with_ids."""
     held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held"))
     return held.select("sequence_id", F.aggregate("held", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

@@ -240,7 +240,7 @@ def test_plan_is_best_fit_decreasing():
 
 def test_packing_round_trip(spark):
     packed = packing.pack_documents(docs(spark, EDGES), JSON, 64, with_ids=True)
-    unpacked = lambda r: np.frombuffer(r["ids"], "<u4").tolist()
+    unpacked = lambda r: np.frombuffer(r["ids"], f"<u{packing.id_bytes(JSON)}").tolist()
     rows = [r.asDict() | {"ids": unpacked(r)} for r in packed.collect()]
     whole = sorted(sum(([*run(t or ""), 0] for _, t in EDGES), []))
     assert sorted(sum((r["ids"] for r in rows), [])) == whole
@@ -559,11 +559,11 @@ def test_pipeline_stages(spark):
     assert packed.agg(F.sum("length")).first()[0] == total
     held = {}
     for r in packing.sequences(packed).collect():
-        held[r["sequence_id"]] = np.frombuffer(r["ids"], "<u4").tolist()
+        held[r["sequence_id"]] = np.frombuffer(r["ids"], f"<u{packing.id_bytes(JSON)}").tolist()
     again = {}
     for r in sorted(packed.collect(), key=lambda r: (r["doc_id"], r["sequence_id"], r["offset"])):
         part = held[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
-        assert part == np.frombuffer(r["ids"], "<u4").tolist()
+        assert part == np.frombuffer(r["ids"], f"<u{packing.id_bytes(JSON)}").tolist()
         again[r["doc_id"]] = again.get(r["doc_id"], []) + part
     assert {d: sorted(x) for d, x in again.items()} == {d: sorted(x) for d, x in whole.items()}
     sizes = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*")).first()
