@@ -73,13 +73,17 @@ def assign_paths(plan: DataFrame, path: str = "path", key: str = "stable_key") -
         named = named.withColumn("free_path", F.when(F.col("lost_"), again).otherwise(F.col("free_path"))).drop("own_", "lost_").checkpoint()
 
 
-def asset_names(assets: DataFrame) -> DataFrame:
-    """(note_id, sha256, file_name, name): within a note, one content keeps one name; other contents of that name get -2, -3."""
+def asset_names(assets: DataFrame, stretch: int = 10_000) -> DataFrame:
+    """(note_id, sha256, file_name, name): within a note, one content keeps one name; other contents of that name get -2, -3.
+
+    Contents are numbered by stretches of positions, so a name that one note uses very often is no hot task.
+    """
     first = assets.groupBy("note_id", F.lower("file_name").alias("lower_name"), "sha256").agg(F.min(F.struct("position", "file_name")).alias("first"))
-    nth = F.row_number().over(W.partitionBy("note_id", "lower_name").orderBy("first.position", "sha256"))
+    # a struct is never null itself, so notes and names that are null are numbered too
+    keyed = first.select(F.struct("note_id", "lower_name").alias("group_"), "sha256", "first", F.coalesce(F.floor(F.col("first.position") / stretch), F.lit(-(1 << 62))).alias("bucket_"))
+    named = spread_row_number(keyed, ["group_"], "bucket_", ["first.position", "sha256"], "nth")
     stem, ext = F.regexp_extract("first.file_name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("first.file_name", r"^(.*?)(\.[^.]*)?$", 2)
-    named = first.withColumn("nth", nth)
-    return named.select("note_id", "sha256", F.col("first.file_name").alias("file_name"), F.when(F.col("nth") == 1, F.col("first.file_name")).otherwise(F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).alias("name"))
+    return named.select("group_.note_id", "sha256", F.col("first.file_name").alias("file_name"), F.when(F.col("nth") == 1, F.col("first.file_name")).otherwise(F.concat(stem, F.lit("-"), F.col("nth").cast("string"), ext)).alias("name"))
 
 
 def dedup_resources(assets: DataFrame) -> DataFrame:

@@ -23,28 +23,35 @@ def stream_dedup(obs: DataFrame, key: list[str], time: str = "ts", delay: str =
 
 
 class _ScanState(StatefulProcessor):
-    """Per source, what is known of each round until it can be judged in order of rounds."""
+    """Per source, the first round of each key, and of each round its observations and the keys first seen in it. A batch touches its own keys only; rounds are few."""
 
     def __init__(self, patience: int):
         self.patience = patience
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.keys = handle.getMapState("keys", "key string", "round long")
-        self.rounds = handle.getMapState("rounds", "round long", "n long")
+        self.rounds = handle.getMapState("rounds", "round long", "n long, fresh long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seen = {k[0]: v[0] for k, v in self.rounds.iterator()}
+        new = {k[0]: v[1] for k, v in self.rounds.iterator()}
+        touched: set[int] = set()
         for part in rows:
-            for (round_, item), n in part.groupby(["round", "key"]).size().items():
-                name, at = (str(item),), (int(round_),)
+            for round_, n in part.groupby("round").size().items():
+                seen[int(round_)] = seen.get(int(round_), 0) + int(n)
+                touched.add(int(round_))
+            for item, round_ in part.groupby("key")["round"].min().items():
+                name, at = (str(item),), int(round_)
                 had = self.keys.getValue(name)[0] if self.keys.containsKey(name) else None
-                if had is None or round_ < had:
-                    self.keys.updateValue(name, at)
-                before = self.rounds.getValue(at)[0] if self.rounds.containsKey(at) else 0
-                self.rounds.updateValue(at, (before + int(n),))
-        new: dict[int, int] = {}
-        for value in self.keys.values():
-            new[value[0]] = new.get(value[0], 0) + 1
-        seen = {k[0]: v[0] for k, v in self.rounds.iterator()}
+                if had is None or at < had:
+                    self.keys.updateValue(name, (at,))
+                    new[at] = new.get(at, 0) + 1
+                    touched.add(at)
+                    if had is not None:
+                        new[had] -= 1
+                        touched.add(had)
+        for at in touched:
+            self.rounds.updateValue((at,), (seen[at], new.get(at, 0)))
         idle, total, stop, reason = 0, 0, None, "end_of_list"
         for round_ in sorted(seen):
             total += new.get(round_, 0)
