@@ -228,3 +228,10 @@ def test_source_contract(spark):
     assert isinstance(Good(), adapters.Source)
     assert adapters.contract_violations(Good(), spark) == []
     assert {"null_key", "repeated_key", "quality"} <= set(adapters.contract_violations(Bad(), spark))
+
+
+@pytest.mark.parametrize("stretch", [1, 10_000])
+def test_asset_names_number_nulls_and_stretches_alike(spark, stretch):
+    rows = [(1, "A.png", "x", None), (1, "a.png", "y", 2), (1, "a.PNG", "z", 1), (1, "a.png", "y", 0), (None, "a.png", "q", 3), (None, None, "r", 3)]
+    named = windows.asset_names(spark.createDataFrame(rows, "note_id long, file_name string, sha256 string, position long"), stretch).collect()
+    assert {r["sha256"]: r["name"] for r in named} == {"x": "A.png", "y": "a-2.png", "z": "a-3.PNG", "q": "a.png", "r": None}
