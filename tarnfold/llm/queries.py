@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import chat, extraction, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
+from tarnfold.llm import chat, extraction, lines, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_extraction, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_extraction, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash, op11_lines)}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL, "op11_lines": lines.LINES_SQL}
