@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import centroids, chat, extraction, lines, mixing, neighbours, packing, quality, secrets, simhash, spotsigs, tokens
+from tarnfold.llm import centroids, chat, extraction, lines, mixing, neighbours, packing, phrases, quality, secrets, simhash, spotsigs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,5 +61,9 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_extraction, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash, op11_lines, op12_centroids)}
-ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL, "op11_lines": lines.LINES_SQL, "op12_centroids": centroids.cluster_sql()}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_mixing, op3_extraction, op4_secrets, op5_packing, op6_quality, op7_tokens, op8_neighbours, op9_spotsigs, op10_simhash, op11_lines, op12_centroids, op13_phrases)}
+ORACLE_SQL: dict[str, str] = {"op1_chat": chat.CHAT_SQL, "op2_mixing": mixing.MIX_SQL, "op4_secrets": secrets.SECRET_SQL, "op9_spotsigs": spotsigs.SPOTSIGS_SQL, "op11_lines": lines.LINES_SQL, "op12_centroids": centroids.cluster_sql(), "op13_phrases": phrases.PHRASES_SQL}
