@@ -18,9 +18,9 @@ class Source(Protocol):
 
 @runtime_checkable
 class Target(Protocol):
-    """plan gives paths for content; write stores notes; verify compares files with what was written; index lists shards."""
+    """plan gives paths for content, keeping those of known notes; write stores notes where it may; verify compares files with what was written; index lists shards."""
 
-    def plan(self, content: DataFrame) -> DataFrame: ...
+    def plan(self, content: DataFrame, known: DataFrame | None = None) -> DataFrame: ...
 
     def write(self, plan: DataFrame) -> DataFrame: ...
 

@@ -34,6 +34,16 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return _outermost(df, key, order, F.max)
 
 
+def latest_values(df: DataFrame, key: str, value: list[str], order: str, keep_order: bool = False) -> DataFrame:
+    """Of each key and each value column the last value by order that isn't null; rows without an order are earliest, of equal orders the greatest value counts.
+
+    A greatest struct a column, so partial results combine in any order. keep_order adds order_<value> columns.
+    """
+    last = lambda v: F.max(F.when(F.col(v).isNotNull(), F.struct(F.col(order).alias("at"), F.col(v).alias("v"))))
+    out = df.groupBy(key).agg(*(last(v).alias(f"last_{v}") for v in value))
+    return out.select(key, *(F.col(f"last_{v}")["v"].alias(v) for v in value), *(F.col(f"last_{v}")["at"].alias(f"order_{v}") for v in value if keep_order))
+
+
 def latest_artifact(artifacts: DataFrame) -> DataFrame:
     """The newest verified note of each item and target."""
     return latest(artifacts.filter("status = 'verified' and kind = 'note'"), ["target_id", "item_id"], ["created", "artifact_id"])

@@ -14,6 +14,7 @@ from tarnfold.operators import aggregates, filters, guards, joins, sets, windows
 from tarnfold.plans import views
 from tarnfold.plans.views import ARTIFACTS, ATTEMPTS, COUNTS, ITEM_STATES, JOBS, LINKED, QUALITY, RESOURCES
 from tarnfold.sources import readers, writers
+from tarnfold.sources.versions import CommitConflict
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,11 +559,15 @@ def g7_verify_files(spark, d):
 
 @query(f"WITH {ARTIFACTS} SELECT id, status FROM v8 WHERE status NOT IN ({quoted(ARTIFACT_STATES[2:])})")
 def s5_state_tables(spark, d):
-    """Artifacts through a state table: an older version and then the whole, written and read again; those that aren't verified or later."""
+    """Artifacts through a state table: the even ones as a first version, all of them over it by key, and a writer from before that, which is refused; read again, those that aren't verified or later."""
     root = scratch_folder(spark, "state")
-    rows = views.artifacts(spark, d).withColumn("artifact_id", F.col("id"))
-    for version in (rows.filter("id % 2 = 0"), rows):
-        writers.write_state(version, root, "target_artifacts")
+    rows = views.artifacts(spark, d).select(F.col("id").alias("artifact_id"), F.lit("t").alias("target_id"), F.concat(F.lit("notes/"), "id").alias("relative_path"), "status")
+    base = writers.write_state(rows.filter("artifact_id % 2 = 0").withColumn("status", F.lit("invalid")), root, "target_artifacts")
+    writers.upsert_state(rows, root, "target_artifacts")
+    try:
+        writers.write_state(rows.limit(0), root, "target_artifacts", base)
+    except CommitConflict:
+        pass
     return readers.read_state(spark, root, "target_artifacts").filter(~F.col("status").isin(*ARTIFACT_STATES[2:])).select(F.col("artifact_id").alias("id"), "status")
 
 

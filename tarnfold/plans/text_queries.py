@@ -521,12 +521,14 @@ def s7_summary(spark, d):
     return spark.read.schema("n_orders long, n_failed long, note string").json(path)
 
 
-@query(f"WITH {NOTES} SELECT notebook AS shard, 'notes/' || ordinal || '.md' AS relative_path, sha256(body) AS content_hash, CAST(length(body) AS BIGINT) AS n_chars FROM v2")
+@query(f"WITH {NOTES} SELECT notebook AS shard, 'notes/' || ordinal || '.md' AS relative_path, sha256(CASE WHEN ordinal % 4 = 0 THEN title ELSE body END) AS content_hash, CAST(length(CASE WHEN ordinal % 4 = 0 THEN title ELSE body END) AS BIGINT) AS n_chars FROM v2 WHERE ordinal % 9 <> 0")
 def s8_note_rows(spark, d):
-    """Notes written in a folder for each notebook and read again."""
+    """Notes written into a store; then every fourth with another text, and every ninth removed: all others stay as they were."""
     path = scratch_folder(spark, "notes")
-    writers.write_notes(views.notes(spark, d).select(F.col("notebook").alias("shard"), F.concat(F.lit("notes/"), F.col("ordinal").cast("string"), F.lit(".md")).alias("relative_path"), F.col("body").alias("text")), path)
-    return spark.read.parquet(path).select("shard", "relative_path", "content_hash", F.char_length("text").cast("long").alias("n_chars"))
+    rows = views.notes(spark, d).select("ordinal", "title", F.col("notebook").alias("shard"), F.concat(F.lit("notes/"), F.col("ordinal").cast("string"), F.lit(".md")).alias("relative_path"), F.col("body").alias("text"))
+    writers.write_notes(rows, path)
+    writers.write_notes(rows.filter("ordinal % 4 = 0 and ordinal % 9 <> 0").withColumn("text", F.col("title")), path, removed=rows.filter("ordinal % 9 = 0").select("relative_path"))
+    return readers.read_notes(spark, path).select("shard", "relative_path", "content_hash", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query(f"WITH {RESOURCES} SELECT sha256, max(size) AS size, count(*) AS n_refs FROM res GROUP BY 1")
@@ -640,7 +642,57 @@ def e2_target(spark, d):
 
 
 @query(f"WITH {_V1}, f AS (SELECT DISTINCT canonical_url FROM u1) SELECT 'job' AS job_id, true AS ok, 'ok' AS reason, count(*) AS final_items FROM f")
-def m1_migrate(spark, d):
+def e2_migrate(spark, d):
     """Saved pages to a folder of notes, from scan to reconciliation."""
     _, report = migrate(spark, _source(spark, d), NoteFolder(scratch_folder(spark, "library")))
     return report
+
+
+class _Documents:
+    """Documents as items of their own titles, every third one degraded."""
+
+    def __init__(self, docs: DataFrame, end: str):
+        self.docs, self.end = docs, end
+
+    def scan(self, spark: SparkSession) -> DataFrame:
+        return self.docs.select(F.sha2(F.col("doc_id").cast("string"), 256).alias("stable_key"), F.lit("docs").alias("source_instance_id"), "doc_id", "text")
+
+    def extract(self, items: DataFrame) -> DataFrame:
+        third = F.col("doc_id") % 3 == 0
+        why = F.when(third, F.array(F.struct(F.lit("asset-incomplete").alias("code"), F.lit("assets").alias("stage"), F.lit("no image").alias("message"))))
+        return items.select("stable_key", "source_instance_id", F.concat(F.lit("https://example.com/"), "doc_id").alias("original_url"), F.concat(F.lit("doc "), "doc_id").alias("title"), F.concat("text", F.lit(self.end)).alias("markdown"), F.when(third, "degraded").otherwise("full").alias("quality"), why.alias("degradations"))
+
+
+def _later_job(spark: SparkSession, d: str, policy: str) -> DataFrame:
+    """A library that holds a user's notes is migrated into; then the user edits every fifth note and removes every eleventh, and a second job of the same items, with other texts, runs. A row for each document: how the second job ended, and whose text lies under its path and under its variant's."""
+    root, state = scratch_folder(spark, "library"), scratch_folder(spark, "library-state")
+    docs, n = views.table(spark, d, "documents"), F.col("doc_id")
+    path = text.note_path(F.concat(F.lit("doc "), n), F.lit("docs"), F.lit("article"), None)
+    mine = docs.select(n, path.alias("relative_path"), F.concat(F.lit("mine "), n).alias("text"), F.lit("user").alias("shard"))
+    writers.write_notes(mine.filter(n % 7 == 0), root)
+    migrate(spark, _Documents(docs, ""), NoteFolder(root), "first", state)
+    writers.write_notes(mine.filter((n % 5 == 0) & (n % 11 != 0)), root, removed=mine.filter(n % 11 == 0).select("relative_path"))
+    states, _ = migrate(spark, _Documents(docs, "(second job)"), NoteFolder(root, policy=policy), "second", state)
+    ended = states.join(docs.select(F.sha2(n.cast("string"), 256).alias("stable_key"), n), "stable_key").select(n, "action", "state")
+    whose = F.when(F.col("text").startswith("mine "), "user").when(F.col("text").contains("(second job)"), "second").otherwise("first")
+    files = readers.read_notes(spark, root).select("relative_path", whose.alias("whose"))
+    variants = files.filter("relative_path like '%.imported-new.md'").select(F.regexp_replace("relative_path", r"\.imported-new\.md$", ".md").alias("relative_path"), F.col("whose").alias("variant"))
+    return mine.select(n, "relative_path").join(ended, "doc_id").join(files, "relative_path", "left").join(variants, "relative_path", "left").select("doc_id", "action", "state", "whose", "variant")
+
+
+_LATER = """WITH t AS (SELECT doc_id, doc_id % 7 = 0 AS theirs, doc_id % 11 = 0 AS removed, doc_id % 5 = 0 AND doc_id % 11 <> 0 AS edited, CASE WHEN doc_id % 3 = 0 THEN 'degraded' ELSE 'verified' END AS good FROM documents),
+u AS (SELECT *, CASE WHEN NOT theirs AND good = 'verified' AND NOT removed THEN 'skip_verified' WHEN removed THEN 'write_canonical' WHEN theirs OR edited THEN '{0}' ELSE 'write_canonical' END AS action FROM t)
+SELECT doc_id, action, CASE WHEN action = 'mark_conflict' THEN 'conflict' ELSE good END AS state,
+    CASE WHEN removed THEN 'second' WHEN theirs OR edited THEN 'user' WHEN action = 'skip_verified' THEN 'first' ELSE 'second' END AS whose, CASE WHEN action = 'write_new_variant' THEN 'second' END AS variant FROM u"""
+
+
+@query(_LATER.format("mark_conflict"))
+def e2_second_job(spark, d):
+    """A second job that preserves what users have written or changed."""
+    return _later_job(spark, d, "preserve")
+
+
+@query(_LATER.format("write_new_variant"))
+def e2_variant_job(spark, d):
+    """A second job that puts its note beside a changed one."""
+    return _later_job(spark, d, "write-new")

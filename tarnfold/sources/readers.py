@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tarnfold.functions.text import extract_links
 from tarnfold.operators.windows import order_ordinals
+from tarnfold.sources import versions
 
 _RESOURCE = "struct<data:string,mime:string,`resource-attributes`:struct<`file-name`:string,attachment:string>>"
 _NOTE = f"struct<title:string,content:string,created:string,updated:string,tag:array<string>,guid:string,`note-attributes`:map<string,string>,resource:array<{_RESOURCE}>,_corrupt:string>"
@@ -83,17 +84,25 @@ STATE_TABLES = {
 }
 
 
-def read_state(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The current version of a state table; empty if there is none yet."""
-    pointer = f"{root}/{name}/CURRENT"
-    try:
-        version = spark.read.text(pointer).first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        version = None
-    schema = STATE_TABLES[name]
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{root}/{name}/{version[0]}")
+#: What a row of a state table is known by.
+STATE_KEYS = {
+    "source_instances": ["source_id"], "target_instances": ["target_id"], "migration_jobs": ["job_id"], "source_items": ["stable_key"], "source_assets": ["asset_id"], "target_artifacts": ["target_id", "relative_path"],
+    "migration_attempts": ["attempt_id"], "cleanup_plans": ["plan_id"], "cleanup_jobs": ["job_id"], "cleanup_items": ["cleanup_item_id"], "cleanup_attempts": ["attempt_id"],
+}
+
+#: A file in the store of notes. owner: the item that a job wrote it for; written_hash: what that job wrote; both null in a user's file.
+NOTE_FILES = "relative_path string, text string, content_hash string, shard string, owner string, kind string, written_hash string, job_id string"
+
+
+def read_state(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """The newest version of a state table, or a numbered one that clean() hasn't removed; empty if there is none yet."""
+    where = f"{root}/{name}"
+    return versions.rows(spark, where, versions.snapshot(spark, where, version), STATE_TABLES[name])
+
+
+def read_notes(spark: SparkSession, root: str) -> DataFrame:
+    """The files of a store of notes; none if nothing was written yet."""
+    return versions.rows(spark, root, versions.snapshot(spark, root), NOTE_FILES)
 
 
 def shaped(df: DataFrame, name: str) -> DataFrame:

@@ -2,21 +2,70 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tarnfold.checkpoints import drop_folder, scratch_folder
 from tarnfold.functions.text import csv_guard, redact
-from tarnfold.sources.readers import shaped
-
-
-def write_state(df: DataFrame, root: str, name: str) -> str:
-    """A new version of a state table, and then the pointer to it: readers see the old or the new one, never a part."""
-    version = f"v-{uuid.uuid4().hex}"
-    shaped(df, name).write.parquet(f"{root}/{name}/{version}")
-    df.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}/CURRENT")
-    return version
+from tarnfold.operators.windows import latest_values
+from tarnfold.sources import versions
+from tarnfold.sources.readers import NOTE_FILES, STATE_KEYS, STATE_TABLES, shaped
+
+
+def write_state(df: DataFrame, root: str, name: str, base: int | None = None) -> int:
+    """df as the whole state table, in one commit whose number is returned: readers see the old or the new table, never a part.
+
+    base: the version that df was made from (state_version), by default the newest at the call. If another commit has followed it, this
+    one is refused with CommitConflict.
+    """
+    spark, where = df.sparkSession, f"{root}/{name}"
+    at = versions.snapshot(spark, where) if base is None else versions.snapshot(spark, where, base) if base else versions.Snapshot()
+    return versions.commit(spark, where, at, versions.write_parts(shaped(df, name), where, at.keys, at.buckets)).version
+
+
+def state_version(spark: SparkSession, root: str, name: str) -> int:
+    """The number of the newest commit of a state table; 0 if there is none yet."""
+    return versions.snapshot(spark, f"{root}/{name}").version
+
+
+def upsert_state(df: DataFrame, root: str, name: str, buckets: int = 64) -> int:
+    """Rows of df in place of the state table's rows of the same key (STATE_KEYS); only the buckets that they fall into are written again."""
+    return versions.merge(shaped(df, name), f"{root}/{name}", STATE_TABLES[name], STATE_KEYS[name], buckets).version
+
+
+def merge_ordered(batch: DataFrame, root: str, name: str, key: str, value: list[str], order: str, stream: str = "", number: int = -1, buckets: int = 64) -> int:
+    """Lays results over a state table by key: of each value the last by order that isn't null counts, whichever batch it comes in.
+
+    The order of each value is kept in the table, so rows that come late lose to later ones that are there already, and any cutting and
+    order of batches gives what latest_values gives over all rows. Rows written without an order lose to any. Other
+    columns stay; unknown keys become new rows. Only touched buckets are written again. number: the batch's; a batch that
+    `stream` has committed is not laid again.
+    """
+    spark, where = batch.sparkSession, f"{root}/{name}"
+    at = versions.snapshot(spark, where)
+    if stream and int(at.notes.get(stream, -1)) >= number:
+        return at.version
+    kind = batch.schema[order].dataType
+    stored = T.StructType([*STATE_TABLES[name].fields, *(T.StructField(f"order_{v}", kind) for v in value)])
+    typed = batch.select(F.col(key).cast(STATE_TABLES[name][key].dataType).alias(key), *(F.col(v).cast(STATE_TABLES[name][v].dataType).alias(v) for v in value), order)
+    last = latest_values(typed, key, value, order, keep_order=True)
+    path = scratch_folder(spark, "upsert")
+    last.write.parquet(path)  # read twice: for its buckets and for its rows
+    last = spark.read.schema(last.schema).parquet(path)
+    touched = sorted(str(r[0]) for r in last.select(versions.bucket_of([key], buckets)).distinct().collect())  # at most `buckets`
+    fresh = not at.version or (at.buckets, at.keys) != (buckets, (key,))
+    rest = [c for c in STATE_TABLES[name].names if c not in (key, *value)]
+    held = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col(f"order_{v}").alias("at"), F.col(v).alias("v")))
+    old = versions.rows(spark, where, at, stored, None if fresh else touched).select(key, *(held(v).alias(v) for v in value), F.struct(*rest).alias("rest"))
+    both = old.unionByName(last.select(key, *(held(v).alias(v) for v in value)), allowMissingColumns=True)
+    laid = both.groupBy(key).agg(*(F.max(v).alias(v) for v in value), F.max("rest").alias("rest"))
+    out = laid.select(key, *(F.col(v)["v"].alias(v) for v in value), *(F.col("rest")[c].alias(c) for c in rest), *(F.col(v)["at"].alias(f"order_{v}") for v in value)).select(*stored.names)
+    notes = {stream: str(number)} if stream else None
+    parts = versions.write_parts(out, where, (key,), buckets) if touched else {}
+    done = versions.commit(spark, where, at, parts, None if fresh else touched, buckets, (key,), notes).version
+    drop_folder(spark, path)
+    return done
 
 
 def guarded(df: DataFrame) -> DataFrame:
@@ -39,9 +88,22 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_notes(df: DataFrame, path: str, shard: str = "shard") -> None:
-    """relative_path, text and hash of rendered notes, in a folder for each shard."""
-    df.select("relative_path", "text", F.sha2("text", 256).alias("content_hash"), shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+def write_notes(df: DataFrame, root: str, shard: str = "shard", removed: DataFrame | None = None, buckets: int = 64) -> int:
+    """Files (relative_path, text, shard, and if there are any owner, kind, written_hash, job_id) into the store of notes, each in place of the file of the same path; all other files stay. The number of the commit.
+
+    removed: paths (relative_path) of files that go. Of rows with one path the one with the greatest hash, owner and kind is written. A null
+    text is an empty file; rows without a path are left out.
+    """
+    given = [c for c in ("owner", "kind", "written_hash", "job_id") if c in df.columns]
+    files = df.filter("relative_path is not null").select("relative_path", F.coalesce("text", F.lit("")).alias("text"), F.col(shard).cast("string").alias("shard"), *given).withColumn("content_hash", F.sha2("text", 256))
+    one = files.groupBy("relative_path").agg(F.max(F.struct("content_hash", *given, "shard", "text")).alias("f")).select("relative_path", "f.*")
+    shape = T.StructType.fromDDL(NOTE_FILES)
+    whole = one.select(*(F.col(f.name) if f.name in one.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields))
+    path = scratch_folder(df.sparkSession, "notes")
+    whole.write.parquet(path)
+    done = versions.merge(df.sparkSession.read.schema(shape).parquet(path), root, shape, ["relative_path"], buckets, removed).version
+    drop_folder(df.sparkSession, path)
+    return done
 
 
 def unique_assets(df: DataFrame) -> DataFrame:

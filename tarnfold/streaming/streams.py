@@ -12,9 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tarnfold.functions.text import redact
 from tarnfold.operators.aggregates import state_counts
-from tarnfold.operators.joins import commit_results
-from tarnfold.sources.readers import read_state
-from tarnfold.sources.writers import write_state
+from tarnfold.sources.versions import clean
+from tarnfold.sources.writers import merge_ordered
 
 
 def stream_dedup(obs: DataFrame, key: list[str], time: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -78,16 +77,12 @@ def stream_progress(events: DataFrame, by: str = "job_id", state: str = "state")
     return state_counts(events, [by], state)
 
 
-def stream_upsert(results: DataFrame, root: str, name: str, key: str, value: list[str], checkpoint: str, order: str) -> StreamingQuery:
-    """Late or repeated results go over the state table by key; of one batch the last by order counts. A batch that runs again gives the same table."""
+def stream_upsert(results: DataFrame, root: str, name: str, key: str, value: list[str], checkpoint: str, order: str, buckets: int = 64, keep: int = 3) -> StreamingQuery:
+    """Results go over the state table by key, the last of each value by order; see merge_ordered. Late, repeated and rerun batches give the same table. Of old versions the last `keep` stay."""
 
-    def commit(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy(key).agg(*(F.max_by(v, order).alias(v) for v in value))
-        old = read_state(batch.sparkSession, root, name)
-        kept = [c for c in old.columns if c not in (key, *value)]
-        laid = commit_results(old.select(key, *value), last, key, value)
-        new = last.join(old.select(key), key, "left_anti")
-        write_state(laid.join(old.select(key, *kept), key, "left").unionByName(new, allowMissingColumns=True), root, name)
+    def commit(batch: DataFrame, number: int) -> None:
+        merge_ordered(batch, root, name, key, value, order, checkpoint, number, buckets)
+        clean(batch.sparkSession, f"{root}/{name}", keep)
 
     return results.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

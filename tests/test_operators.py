@@ -140,6 +140,7 @@ def test_prefix_length_is_what_is_left(spark, keys, ladder, lengths):
 
 def test_migration_ends_in_a_final_state(spark, tmp_path):
     from tarnfold.operators import migration
+    from tarnfold.sources.readers import read_notes
 
     pages = [("web", 1, "https://example.com/en/1?utm_source=x", "<article><h1>One</h1><p>text</p></article>"), ("web", 2, "https://example.com/en/1", "<article><h1>Again</h1></article>"), ("web", 3, "https://example.com/en/3", ""), ("web", 4, "https://example.com/en/4", "<article><h1>One</h1><p>other</p></article>")]
     source = migration.PageSource(spark.createDataFrame(pages, "source_instance_id string, source_position long, original_url string, html string"), ("example.com",))
@@ -150,8 +151,9 @@ def test_migration_ends_in_a_final_state(spark, tmp_path):
     rows = states.collect()
     assert sorted(r["state"] for r in rows) == ["degraded", "verified", "verified"] and len({r["relative_path"] for r in rows}) == 3
     assert report.first()["reason"] == "ok" and report.first()["final_items"] == 3
-    text = {r["relative_path"]: r["text"] for r in spark.read.parquet(str(tmp_path / "notes")).collect()}
+    text = {r["relative_path"]: r["text"] for r in read_notes(spark, str(tmp_path / "notes")).collect()}
     assert any("# One" in t and "text" in t for t in text.values()) and any(p.endswith("One-2.md") for p in text)
+    assert any(p.startswith("index/web-") for p in text)
 
     class Lossy(migration.NoteFolder):
         def write(self, plan):
