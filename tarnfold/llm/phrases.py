@@ -55,16 +55,20 @@ def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _bits(hashes: np.ndarray, size: int) -> list[np.ndarray]:
-    """Four positions for each hash in a filter of `size` bits, a power of two."""
+def _bits(hashes: np.ndarray, size: int, which: tuple[int, ...] = (0, 1, 2, 3)) -> list[np.ndarray]:
+    """Positions of each hash in a filter of `size` bits, a power of two: four, or some of them."""
     step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return [(hashes + np.uint64(i) * step) & np.uint64(size - 1) for i in range(4)]
+    return [(hashes + np.uint64(i) * step) & np.uint64(size - 1) for i in which]
 
 
 def inside(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    out = np.ones(len(hashes), np.bool_)
-    for at in _bits(hashes, 64 * len(held)):
-        out &= (held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.bool_)
+    """Which hashes the filter holds; each position is looked at only where the ones before were set."""
+    at = np.arange(len(hashes))
+    for i in range(4):
+        bit = _bits(hashes[at], 64 * len(held), (i,))[0]
+        at = at[(held[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(np.bool_)]
+    out = np.zeros(len(hashes), np.bool_)
+    out[at] = True
     return out
 
 
@@ -114,10 +118,10 @@ def count_segment(lang: str, data: bytes, now: np.ndarray | None, before: np.nda
     if now is None:
         return
     single = word_hashes(lang, words.to_pylist())
-    #: For each place: number of the phrase that starts there, whether `now` and `before` hold it; for each number: its hash and words.
-    code, hashes, parts = at, single, [np.arange(len(words))]
-    held = inside(now, hashes)[code]
-    known = inside(before, hashes)[code] if before is not None else np.zeros(len(code), np.bool_)
+    #: For each place: the hash of the phrase that starts there, and whether `now` holds it and `before` had counted with it.
+    of_word = single[at]
+    hashes, held = of_word, inside(now, single)[at]
+    known = inside(before, single)[at] if before is not None else np.zeros(len(at), np.bool_)
     for length in range(2, longest + 1):
         last = len(at) - length + 1
         if last <= 0:
@@ -128,26 +132,31 @@ def count_segment(lang: str, data: bytes, now: np.ndarray | None, before: np.nda
         places = np.flatnonzero(open_)
         if not len(places):
             return
-        fresh = ~(known[places] & known[places + 1])
-        number, keys = _numbered(code[places] * len(words) + at[places + length - 1])
-        first, final = np.divmod(keys, len(words))
-        hashes = joined(hashes[first], single[final])
-        parts = [p[first] for p in parts] + [final]
-        counts = np.bincount(number[fresh], minlength=len(keys))
-        met = np.flatnonzero(counts)
-        if len(met):
-            yield length, pc.binary_join_element_wise(*(words.take(pa.array(p[met])) for p in parts), " "), counts[met]
-        code = np.zeros(last, np.int64)
-        code[places] = number
-        held, old = np.zeros(last, np.bool_), known
-        held[places] = inside(now, hashes)[number]
-        known = np.zeros(last, np.bool_)
-        if before is not None:
-            known[places] = inside(before, hashes)[number] & old[places] & old[places + 1]
+        counted = known[places] & known[places + 1]
+        fresh = places[~counted]
+        if len(fresh):
+            number, parts = at[fresh], [np.arange(len(words))]
+            for more in range(1, length):  # phrases by their words, pair by pair: exact at any length
+                number, keys = _numbered(number * len(words) + at[fresh + more])
+                first, final = np.divmod(keys, len(words))
+                parts = [p[first] for p in parts] + [final]
+            yield length, pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in parts), " "), np.bincount(number, minlength=len(keys))
+        if length == longest:
+            return
+        hashes = _at(last, places, joined(hashes[places], of_word[places + length - 1]))
+        held = _at(last, places, inside(now, hashes[places]))
+        known = _at(last, places, counted if before is None else counted & inside(before, hashes[places]))
+
+
+def _at(n: int, places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """values at these places of n, nothing elsewhere."""
+    out = np.zeros(n, values.dtype)
+    out[places] = values
+    return out
 
 
 def _counted(docs: DataFrame, now: Broadcast | None, before: Broadcast | None, longest: int, segment: int) -> DataFrame:
-    """(lang, k, phrase, f): summed counts over docs(lang, text)."""
+    """(lang, k, phrase, f): summed counts over docs(lang, text). Tasks have summed their segments, so rows are dealt out before they are summed on: most phrases of a task are new to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -170,7 +179,7 @@ def _counted(docs: DataFrame, now: Broadcast | None, before: Broadcast | None, l
                     held, size = {}, 0
         yield from emit()
 
-    return docs.mapInArrow(run, "lang string, k int, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(run, "lang string, k int, phrase string, f long").repartition("lang", "k", "phrase").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
 
 
 # --- passes
@@ -245,7 +254,7 @@ def frequent(docs: DataFrame, least: int = 30, longest: int = 4, share: int = 8,
     sample = stored(docs.sample(1 / share, seed=5), "phrase-sample")
     top = longest - 1
     proposed = closure(sample, None, max(2, math.floor(least / share * lowered)), top, 1 << 24, segment)[0].filter("k > 0")
-    size = min(filter_bits, max(1 << 20, 1 << (64 * proposed.count()).bit_length()))
+    size = min(filter_bits, max(1 << 20, 1 << (16 * proposed.count()).bit_length()))
     return closure(docs, _added(proposed, None, size), least, longest, size, segment)
 
 
@@ -275,7 +284,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
 
     # The best of many small parts of a language first, then of those: no task orders a whole language.
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    parts = max(1, found.count() // 100_000)
+    parts = max(1, found.count() // 10_000)
     best = free.withColumn("dealt", F.pmod(F.xxhash64("phrase"), F.lit(parts))).withColumn("rank", F.row_number().over(W.partitionBy("lang", "dealt").orderBy(*order))).filter(F.col("rank") <= top)
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     words = found.filter("k = 0").select("lang", F.col("f").alias("n"))
