@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.functions import html_walk
+
 #: Characters that no file name or link may hold, and invisible ones.
 ILLEGAL = r'[\\/:*?"<>|#／＼：＜＞｜＂？＃＊]'
 CONTROL = "[\\x00-\\x1f\\x7f-\u009f\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]"
@@ -87,12 +89,14 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def _sanitized(html: pd.Series) -> pd.Series:
+    return html.map(html_walk.sanitized)
+
+
 def sanitize_html(html: Column) -> Column:
-    """Without scripts, styles, frames, embedded objects, event handlers and dangerous addresses. Blocks with content first, then stray tags, then attributes."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|iframe|object|embed|noscript|template|svg|math)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?i)</?(script|style|iframe|object|embed|noscript|template|svg|math|form|input|button|link|meta|base)\b[^>]*>", "")
-    out = F.regexp_replace(out, r"""(?i)\s+on[a-z]+\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(out, r"""(?i)\s+(href|src|srcset|action|formaction|xlink:href)\s*=\s*("\s*(javascript|vbscript|data):[^"]*"|'\s*(javascript|vbscript|data):[^']*'|(javascript|vbscript|data):[^\s>]+)""", "")
+    """HTML of an allow-list of tags and attributes with safe addresses, every element closed; see html_walk.sanitized."""
+    return _sanitized(html)
 
 
 def extract_images(html: Column, base: Column) -> Column:
@@ -106,11 +110,26 @@ def extract_images(html: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: resolve_url(base, x)))
 
 
+_LINK = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(_LINK)
+def _links(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: [{"href": href, "text": said} for href, said in html_walk.links_of(h)])
+
+
 def extract_links(html: Column) -> Column:
-    """Array of (href, text) of anchors in order."""
-    pattern = r"""(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
-    href, inner = F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    return F.transform(F.arrays_zip(href.alias("href"), inner.alias("inner")), lambda x: F.struct(x["href"].alias("href"), plain_text(x["inner"]).alias("text")))
+    """Array of (href, text) of anchors in order; see html_walk.links_of. Null HTML has none."""
+    return _links(html)
+
+
+_ENTRY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in html_walk.ENTRY_FIELDS]))
+
+
+@F.pandas_udf(_ENTRY)
+def list_entries(html: pd.Series) -> pd.Series:
+    """Array of the list entries of a page with their fields; see html_walk.entries_of. Null HTML has none."""
+    return html.map(html_walk.entries_of)
 
 
 def page_metadata(html: Column) -> Column:

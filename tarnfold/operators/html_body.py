@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Elements without content: they open nothing.
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+from tarnfold.functions.html_walk import VOID
+
 #: Left out where the whole body is taken.
 _FRAME = {"script", "style", "noscript", "nav", "header", "footer"}
 #: Containers whose class says content, but of something else.
@@ -27,6 +28,7 @@ class _Containers(HTMLParser):
         for m in re.finditer("\n", html):
             self.lines.append(m.end())
         self.open: list[tuple[str, list[int], int, int]] = []  # name, ranks, start of its content, text before it
+        self.count: Counter[str] = Counter()  # of open elements, so a stray end tag costs nothing
         self.found: list[tuple[int, int, int, int, int]] = []
         self.frame: list[tuple[int, int]] = []
         self.text = 0
@@ -48,6 +50,7 @@ class _Containers(HTMLParser):
         ranks += [3] if "content" in words and not _OTHER.search(words) else []
         ranks += [4] if tag == "body" else []
         self.open.append((tag, ranks, self._place() + len(self.get_starttag_text() or ""), self.text))
+        self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         """As in HTML, a slash closes nothing but void elements."""
@@ -55,6 +58,7 @@ class _Containers(HTMLParser):
 
     def _end(self, at: int, after: int) -> str:
         tag, ranks, start, before = self.open.pop()
+        self.count[tag] -= 1
         for rank in ranks:
             self.found.append((rank, start, start, at, self.text - before))
         if tag in _FRAME:
@@ -62,7 +66,7 @@ class _Containers(HTMLParser):
         return tag
 
     def handle_endtag(self, tag: str) -> None:
-        if any(name == tag for name, *_ in self.open):
+        if self.count[tag]:
             at = self._place()
             stop = self.html.find(">", at) + 1 or len(self.html)
             while self._end(at, stop if self.open[-1][0] == tag else at) != tag:

@@ -2,180 +2,33 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.operators.html_body import VOID, body_of
-
-_DROP = {"script", "style", "iframe", "object", "noscript", "template", "svg", "math", "nav", "footer", "aside", "form", "head", "button", "en-crypt"}
-#: Content from elsewhere that Markdown can't hold.
-_EMBEDDED = {"iframe", "object", "embed", "audio", "video"}
-_NOTE_LINK = re.compile(r"^(?:evernote:|note:)", re.I)
-_BLOCK = {"p", "div", "section", "article", "main", "header", "figure", "figcaption", "table", "tr", "address", "dl", "dt", "dd"}
-_SCHEME = re.compile(r"^\s*(?:https?:|mailto:|[^:]*$|[/?#.])", re.I)
-
-
-class MarkdownWriter(HTMLParser):
-    """Collects Markdown; unclosed and stray tags are tolerated."""
-
-    def __init__(self, resources: dict[str, str] | None = None):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open: list[str] = []
-        self.drop = 0
-        self.swallowed = 0  # characters since the outermost dropped element opened
-        self.pre = 0
-        self.lists: list[list] = []
-        self.links: list[str | None] = []
-        self.counts = {"todo": 0, "media": 0, "missing": 0, "encrypted": 0, "lost": 0, "embedded": 0}
-        self.seen: dict[str, list[str]] = {"remote_images": [], "internal_links": [], "external_links": [], "crypt_blocks": []}
-        self.resources = resources or {}
-
-    def _break(self, text: str = "\n\n") -> None:
-        self.out.append(text)
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag in _EMBEDDED and not self.drop:
-            self.counts["embedded"] += 1
-        if tag not in VOID and not (tag in ("en-todo", "en-media")):
-            self.open.append(tag)
-            if tag in _DROP:
-                self.swallowed = self.swallowed if self.drop else 0
-                self.drop += 1
-                if tag == "en-crypt" and self.drop == 1:
-                    self.counts["encrypted"] += 1
-                    self.out.append("[encrypted content]")
-                    self.seen["crypt_blocks"].append("|".join(a.get(k, "") for k in ("hint", "cipher", "length")))
-        if self.drop:
-            return
-        if re.fullmatch("h[1-6]", tag):
-            self._break("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in _BLOCK:
-            self._break()
-        elif tag in ("ul", "ol"):
-            self.lists.append([tag, 0])
-            self._break("\n")
-        elif tag == "li":
-            kind = self.lists[-1] if self.lists else ["ul", 0]
-            kind[1] += 1
-            self._break("\n" + "  " * max(0, len(self.lists) - 1) + ("- " if kind[0] == "ul" else f"{kind[1]}. "))
-        elif tag == "br":
-            self._break("  \n")
-        elif tag == "hr":
-            self._break("\n\n---\n\n")
-        elif tag == "blockquote":
-            self._break("\n\n> ")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "pre":
-            self.pre += 1
-            self._break("\n\n```\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag == "a":
-            href = a.get("href", "")
-            self.links.append(href if href and (_SCHEME.match(href) or _NOTE_LINK.match(href)) else None)
-            if _NOTE_LINK.match(href):
-                self.seen["internal_links"].append(href)
-            elif re.match("https?:", href, re.I):
-                self.seen["external_links"].append(href)
-            if self.links[-1]:
-                self.out.append("[")
-            elif href:
-                self.counts["lost"] += 1
-        elif tag == "img":
-            src = next((a[k] for k in ("data-original", "data-src", "src") if a.get(k)), "")
-            if src and _SCHEME.match(src):
-                if re.match("(?:https?:)?//", src, re.I):
-                    self.seen["remote_images"].append(src)
-                self.out.append(f"![{a.get('alt', '')}]({src})")
-            else:
-                self.counts["lost"] += 1
-        elif tag in ("td", "th"):
-            self.out.append(" | ")
-        elif tag == "en-todo":
-            self.counts["todo"] += 1
-            self.out.append("- [x] " if a.get("checked", "").lower() == "true" else "- [ ] ")
-        elif tag == "en-media":
-            name = self.resources.get(a.get("hash", "").lower())
-            self.counts["media" if name else "missing"] += 1
-            image = a.get("type", "").startswith("image/")
-            self.out.append(f"{'!' if image else ''}[[{name}]]" if name else f"[missing attachment {a.get('hash', '').lower()}]")
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        """A slash closes the note format's own elements; elsewhere it means nothing, as in HTML."""
-        self.handle_starttag(tag, attrs)
-        if tag == "en-crypt":
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.open:  # what is still open inside ends with it
-            while True:
-                last = self.open.pop()
-                self.drop -= last in _DROP
-                if last == tag:
-                    break
-        elif tag not in VOID:
-            return
-        if self.drop or tag in _DROP:
-            return
-        if re.fullmatch("h[1-6]", tag) or tag in _BLOCK or tag == "blockquote":
-            self._break()
-        elif tag in ("ul", "ol"):
-            if self.lists:
-                self.lists.pop()
-            self._break("\n")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            self._break("\n```\n\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag == "a" and self.links:
-            href = self.links.pop()
-            if href:
-                self.out.append(f"]({href})")
-
-    def handle_data(self, data: str) -> None:
-        if self.drop:
-            self.swallowed += len(data.strip())
-        else:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
-
-    def markdown(self) -> str:
-        text = "".join(self.out).replace("\x00", "")
-        text = re.sub(r"\*\*\s*\*\*", "", text)
-        text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m[0].endswith("  \n") else "\n", text)
-        return re.sub(r"\n{3,}", "\n\n", text).strip()
-
+from tarnfold.functions.html_walk import MarkdownWriter
+from tarnfold.operators.html_body import body_of
 
 def to_markdown(html: str | None, resources: dict[str, str] | None = None) -> dict:
-    """markdown, quality (full or degraded), degradation codes joined by commas, the counters, and by line remote images, links to notes, links elsewhere, and hint|cipher|length of encrypted blocks."""
+    """markdown, quality (full or degraded), degradation codes joined by commas, the counters, and by line remote images, links to notes, links elsewhere, and hint|cipher|length of encrypted blocks.
+
+    What Markdown can't hold is never full: spans, blocks and tables in table cells, structure that is too deep, elements that were never
+    closed and took text along (unsupported-structure), images with an unsafe address (asset-incomplete), embedded content.
+    """
     writer = MarkdownWriter(resources)
     codes = []
     try:
-        writer.feed(html or "")
-        writer.close()
-        text = writer.markdown()
+        text = writer.run(html).markdown()
     except (AssertionError, ValueError, RecursionError):
         text = ""
+        writer.flat = True
+    if writer.flat or getattr(writer, "cut", False):
         codes.append("unsupported-structure")
-    if writer.drop and (writer.swallowed or writer.open[-1] in ("script", "style")) and "unsupported-structure" not in codes:
-        codes.append("unsupported-structure")  # an element that was never closed took the rest along
     if not text:
         codes.append("body-missing")
-    if writer.counts["missing"]:
+    if writer.counts["missing"] or writer.lost_image:
         codes.append("asset-incomplete")
     if writer.counts["encrypted"] or writer.counts["embedded"]:
         codes.append("unresolved-embedded-content")

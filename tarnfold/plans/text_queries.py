@@ -183,7 +183,15 @@ def l5_repair_list_url(spark, d):
     return views.pages(spark, d).select("source_position", urls.repair_list_url(noisy).alias("url"))
 
 
-_LINKS = r"""lk AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 2)) AS inner_html, unnest(range(len(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>', 1)))) AS nth, url FROM pages)"""
+def decoded_sql(c: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&amp;", "&")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+#: Anchors of the given pages, cut out at their tags.
+_LINKS = f"""lk AS (SELECT page_id, url, nth, {decoded_sql("string_split(string_split(x, 'href=\"')[2], '\"')[1]")} AS href, {decoded_sql("string_split(substring(x, instr(x, '>') + 1), '</a>')[1]")} AS inner_text
+FROM (SELECT page_id, url, unnest(string_split(html, '<a ')[2:]) AS x, unnest(range(len(string_split(html, '<a ')) - 1)) AS nth FROM pages))"""
 
 
 def plain_sql(c: str) -> str:
@@ -264,7 +272,20 @@ def x5_plain_text(spark, d):
     return views.table(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?i)</?meta\b[^>]*>', '', 'g') AS clean FROM pages")
+def _sanitized_sql() -> str:
+    """The given pages sanitised: their heads, comments and frames go, and paragraphs and bold text, which they leave open, are closed."""
+    bare = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<head>.*?</head>', '', 'g'), '<div[^>]*>', '<div>', 'g')"
+    ends = r"regexp_extract(x, '(?s)^(.*?)(</?(?:p|h1|div|ul|li|article|footer|nav|body|html)\b.*)?$', 1)"
+    rest = r"regexp_replace(substring(x, length(" + ends + r") + 1), '^</p>', '')"
+    bold = f"repeat('</b>', len(regexp_extract_all({ends}, '<b>')))"
+    closed = f"list_transform(string_split({bare}, '<p>'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '<p>' || {ends} || {bold} || '</p>' || {rest} END)"
+    framed = rf"regexp_replace(array_to_string({closed}, ''), '</?(html|body|nav|article|footer)\b[^>]*>', '', 'g')"
+    for a, b in (("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")):
+        framed = f"replace({framed}, '{a}', '{b}')"
+    return framed
+
+
+@query(f"SELECT page_id, {_sanitized_sql()} AS clean FROM pages")
 def x6_sanitize_html(spark, d):
     return views.table(spark, d, "pages").select("page_id", text.sanitize_html(F.col("html")).alias("clean"))
 
@@ -276,7 +297,7 @@ def x7_extract_images(spark, d):
     return page.select("page_id", F.posexplode(text.extract_images(F.col("html"), F.col("url"))).alias("nth", "src")).withColumn("nth", F.col("nth").cast("long"))
 
 
-@query(f"WITH {_LINKS} SELECT page_id, nth, href, {plain_sql('inner_html')} AS text FROM lk")
+@query(f"WITH {_LINKS} SELECT page_id, nth, href, trim(regexp_replace(inner_text, '\\s+', ' ', 'g')) AS text FROM lk")
 def x8_extract_links(spark, d):
     rows = views.table(spark, d, "pages").select("page_id", F.posexplode(text.extract_links(F.col("html"))).alias("nth", "l"))
     return rows.select("page_id", F.col("nth").cast("long").alias("nth"), "l.href", "l.text")
@@ -302,15 +323,18 @@ def x11_page_title(spark, d):
 
 
 def _markdown_sql() -> str:
-    """Markdown of the given pages' articles, which hold headings, paragraphs, lists, bold text and line breaks only."""
-    text_ = r"regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '\s+', ' ', 'g')"
-    for pattern, to in (("<h1>", "\n\n# "), ("</h1>|</?p>|</?div[^>]*>", "\n\n"), ("<br>", "  \n"), ("</?b>", "**"), ("</?[uo]l>", "\n"), ("<li>", "\n- "), ("</?[A-Za-z][^>]*>", "")):
+    """Markdown of the given pages' articles, which hold headings, paragraphs, lists, line breaks, and bold text that no tag ends: it runs on to the end, block by block."""
+    blocks = r"(?:</?(?:h1|p|ul|ol|li|div)\b[^>]*>\s*)+"
+    article = r"regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), '\s+', ' ', 'g')"
+    article = rf"regexp_replace({article}, '(?:\s*<br>\s*)+({blocks}|$)', '\1', 'g')"
+    bold = rf"regexp_replace(replace(array_to_string(string_split({article}, '<b>')[2:], ''), '<b>', '') || chr(3), '\s*({blocks})', chr(3) || '\1' || chr(3), 'g')"
+    text_ = rf"CASE WHEN contains({article}, '<b>') THEN string_split({article}, '<b>')[1] || regexp_replace(chr(3) || {bold}, '\x03(\s*)\x03', '\1', 'g') ELSE {article} END"
+    for pattern, to in (("<h1>", "\n\n# "), ("</h1>|</?p>|</?div[^>]*>", "\n\n"), (" *<br> *", "  \n"), ("</?[uo]l>", "\n"), ("<li>", "\n- "), ("</?[A-Za-z][^>]*>", "")):
         text_ = f"regexp_replace({text_}, '{pattern}', '{to}', 'g')".replace("\n", "' || chr(10) || '")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         text_ = f"replace({text_}, '{a}', '{b}')"
-    text_ = rf"regexp_replace({text_}, '\*\*\s*\*\*', '', 'g')"
     text_ = rf"regexp_replace(regexp_replace(regexp_replace({text_}, '  \n', chr(1), 'g'), '[ \t]+(\x01|\n)', '\1', 'g'), '\x01', '  ' || chr(10), 'g')"
-    return rf"trim(regexp_replace({text_}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+    return rf"replace(trim(regexp_replace({text_}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)), chr(3), '**')"
 
 
 @query(f"SELECT page_id AS source_position, {_markdown_sql()} AS markdown, 'full' AS quality, '' AS degradations FROM pages")
@@ -499,9 +523,30 @@ def ar7_mime_columns(spark, d):
 # --- rows that readers and writers make
 
 
-@query(f"WITH {_LINKS} SELECT page_id AS page, nth, href, {plain_sql('inner_html')} AS text FROM lk WHERE href <> ''")
+@query(f"WITH {_LINKS} SELECT page_id AS page, nth, href, trim(regexp_replace(inner_text, '\\s+', ' ', 'g')) AS text FROM lk WHERE href <> ''")
 def s4_read_observations(spark, d):
-    return readers.read_observations(views.pages(spark, d))
+    return readers.read_observations(views.pages(spark, d)).select("page", "nth", "href", F.coalesce("title", F.lit("")).alias("text"))
+
+
+@query("""WITH n AS (SELECT page_id AS page, url, unnest([0, 1, 2]) AS nth FROM pages)
+SELECT page, CAST(nth AS BIGINT) AS nth, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/item/' || page || '-' || nth AS href, 'Item ' || page || ' no. ' || nth AS title, CASE WHEN nth <> 1 THEN 'by ' || page END AS author, CASE WHEN nth = 0 THEN 'about ' || page END AS summary,
+    regexp_extract(url, '^[a-z]+://[^/?#]*') || '/c' || nth || '.png' AS cover, CASE nth WHEN 0 THEN '2024-01-02' WHEN 1 THEN 'yesterday' END AS published, CASE WHEN nth = 2 THEN 'later' END AS collection, CASE WHEN page % 2 = 0 THEN page || '-' || nth END AS external_id FROM n""")
+def s4_list_fields(spark, d):
+    """Saved lists of three cards for each page, in one layout of marked items and one of repeated siblings, with an advert between; all fields of their entries."""
+    page = views.table(spark, d, "pages").select("page_id", "url")
+    n, even = F.col("page_id").cast("string"), F.col("page_id") % 2 == 0
+    c = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    card = lambda k, link, more: F.when(even, c(f'<div class="card" data-item-id="', n, f'-{k}">', link, more, "</div>")).otherwise(c('<li class="card"><div class="r">', link, "</div>", more, "</li>"))
+    link = lambda k: c(f'<a class="title" href="/item/', n, f'-{k}">Item <b>', n, f"</b> no. {k}</a>")
+    author, top = c("<span class='author x'>by ", n, "</span>"), '<a href="#"><img class=avatar></a>'
+    cards = c(
+        card(0, c(top, link(0)), c("<p class=summary>about ", n, '</p><div class="cover"><img data-src="/c0.png" src="x.gif"></div><time datetime="2024-01-02">2 Jan</time>', author)),
+        F.when(even, "<div class=ad>buy <a>now</a></div>").otherwise("<li>no link here</li>"),
+        card(1, link(1), c('<img class="cover" src="/c1.png"><time>yesterday</time><!-- <span class=author>none</span> -->')),
+        card(2, link(2), c('<img src="data:image/png,x"><img src="/c2.png"><i class="collection-name"> later </i>', author)),
+    )
+    lists = page.withColumn("html", c("<html><body><ul>", cards, "</ul></body></html>"))
+    return readers.read_observations(lists, "page_id", url="url")
 
 
 @query(f"WITH {NOTES} SELECT ordinal::VARCHAR AS ordinal, {guard_sql('title')} AS title, {guard_sql('stack')} AS stack FROM v2")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfold.functions.text import extract_links
+from tarnfold.functions.text import list_entries
+from tarnfold.functions.urls import resolve_url
 from tarnfold.operators.windows import order_ordinals
 from tarnfold.sources import versions
 
@@ -60,10 +61,15 @@ def inventory_inputs(spark: SparkSession, roots: list[str], include_html: bool =
     return told
 
 
-def read_observations(pages: DataFrame, key: str = "source_position", html: str = "html") -> DataFrame:
-    """One row for each list entry of saved-list pages: position on the page, link, text. Entries without a link are dropped."""
-    rows = pages.select(F.col(key).alias("page"), F.posexplode(extract_links(F.col(html))).alias("nth", "link"))
-    return rows.select("page", F.col("nth").cast("long").alias("nth"), F.col("link.href").alias("href"), F.col("link.text").alias("text")).filter("href != ''")
+def read_observations(pages: DataFrame, key: str = "source_position", html: str = "html", url: str | None = None) -> DataFrame:
+    """One row for each list entry of saved-list pages: position on the page, link, title, author, summary, cover, time, collection and id, null where an entry has none.
+
+    Entries without a link are dropped. url: the column with the page's address, by which links and covers become absolute.
+    """
+    base = [F.col(url).alias("base")] if url else []
+    rows = pages.select(F.col(key).alias("page"), *base, F.posexplode(list_entries(F.col(html))).alias("nth", "e"))
+    whole = lambda name: resolve_url(F.col("base"), F.col(f"e.{name}")) if url else F.col(f"e.{name}")
+    return rows.select("page", F.col("nth").cast("long").alias("nth"), whole("href").alias("href"), "e.title", "e.author", "e.summary", whole("cover").alias("cover"), "e.published", "e.collection", "e.external_id")
 
 
 _S, _L, _B = T.StringType(), T.LongType(), T.BooleanType()

@@ -91,7 +91,7 @@ def test_plan_hash_ignores_order(spark):
     ("html", "markdown"),
     [
         ("<h2>T</h2><p>a <b>b</b> <i>c</i></p>", "## T\n\na **b** *c*"), ("<ul><li>x<li>y</ul>", "- x\n- y"), ('<a href="https://e.com">t</a>', "[t](https://e.com)"), ('<a href="javascript:x">t</a>', "t"),
-        ("<script>x</script>y", "y"), ("<pre><code>a  b</code></pre>", "```\na  b\n```"), ("<p>open <b>never closed", "open **never closed"), ('<img data-src="/i.png" alt="k">', "![k](/i.png)"),
+        ("<script>x</script>y", "y"), ("<pre><code>a  b</code></pre>", "```\na  b\n```"), ("<p>open <b>never closed", "open **never closed**"), ('<img data-src="/i.png" alt="k">', "![k](/i.png)"),
     ],
 )
 def test_markdown(html, markdown):
@@ -116,8 +116,8 @@ def test_body_of(html, body):
 @pytest.mark.parametrize(
     ("html", "markdown", "degradations"),
     [
-        ('<p>a</p><embed src="x"><p>kept</p>', "a\n\nkept", "unresolved-embedded-content"), ("<div><form><p>gone</div><p>kept</p>", "kept", ""), ("<p>a</p><form><p>the rest", "a", "unsupported-structure"),
-        ("<p>a</p><nav>menu</nav></nav></aside><p>b</p>", "a\n\nb", ""), ("<p>a<iframe src=x>old browsers</iframe>b</p>", "ab", "unresolved-embedded-content"), ("<p>a<svg><g></svg>b", "ab", ""), ("a<script>never closed", "a", "unsupported-structure"),
+        ('<p>a</p><embed src="x"><p>kept</p>', "a\n\nkept", "unresolved-embedded-content"), ("<div><form><p>held</div><p>kept</p>", "held\n\nkept", ""), ("<p>a</p><form><p>the rest", "a\n\nthe rest", ""), ("<p>a</p><object><p>the rest", "a", "unsupported-structure,unresolved-embedded-content"),
+        ("<p>a</p><nav>menu</nav></nav></aside><p>b</p>", "a\n\nmenu\n\nb", ""), ("<p>a<iframe src=x>old browsers</iframe>b</p>", "ab", "unresolved-embedded-content"), ("<p>a<svg><g></svg>b", "ab", ""), ("a<script>never closed", "a", "unsupported-structure"),
     ],
 )
 def test_nothing_is_lost_as_full(html, markdown, degradations):
