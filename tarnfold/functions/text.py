@@ -31,6 +31,17 @@ REDACTIONS = (
     (r"(?i)(验证码|verification code|otp)(\s*[:=]?\s*)(\d{4,8})", "$1$2[REDACTED]"),
     (r"[\w.+-]+@[\w-]+\.[\w.-]+", "[REDACTED_EMAIL]"),
 )
+#: The same, each beginning where a match can begin or at its anchor word, so that no run of characters is read over and over.
+ANCHORED = (
+    REDACTIONS[0], *((p.replace(r"\b", "(?<![A-Za-z0-9_])"), to) for p, to in REDACTIONS[1:3]),  # letters beyond ASCII bound words, too
+    (r"""(?i)(token['"]?\s*+[:=]\s*['"]?)([^\n\r]+)""", "$1[REDACTED]"),
+    (r"""(?i)((?:pass(?:word|wd|phrase)?|secret|api[_-]?key|apikey)['"]?\s*+[:=]\s*['"]?)([^\n\r]+)""", "$1[REDACTED]"),
+    *REDACTIONS[5:7],
+    (r"(?i)(验证码|verification code|otp)(\s*+[:=]?\s*+)(\d{4,8})", "$1$2[REDACTED]"),
+    (r"(?:\G|(?<![\w.+-]))[\w.+-]++@[\w-]++\.[\w.-]+", "[REDACTED_EMAIL]"),
+)
+#: All up to the last end of a key: no key begins behind it.
+LAST_KEY = r"(?s)^(.*-----END [A-Z ]*(?:PRIVATE KEY|CERTIFICATE)-----)"
 #: What a text must hold, in lower case, for any of these patterns to match: most texts skip them all.
 NEEDED = ("-----begin", "cookie", "authorization", "token", "pass", "secret", "apikey", "api_key", "api-key", "--", "验证码", "verification code", "otp", "@")
 #: A phone number between characters that aren't digits; neighbours share one, so this runs twice.
@@ -133,12 +144,25 @@ def list_entries(html: pd.Series) -> pd.Series:
 
 
 def page_metadata(html: Column) -> Column:
-    """Struct (title, author, published, image, description): JSON-LD first, then Open Graph, then meta tags; the first value wins."""
+    """Struct (title, author, published, image, description): JSON-LD first, then Open Graph, then meta tags; the first value wins.
+
+    JSON-LD nodes are the blocks, the elements of blocks that are arrays, and those of @graph, of any number and order; in a graph articles
+    are read before other nodes. Broken blocks are passed over.
+    """
     blocks = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    get = lambda v, p: F.try_variant_get(v, p, "string")
-    deep = lambda v, p: F.coalesce(get(v, f"$.{p}"), get(v, f"$[0].{p}"), get(v, f"$['@graph'][0].{p}"), get(v, f"$['@graph'][1].{p}"))
-    ld = lambda *paths: F.get(F.filter(F.transform(parsed, lambda v: F.coalesce(*(deep(v, p) for p in paths))), lambda x: x.isNotNull()), 0)
+    listed = lambda json: F.from_json(json, "array<string>")
+    article = lambda n: F.coalesce(F.get_json_object(n, "$['@type']").rlike(r'Article(?:"|$)'), F.lit(False))
+
+    def nodes(block: Column) -> Column:
+        whole = F.to_json(F.try_parse_json(block))
+        graph = listed(F.get_json_object(whole, "$['@graph']"))
+        sorted_ = F.concat(F.filter(graph, article), F.filter(graph, lambda n: ~article(n)))
+        return F.when(whole.isNull(), F.array().cast("array<string>")).when(whole.startswith("["), listed(whole)).when(F.get_json_object(whole, "$['@graph']").startswith("["), sorted_).otherwise(F.array(whole))
+
+    every = F.flatten(F.transform(blocks, nodes))
+    get = lambda n, *paths: F.coalesce(*(F.nullif(F.get_json_object(n, f"$.{p}"), F.lit("")) for p in paths))
+    plain = lambda v: F.when(~v.rlike(r"^\s*[\[{]"), v)
+    ld = lambda *paths: F.get(F.filter(F.transform(every, lambda n: plain(get(n, *paths))), lambda x: x.isNotNull()), 0)
     meta = lambda kind, name: F.nullif(F.regexp_extract(html, rf"""(?is)<meta\b[^>]*{kind}=["']{name}["'][^>]*content=["']([^"']*)["']""", 1), F.lit(""))
     return F.struct(
         F.coalesce(ld("headline", "name"), meta("property", "og:title"), meta("name", "title")).alias("title"), F.coalesce(ld("author.name", "author[0].name", "author"), meta("property", "article:author"), meta("name", "author")).alias("author"),
@@ -199,8 +223,11 @@ def front_matter(fields: list[tuple[str, Column]], tags: Column | None = None) -
 
 
 def redact(c: Column, home: str | None = None) -> Column:
+    """c without keys, cookies, tokens, passwords, codes, addresses and phone numbers, and without the home folder. Work is in proportion to the text."""
     may = reduce(Column.__or__, [F.contains(F.lower(c), F.lit(w)) for w in NEEDED])
-    out = F.when(may, reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), REDACTIONS, c)).otherwise(c)
+    ended = F.regexp_extract(c, LAST_KEY, 1)
+    keyless = F.when(F.contains(c, F.lit("-----BEGIN")), F.concat(F.regexp_replace(ended, *ANCHORED[0]), F.substring(c, F.char_length(ended) + 1, F.lit((1 << 31) - 1)))).otherwise(c)
+    out = F.when(may, reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), ANCHORED[1:], keyless)).otherwise(c)
     phones = reduce(lambda x, _: F.regexp_replace(x, PHONE, "$1[REDACTED_PHONE]$2"), range(2), out)
     out = F.when(c.rlike("1[3-9][0-9]{9}"), phones).otherwise(out)
     if home and home != "/":

@@ -578,12 +578,23 @@ def s8_note_rows(spark, d):
 
 @query(f"WITH {RESOURCES} SELECT sha256, max(size) AS size, count(*) AS n_refs FROM res GROUP BY 1")
 def s9_unique_assets(spark, d):
-    """Resources written once for each content and read again, with who refers to them."""
+    """Resources stored once for each content, by a run over those of some languages and one over all, and read again, with who refers to them. Every fifth document is none (see FIXTURES.md)."""
     path = scratch_folder(spark, "assets")
-    docs = views.table(spark, d, "documents").filter("doc_id % 5 <> 0")
-    writers.write_assets(docs.select(F.sha2("text", 256).alias("sha256"), F.encode("text", "UTF-8").alias("content")), path)
-    files = spark.read.parquet(path).select("sha256", F.octet_length("content").cast("long").alias("size"))
-    return files.join(writers.unique_assets(views.resources(spark, d)).drop("size"), "sha256")
+    docs = views.table(spark, d, "documents").filter("doc_id % 5 <> 0").select("lang", F.encode("text", "UTF-8").alias("content"))
+    for part in (docs.filter("lang <> 'en'"), docs):
+        writers.write_assets(part, path)
+    return writers.read_assets(spark, path).select("sha256", "size").join(writers.unique_assets(views.resources(spark, d)).drop("size"), "sha256")
+
+
+@query("""WITH t AS (SELECT text, lang <> 'en' AS early FROM documents WHERE text IS NOT NULL)
+SELECT 'first' AS run, count(*) AS n_refs, count(DISTINCT text) AS n_contents, count(DISTINCT text) AS n_new FROM t WHERE early
+UNION ALL SELECT 'second', count(*), count(DISTINCT text), count(DISTINCT text) - (SELECT count(DISTINCT text) FROM t WHERE early) FROM t""")
+def s9_asset_runs(spark, d):
+    """What two runs into one store report: of the second, only contents that the first hadn't stored are new."""
+    path = scratch_folder(spark, "assets")
+    docs = views.table(spark, d, "documents").select("lang", F.encode("text", "UTF-8").alias("content"))
+    told = [writers.write_assets(part, path).withColumn("run", F.lit(name)) for name, part in (("first", docs.filter("lang <> 'en'")), ("second", docs))]
+    return told[0].unionByName(told[1])
 
 
 @query(f"SELECT doc_id, {redact_sql('text')} AS message FROM documents")
@@ -594,13 +605,13 @@ def s10_redacted_log(spark, d):
     return spark.read.schema("doc_id long, message string").json(path)
 
 
-@query("SELECT 'book=' || page_id AS notebook, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, sha256(html || chr(10)) AS file_sha256, CAST(strlen(html) + 1 AS BIGINT) AS size FROM pages")
+@query("SELECT 'book=' || page_id AS notebook, 'book=' || page_id || '/page.txt' AS relative_path, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, sha256(html || chr(10)) AS file_sha256, CAST(strlen(html) + 1 AS BIGINT) AS size FROM pages")
 def s2_read_html_export(spark, d):
     """Pages written as a folder of one file a note and read again."""
     root = scratch_folder(spark, "html-export")
     pages = views.table(spark, d, "pages").select(F.col("page_id").alias("book"), "html")
     pages.repartition(8).write.partitionBy("book").text(root)
-    return readers.read_html_export(spark, root, "*.txt").select("notebook", "title", "file_sha256", "size")
+    return readers.read_html_export(spark, root, "*.txt").select("notebook", F.regexp_replace("relative_path", r"/part-[^/]*$", "/page.txt").alias("relative_path"), "title", "file_sha256", "size")
 
 
 @query("SELECT page_id, 'skipped' AS kind, CASE WHEN page_id % 3 = 0 THEN 'resource_folder' ELSE 'unknown_extension' END AS reason, CAST(strlen(html) + 1 AS BIGINT) AS size FROM pages")

@@ -33,9 +33,11 @@ def read_enex(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, D
 
 
 def read_html_export(spark: SparkSession, root: str, names: str = "*.html") -> DataFrame:
-    """One note for each .html file, or each file that names matches: title, notebook (the parent folder), hash of the bytes, relative path."""
+    """One note for each .html file, or each file that names matches: title, notebook (the parent folder, or the root's name for a file in it), hash of the bytes, path relative to the root."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    home = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
-    relative = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    relative = F.substring(F.col("path"), F.lit(len(home) + 2), F.lit(1 << 30))
     html = F.decode("content", "UTF-8")
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html$", "")
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")), name)

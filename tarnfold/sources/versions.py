@@ -91,9 +91,8 @@ def write_parts(df: DataFrame, root: str, keys: tuple[str, ...], buckets: int) -
     if buckets == 1:
         df.write.parquet(f"{root}/{home}/b-0")
         return {"0": [f"{home}/b-0"]}
-    dealt = df.withColumn("bucket_", bucket_of(keys, buckets)).hint("rebalance", "bucket_")
-    dealt.write.partitionBy("bucket_").parquet(f"{root}/{home}")
-    return {n.removeprefix("bucket_="): [f"{home}/{n}"] for n, _ in _names(df.sparkSession, f"{root}/{home}") if n.startswith("bucket_=")}
+    _dealt(df, keys, buckets).drop("share_").write.partitionBy("bucket_").parquet(f"{root}/{home}")
+    return _parts(df.sparkSession, root, home)
 
 
 def _stage(spark: SparkSession, root: str, at: Snapshot) -> str:
@@ -161,23 +160,49 @@ def commit(spark: SparkSession, root: str, base: Snapshot, parts: dict[str, list
             now = other
 
 
+def _dealt(df: DataFrame, keys: list[str] | tuple[str, ...], buckets: int) -> DataFrame:
+    """df with its bucket and a share of it, so that a bucket is as many tasks as it has shares; equal keys are together."""
+    return df.withColumn("bucket_", bucket_of(keys, buckets)).withColumn("share_", F.pmod(F.hash(*keys), F.lit(SHARES))).repartition("bucket_", "share_")
+
+
+#: Tasks that write a bucket at most.
+SHARES = 16
+
+
 def merge(new: DataFrame, root: str, schema, keys: list[str], buckets: int = 64, removed: DataFrame | None = None) -> Snapshot:
     """Rows of new in place of those of the same keys; rows with other keys stay. Only buckets with new or removed keys are written again; no such keys make no commit.
 
-    Keys are compared null-safe and are once in new. removed: keys whose rows go. A table of another layout is dealt anew, once.
+    Keys are compared null-safe; of rows of new with one key the greatest by the other columns counts. removed: keys whose rows go, where new has
+    none. Old and new rows move once, dealt by bucket. A table of another layout is dealt anew, once.
     """
     spark, base = new.sparkSession, snapshot(new.sparkSession, root)
-    gone = (new if removed is None else new.select(*keys).unionByName(removed.select(*keys))).select(*(F.col(k).alias(f"gone_{k}") for k in keys))
-    of = bucket_of([f"gone_{k}" for k in keys], buckets)
-    touched = sorted(str(r[0]) for r in gone.select(of).distinct().collect())  # at most `buckets`
+    gone = new.select(*keys).limit(0) if removed is None else removed.select(*keys)
+    touched = sorted(str(r[0]) for r in new.select(*keys).unionByName(gone).select(bucket_of(keys, buckets)).distinct().collect())  # at most `buckets`
     if not touched:
         return base
     fresh = not base.version or (base.buckets, base.keys) != (buckets, tuple(keys))
     old = rows(spark, root, base, schema, None if fresh else touched)
-    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
-    stay = old.join(gone, same, "left_anti")
-    parts = write_parts(stay.unionByName(new.select(*stay.columns)), root, tuple(keys), buckets)
-    return commit(spark, root, base, parts, None if fresh else touched, buckets, tuple(keys))
+    rest = [c for c in old.columns if c not in keys]
+    ranked = lambda df, rank: df.select(*keys, F.struct(F.lit(rank).alias("rank"), *(F.col(c) for c in rest)).alias("row"))
+    nothing = F.struct(F.lit(1).alias("rank"), *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in rest))
+    all_ = ranked(old, 0).unionByName(gone.select(*keys, nothing.alias("row"))).unionByName(ranked(new, 2))
+    last = _dealt(all_, keys, buckets).groupBy("bucket_", "share_", *keys).agg(F.max("row").alias("row")).filter("row.rank <> 1")
+    home = f"data/{uuid.uuid4().hex}"
+    last.select("bucket_", *(F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in old.columns)).write.partitionBy("bucket_").parquet(f"{root}/{home}")
+    return commit(spark, root, base, _parts(spark, root, home), None if fresh else touched, buckets, tuple(keys))
+
+
+def _parts(spark: SparkSession, root: str, home: str) -> dict[str, list[str]]:
+    return {n.removeprefix("bucket_="): [f"{home}/{n}"] for n, _ in _names(spark, f"{root}/{home}") if n.startswith("bucket_=")}
+
+
+def append(new: DataFrame, root: str, keys: list[str], buckets: int = 64) -> Snapshot:
+    """Rows of new beside the ones that are there; nothing is written again. Refused if another commit touched the same buckets since the snapshot that is read here."""
+    base = snapshot(new.sparkSession, root)
+    if base.version and (base.buckets, base.keys) != (buckets, tuple(keys)):
+        raise ValueError(f"{root} is dealt over {base.buckets} buckets by {base.keys}")
+    parts = write_parts(new, root, tuple(keys), buckets)
+    return commit(new.sparkSession, root, base, {b: base.parts.get(b, []) + p for b, p in parts.items()}, sorted(parts), buckets, tuple(keys)) if parts else base
 
 
 def clean(spark: SparkSession, root: str, keep: int = 3, hours: float = 168) -> int:

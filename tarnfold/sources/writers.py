@@ -91,19 +91,14 @@ def write_summary(df: DataFrame, path: str) -> None:
 def write_notes(df: DataFrame, root: str, shard: str = "shard", removed: DataFrame | None = None, buckets: int = 64) -> int:
     """Files (relative_path, text, shard, and if there are any owner, kind, written_hash, job_id) into the store of notes, each in place of the file of the same path; all other files stay. The number of the commit.
 
-    removed: paths (relative_path) of files that go. Of rows with one path the one with the greatest hash, owner and kind is written. A null
+    removed: paths (relative_path) of files that go. Of rows with one path the greatest by text is written. A null
     text is an empty file; rows without a path are left out.
     """
     given = [c for c in ("owner", "kind", "written_hash", "job_id") if c in df.columns]
     files = df.filter("relative_path is not null").select("relative_path", F.coalesce("text", F.lit("")).alias("text"), F.col(shard).cast("string").alias("shard"), *given).withColumn("content_hash", F.sha2("text", 256))
-    one = files.groupBy("relative_path").agg(F.max(F.struct("content_hash", *given, "shard", "text")).alias("f")).select("relative_path", "f.*")
     shape = T.StructType.fromDDL(NOTE_FILES)
-    whole = one.select(*(F.col(f.name) if f.name in one.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields))
-    path = scratch_folder(df.sparkSession, "notes")
-    whole.write.parquet(path)
-    done = versions.merge(df.sparkSession.read.schema(shape).parquet(path), root, shape, ["relative_path"], buckets, removed).version
-    drop_folder(df.sparkSession, path)
-    return done
+    whole = files.select(*(F.col(f.name) if f.name in files.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape.fields))
+    return versions.merge(whole, root, shape, ["relative_path"], buckets, removed).version
 
 
 def unique_assets(df: DataFrame) -> DataFrame:
@@ -111,9 +106,36 @@ def unique_assets(df: DataFrame) -> DataFrame:
     return df.groupBy("sha256").agg(F.max("size").alias("size"), F.count("*").alias("n_refs"))
 
 
-def write_assets(df: DataFrame, path: str) -> None:
-    """Asset bytes once for each content hash."""
-    df.select("sha256", "content").dropDuplicates(["sha256"]).write.mode("overwrite").parquet(path)
+#: A stored content.
+ASSET_FILES = "sha256 string, size long, content binary"
+
+
+def write_assets(df: DataFrame, root: str, buckets: int = 64) -> DataFrame:
+    """Asset bytes (content) into the store, once for each content hash whatever earlier runs have stored. One row: n_refs, n_contents, n_new of this call.
+
+    Hashes are taken from the bytes. Only hashes are compared with the store, bucket by bucket; then the new contents alone move and are
+    added. Null contents are no assets.
+    """
+    spark = df.sparkSession
+    found = df.filter("content is not null").select(F.sha2("content", 256).alias("sha256"), "content")
+    path = scratch_folder(spark, "hashes")
+    found.groupBy("sha256").agg(F.count("*").alias("n")).write.parquet(path)
+    hashes = spark.read.schema("sha256 string, n long").parquet(path)
+    at = versions.snapshot(spark, root)
+    touched = sorted(str(r[0]) for r in hashes.select(versions.bucket_of(["sha256"], buckets)).distinct().collect())  # at most `buckets`
+    new = hashes.join(versions.rows(spark, root, at, ASSET_FILES, touched).select("sha256"), "sha256", "left_anti")
+    told = hashes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_refs"), F.count("*").alias("n_contents")).first()
+    n_new = new.count()
+    if n_new:
+        one = found.join(new.select("sha256"), "sha256", "left_semi").groupBy("sha256").agg(F.first("content").alias("content"))  # rows of one hash have one content
+        versions.append(one.select("sha256", F.octet_length("content").cast("long").alias("size"), "content"), root, ["sha256"], buckets)
+    drop_folder(spark, path)
+    return spark.createDataFrame([(told["n_refs"], told["n_contents"], n_new)], "n_refs long, n_contents long, n_new long")
+
+
+def read_assets(spark: SparkSession, root: str) -> DataFrame:
+    """(sha256, size, content) of the stored contents; none if nothing was stored yet."""
+    return versions.rows(spark, root, versions.snapshot(spark, root), ASSET_FILES)
 
 
 def redacted_log(df: DataFrame, column: str = "message") -> DataFrame:

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +139,40 @@ def test_fingerprint_errors(spark):
 def test_config_hash_ignores_key_order(spark):
     assert one(spark, '{"a":1,"b":{"c":2,"d":3}}', identity.config_hash) == one(spark, '{"b":{"d":3,"c":2},"a":1}', identity.config_hash)
     assert one(spark, "{broken", identity.config_hash) is None
+
+
+PIECES = ["token", "=", ":", " ", "\n", "-", "a", "a-", "password", "pass", "secret", "api-key", "apikey", "@", "b.c", "+", "x", "'", '"', "otp", "1234", "cookie", "set-", "--token ", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----", "-----END CERTIFICATE-----", "authorization", "\u00e9", "_", "db_", "/user/token/", "\u9a8c\u8bc1\u7801", "?", "   "]
+
+
+def test_redact_gives_what_its_plain_patterns_give(spark):
+    rng = random.Random(1)
+    rows = ["".join(rng.choices(PIECES, k=rng.randrange(1, 30))) for _ in range(5000)]
+
+    def plain(t):
+        for pattern, to in text.REDACTIONS:
+            t = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), t, flags=re.ASCII)
+        return t
+
+    got = {r["c"]: r["r"] for r in spark.createDataFrame([(t,) for t in rows], "c string").select("c", text.redact(F.col("c")).alias("r")).collect()}
+    assert got == {t: plain(t) for t in rows}
+
+
+@pytest.mark.parametrize("part", ["a-", "otp ", " ", "-----BEGIN PRIVATE KEY-----", "a@", "a.", "pass", "token ", "-----BEGIN A"])
+def test_redaction_is_linear(spark, part):
+    run = "token otp" + part * (5_000_000 // len(part)) + "token@"
+    began = time.perf_counter()
+    assert spark.createDataFrame([(run,)], "c string").select(F.length(text.redact(F.col("c")))).first()[0] > 0
+    assert time.perf_counter() - began < 60
+
+
+def test_metadata_of_graphs_and_arrays(spark):
+    def meta(*blocks):
+        html = "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+        return one(spark, html, lambda c: text.page_metadata(c))
+
+    other = ",".join('{"@type":"WebPage","headline":"page %d","author":"site"}' % i for i in range(4))
+    fifth = meta('{"@graph":[%s,{"@type":["Thing","NewsArticle"],"headline":"fifth","author":[{"name":"me"}],"image":["i.png","j.png"]}]}' % other)
+    assert (fifth["title"], fifth["author"], fifth["image"]) == ("fifth", "me", "i.png")
+    third = meta("{broken", '[{"x":1},{"y":2},{"headline":"third","datePublished":"2024"}]', '{"headline":"late","description":"d"}')
+    assert (third["title"], third["published"], third["description"]) == ("third", "2024", "d")
+    assert meta('{"@graph":[]}')["title"] is None and meta('{"name":"n","author":{"name":"a"},"image":{"url":"u"}}')["image"] == "u"

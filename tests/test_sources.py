@@ -39,13 +39,17 @@ def test_html_export_and_inventory(spark, tmp_path):
     book = tmp_path / "Book"
     (book / "n.resources").mkdir(parents=True)
     (book / "n.html").write_text("<html><title> My note </title><p>x</p></html>")
+    for shelf in ("a", "b c"):
+        (tmp_path / shelf / "n").mkdir(parents=True)
+        (tmp_path / shelf / "n" / "x.html").write_text(f"<title>{shelf}</title>")
+    (tmp_path / "top.html").write_text("<p>no title</p>")
     (book / "n.resources" / "i.html").write_text("x")
     (book / "e.enex").write_text("<en-export></en-export>")
     (book / "x.txt").write_text("x")
     r = readers.read_html_export(spark, str(tmp_path)).collect()
-    assert [(x["relative_path"], x["title"], x["notebook"]) for x in r] == [("Book/n.html", "My note", "Book")]
+    assert sorted((x["relative_path"], x["title"], x["notebook"]) for x in r) == [("Book/n.html", "My note", "Book"), ("a/n/x.html", "a", "n"), ("b c/n/x.html", "b c", "n"), ("top.html", "top", tmp_path.name)]
     found = {x["path"].rsplit("/", 1)[1]: (x["kind"], x["reason"]) for x in readers.inventory_inputs(spark, [str(tmp_path), str(book)]).collect()}
-    assert found == {"n.html": ("html", None), "i.html": ("skipped", "resource_folder"), "e.enex": ("enex", None), "x.txt": ("skipped", "unknown_extension")}
+    assert found == {"x.html": ("html", None), "top.html": ("html", None), "n.html": ("html", None), "i.html": ("skipped", "resource_folder"), "e.enex": ("enex", None), "x.txt": ("skipped", "unknown_extension")}
     (book / "old.notes").write_text("x")
     with pytest.raises(ValueError, match="proprietary"):
         readers.inventory_inputs(spark, [str(tmp_path)])
@@ -89,3 +93,16 @@ def test_stream_upsert_takes_late_rows_once(spark, tmp_path):
         stream_upsert(spark.readStream.schema(schema).parquet(str(src)), root, "source_items", "item_id", ["status", "quality"], str(tmp_path / "cp"), "position").awaitTermination()
     out = {r["item_id"]: (r["status"], r["quality"]) for r in readers.read_state(spark, root, "source_items").collect()}
     assert out == {1: ("verified", "full"), 2: ("verified", "full"), 3: ("queued", None)}
+
+
+def test_a_second_run_stores_only_new_contents(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *contents: spark.createDataFrame([(bytearray(c) if c is not None else None,) for c in contents], "content binary")
+    told = lambda df: tuple(df.first())
+    assert told(writers.write_assets(rows(), root)) == (0, 0, 0) and writers.read_assets(spark, root).count() == 0
+    assert told(writers.write_assets(rows(b"a", b"b", b"a", None, b""), root)) == (4, 3, 3)
+    version = writers.versions.snapshot(spark, root).version
+    assert told(writers.write_assets(rows(b"b", b"a"), root)) == (2, 2, 0) and writers.versions.snapshot(spark, root).version == version
+    assert told(writers.write_assets(rows(b"b", b"c", b"c"), root)) == (3, 2, 1)
+    held = writers.read_assets(spark, root).withColumn("fits", F.col("sha256") == F.sha2("content", 256)).collect()
+    assert sorted(bytes(r["content"]) for r in held) == [b"", b"a", b"b", b"c"] and all(r["fits"] for r in held)
