@@ -175,12 +175,11 @@ def cluster(vectors: DataFrame, clusters: int = 8, rounds: int = 10, dimension:
 def cluster_report(vectors: DataFrame, **options) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every usable vector; a sum beyond 64 bits or over a distance beyond them is null."""
     rows, at = cluster(vectors, **options)
-    total = lambda: F.when(F.count("*") == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)")))
-    each = rows.groupBy("cluster").agg(total().alias("own"))
-    overall = rows.agg(total().alias("all"))
-    spark = vectors.sparkSession
-    names = spark.createDataFrame([(i, sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(at)], "cluster int, centroid_sha256 string")
-    small = each.join(F.broadcast(names), "cluster").join(F.broadcast(overall))  # a row for each cluster; overall is one row
+    total = F.when(F.count("*") == F.count("distance"), F.sum(F.col("distance").cast("decimal(38,0)")))
+    own = {r["cluster"]: r["own"] for r in rows.groupBy("cluster").agg(total.alias("own")).collect()}  # a row for each cluster
+    overall = None if None in own.values() else sum(own.values())
+    told = [(c, own[c], overall, sha256(",".join(map(str, at[c])).encode()).hexdigest()) for c in own]
+    small = vectors.sparkSession.createDataFrame(told, "cluster int, own decimal(38,0), all decimal(38,0), centroid_sha256 string")
     return rows.join(F.broadcast(small), "cluster").select("vec_id", "cluster", "distance", _long(F.col("own")).alias("cluster_inertia"), _long(F.col("all")).alias("inertia"), "centroid_sha256")
 
 
