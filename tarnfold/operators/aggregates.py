@@ -78,16 +78,28 @@ def cleanup_summary(items: DataFrame, status: str = "cleanup_status") -> DataFra
     return items.groupBy(known.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def plan_hash(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """A hash of each group's rows that depends on nothing but the rows.
+def plan_hash(rows: DataFrame, columns: list[str], by: list[str], leaf: int = 64) -> DataFrame:
+    """A hash of each group's rows that depends on nothing but the rows, and their number.
 
-    Row hashes are sorted within 256 buckets of their first byte, each bucket is hashed, and then the list of bucket hashes.
+    A tree over the digits of row hashes: a node of at most `leaf` distinct rows hashes their sorted hashes with how often each
+    occurs, any other the hashes of its up to 16 children. It is built from the digits that the greatest group needs upwards, so no list has more than
+    16 * leaf entries, however many rows a group has or repeats.
     """
     row = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    hashed = rows.select(*by, row.alias("h")).withColumn("bucket", F.substring("h", 1, 2))
-    buckets = hashed.groupBy(*by, "bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("b"), F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.concat("bucket", "b")))
-    return buckets.groupBy(*by).agg(F.sha2(F.array_join(listed, ""), 256).alias("plan_hash"), F.sum("n").alias("n_rows"))
+    hashed = rows.select(*by, row.alias("h"))
+    most = hashed.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    depth = 0
+    while most > leaf and most > 16**depth * leaf // 16:  # by then a node has leaf / 16 rows at the mean
+        depth += 1
+    counted = hashed.groupBy(*by, "h").agg(F.count("*").alias("n"))
+    entries = F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string"))))
+    nodes = counted.groupBy(*by, F.substring("h", 1, depth).alias("prefix")).agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), entries.alias("entries")).withColumn("tree", F.lit(None).cast("string"))
+    told = F.coalesce("tree", F.sha2(F.array_join("entries", ""), 256))
+    for digits in range(depth - 1, -1, -1):
+        above = nodes.groupBy(*by, F.substring("prefix", 1, digits).alias("up")).agg(F.sum("k").alias("k"), F.sum("n_rows").alias("n_rows"), F.flatten(F.collect_list("entries")).alias("entries"), F.array_sort(F.collect_list(F.concat("prefix", told))).alias("children"))
+        small = F.col("k") <= leaf
+        nodes = above.select(*by, F.col("up").alias("prefix"), "k", "n_rows", F.when(small, F.array_sort("entries")).otherwise(F.array().cast("array<string>")).alias("entries"), F.when(~small, F.sha2(F.array_join("children", ""), 256)).alias("tree"))
+    return nodes.select(*by, told.alias("plan_hash"), "n_rows")
 
 
 def degradation_stats(items: DataFrame) -> DataFrame:

@@ -116,8 +116,12 @@ def stop_point(rounds: DataFrame, source: str = "source_id", patience: int = 5,
     """
     seen = rounds.groupBy(source, "round").agg(F.count("*").alias("n"))
     new = rounds.groupBy(source, "key").agg(F.min("round").alias("round")).groupBy(source, "round").agg(F.count("*").alias("new"))
+    return stop_of_rounds(seen.join(new, [source, "round"], "left").withColumn("new", F.coalesce("new", F.lit(0))), source, patience, cap)
+
+
+def stop_of_rounds(told: DataFrame, source: str = "source_id", patience: int = 5, cap: int | None = None) -> DataFrame:
+    """stop_point of (source, round, new): a row for each round with the number of keys first seen in it."""
     by = W.partitionBy(source).orderBy("round")
-    told = seen.join(new, [source, "round"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
     told = told.withColumn("total", F.sum("new").over(by)).withColumn("run", F.sum(F.when(F.col("new") > 0, 1).otherwise(0)).over(by))
     told = told.withColumn("idle", F.sum(F.when(F.col("new") == 0, 1).otherwise(0)).over(W.partitionBy(source, "run").orderBy("round")))
     stopped = F.when(F.col("idle") >= patience, "no_new_items")

@@ -104,11 +104,22 @@ def a10_cleanup_summary(spark, d):
     return aggregates.cleanup_summary(views.attempts(spark, d))
 
 
-@query(
-    f"""WITH {ITEM_STATES}, h AS (SELECT job_id, sha256(job_id || chr(1) || item_no || chr(1) || state) AS h FROM v4),
-b AS (SELECT job_id, h[1:2] AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS b, count(*) AS n FROM h GROUP BY 1, 2)
-SELECT job_id, sha256(string_agg(bucket || b, '' ORDER BY bucket || b)) AS plan_hash, CAST(sum(n) AS BIGINT) AS n_rows FROM b GROUP BY 1"""
-)
+def _tree_sql(rows: str, group: str, levels: int = 5, leaf: int = 64) -> str:
+    """Hashes of groups by a tree over the digits of row hashes, for groups whose nodes at `levels` digits are leaves. rows: a query of (group, h)."""
+    node = "coalesce(tree, sha256(array_to_string(entries, '')))"
+    out = f"WITH c AS (SELECT {group} AS g, h, count(*) AS n FROM ({rows}) GROUP BY ALL), t{levels} AS (SELECT g, h[1:{levels}] AS p, count(*) AS k, sum(n) AS n_rows, list(h || ':' || n ORDER BY h || ':' || n) AS entries, CAST(NULL AS VARCHAR) AS tree FROM c GROUP BY ALL)"
+    for d in range(levels - 1, -1, -1):
+        out += f""", t{d} AS (SELECT g, p[1:{d}] AS p, sum(k) AS k, sum(n_rows) AS n_rows, CASE WHEN sum(k) <= {leaf} THEN list_sort(flatten(list(entries))) ELSE [] END AS entries, CASE WHEN sum(k) > {leaf} THEN sha256(string_agg(p || {node}, '' ORDER BY p)) END AS tree FROM t{d + 1} GROUP BY g, t{d + 1}.p[1:{d}])"""
+    return f"{out} SELECT g AS {group}, {node} AS plan_hash, CAST(n_rows AS BIGINT) AS n_rows FROM t0"
+
+
+@query(_tree_sql("SELECT l_returnflag, sha256(l_orderkey || chr(1) || l_linenumber || chr(1) || l_partkey) AS h FROM lineitem", "l_returnflag"))
+def a11_plan_hash_of_flags(spark, d):
+    """Three groups of all line items: trees of several levels."""
+    return aggregates.plan_hash(views.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_returnflag"])
+
+
+@query(f"WITH {ITEM_STATES}, h AS (SELECT job_id, sha256(job_id || chr(1) || item_no || chr(1) || state) AS h FROM v4), c AS (SELECT job_id, h, count(*) AS n FROM h GROUP BY ALL) SELECT job_id, sha256(string_agg(h || ':' || n, '' ORDER BY h)) AS plan_hash, CAST(sum(n) AS BIGINT) AS n_rows FROM c GROUP BY 1")
 def a11_plan_hash(spark, d):
     return aggregates.plan_hash(views.item_states(spark, d), ["job_id", "item_no", "state"], ["job_id"])
 

@@ -52,9 +52,14 @@ def r1_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r2_stream_scan_state(spark: SparkSession, d: str) -> DataFrame:
+    """Observations in four files of mixed rounds, a batch each, so keys are seen again in earlier rounds than before."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    obs = _stream(spark, d, "events", views.attempts).select(F.col("job_id").alias("source_id"), "round", F.col("item_id").alias("key"))
-    return _last_update(streams.stream_scan_state(obs), "source_id")
+    root = _folder(spark)
+    obs = views.attempts(spark, d).select(F.col("job_id").alias("source_id"), "round", F.col("item_id").alias("key"))
+    obs.repartition(4, F.xxhash64("round", "key")).write.parquet(f"{root}/observations")
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/observations")
+    streams.stream_scan_state(stream, f"{root}/rounds", f"{root}/checkpoint", shards=4).awaitTermination()
+    return streams.read_scan_state(spark, f"{root}/rounds")
 
 
 def r3_stream_progress(spark: SparkSession, d: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tarnfold.functions.text import redact
 from tarnfold.operators.aggregates import state_counts
+from tarnfold.operators.windows import stop_of_rounds
 from tarnfold.sources.versions import clean
 from tarnfold.sources.writers import merge_ordered
 
@@ -21,55 +23,55 @@ def stream_dedup(obs: DataFrame, key: list[str], time: str = "ts", delay: str =
     return obs.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-class _ScanState(StatefulProcessor):
-    """Per source, the first round of each key, and of each round its observations and the keys first seen in it. A batch touches its own keys only; rounds are few."""
+_ROUNDS = "source_id string, round long, n long, new long"
 
-    def __init__(self, patience: int):
-        self.patience = patience
+
+class _FirstRounds(StatefulProcessor):
+    """The first round of each key of a shard of a source. A batch emits what it changes: observations, and keys that are new in a round or have left it for an earlier one."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.keys = handle.getMapState("keys", "key string", "round long")
-        self.rounds = handle.getMapState("rounds", "round long", "n long, fresh long")
+        self.keys = handle.getMapState("keys", "key string, null boolean", "round long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seen = {k[0]: v[0] for k, v in self.rounds.iterator()}
-        new = {k[0]: v[1] for k, v in self.rounds.iterator()}
-        touched: set[int] = set()
+        seen: Counter[int] = Counter()
+        new: Counter[int] = Counter()
         for part in rows:
-            for round_, n in part.groupby("round").size().items():
-                seen[int(round_)] = seen.get(int(round_), 0) + int(n)
-                touched.add(int(round_))
-            for item, round_ in part.groupby("key")["round"].min().items():
-                name, at = (str(item),), int(round_)
+            seen.update({int(r): int(n) for r, n in part.groupby("round").size().items()})
+            for item, at in part.groupby("key", dropna=False)["round"].min().items():
+                name, at = ("", True) if pd.isna(item) else (str(item), False), int(at)
                 had = self.keys.getValue(name)[0] if self.keys.containsKey(name) else None
                 if had is None or at < had:
                     self.keys.updateValue(name, (at,))
-                    new[at] = new.get(at, 0) + 1
-                    touched.add(at)
+                    new[at] += 1
                     if had is not None:
                         new[had] -= 1
-                        touched.add(had)
-        for at in touched:
-            self.rounds.updateValue((at,), (seen[at], new.get(at, 0)))
-        idle, total, stop, reason = 0, 0, None, "end_of_list"
-        for round_ in sorted(seen):
-            total += new.get(round_, 0)
-            idle = 0 if new.get(round_, 0) else idle + 1
-            stop = round_
-            if idle >= self.patience:
-                reason = "no_new_items"
-                break
-        observations, unique = sum(seen.values()), sum(new.values())
-        yield pd.DataFrame({"source_id": [key[0]], "observations": [observations], "unique_items": [unique], "duplicates": [observations - unique], "rounds": [len(seen)], "stop_round": [stop], "reason": [reason]})
+        changed = sorted(seen.keys() | new.keys())
+        yield pd.DataFrame({"source_id": [key[0]] * len(changed), "round": changed, "n": [seen[r] for r in changed], "new": [new[r] for r in changed]})
 
     def close(self) -> None:
         pass
 
 
-def stream_scan_state(obs: DataFrame, patience: int = 5) -> DataFrame:
-    """Per source_id, after each batch: observations, unique items, duplicates, rounds, where the scan stops and why. obs: source_id, round, key. Needs the RocksDB state store."""
-    schema = "source_id string, observations long, unique_items long, duplicates long, rounds long, stop_round long, reason string"
-    return obs.select(F.col("source_id").cast("string").alias("source_id"), F.col("round").cast("long").alias("round"), F.col("key").cast("string").alias("key")).groupBy("source_id").transformWithStateInPandas(_ScanState(patience), schema, "Update", "None")
+def stream_scan_rounds(obs: DataFrame, shards: int = 64) -> DataFrame:
+    """Changes to the counts of each (source_id, round), for append mode: n observations more, new keys more or fewer. obs: source_id, round, key; rows without a round are left out. Needs the RocksDB state store.
+
+    Keys are dealt over shards by their hash, so a source of any size is as many tasks as it has shards; the sums of the changes are a row for
+    each round.
+    """
+    typed = obs.select(F.col("source_id").cast("string").alias("source_id"), F.col("round").cast("long").alias("round"), F.col("key").cast("string").alias("key")).filter("round is not null")
+    return typed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("source_id", "shard").transformWithStateInPandas(_FirstRounds(), _ROUNDS, "Append", "None")
+
+
+def stream_scan_state(obs: DataFrame, root: str, checkpoint: str, shards: int = 64) -> StreamingQuery:
+    """Observations into the scan state under root, by each batch's changes; read_scan_state reads it."""
+    return stream_scan_rounds(obs, shards).writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def read_scan_state(spark: SparkSession, root: str, patience: int = 5, cap: int | None = None) -> DataFrame:
+    """Per source_id: observations, unique items, duplicates, rounds, where the scan stops and why (as stop_point), of all batches so far."""
+    rounds = spark.read.schema(_ROUNDS).parquet(root).groupBy("source_id", "round").agg(F.sum("n").alias("n"), F.sum("new").alias("new"))
+    counts = rounds.groupBy("source_id").agg(F.sum("n").alias("observations"), F.sum("new").alias("unique_items"), (F.sum("n") - F.sum("new")).alias("duplicates"), F.count("*").alias("rounds"))
+    return counts.join(stop_of_rounds(rounds, "source_id", patience, cap).select("source_id", "stop_round", "reason"), "source_id")
 
 
 def stream_progress(events: DataFrame, by: str = "job_id", state: str = "state") -> DataFrame:

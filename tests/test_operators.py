@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +91,46 @@ def test_plan_hash_ignores_order(spark):
     assert len(made) == 1
 
 
+def test_plan_hash_is_a_tree_of_the_rows_alone(spark):
+    def tree(rows, prefix=""):
+        held = {h: n for h, n in rows.items() if h.startswith(prefix)}
+        if len(held) <= 4:
+            return hashlib.sha256("".join(sorted(f"{h}:{n}" for h, n in held.items())).encode()).hexdigest()
+        children = [prefix + digit for digit in "0123456789abcdef" if any(h.startswith(prefix + digit) for h in held)]
+        return hashlib.sha256("".join(p + tree(held, p) for p in children).encode()).hexdigest()
+
+    rows = [("a", i % 150) for i in range(700)] + [("b", 1)] * 300 + [("c", 7)] + [(None, i) for i in range(5)]
+    got = {r["j"]: (r["plan_hash"], r["n_rows"]) for r in aggregates.plan_hash(spark.createDataFrame(rows, "j string, i int"), ["i"], ["j"], leaf=4).collect()}
+    want = {}
+    for g in ("a", "b", "c", None):
+        counts = Counter(hashlib.sha256(str(i).encode()).hexdigest() for j, i in rows if j == g)
+        want[g] = (tree(counts), sum(counts.values()))
+    assert got == want
+    alone = aggregates.plan_hash(spark.createDataFrame([r for r in rows if r[0] == "c"], "j string, i int"), ["i"], ["j"], leaf=4).first()
+    assert (alone["plan_hash"], alone["n_rows"]) == want["c"]  # other groups don't matter
+    assert aggregates.plan_hash(spark.createDataFrame([], "j string, i int"), ["i"], ["j"]).count() == 0
+
+
+def test_scan_state_of_any_batches_is_the_stop_point(spark, tmp_path):
+    from tarnfold.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(2)
+    schema = "source_id string, round long, key string"
+    rows = [(s, i // 6, rng.choice([f"k{rng.randrange(8)}", f"n{i}" if i < 60 else "k0", None])) for s in ("one", "two") for i in range(120)]
+    rng.shuffle(rows)
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.stream_scan_state(stream, str(tmp_path / "rounds"), str(tmp_path / "cp"), shards=3).awaitTermination()
+    whole = spark.createDataFrame(rows, schema)
+    for options in ({}, {"patience": 3}, {"cap": 20}, {"patience": 2, "cap": 9}, {"patience": 99}):
+        told = {r["source_id"]: (r["stop_round"], r["reason"]) for r in streams.read_scan_state(spark, str(tmp_path / "rounds"), **options).collect()}
+        assert told == {r["source_id"]: (r["stop_round"], r["reason"]) for r in windows.stop_point(whole.withColumn("key", F.coalesce("key", F.lit("null"))), **options).collect()}
+    counts = {r["source_id"]: (r["observations"], r["unique_items"], r["rounds"]) for r in streams.read_scan_state(spark, str(tmp_path / "rounds")).collect()}
+    assert counts == {s: (120, len({k for x, _, k in rows if x == s}), 20) for s in ("one", "two")}
+
+
 @pytest.mark.parametrize(
     ("html", "markdown"),
     [
