@@ -38,20 +38,21 @@ def to_markdown(html: str | None, resources: dict[str, str] | None = None) -> di
 _SCHEMA = "markdown string, quality string, degradations string, n_todo long, n_media long, n_missing long, n_encrypted long, n_lost long, n_embedded long, remote_images string, internal_links string, external_links string, crypt_blocks string"
 
 
-def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None = None, pick: bool = False) -> DataFrame:
-    """key and what to_markdown gives for each row; one pass, no shuffle. resources: a column of a map from content hash to name. pick: of the page's body only."""
-    kind = dict(df.dtypes)[key]
-    columns = [key, html] + ([resources] if resources else [])
+def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None = None, pick: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """key, the carried columns, and what to_markdown gives for each row; one pass, no shuffle. resources: a column of a map from content hash to name. pick: of the page's body only."""
+    kinds, carried = dict(df.dtypes), [key, *(carry or [])]
+    columns = [*carried, html] + ([resources] if resources else [])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             maps = part[resources] if resources else [None] * len(part)
             rows = [to_markdown(body_of(h) if pick else h, dict(m) if m is not None else None) for h, m in zip(part[html], maps, strict=True)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-            out.insert(0, key, part[key].values)
+            for i, c in enumerate(carried):
+                out.insert(i, c, part[c].values)
             yield out
 
-    return df.select(*columns).mapInPandas(run, f"{key} {kind}, {_SCHEMA}")
+    return df.select(*columns).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + f", {_SCHEMA}")
 
 
 def html_to_markdown(pages: DataFrame, key: str = "source_position") -> DataFrame:

@@ -1,6 +1,6 @@
 """The whole way of a migration: scan, first observation, extraction, paths, decisions, notes, verification, index, state and reconciliation, as joins over tables.
 
-PageSource and NoteFolder are a source and a target behind the protocols in adapters; migrate() runs any pair of them. A job touches
+PageSource, NoteExportSource and NoteFolder are sources and a target behind the protocols in adapters; migrate() runs any pair of them. A job touches
 its own notes only: what it does with a path is decided by overwrite_decision from the hash that is found there and the one that was
 last written. With state tables a job goes on where earlier ones ended.
 """
@@ -12,14 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnfold.checkpoints import drop_folder, scratch_folder
-from tarnfold.functions import identity, text, urls
+from tarnfold.functions import arrays, identity, text, urls
 from tarnfold.operators import aggregates, guards
 from tarnfold.operators.adapters import Source, Target
-from tarnfold.operators.html_job import html_job
+from tarnfold.operators.html_job import html_job, rewrite_wikilinks
 from tarnfold.operators.joins import commit_results, overwrite_decision, skip_verified, upsert_artifacts
-from tarnfold.operators.windows import assign_paths, first_observation, latest, next_attempt, spread_row_number
-from tarnfold.sources.readers import STATE_TABLES, read_notes, read_state
-from tarnfold.sources.writers import upsert_state, write_notes
+from tarnfold.operators.windows import asset_names, assign_paths, first_observation, latest, next_attempt, spread_row_number
+from tarnfold.sources import versions
+from tarnfold.sources.readers import STATE_TABLES, read_enex, read_notes, read_state
+from tarnfold.sources.writers import read_assets, upsert_state, write_assets, write_notes
 
 #: What a job does to a file; the others leave it alone.
 WRITES = ("write_canonical", "forced_overwrite", "update_metadata_only", "write_new_variant")
@@ -38,6 +39,12 @@ class _Held:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop_one(self, name: str) -> None:
+        """Removes a table that no later step reads."""
+        for path in [p for p in self.paths if f"/{name}-" in p]:
+            drop_folder(self.spark, path)
+            self.paths.remove(path)
+
     def drop(self, but: tuple[str, ...] = ()) -> None:
         for path in self.paths:
             if not any(f"/{name}-" in path for name in but):
@@ -57,10 +64,52 @@ class PageSource:
         return first_observation(keyed, ["stable_key"], ["source_position"])
 
     def extract(self, items: DataFrame) -> DataFrame:
-        body = html_job(items, "stable_key", pick=True).select("stable_key", "markdown", "quality", F.filter(F.split("degradations", ","), lambda c: c != "").alias("codes"))
-        told = F.transform("codes", lambda c: F.struct(c.alias("code"), F.lit("normalize").alias("stage"), F.concat(F.lit("found while reading the page: "), c).alias("message")))
-        titled = items.select("stable_key", "source_instance_id", "source_position", "original_url", text.page_title(F.col("html"), F.col("original_url")).alias("title"))
-        return titled.join(body.withColumn("degradations", told).drop("codes"), "stable_key")
+        titled = items.withColumn("title", text.page_title(F.col("html"), F.col("original_url")))
+        body = html_job(titled, "stable_key", pick=True, carry=["source_instance_id", "source_position", "original_url", "title"])
+        codes = F.filter(F.split("degradations", ","), lambda c: c != "")
+        told = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit("normalize").alias("stage"), F.concat(F.lit("found while reading the page: "), c).alias("message")))
+        return body.select("stable_key", "source_instance_id", "source_position", "original_url", "title", "markdown", "quality", told.alias("degradations"))
+
+
+class NoteExportSource:
+    """Notes of export files, with their attachments and links. attachments: the folder of the library that notes refer to.
+
+    A note's identity is its GUID, else its place in its file; of notes with one identity the first by file and place counts. Damaged notes are
+    no items (read_enex tells them). Media that a note's resources don't hold, encrypted parts and the like degrade it.
+    """
+
+    def __init__(self, exports: str | list[str], source_id: str = "notes", attachments: str = "Attachments"):
+        self.exports, self.source_id, self.attachments = exports, source_id, attachments
+
+    def scan(self, spark: SparkSession) -> DataFrame:
+        notes, _ = read_enex(spark, self.exports)
+        none = F.lit(None).cast("string")
+        named = notes.select("path", "ordinal", "title", "content", "created", "updated", "tags", "guid", F.col("attributes")["source-url"].alias("original_url"), "resources", none.alias("app_link"), F.element_at(F.split("path", "/"), -1).alias("file_name"), none.alias("file_sha256"))
+        keyed = identity.note_identity(named).withColumn("source_instance_id", F.lit(self.source_id))
+        keyed = keyed.withColumn("stable_key", identity.stable_key(F.col("source_instance_id"), F.col("fingerprint"))).withColumnRenamed("ordinal", "source_position")
+        return first_observation(keyed, ["stable_key"], ["path", "source_position"])
+
+    def resources(self, items: DataFrame) -> DataFrame:
+        """(stable_key, md5, sha256, content, relative_path) of every resource that decodes, one row for each content of a note."""
+        each = items.select("stable_key", F.posexplode("resources").alias("position", "r")).select("stable_key", F.col("position").cast("long").alias("position"), "r.file_name", "r.mime", arrays.decode_base64(F.col("r.data"))["bytes"].alias("content")).filter("content is not null")
+        typed = arrays.mime_columns(each.withColumn("sniffed", arrays.sniff_mime(F.col("content"))))
+        sha = F.sha2("content", 256)
+        named = typed.withColumn("sha256", sha).withColumn("md5", F.md5("content")).withColumn("file_name", F.coalesce(F.nullif(F.trim("file_name"), F.lit("")), F.concat(F.substring(sha, 1, 16), F.lit("."), "extension")))
+        names = asset_names(named.select(F.col("stable_key").alias("note_id"), "sha256", "file_name", "position")).select(F.col("note_id").alias("stable_key"), "sha256", "name")
+        one = named.groupBy("stable_key", "sha256", "md5").agg(F.min("content").alias("content"))
+        path = text.asset_path(F.col("name"), F.lit(self.source_id), identity.short_id(F.col("stable_key")), self.attachments)
+        return one.join(names, ["stable_key", "sha256"]).select("stable_key", "md5", "sha256", "content", path.alias("relative_path"))
+
+    def extract(self, items: DataFrame) -> DataFrame:
+        held = self.resources(items).groupBy("stable_key").agg(F.map_from_entries(F.collect_list(F.struct("md5", "relative_path"))).alias("names"))
+        noted = items.join(held, "stable_key", "left")
+        body = html_job(noted, "stable_key", "content", "names", carry=["source_instance_id", "source_position", "original_url", "title", "created", "updated", "guid"])
+        linked = F.regexp_replace("markdown", r"\]\(<?evernote:///view/[^)>]*?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^)>]*>?\)", "](note:$1)")
+        targets = items.filter("guid is not null").select(F.lower("guid").alias("guid"), text.safe_filename(F.col("title")).alias("file"))
+        texts = rewrite_wikilinks(body.select(F.col("stable_key").alias("note_id"), linked.alias("markdown")), targets).withColumnRenamed("note_id", "stable_key")
+        codes = F.filter(F.split("degradations", ","), lambda c: c != "")
+        told = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit("normalize").alias("stage"), F.concat(F.lit("found while reading the note: "), c).alias("message")))
+        return body.select("stable_key", "source_instance_id", "source_position", "original_url", "title", "quality", told.alias("degradations")).join(texts, "stable_key")
 
 
 def _before(path: Column, end: Column) -> Column:
@@ -90,7 +139,7 @@ class NoteFolder:
         return read_notes(spark, self.root).select("relative_path", identity.target_hash(F.col("text")).alias("observed"), F.octet_length("text").alias("size"), "owner", "kind", "shard", "written_hash")
 
     def plan(self, content: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """content with relative_path, the note's whole text, and expected, the hash that was last written for the item.
+        """content with relative_path, the note's whole text and the hash of its content in place of its body, and expected, the hash that was last written for the item.
 
         known: (stable_key, relative_path, written_hash) of earlier jobs' notes. An item keeps its path; a new item's is free for its key, and
         where an earlier note has it, the key's short id is added. A file that a job wrote before it could record it is known by its owner.
@@ -108,7 +157,8 @@ class NoteFolder:
         none = F.array().cast("array<string>")
         note = text.render_note(F.col("source_instance_id"), F.col("markdown"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("original_url"), none)
         front = text.front_matter([("title", F.col("title")), ("source_url", F.col("original_url")), ("stable_key", F.col("stable_key"))])
-        return content.join(told, "stable_key").withColumn("text", F.concat(front, F.lit("\n"), note))
+        hashed = content.withColumn("content_hash", identity.source_hash("title", "markdown")).withColumn("text", F.concat(front, F.lit("\n"), note)).drop("markdown")
+        return hashed.join(told, "stable_key")
 
     def decide(self, plan: DataFrame) -> DataFrame:
         """(stable_key, relative_path, observed, expected, action, artifact_kind, needs_audit): what to do with each planned note; a variant's path is the first free one."""
@@ -133,6 +183,17 @@ class NoteFolder:
         write_notes(hashed, self.root)
         return plan.select("stable_key", identity.target_hash(F.col("text")).alias("expected")).join(told.drop("expected", "observed"), "stable_key").select("stable_key", "relative_path", "expected", "action", "artifact_kind", "needs_audit")
 
+    def write_assets(self, assets: DataFrame) -> DataFrame:
+        """Resources (sha256, content, relative_path) beside the notes: contents once whatever earlier jobs stored, and which content each path has. What write_assets tells."""
+        versions.merge(assets.select("relative_path", "sha256"), f"{self.root}-asset-paths", "relative_path string, sha256 string", ["relative_path"])
+        return write_assets(assets.select("content"), f"{self.root}-assets")
+
+    def assets(self, spark: SparkSession) -> DataFrame:
+        """(relative_path, sha256, size, content) of the stored assets."""
+        root = f"{self.root}-asset-paths"
+        paths = versions.rows(spark, root, versions.snapshot(spark, root), "relative_path string, sha256 string")
+        return paths.join(read_assets(spark, f"{self.root}-assets"), "sha256").select("relative_path", "sha256", "size", "content")
+
     def verify(self, written: DataFrame) -> DataFrame:
         """(relative_path, outcome) by the texts that are read back."""
         return guards.verify_files(written, self.files(written.sparkSession).select("relative_path", "observed", "size"), "relative_path")
@@ -227,8 +288,9 @@ def migrate(spark: SparkSession, source: Source, target: Target, job_id: str = "
     target_id = getattr(target, "target_id", "notes")
     old = {name: read_state(spark, state, name) if state else spark.createDataFrame([], STATE_TABLES[name]) for name in ("source_items", "target_artifacts", "migration_attempts")}
     items = held(source.scan(spark), "items")
+    keys = held(items.select("stable_key"), "keys")
     known = held(known_notes(old["target_artifacts"], old["source_items"], target_id), "known")
-    were = old["source_items"].join(items.select("stable_key"), "stable_key", "left_semi")
+    were = old["source_items"].join(keys, "stable_key", "left_semi")
     if state:
         there = target.files(spark).select(F.col("relative_path").alias("path"))
         skipped = held(skip_verified(were.join(known.withColumnRenamed("relative_path", "path"), "stable_key"), there).select("stable_key", F.col("path").alias("relative_path"), "quality"), "skipped")
@@ -236,7 +298,12 @@ def migrate(spark: SparkSession, source: Source, target: Target, job_id: str = "
     else:
         skipped, todo = spark.createDataFrame([], "stable_key string, relative_path string, quality string"), items
     content = held(source.extract(todo), "content")
+    if hasattr(source, "resources") and hasattr(target, "write_assets"):  # before the notes that refer to them
+        target.write_assets(held(source.resources(todo), "resources"))
+    held.drop_one("items")
+    todo = keys.join(skipped, "stable_key", "left_anti") if state else keys
     plan = held(target.plan(content, known) if state else target.plan(content), "plan")
+    held.drop_one("content")
     written = held(target.write(plan), "written")
     for column, kind in (("action", "write_canonical"), ("artifact_kind", "note")):
         written = written if column in written.columns else written.withColumn(column, F.lit(kind))
@@ -250,12 +317,12 @@ def migrate(spark: SparkSession, source: Source, target: Target, job_id: str = "
     counts = aggregates.failed_count(aggregates.state_counts(states, ["job_id"]))
     cached = {f"{c}_count": F.count_if(F.col("state") == c) for c in ("verified", "degraded", "conflict", "skipped")}
     job = states.agg(*(v.alias(k) for k, v in cached.items()), F.count_if(F.col("state").isin("blocked", "unsupported", "permanent_failed")).alias("failed_count"))
-    scanned = items.agg(F.count("*").alias("scan_count")).withColumn("job_id", F.lit(job_id))
+    scanned = keys.agg(F.count("*").alias("scan_count")).withColumn("job_id", F.lit(job_id))
     jobs = held(job.withColumn("job_id", F.lit(job_id)).join(scanned, "job_id").withColumn("recoverable_count", F.lit(0).cast("long")), "jobs")
     report = held(aggregates.reconcile(counts, jobs), "report")
     if state:
         about = [c for c in ("source_instance_id", "original_url", "title") if c in plan.columns]
-        texts = plan.select("stable_key", *about, identity.source_hash(*(c for c in ("title", "markdown") if c in plan.columns)).alias("content_hash"))
+        texts = plan.select("stable_key", *about, F.col("content_hash") if "content_hash" in plan.columns else F.lit(None).cast("string").alias("content_hash"))
         full = done.join(texts, "stable_key", "left").join(were.select("stable_key", F.col("quality").alias("was_quality")), "stable_key", "left")
         for c in ("source_instance_id", "original_url", "title"):
             full = full if c in about else full.withColumn(c, F.lit(None).cast("string"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnfold.operators import migration
 from tarnfold.operators.windows import latest_values
 from tarnfold.sources import readers, versions, writers
+from tarnfold.sources.writers import read_assets
 from tarnfold.streaming.streams import stream_upsert
 
 JOBS = "job_id string, status string"
@@ -251,3 +252,27 @@ def test_an_edited_index_is_kept(spark, tmp_path):
     writers.write_notes(spark.createDataFrame([(edited, "my index", "web")], NOTE), root)
     again = {r["relative_path"]: r["action"] for r in target.write_index(paths).collect()}
     assert again == {p: "mark_conflict" if p == edited else "unchanged" for p in listed} and files(spark, root)[edited] == "my index"
+
+
+def test_note_exports_bring_their_attachments_and_links(spark, tmp_path):
+    guid = "0a1b2c3d-0000-4000-8000-{:012d}".format
+    resource = "<resource><data>{}</data><mime>{}</mime><resource-attributes><file-name>{}</file-name></resource-attributes></resource>".format
+    media = '<en-media type="image/png" hash="{}"/>'.format
+    md5 = "902fbdd2b1df0c4f70b4a5d23525e932"  # of ABC
+
+    def note(n, title, body, *resources):
+        return f"<note><title>{title}</title><content><![CDATA[<en-note>{body}</en-note>]]></content><created>20240102T030405Z</created><guid>{guid(n)}</guid>{''.join(resources)}</note>"
+
+    one = note(1, "One", f'<div>see <a href="evernote:///view/1/s1/{guid(2)}/{guid(2)}/">two</a> and <a href="evernote:///view/1/s1/{guid(9)}/{guid(9)}/">none</a></div>{media(md5)}', resource("QUJD", "image/png", "pic.png"), resource("REVG", "text/plain", "pic.png"))
+    two = note(2, "Two", f"<div>text</div>{media('00')}", resource("QUJD", "image/png", ""))
+    (tmp_path / "a.enex").write_text(f"<en-export>{one}{two}</en-export>")
+    (tmp_path / "b.enex").write_text(f"<en-export>{note(2, 'Two', 'a later copy')}</en-export>")
+    source, target = migration.NoteExportSource(str(tmp_path / "*.enex")), migration.NoteFolder(str(tmp_path / "notes"))
+    states, report = migration.migrate(spark, source, target, state=str(tmp_path / "state"))
+    assert ended(states) == [("One.md", "write_canonical", "verified"), ("Two.md", "write_canonical", "degraded")] and report.first()["ok"]
+    held = {p.rsplit("/", 1)[-1]: t for p, t in files(spark, str(tmp_path / "notes")).items()}
+    assert "[[Two|two]]" in held["One.md"] and f"[none](note:{guid(9)})" in held["One.md"] and "text" in held["Two.md"] and "missing attachment 00" in held["Two.md"]
+    stored = {r["relative_path"]: bytes(r["content"]) for r in target.assets(spark).collect()}
+    assert sorted(p.rsplit("/", 1)[-1] for p in stored)[-2:] == ["pic-2.png", "pic.png"] and len(stored) == 3 and sorted(stored.values()) == [b"ABC", b"ABC", b"DEF"]
+    (picture,) = [p for p in stored if p.endswith("/pic.png")]
+    assert f"![[{picture}]]" in held["One.md"] and read_assets(spark, str(tmp_path / "notes-assets")).count() == 2
