@@ -118,10 +118,10 @@ def _before(path: Column, end: Column) -> Column:
 
 
 class NoteFolder:
-    """Notes in a store of files, among files of others. policy: what becomes of a file that someone else has written or changed (OVERWRITE_POLICIES)."""
+    """Notes in a store of files, among files of others. policy: what becomes of a file that someone else has written or changed (OVERWRITE_POLICIES). buckets: of the store; a job writes the buckets again that its notes fall into, so a large library wants many."""
 
-    def __init__(self, root: str, shard: str = "source_instance_id", kind: str = "article", policy: str = "preserve", target_id: str = "notes"):
-        self.root, self.shard, self.kind, self.policy, self.target_id = root, shard, kind, policy, target_id
+    def __init__(self, root: str, shard: str = "source_instance_id", kind: str = "article", policy: str = "preserve", target_id: str = "notes", buckets: int = 16):
+        self.root, self.shard, self.kind, self.policy, self.target_id, self.buckets = root, shard, kind, policy, target_id, buckets
         self._tables: list[_Held] = []
 
     def _held(self, df: DataFrame, name: str) -> DataFrame:
@@ -180,7 +180,7 @@ class NoteFolder:
         told = self._held(self.decide(plan), "decisions")
         files = plan.select("stable_key", "text", F.col(self.shard).alias("shard")).join(told.filter(F.col("action").isin(*WRITES)), "stable_key")
         hashed = files.select("relative_path", "text", "shard", F.col("stable_key").alias("owner"), F.col("artifact_kind").alias("kind"), identity.target_hash(F.col("text")).alias("written_hash"))
-        write_notes(hashed, self.root)
+        write_notes(hashed, self.root, buckets=self.buckets)
         return plan.select("stable_key", identity.target_hash(F.col("text")).alias("expected")).join(told.drop("expected", "observed"), "stable_key").select("stable_key", "relative_path", "expected", "action", "artifact_kind", "needs_audit")
 
     def write_assets(self, assets: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ class NoteFolder:
         edited = F.col("observed").isNotNull() & ~F.col("observed").eqNullSafe(F.col("recorded"))
         action = F.when(edited, "mark_conflict").when(F.col("observed") == F.col("target"), "unchanged").otherwise("write_canonical")
         told = self._held(met.withColumn("action", action), "index")
-        write_notes(told.filter("action = 'write_canonical'").select("relative_path", "text", "shard", F.lit("index").alias("kind"), F.col("target").alias("written_hash")), self.root)
+        write_notes(told.filter("action = 'write_canonical'").select("relative_path", "text", "shard", F.lit("index").alias("kind"), F.col("target").alias("written_hash")), self.root, buckets=self.buckets)
         return told.select("shard", "relative_path", "action")
 
 

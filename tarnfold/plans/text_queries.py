@@ -11,7 +11,7 @@ from tarnfold.checkpoints import scratch_folder
 from tarnfold.functions import arrays, identity, text, times, urls
 from tarnfold.operators.html_body import pick_body
 from tarnfold.operators.html_job import enml_to_html, html_job, html_to_markdown, rewrite_wikilinks
-from tarnfold.operators.migration import NoteFolder, PageSource, migrate
+from tarnfold.operators.migration import NoteExportSource, NoteFolder, PageSource, migrate
 from tarnfold.plans import views
 from tarnfold.plans.views import ARTIFACTS, LINKED, NOTES, PAGES, RESOURCES
 from tarnfold.sources import readers, writers
@@ -683,6 +683,28 @@ def e1_source(spark, d):
     return source.extract(source.scan(spark)).select("source_position", "stable_key", "title", "quality")
 
 
+_NOTE_GUID = "'0a1b2c3d-0000-4000-8000-' || lpad(CAST({} AS VARCHAR), 12, '0')"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, lang, sha256('notes' || chr(0) || {fingerprint_sql(raw="'guid:' || " + _NOTE_GUID.format("doc_id"))}) AS k FROM documents)
+SELECT n.doc_id, 'see ' || CASE WHEN m.doc_id IS NULL THEN '[next](note:' || {_NOTE_GUID.format("n.doc_id + 1")} || ')' ELSE '[[doc ' || m.doc_id || '|next]]' END || ' ' || CASE WHEN n.doc_id % 4 = 0 THEN '[missing attachment 00]' ELSE '![[Attachments/notes/' || k[1:10] || '/' || n.lang || '.png]]' END AS markdown,
+    CASE WHEN n.doc_id % 4 = 0 THEN 'degraded' ELSE 'full' END AS quality FROM n LEFT JOIN documents m ON m.doc_id = n.doc_id + 1"""
+)
+def e1_note_exports(spark, d):
+    """Documents as notes of export files, each with a picture and a link to the next; every fourth refers to a picture that it lacks."""
+    n, root = F.col("doc_id"), scratch_folder(spark, "exports")
+    guid = lambda x: F.concat(F.lit("0a1b2c3d-0000-4000-8000-"), F.lpad(x.cast("string"), 12, "0"))
+    hash_ = F.when(n % 4 == 0, "00").otherwise(F.md5("lang"))
+    body = F.concat(F.lit('see <a href="evernote:///view/1/s1/'), guid(n + 1), F.lit("/"), guid(n + 1), F.lit('/">next</a> <en-media type="image/png" hash="'), hash_, F.lit('"/>'))
+    resource = F.concat(F.lit("<resource><data>"), F.base64(F.col("lang").cast("binary")), F.lit("</data><mime>image/png</mime><resource-attributes><file-name>"), "lang", F.lit(".png</file-name></resource-attributes></resource>"))
+    note = F.concat(F.lit("<note><title>doc "), n, F.lit("</title><content><![CDATA[<en-note>"), body, F.lit("</en-note>]]></content><guid>"), guid(n), F.lit("</guid>"), resource, F.lit("</note>"))
+    views.table(spark, d, "documents").select(note.alias("value")).write.text(root)
+    source = NoteExportSource(root)
+    told = source.extract(source.scan(spark))
+    return told.select(F.regexp_extract("title", "([0-9]+)$", 1).cast("long").alias("doc_id"), "markdown", "quality")
+
+
 @query("SELECT lang AS shard, count(*) AS n, count(DISTINCT doc_id) AS n_paths, true AS ok FROM documents GROUP BY 1")
 def e2_target(spark, d):
     """The folder of notes: documents of one title planned, written, verified and listed by shard."""

@@ -169,7 +169,7 @@ def _dealt(df: DataFrame, keys: list[str] | tuple[str, ...], buckets: int) -> Da
 SHARES = 16
 
 
-def merge(new: DataFrame, root: str, schema, keys: list[str], buckets: int = 64, removed: DataFrame | None = None) -> Snapshot:
+def merge(new: DataFrame, root: str, schema, keys: list[str], buckets: int = 16, removed: DataFrame | None = None) -> Snapshot:
     """Rows of new in place of those of the same keys; rows with other keys stay. Only buckets with new or removed keys are written again; no such keys make no commit.
 
     Keys are compared null-safe; of rows of new with one key the greatest by the other columns counts. removed: keys whose rows go, where new has
@@ -196,7 +196,7 @@ def _parts(spark: SparkSession, root: str, home: str) -> dict[str, list[str]]:
     return {n.removeprefix("bucket_="): [f"{home}/{n}"] for n, _ in _names(spark, f"{root}/{home}") if n.startswith("bucket_=")}
 
 
-def append(new: DataFrame, root: str, keys: list[str], buckets: int = 64) -> Snapshot:
+def append(new: DataFrame, root: str, keys: list[str], buckets: int = 16) -> Snapshot:
     """Rows of new beside the ones that are there; nothing is written again. Refused if another commit touched the same buckets since the snapshot that is read here."""
     base = snapshot(new.sparkSession, root)
     if base.version and (base.buckets, base.keys) != (buckets, tuple(keys)):

@@ -29,12 +29,12 @@ def state_version(spark: SparkSession, root: str, name: str) -> int:
     return versions.snapshot(spark, f"{root}/{name}").version
 
 
-def upsert_state(df: DataFrame, root: str, name: str, buckets: int = 64) -> int:
+def upsert_state(df: DataFrame, root: str, name: str, buckets: int = 16) -> int:
     """Rows of df in place of the state table's rows of the same key (STATE_KEYS); only the buckets that they fall into are written again."""
     return versions.merge(shaped(df, name), f"{root}/{name}", STATE_TABLES[name], STATE_KEYS[name], buckets).version
 
 
-def merge_ordered(batch: DataFrame, root: str, name: str, key: str, value: list[str], order: str, stream: str = "", number: int = -1, buckets: int = 64) -> int:
+def merge_ordered(batch: DataFrame, root: str, name: str, key: str, value: list[str], order: str, stream: str = "", number: int = -1, buckets: int = 16) -> int:
     """Lays results over a state table by key: of each value the last by order that isn't null counts, whichever batch it comes in.
 
     The order of each value is kept in the table, so rows that come late lose to later ones that are there already, and any cutting and
@@ -88,7 +88,7 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def write_notes(df: DataFrame, root: str, shard: str = "shard", removed: DataFrame | None = None, buckets: int = 64) -> int:
+def write_notes(df: DataFrame, root: str, shard: str = "shard", removed: DataFrame | None = None, buckets: int = 16) -> int:
     """Files (relative_path, text, shard, and if there are any owner, kind, written_hash, job_id) into the store of notes, each in place of the file of the same path; all other files stay. The number of the commit.
 
     removed: paths (relative_path) of files that go. Of rows with one path the greatest by text is written. A null
@@ -110,7 +110,7 @@ def unique_assets(df: DataFrame) -> DataFrame:
 ASSET_FILES = "sha256 string, size long, content binary"
 
 
-def write_assets(df: DataFrame, root: str, buckets: int = 64) -> DataFrame:
+def write_assets(df: DataFrame, root: str, buckets: int = 16) -> DataFrame:
     """Asset bytes (content) into the store, once for each content hash whatever earlier runs have stored. One row: n_refs, n_contents, n_new of this call.
 
     Hashes are taken from the bytes. Only hashes are compared with the store, bucket by bucket; then the new contents alone move and are

@@ -79,7 +79,7 @@ def stream_progress(events: DataFrame, by: str = "job_id", state: str = "state")
     return state_counts(events, [by], state)
 
 
-def stream_upsert(results: DataFrame, root: str, name: str, key: str, value: list[str], checkpoint: str, order: str, buckets: int = 64, keep: int = 3) -> StreamingQuery:
+def stream_upsert(results: DataFrame, root: str, name: str, key: str, value: list[str], checkpoint: str, order: str, buckets: int = 16, keep: int = 3) -> StreamingQuery:
     """Results go over the state table by key, the last of each value by order; see merge_ordered. Late, repeated and rerun batches give the same table. Of old versions the last `keep` stay."""
 
     def commit(batch: DataFrame, number: int) -> None:
