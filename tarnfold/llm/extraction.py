@@ -44,12 +44,20 @@ INLINE = {
 }
 #: Elements whose end tags are often left out; their scope is never asked for.
 LOOSE = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "html", "body"}
-MARKED = re.compile(
-    r"^(?!has-|with-|no-)(?:.*[-_])?(?:ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promos?|promotion|banner|sidebar|side-?nav|nav|navbar|navigation|menu|breadcrumbs?|footer|comments?|comment-?list|disqus|respond|repl(?:y|ies)|"
-    r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|recommendations|widgets?|toolbar|pagination|pager|login|signup|skip-?link)$"
-    r"|^(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promos?|sidebar|breadcrumbs?|footer|comments?|disqus|cookies?|consent|gdpr|notices?|popup|newsletter|subscribe|share|sharing|social|related|recommended|pagination)[-_]",
-    re.I,
+#: Whole words of a class or id that mark boilerplate. Sure ones count behind any word, general ones behind a word of place only; before a word of place both do.
+_SURE = r"(?:adsense|adverts?|advertisements?|sponsor(?:ed|s)?|sidebar|side-?nav|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|popup|modal|newsletter|widgets?|toolbar|pagination|pager|login|signup|skip-?link)"
+_GENERAL = r"(?:ads?|promos?|promotion|banner|menu|notices?|alerts?|overlay|subscribe|subscription|share|sharing|social|related|recommended|recommendations)"
+_REPLIES = r"(?:comments?|comment-?list|disqus|respond|repl(?:y|ies))"
+_BEFORE = r"(?:site|page|top|bottom|main|left|right|side|global|sticky|cookies?|legal|privacy|social|share|user|mobile|primary|secondary|header|footer|nav|post|article|entry|story|google|text|video|display|inline|native|reader)"
+_AFTER = (
+    r"(?:slot|box|bar|block|unit|area|list|section|banner|notice|container|wrapper|wrap|inner|panel|widget|links?|buttons?|icons?|posts?|articles?|stories|items?|content|form|signup|popup|modal|"
+    r"message|dialog|overlay|consent|nav|menu|thread|respond|reply|replies|feed|module|sidebar|holder|label|disclaimer|zone|frame|top|bottom|left|right|header|footer|body|title|toggle|trail|\d+)"
 )
+_NEGATED = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]", re.I)
+MARKED = re.compile(rf"^(?:(?:.*[-_])?{_SURE}|(?:{_BEFORE}[-_])*{_GENERAL}|(?:.*[-_])?(?:{_SURE}|{_GENERAL})(?:[-_]{_AFTER})+)$", re.I)
+REPLIES = re.compile(rf"^(?:.*[-_])?{_REPLIES}(?:[-_]{_AFTER})*$", re.I)
+#: May hold readers' comments, or be a section of an article: the former only beside articles and around some.
+PERHAPS_REPLIES = re.compile(r"^(?:.*[-_])?(?:discussion|responses|reactions)$", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 #: Between blocks; white space like any other once words are told apart.
 _BREAK = "\x1e"
@@ -58,34 +66,145 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: An article with less than this share of a page's unmarked words is a teaser, not the page's text.
 FAIR = 1 / 3
+#: A marked element without an article that holds more words than all unmarked ones, so many at least and not most of them in links, is a wrapper around the page's text.
+WRAPPER_WORDS = 40
+#: Elements whose mark only an article inside can lift, and those of running text, which have marks by class alone.
+FIXED = {"footer", "aside", "header", "menu", "dialog", "button"}
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre"}
 
 
-def _marked(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def _marked(name: str, attributes: str) -> str:
+    """How an element is marked: hidden, replies, perhaps (replies), fixed, soft or not at all."""
+    kind = "fixed" if name in FIXED - {"header"} else "soft" if name in BOILERPLATE else ""
     if not attributes.strip() or name in {"html", "body", "main"}:
-        return False
+        return kind
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("role", "").lower() in ROLES:
-        return True
-    return any(MARKED.match(x) for x in (found.get("class", "") + " " + found.get("id", "")).split())
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+        return "hidden"
+    names = [x for x in (found.get("class", "") + " " + found.get("id", "")).split() if not _NEGATED.search(x)]
+    if any(REPLIES.match(x) for x in names):
+        return "replies"
+    if kind or any(MARKED.match(x) for x in names) or (name not in RUNNING and found.get("role", "").lower() in ROLES):
+        return kind or "soft"
+    return "perhaps" if any(PERHAPS_REPLIES.match(x) for x in names) else ""
+
+
+class _Blocks:
+    """The blocks of a page, its marked elements and its holders (article and main elements), each with the one around it; those around come first."""
+
+    def __init__(self):
+        self.words: list[list[str]] = []
+        self.links: list[int] = []  # words of each block inside links
+        self.of: list[tuple[int, int]] = []  # the innermost mark and holder of each block, -1 for none
+        self.marks: list[tuple[int, str, int]] = []  # the mark around, kind, the holder around
+        self.holders: list[tuple[int, str, int]] = []  # the holder around, name, the innermost mark, its own too
+
+    def levels(self, lifted: set[int]) -> tuple[list[bool], list[int]]:
+        """For each mark whether what is inside is out of the question (hidden, replies), and how many other marks stand around; the last entries are for no mark."""
+        around = {self.marks[m][0] for _, _, m in self.holders if m >= 0} | {m for _, _, m in self.holders}
+        for i in range(len(self.marks) - 1, -1, -1):  # marks with a holder inside
+            if i in around and self.marks[i][0] >= 0:
+                around.add(self.marks[i][0])
+        out, soft = [False] * (len(self.marks) + 1), [0] * (len(self.marks) + 1)
+        for i, (up, kind, holder) in enumerate(self.marks):
+            gone = kind in ("hidden", "replies") or (kind == "perhaps" and holder < 0 and i in around)
+            out[i] = out[up] or (gone and i not in lifted)
+            soft[i] = soft[up] + (kind in ("soft", "fixed") and i not in lifted)
+        return out, soft
+
+    def own_words(self, out: list[bool], soft: list[int]) -> tuple[int, list[int], list[int], list[int]]:
+        """Unmarked words of the page; words of each holder that no mark inside it takes; words and words in links of each mark, without those of marks inside."""
+        open_, held, own, linked = 0, [0] * len(self.holders), [0] * len(self.marks), [0] * len(self.marks)
+        for words, links, (mark, holder) in zip(self.words, self.links, self.of, strict=True):
+            if out[mark]:
+                continue
+            open_ += len(words) * (soft[mark] == 0)
+            if mark >= 0:
+                own[mark] += len(words)
+                linked[mark] += links
+            if holder >= 0 and soft[mark] == soft[self.holders[holder][2]]:
+                held[holder] += len(words)
+        for i in range(len(self.holders) - 1, -1, -1):
+            up, _, mark = self.holders[i]
+            if up >= 0 and not out[mark] and soft[mark] == soft[self.holders[up][2]]:
+                held[up] += held[i]
+        return open_, held, own, linked
+
+    def path(self, mark: int) -> set[int]:
+        out = set()
+        while mark >= 0:
+            out.add(mark)
+            mark = self.marks[mark][0]
+        return out
+
+    def lifted(self) -> set[int]:
+        """Marks that remove nothing, as they stand around the page's text: its longest article or main element, or most of its words."""
+        lifted: set[int] = set()
+        out, soft = self.levels(lifted)
+        if all(out[mark] for mark, _ in self.of):  # nothing but what may be replies
+            lifted |= {i for i, m in enumerate(self.marks) if m[1] == "perhaps"}
+            out, soft = self.levels(lifted)
+        open_, held, own, linked = self.own_words(out, soft)
+        fair = False
+        for name in ("article", "main"):
+            free, marked = (max((i for i, (_, n, m) in enumerate(self.holders) if n == name and not out[m] and (soft[m] > 0) == side), key=held.__getitem__, default=None) for side in (False, True))
+            most = held[marked] if marked is not None else 0
+            if most > open_ and not (free is not None and held[free] >= FAIR * most):
+                lifted |= {i for i in self.path(self.holders[marked][2]) if self.marks[i][1] in ("soft", "fixed")}
+                fair = True
+            fair |= free is not None and held[free] >= FAIR * open_
+        if not fair:
+            wraps = [i for i, (_, kind, _) in enumerate(self.marks) if kind == "soft" and not out[i] and own[i] >= WRAPPER_WORDS and own[i] > open_ and 2 * linked[i] <= own[i]]
+            if wraps:
+                around = self.path(max(wraps, key=own.__getitem__))
+                if not any(self.marks[i][1] == "fixed" for i in around):
+                    lifted |= around
+        return lifted
+
+    def parts(self) -> tuple[str | None, list[list[str]], list[bool]]:
+        out, soft = self.levels(self.lifted())
+        marked = [out[mark] or soft[mark] > 0 for mark, _ in self.of]
+        open_words = sum(len(words) for words, gone in zip(self.words, marked, strict=True) if not gone)
+        for name in ("article", "main"):
+            outermost: list[int] = []  # for each holder, the outermost unmarked one of this name around or at it
+            for i, (up, n, mark) in enumerate(self.holders):
+                above = outermost[up] if up >= 0 else -1
+                outermost.append(above if above >= 0 or n != name or out[mark] or soft[mark] else i)
+            inside = [not gone and holder >= 0 and outermost[holder] >= 0 for (_, holder), gone in zip(self.of, marked, strict=True)]
+            size = dict.fromkeys(outermost, 0)
+            for words, (_, holder), held in zip(self.words, self.of, inside, strict=True):
+                if held:
+                    size[outermost[holder]] += len(words)
+            size.pop(-1, None)
+            most = max(size.values(), default=-1)
+            if most >= FAIR * (open_words - sum(size.values()) + most):
+                rest = [(words, gone) for words, gone, held in zip(self.words, marked, inside, strict=True) if not held]
+                return " ".join(w for words, held in zip(self.words, inside, strict=True) if held for w in words), [w for w, _ in rest], [gone for _, gone in rest]
+        return None, self.words, marked
 
 
 def page_parts(html: str | None) -> tuple[str | None, list[list[str]], list[bool]]:
-    """(text of the articles, words of each block outside them, whether each such block is marked as boilerplate). The first is None if no article or main element has a fair share of the page's words: then all blocks are outside."""
-    blocks: list[tuple[list[str], bool, bool, bool]] = []  # words; marked; in an article; in a main element
+    """(text of the articles, words of each block outside them, whether each such block is marked as boilerplate). The first is None if no article or main element has a fair share of the page's words: then all blocks are outside.
+
+    A mark (an element's name, class, id or role) removes nothing if it stands around the page's longest article or around most of its words; hidden elements and readers' comments go in any case.
+    """
+    blocks = _Blocks()
     now: list[str] = []
-    seen: set[str] = set()
-    stack: list[tuple[str, bool, bool]] = []  # name, drops its content, opens an article or main
-    drops, inside, mains = 0, 0, 0
+    stack: list[tuple[str, int, int]] = []  # name, the innermost mark and holder before it
+    open_: dict[str, int] = {}  # how many elements of a name are open
+    mark, holder, link, linked = -1, -1, False, 0
     silent, back = "", ""  # the element that is passed over, and the head around it
     page, at = html or "", 0
 
     def close() -> None:
+        nonlocal linked
         words = unescape("".join(now)).split()
         if words:
-            blocks.append((words, drops > 0, inside > 0, mains > 0))
+            blocks.words.append(words)
+            blocks.links.append(linked)
+            blocks.of.append((mark, holder))
         now.clear()
+        linked = 0
 
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -101,6 +220,7 @@ def page_parts(html: str | None) -> tuple[str | None, list[list[str]], list[bool
         if name is None:
             if not silent and (m[0][0] != "<" or len(m[0]) == 1):
                 now.append(m[0])
+                linked += len(m[0].split()) if link else 0
             continue
         name = name.lower()
         if silent:
@@ -109,37 +229,32 @@ def page_parts(html: str | None) -> tuple[str | None, list[list[str]], list[bool
             elif silent == "head" and name == "template" and not m[1]:
                 silent, back = name, silent
             continue
+        if name == "a":
+            link = not m[1]
         if name not in INLINE:
             close()
         if m[1]:
-            if any(s[0] == name for s in stack):
+            if open_.get(name):
                 while True:
-                    top, drop, opens = stack.pop()
-                    drops -= drop
-                    inside -= opens and top == "article"
-                    mains -= opens and top == "main"
+                    top, mark, holder = stack.pop()
+                    open_[top] -= 1
                     if top == name:
                         break
         elif name in SILENT:
             if name not in RAW and not m[3].rstrip().endswith("/"):
                 silent = name
         elif name not in VOID and name not in INLINE and not (name in LOOSE and not m[3].strip()) and not m[3].rstrip().endswith("/"):
-            drop = _marked(name, m[3]) or (name == "header" and not inside and not mains)
-            opens = name in {"article", "main"} and not drop and not drops
-            stack.append((name, drop, opens))
-            drops += drop
-            inside += opens and name == "article"
-            mains += opens and name == "main"
-            if opens:
-                seen.add(name)
+            kind = _marked(name, m[3]) or ("fixed" if name == "header" and holder < 0 else "")
+            stack.append((name, mark, holder))
+            open_[name] = open_.get(name, 0) + 1
+            if kind:
+                blocks.marks.append((mark, kind, holder))
+                mark = len(blocks.marks) - 1
+            if name in {"article", "main"}:
+                blocks.holders.append((holder, name, mark))
+                holder = len(blocks.holders) - 1
     close()
-    open_words = sum(len(words) for words, marked, *_ in blocks if not marked)
-    for name, held in (("article", 2), ("main", 3)):
-        own = [block[0] for block in blocks if block[held] and not block[1]]
-        if name in seen and sum(map(len, own)) >= FAIR * open_words:
-            rest = [block for block in blocks if block[1] or not block[held]]
-            return " ".join(w for words in own for w in words), [block[0] for block in rest], [block[1] for block in rest]
-    return None, [block[0] for block in blocks], [block[1] for block in blocks]
+    return blocks.parts()
 
 
 def host_of(url: str | None) -> str:

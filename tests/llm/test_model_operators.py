@@ -60,6 +60,52 @@ def test_page_parts(html, text):
     assert markup_text(html) == text
 
 
+STORY = " ".join(f"word{i}" for i in range(60))
+OTHER = " ".join(f"more{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f'<div class="page-with-sidebar"><article>{STORY}</article></div>', STORY),
+        (f'<body><form id="aspnetForm"><nav>menu</nav><article>{STORY}</article></form></body>', STORY),
+        (f'<body><form id="aspnetForm"><div>{STORY}</div></form><p>foot</p></body>', f"{STORY} foot"),
+        (f'<div id="content-no-nav"><article>{STORY}</article></div>', STORY),
+        (f'<div class="sidebar-layout ads"><header>H</header><article>{STORY}</article></div>', STORY),
+        (f'<article class="cookies-recipe">{STORY}</article>', STORY),
+        (f'<article class="ad">{STORY}</article><div class="ad">buy</div>', STORY),
+        (f'<article><div class="social-studies">{STORY}</div></article>', STORY),
+        (f'<article><p role="alert">{STORY}</p><div role="alert">no</div></article>', STORY),
+        (f'<article>{STORY}<div class="related-work">a</div><p class="notice-period">b</p><p class="share-price">c</p><p class="market-share">d</p></article>', f"{STORY} a b c d"),
+        (f"<nav><a>Home</a><article>{STORY}</article>", STORY),
+        (f"<footer><main>{STORY}</main>", STORY),
+        (f'<nav><a href="/">Home</a><p>{STORY}</p>', f"Home {STORY}"),
+        (f'<article>{STORY}</article><div class="reader-responses"><article>{OTHER}</article><article>{OTHER}</article></div>', STORY),
+        (f'<article>{STORY}</article><div class="discussion"><article>{OTHER} x</article></div>', STORY),
+        (f'<article>{STORY}<section id="discussion"><p>section</p></section></article>', f"{STORY} section"),
+        (f'<div class="discussion"><article>{STORY}</article></div>', STORY),
+        (f'<article>{STORY}</article><section id="comments"><article>{OTHER} {OTHER}</article></section>', STORY),
+        ("".join(f"<article>teaser {i} a b c d</article>" for i in range(9)) + f"<div>{STORY}</div>", " ".join(f"teaser {i} a b c d" for i in range(9)) + f" {STORY}"),
+        (f'<div>{STORY}</div><aside><article>{STORY[:200]}</article></aside>', STORY),
+        (f'<div class="menu"><a>{STORY}</a> <a>{OTHER}</a></div><p>short</p>', "short"),
+        ("<nav><a>Home</a></nav><article></article><footer>all rights reserved</footer>", ""),
+        (f'<article>{STORY}</article><div class="related-posts"><article>teaser</article></div><div class="cookie-notice">ok</div><div class="newsletter-signup">x</div>', STORY),
+        (f'<article>{STORY}</article><div hidden><article>{OTHER} {OTHER}</article></div>', STORY),
+    ],
+)
+def test_marks_around_the_text_remove_nothing(html, text):
+    assert markup_text(html) == text
+
+
+def test_hostile_pages_take_work_in_proportion():
+    import time
+
+    for part in ("<div>x</p>", "<div class=ad><p>x", "<article>x</div>", "<div class=discussion><article>x"):
+        begin = time.monotonic()
+        extraction.page_parts(part * 40_000)
+        assert time.monotonic() - begin < 20
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
