@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnfold.checkpoints import shared_dir
 from tarnfold.functions.vocabulary import JOB_TRANSITIONS, PERMANENT_HTTP, RATE_LIMITED
 
 
@@ -60,27 +59,32 @@ def spread_row_number(df: DataFrame, by: list[str], bucket: str, order: list[str
     return df.withColumn(name, own).join(before, [*by, bucket]).withColumn(name, F.col(name) + F.col("before_")).drop("before_")
 
 
-def assign_paths(plan: DataFrame, path: str = "path", key: str = "stable_key") -> DataFrame:
-    """A free path for each stable key: the first key of a path keeps it, the next get -2, -3 and so on before the extension.
+def assign_paths(plan: DataFrame, path: str = "path", key: str = "stable_key", block: int = 4096) -> DataFrame:
+    """A free path for each stable key: the first key of a path keeps it, the next get -2, -3 and so on before the extension, in order of keys.
 
-    Keys are hexadecimal hashes, so their first two digits deal a path that very many keys want over 256 buckets. A suffixed path may be another key's own; such rows go round again until no path is taken twice. Rounds are few, as
-    each needs a title that ends like a suffix.
+    A suffix that makes another planned path is passed over: that path's first key has it. Suffixed paths of different paths never meet, so one pass
+    settles all. Taken suffixes become steps (from which key on, how many are passed over), and a key's suffix is its number and the sum of the steps before it. Keys and steps are
+    summed by blocks of numbers, so no task holds a path that very many keys want; keys are hexadecimal hashes, whose first two digits deal them for the numbers themselves.
     """
-    stem, ext = F.regexp_extract(F.col(path), r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(F.col(path), r"^(.*?)(\.[^./]*)?$", 2)
+    parts = r"(?s)^(.*?)(\.[^./]*)?$"
+    stem, ext = F.regexp_extract(F.col(path), parts, 1), F.regexp_extract(F.col(path), parts, 2)
     keyed = plan.select(key, path).distinct().withColumn("bucket_", F.substring(key, 1, 2))
-    now = spread_row_number(keyed, [path], "bucket_", [key], "nth_").withColumnRenamed("nth_", "n_").drop("bucket_")
-    named = now.withColumn("free_path", F.when(F.col("n_") == 1, F.col(path)).otherwise(F.concat(stem, F.lit("-"), F.col("n_").cast("string"), ext)))
-    shared_dir(plan.sparkSession)
-    while True:
-        clash = W.partitionBy("free_path")
-        named = named.withColumn("own_", F.min(F.struct(F.when(F.col("n_") == 1, 0).otherwise(1).alias("a"), F.col(path).alias("p"), F.col(key).alias("k"))).over(clash)).withColumn("lost_", (F.col("own_.k") != F.col(key)) | (F.col("own_.p") != F.col(path)))
-        if named.filter("lost_").isEmpty():
-            return named.select(key, path, "free_path")
-        most = F.max("n_").over(W.partitionBy(path))
-        moved = F.row_number().over(W.partitionBy(path, "lost_").orderBy("n_"))
-        named = named.withColumn("n_", F.when(F.col("lost_"), most + moved).otherwise(F.col("n_")))
-        again = F.concat(stem, F.lit("-"), F.col("n_").cast("string"), ext)
-        named = named.withColumn("free_path", F.when(F.col("lost_"), again).otherwise(F.col("free_path"))).drop("own_", "lost_").checkpoint()
+    named = spread_row_number(keyed, [path], "bucket_", [key], "nth_").select(key, path, F.col("nth_").cast("long").alias("at_"))
+
+    suffix = F.regexp_extract(stem, r"(?s)^.*-([1-9][0-9]{0,17})$", 1)
+    taken = plan.select(path).distinct().withColumn("taken_", suffix.try_cast("long")).filter("taken_ > 1")
+    taken = taken.select(F.concat(F.regexp_extract(stem, r"(?s)^(.*)-[0-9]+$", 1), ext).alias(path), "taken_", F.floor(F.col("taken_") / block).alias("bucket_"))
+    taken = spread_row_number(taken, [path], "bucket_", ["taken_"], "nth_")
+    steps = taken.groupBy(path, (F.col("taken_") - F.col("nth_") + 1).alias("at_")).agg(F.count("*").alias("step_"))
+
+    both = named.withColumn("step_", F.lit(0).cast("long")).unionByName(steps.withColumn(key, F.lit(None).cast(plan.schema[key].dataType)))
+    both = both.withColumn("block_", F.floor(F.col("at_") / block))
+    blocks = both.groupBy(path, "block_").agg(F.sum("step_").alias("sum_"))
+    before = blocks.select(path, "block_", (F.sum("sum_").over(W.partitionBy(path).orderBy("block_")) - F.col("sum_")).alias("before_"))
+    within = F.sum("step_").over(W.partitionBy(path, "block_").orderBy("at_").rangeBetween(W.unboundedPreceding, 0))
+    placed = both.withColumn("within_", within).filter(F.col(key).isNotNull()).join(before, [path, "block_"])
+    number = F.col("at_") + F.col("within_") + F.col("before_")
+    return placed.select(key, path, F.when(F.col("at_") == 1, F.col(path)).otherwise(F.concat(stem, F.lit("-"), number.cast("string"), ext)).alias("free_path"))
 
 
 def asset_names(assets: DataFrame, stretch: int = 10_000) -> DataFrame:

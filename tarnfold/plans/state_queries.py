@@ -171,6 +171,20 @@ def w2_assign_paths(spark, d):
     return windows.assign_paths(plan)
 
 
+@query(
+    f"""WITH {ARTIFACTS}, p AS (SELECT sha256(id::VARCHAR) AS k, 'web/' || title || CASE WHEN id % 4 = 0 THEN '-' || (2 + id % 7) ELSE '' END AS stem FROM v8),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY k) AS n, count(*) OVER (PARTITION BY stem) AS m FROM p),
+w AS (SELECT stem, unnest(range(2, max(m) + 20)) AS j FROM n WHERE m > 1 GROUP BY stem),
+f AS (SELECT w.stem, j, row_number() OVER (PARTITION BY w.stem ORDER BY j) + 1 AS n FROM w ANTI JOIN p ON p.stem = w.stem || '-' || w.j)
+SELECT k AS stable_key, n.stem || '.md' AS path, n.stem || CASE WHEN n.n = 1 THEN '' ELSE '-' || f.j END || '.md' AS free_path FROM n LEFT JOIN f ON f.stem = n.stem AND f.n = n.n"""
+)
+def w2_taken_suffixes(spark, d):
+    """Titles of which a fourth already end like a suffix."""
+    own = F.when(F.col("id") % 4 == 0, F.concat(F.lit("-"), (2 + F.col("id") % 7).cast("string"))).otherwise("")
+    plan = views.artifacts(spark, d).select(F.sha2(F.col("id").cast("string"), 256).alias("stable_key"), F.concat(F.lit("web/"), "title", own, F.lit(".md")).alias("path"))
+    return windows.assign_paths(plan)
+
+
 @query(
     f"""WITH {RESOURCES}, f AS (SELECT note_id, lower(file_name) AS low, sha256, min(position) AS position, arg_min(file_name, position) AS file_name FROM res GROUP BY 1, 2, 3)
 SELECT note_id, sha256, file_name, file_name || CASE WHEN n = 1 THEN '' ELSE '-' || n END AS name FROM (SELECT *, row_number() OVER (PARTITION BY note_id, low ORDER BY position, sha256) AS n FROM f)"""

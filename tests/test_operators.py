@@ -34,6 +34,24 @@ def test_assign_paths_is_free_of_clashes(spark):
     assert again == out
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_assign_paths_against_one_key_after_another(spark, block):
+    rng = random.Random(3)
+    names = ["a.md", "a-2.md", "a-3.md", "a-7.md", "a-2-2.md", "b", "b-2", "c.d/x", "c.d/x-3", "-2.md", ".md", "a-02.md", "a-1.md", "q\n.md", "q\n-2.md"]
+    rows = [(f"{rng.randrange(1 << 40):010x}", rng.choice(names)) for _ in range(250)] + [(f"{i:010x}", f"a-{i}.md") for i in range(20, 40)]
+    paths, want = {p for _, p in rows}, {}
+    for p in paths:
+        name, dot, ext = p.rpartition(".") if "." in p.rpartition("/")[2] else (p, "", "")
+        n = 1
+        for i, k in enumerate(sorted({k for k, q in rows if q == p})):
+            while i and f"{name}-{(n := n + 1)}{dot}{ext}" in paths:
+                pass
+            want[k, p] = f"{name}-{n}{dot}{ext}" if i else p
+    got = windows.assign_paths(spark.createDataFrame(rows + rows[:9], "stable_key string, path string"), block=block).collect()
+    assert len(got) == len(want) == len(set(want.values())) and {(r["stable_key"], r["path"]): r["free_path"] for r in got} == want
+    assert windows.assign_paths(spark.createDataFrame([], "stable_key string, path string")).count() == 0
+
+
 def test_first_observation_ignores_arrival_order(spark):
     rows = [(1, 5, "x"), (1, 5, "a"), (1, 7, "0"), (2, 1, "z")]
     made = [sorted(map(tuple, windows.first_observation(spark.createDataFrame(r, "k int, p int, v string"), ["k"], ["p"]).collect())) for r in (rows, rows[::-1])]
