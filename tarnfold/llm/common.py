@@ -59,6 +59,14 @@ def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 8 << 20) -> Iter
         yield batch
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in either case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callable[..., dict]) -> DataFrame:
     """mapInArrow over the named columns; function takes a dict of Python lists and returns a dict of columns. It gets a bounded number of bytes at a time."""
 

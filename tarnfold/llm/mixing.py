@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import stored
+from tarnfold.llm.common import stored, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in order of their names, repeating, null last.
@@ -88,12 +88,13 @@ def mix_report(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs: i
 
 def mix(docs: DataFrame, seed: str = "mix", share: float = 1.5, epochs: int = 2, weights: tuple[int, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with each row as often as the mix takes it. The plan has a row for each source, so texts aren't shuffled while Spark's broadcast threshold holds it."""
+    of = unused(docs, "plan")
     key = seeded_key(F.col(id_col), seed)
     sized = stored(docs.select(F.col(source_col).alias("source"), key.alias("key"), word_count(F.col(text_col)).alias("size")), "sizes")
-    plan = stored(plan_mix(sized, share, epochs, weights), "mix").select(F.struct("*").alias("plan_of_source"))
-    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col("plan_of_source.source")))
-    times = F.col("plan_of_source.whole") + F.when(key <= F.col("plan_of_source.last_key"), 1).otherwise(0)
-    return joined.withColumn("plan_of_source", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop("plan_of_source")
+    plan = stored(plan_mix(sized, share, epochs, weights), "mix").select(F.struct("*").alias(of))
+    joined = docs.join(plan, F.col(source_col).eqNullSafe(F.col(f"{of}.source")))
+    times = F.col(f"{of}.whole") + F.when(key <= F.col(f"{of}.last_key"), 1).otherwise(0)
+    return joined.withColumn(of, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop(of)
 
 
 MIX_SQL = """

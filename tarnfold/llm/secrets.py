@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import salted_join, stored
+from tarnfold.llm.common import salted_join, stored, unused
 
 #: Base kinds in their fixed order: pattern, group that holds the value, least length of the value.
 BASE = {
@@ -122,16 +122,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", wide: int = 3, spread: int =
     by = W.partitionBy("key").orderBy("start", "end")
     runs = live.withColumn("upto", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)))
     runs = runs.withColumn("run", F.sum(F.when(F.col("start") < F.col("upto"), 0).otherwise(1)).over(by))
-    cuts = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts_"))
-    cuts = stored(cuts, "cuts").withColumnRenamed("key", "key_")
+    cuts = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    row, found = unused(docs, "row_of_text"), unused(docs, "cuts_of_text")
+    cuts = stored(cuts, "cuts").select(F.col("key").alias(row), F.col("cuts").alias(found))
     text = F.col(text_col)
     hit = F.coalesce(text.rlike(_ANY), F.lit(False))
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("cuts_"), i - 1)["end"])
-    parts = F.transform("cuts_", lambda c, i: F.concat(text.substr(before(i).cast("int") + 1, (c["start"] - before(i)).cast("int")), F.lit(mark)))
-    tail = text.substr(F.element_at("cuts_", -1)["end"].cast("int") + 1, F.length(text))
-    some = docs.filter(hit).withColumn("key_", row_key(F.col(id_col), text)).join(cuts, "key_", "left")
-    some = some.withColumn(text_col, F.when(F.col("cuts_").isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail)))
-    return some.select(*docs.columns).unionByName(docs.filter(~hit))
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(found), i - 1)["end"])
+    parts = F.transform(found, lambda c, i: F.concat(text.substr(before(i).cast("int") + 1, (c["start"] - before(i)).cast("int")), F.lit(mark)))
+    tail = text.substr(F.element_at(found, -1)["end"].cast("int") + 1, F.length(text))
+    some = docs.filter(hit).withColumn(row, row_key(F.col(id_col), text)).join(cuts, row, "left")
+    some = some.withColumn(text_col, F.when(F.col(found).isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail)))
+    return some.drop(row, found).unionByName(docs.filter(~hit))
 
 
 def _sql() -> str:

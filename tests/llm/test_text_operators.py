@@ -100,6 +100,16 @@ def test_mix_rows_agree_with_report(spark):
     assert mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == report
 
 
+def test_pipeline_operators_keep_columns_of_any_name(spark):
+    extra = ["key_", "cuts_", "row_of_text", "Cuts_of_text", "plan", "plan_", "PLAN__", "plan_of_source"]
+    rows = [(1, "token=" + "a1b2" * 6 + " x", "en", "s", *extra), (2, "plain words", None, None, *extra)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in extra))
+    for out in (secrets.redact(table), mixing.mix(table)):
+        assert out.columns == table.columns
+        got = out.collect()
+        assert {r["doc_id"] for r in got} <= {1, 2} and got and all([r[c] for c in extra] == extra for r in got)
+
+
 def test_water_fill_against_rounds(spark):
     sizes = {"a": 10, "b": 1000, "c": 30, "d": 400, None: 5, "e": 0}
     out = {r["source"]: r["target"] for r in mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), 1.5, 2).collect()}
