@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns, stored
+from tarnfold.llm.common import map_columns, small_side, stored
 from tarnfold.llm.tokens import library, word_encoder
 
 
@@ -126,6 +126,11 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
     own = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = dealt.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("bucket", "own", "before")
     names = [f.name for f in pieces.schema.fields]
+    return _placed(ranked.select(*names, "rank"), plan, names)
+
+
+def _placed(ranked: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
+    """The named columns of ranked, sequence_id and offset: where the plan puts the piece of a length and rank."""
     keys = plan[:, 0] * (1 << 50) + plan[:, 1]
     order = np.argsort(keys)
     keys, plan = keys[order], plan[order]
@@ -138,19 +143,50 @@ def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> Data
             where = [pa.array(row[:, 2] + nth // row[:, 3]), pa.array(row[:, 4] + nth % row[:, 3] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *where], [*names, "sequence_id", "offset"])
 
+    schema = ", ".join(f"`{n}` {ranked.schema[n].dataType.simpleString()}" for n in names)
+    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+
+
+def number_in_task(capacity: int):
+    """For mapInArrow: batches with part, the task, and own, how many pieces of the same length came before in it."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            length = np.asarray(batch.column("length"))
+            order = np.argsort(length, kind="stable")
+            ranked = length[order]
+            own = np.empty(len(length), np.int64)
+            own[order] = np.arange(len(length)) - np.searchsorted(ranked, ranked) + seen[ranked]
+            seen += np.bincount(length, minlength=capacity + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(own)], [*batch.schema.names, "part", "own"])
+
+    return run
+
+
+def pack_with_ids(pieces: DataFrame, capacity: int, rows: int = 1_000_000) -> DataFrame:
+    """pieces of token_pieces with sequence_id and offset. A piece is numbered among those of its length in the task that makes it and stored with that number, so
+    its ids needn't move: what a task's numbers begin at for each length is joined by broadcast while there are at most `rows` of them (capacity times tasks), and by (task, length) beyond.
+    """
+    names = pieces.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.select(*names, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    held = stored(pieces.mapInArrow(number_in_task(capacity), f"{schema}, part int, own long"), "pieces")  # numbers stay as they are once written
+    counts = stored(held.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
+    plan = plan_bins({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # at most `capacity` rows
+    before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = held.join(small_side(stored(before, "before"), rows), ["length", "part"])
+    return _placed(ranked.select(*names, (F.col("own") + F.col("before")).alias("rank")), plan, names)
 
 
 def pack_documents(docs: DataFrame, json_path: str, capacity: int = 2048, with_ids: bool = False, **columns) -> DataFrame:
-    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]. Places are found without the ids, which move once.
+    """One row for each piece of each document: doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]. With ids, which of the pieces of one length stands where follows the tasks that made them.
 
     A null or empty text is its end token alone. Repeated rows are packed as often as they come; an empty table gives no rows; other columns are ignored.
     """
-    pieces = stored(token_pieces(docs, json_path, capacity, with_ids=with_ids, **columns).withColumn("row", F.monotonically_increasing_id()), "pieces")  # numbers stay as they are once written
-    if not with_ids:
-        return pack(pieces.drop("row"), capacity)
-    return pack(pieces.drop("ids"), capacity).join(pieces.select("row", "ids"), "row").drop("row")
+    pieces = token_pieces(docs, json_path, capacity, with_ids=with_ids, **columns)
+    return pack_with_ids(pieces, capacity) if with_ids else pack(stored(pieces, "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
