@@ -83,25 +83,33 @@ def plan_hash(rows: DataFrame, columns: list[str], by: list[str], leaf: int = 64
 
     A tree over the digits of row hashes: a node of at most `leaf` distinct rows hashes their sorted hashes with how often each
     occurs, any other the hashes of its up to 16 children. It is built from the digits that the greatest group needs upwards, so no list has more than
-    16 * leaf entries, however many rows a group has or repeats.
+    16 * leaf entries, however many rows a group has or repeats. Hashes move twice, as bytes: to be counted, and to the
+    tasks that build the subtrees of their first digits; above those a group has at most 16**_STEM nodes.
     """
     row = F.sha2(F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    hashed = rows.select(*by, row.alias("h"))
-    most = hashed.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    hashed = rows.select(*by, F.unhex(row).alias("h"))
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     depth = 0
     while most > leaf and most > 16**depth * leaf // 16:  # by then a node has leaf / 16 rows at the mean
         depth += 1
-    counted = hashed.groupBy(*by, "h").agg(F.count("*").alias("n"))
-    entries = F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string"))))
-    nodes = counted.groupBy(*by, F.substring("h", 1, depth).alias("prefix")).agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), entries.alias("entries")).withColumn("tree", F.lit(None).cast("string"))
+    stem = min(depth, _STEM)
+    digits_of = lambda n: F.substring(F.lower(F.hex("h")), 1, n)
+    counted = hashed.groupBy(*by, "h").agg(F.count("*").alias("n")).withColumn("stem_", digits_of(stem)).repartition(*by, "stem_")
+    entries = F.array_sort(F.collect_list(F.concat(F.lower(F.hex("h")), F.lit(":"), F.col("n").cast("string"))))
+    nodes = counted.groupBy(*by, "stem_", digits_of(depth).alias("prefix")).agg(F.count("*").alias("k"), F.sum("n").alias("n_rows"), entries.alias("entries")).withColumn("tree", F.lit(None).cast("string"))
     told = F.coalesce("tree", F.sha2(F.array_join("entries", ""), 256))
     for digits in range(depth - 1, -1, -1):
-        above = nodes.groupBy(*by, F.substring("prefix", 1, digits).alias("up")).agg(F.sum("k").alias("k"), F.sum("n_rows").alias("n_rows"), F.flatten(F.collect_list("entries")).alias("entries"), F.array_sort(F.collect_list(F.concat("prefix", told))).alias("children"))
+        held = [*by, "stem_"] if digits >= stem else by  # whole subtrees lie in one task
+        above = nodes.groupBy(*held, F.substring("prefix", 1, digits).alias("up")).agg(F.sum("k").alias("k"), F.sum("n_rows").alias("n_rows"), F.flatten(F.collect_list("entries")).alias("entries"), F.array_sort(F.collect_list(F.concat("prefix", told))).alias("children"))
         small = F.col("k") <= leaf
-        nodes = above.select(*by, F.col("up").alias("prefix"), "k", "n_rows", F.when(small, F.array_sort("entries")).otherwise(F.array().cast("array<string>")).alias("entries"), F.when(~small, F.sha2(F.array_join("children", ""), 256)).alias("tree"))
+        nodes = above.select(*held, F.col("up").alias("prefix"), "k", "n_rows", F.when(small, F.array_sort("entries")).otherwise(F.array().cast("array<string>")).alias("entries"), F.when(~small, F.sha2(F.array_join("children", ""), 256)).alias("tree"))
     return nodes.select(*by, told.alias("plan_hash"), "n_rows")
 
 
+#: Digits by which the subtrees of a group are dealt over tasks.
+_STEM = 3
+
+
 def degradation_stats(items: DataFrame) -> DataFrame:
     return items.select(F.explode("degradations").alias("d")).groupBy(F.col("d.code").alias("code"), F.col("d.stage").alias("stage")).agg(F.count("*").alias("n"))
 

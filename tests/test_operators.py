@@ -299,3 +299,9 @@ def test_asset_names_number_nulls_and_stretches_alike(spark, stretch):
     rows = [(1, "A.png", "x", None), (1, "a.png", "y", 2), (1, "a.PNG", "z", 1), (1, "a.png", "y", 0), (None, "a.png", "q", 3), (None, None, "r", 3)]
     named = windows.asset_names(spark.createDataFrame(rows, "note_id long, file_name string, sha256 string, position long"), stretch).collect()
     assert {r["sha256"]: r["name"] for r in named} == {"x": "A.png", "y": "a-2.png", "z": "a-3.PNG", "q": "a.png", "r": None}
+
+
+def test_plan_hash_moves_rows_twice_whatever_its_depth(spark):
+    rows = spark.range(2000).selectExpr("id % 1 as j", "id as i")
+    plan = aggregates.plan_hash(rows, ["i"], ["j"], leaf=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 + aggregates._STEM  # four levels: one of them, and any below, needs none
