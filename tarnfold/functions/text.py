@@ -6,12 +6,13 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfold.functions import html_walk
+from tarnfold.functions.slices import each
 
 #: Characters that no file name or link may hold, and invisible ones.
 ILLEGAL = r'[\\/:*?"<>|#／＼：＜＞｜＂？＃＊]'
@@ -48,15 +49,16 @@ NEEDED = ("-----begin", "cookie", "authorization", "token", "pass", "secret", "a
 PHONE = r"(^|[^0-9])(?:\+?86[- ]?)?1[3-9][0-9]{9}($|[^0-9])"
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def nfc(texts: pa.Array) -> pa.Array:
     """Unicode NFC, for which Spark has no function; apply it to texts beyond ASCII only."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+    return each(texts, lambda x: None if x is None else unicodedata.normalize("NFC", x), pa.string())
 
 
 def composed(c: Column) -> Column:
-    """c in NFC; ASCII texts, the most, don't leave the JVM's result unchanged."""
-    return F.when(c.rlike(r"[^\x00-\x7f]"), nfc(c)).otherwise(c)
+    """c in NFC; ASCII texts, the most, don't leave the JVM: Spark runs a Python function for every row, so it is given nulls for them."""
+    beyond = c.rlike(r"[^\x00-\x7f]")
+    return F.when(beyond, nfc(F.when(beyond, c))).otherwise(c)
 
 
 def safe_filename(c: Column, most: int = 100) -> Column:
@@ -100,9 +102,9 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def _sanitized(html: pd.Series) -> pd.Series:
-    return html.map(html_walk.sanitized)
+@F.arrow_udf(T.StringType())
+def _sanitized(html: pa.Array) -> pa.Array:
+    return each(html, html_walk.sanitized, pa.string())
 
 
 def sanitize_html(html: Column) -> Column:
@@ -121,12 +123,16 @@ def extract_images(html: Column, base: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: resolve_url(base, x)))
 
 
+def _texts(*names: str) -> pa.DataType:
+    return pa.list_(pa.struct([(n, pa.string()) for n in names]))
+
+
 _LINK = T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-@F.pandas_udf(_LINK)
-def _links(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [{"href": href, "text": said} for href, said in html_walk.links_of(h)])
+@F.arrow_udf(_LINK)
+def _links(html: pa.Array) -> pa.Array:
+    return each(html, lambda h: [{"href": href, "text": said} for href, said in html_walk.links_of(h)], _texts("href", "text"))
 
 
 def extract_links(html: Column) -> Column:
@@ -137,10 +143,10 @@ def extract_links(html: Column) -> Column:
 _ENTRY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in html_walk.ENTRY_FIELDS]))
 
 
-@F.pandas_udf(_ENTRY)
-def list_entries(html: pd.Series) -> pd.Series:
+@F.arrow_udf(_ENTRY)
+def list_entries(html: pa.Array) -> pa.Array:
     """Array of the list entries of a page with their fields; see html_walk.entries_of. Null HTML has none."""
-    return html.map(html_walk.entries_of)
+    return each(html, html_walk.entries_of, _texts(*html_walk.ENTRY_FIELDS))
 
 
 def page_metadata(html: Column) -> Column:

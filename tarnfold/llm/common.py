@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.checkpoints import shared_dir
+from tarnfold.functions.slices import slices
 
 #: Tables written inside each open scratch().
 _OPEN: list[list[str]] = []
@@ -49,16 +50,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             deleted(spark, path)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1024, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most so many rows and bytes; a single row may be larger."""
-    n = batch.num_rows
-    if n > rows or (n > 1 and batch.nbytes > size):
-        yield from slices(batch.slice(0, n // 2), rows, size)
-        yield from slices(batch.slice(n // 2), rows, size)
-    elif n:
-        yield batch
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in either case of letters."""
     taken = {c.lower() for c in df.columns}
