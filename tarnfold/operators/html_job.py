@@ -1,16 +1,18 @@
-"""The structural HTML pass: pages or note bodies to Markdown, one mapInPandas job. A bad page degrades; it never fails the job."""
+"""The structural HTML pass: pages or note bodies to Markdown, one mapInArrow job. A bad page degrades; it never fails the job."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.functions.html_walk import MarkdownWriter
+from tarnfold.functions.slices import slices
 from tarnfold.operators.html_body import body_of
 
+
 def to_markdown(html: str | None, resources: dict[str, str] | None = None) -> dict:
     """markdown, quality (full or degraded), degradation codes joined by commas, the counters, and by line remote images, links to notes, links elsewhere, and hint|cipher|length of encrypted blocks.
 
@@ -43,16 +45,17 @@ def html_job(df: DataFrame, key: str, html: str = "html", resources: str | None
     kinds, carried = dict(df.dtypes), [key, *(carry or [])]
     columns = [*carried, html] + ([resources] if resources else [])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            maps = part[resources] if resources else [None] * len(part)
-            rows = [to_markdown(body_of(h) if pick else h, dict(m) if m is not None else None) for h, m in zip(part[html], maps, strict=True)]
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
-            for i, c in enumerate(carried):
-                out.insert(i, c, part[c].values)
-            yield out
+    told = [(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                bodies = part.column(len(carried)).to_pylist()
+                maps = part.column(len(carried) + 1).to_pylist() if resources else [None] * len(bodies)
+                rows = [to_markdown(body_of(h) if pick else h, dict(m) if m is not None else None) for h, m in zip(bodies, maps, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carried)], *(pa.array([r[c] for r in rows], kind) for c, kind in told)], [*carried, *(c for c, _ in told)])
 
-    return df.select(*columns).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + f", {_SCHEMA}")
+    return df.select(*columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carried) + f", {_SCHEMA}")
 
 
 def html_to_markdown(pages: DataFrame, key: str = "source_position") -> DataFrame:

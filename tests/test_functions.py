@@ -176,3 +176,36 @@ def test_metadata_of_graphs_and_arrays(spark):
     third = meta("{broken", '[{"x":1},{"y":2},{"headline":"third","datePublished":"2024"}]', '{"headline":"late","description":"d"}')
     assert (third["title"], third["published"], third["description"]) == ("third", "2024", "d")
     assert meta('{"@graph":[]}')["title"] is None and meta('{"name":"n","author":{"name":"a"},"image":{"url":"u"}}')["image"] == "u"
+
+
+def test_python_gets_bounded_parts():
+    import pyarrow as pa
+
+    from tarnfold.functions.slices import each, slices
+
+    texts = pa.array(["x" * 100_000, None] * 3000)
+    parts = list(slices(pa.RecordBatch.from_arrays([texts], ["t"])))
+    assert sum(p.num_rows for p in parts) == 6000 and max(p.num_rows for p in parts) <= 1024 and max(p.nbytes for p in parts) <= 8 << 20
+    assert each(texts, lambda t: t and t[:2], pa.string()).to_pylist() == ["xx", None] * 3000
+    assert each(texts.slice(0, 0), str, pa.string()).to_pylist() == []
+
+
+def test_ascii_texts_are_not_composed_in_python(spark):
+    def refuse(texts):
+        return texts.to_pylist() and __import__("pyarrow").array([None if t is None else "beyond" if not t.isascii() else 1 // 0 for t in texts.to_pylist()])
+
+    own, text.nfc = text.nfc, F.arrow_udf(refuse, "string")
+    try:
+        rows = spark.createDataFrame([("a",), ("e\u0301",), (None,)], "t string").select(text.composed(F.col("t")).alias("t"))
+        assert [r["t"] for r in rows.collect()] == ["a", "beyond", None]
+    finally:
+        text.nfc = own
+
+
+def test_html_job_carries_columns_exactly(spark):
+    from tarnfold.operators.html_body import pick_body
+    from tarnfold.operators.html_job import html_job
+
+    pages = spark.createDataFrame([(1, (1 << 53) + 1, "<p>a</p>"), (2, None, None)], "k long, at long, html string").coalesce(1)
+    assert [tuple(r) for r in html_job(pages, "k", carry=["at"]).select("k", "at", "markdown").collect()] == [(1, (1 << 53) + 1, "a"), (2, None, "")]
+    assert [tuple(r) for r in pick_body(pages.select("at", "html"), "at").collect()] == [((1 << 53) + 1, "<p>a</p>"), (None, "")]
