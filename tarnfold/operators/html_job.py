@@ -68,17 +68,20 @@ def enml_to_html(notes: DataFrame, key: str = "note_id") -> DataFrame:
     return html_job(notes, key, "html", "names")
 
 
-def rewrite_wikilinks(notes: DataFrame, targets: DataFrame) -> DataFrame:
-    """notes (note_id, markdown) with [text](note:guid) turned into [[file|text]] where the guid is known; other links stay.
+def rewrite_wikilinks(notes: DataFrame, targets: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """notes (note_id, markdown and the carried columns) with [text](note:guid) turned into [[file|text]] where the guid is known; other links stay.
 
-    Links are exploded, joined by guid and put together again in order, so no map of all notes is held anywhere.
+    Carried columns go with a note's first piece, so that nobody has to make the notes again to join them. Links are exploded, joined by guid and put together again in order, so no map of all notes is held anywhere.
     """
     pattern = r"\[([^\]]*)\]\(note:([0-9a-f-]{36})\)"
     parts = F.split("markdown", pattern, -1)
     found = F.regexp_extract_all("markdown", F.lit(pattern), F.lit(0))
-    pieces = notes.select("note_id", F.posexplode(F.arrays_zip(parts.alias("before"), found.alias("link"))).alias("nth", "p"))
-    pieces = pieces.withColumn("guid", F.regexp_extract("p.link", pattern, 2))
+    carried = carry or []
+    pieces = notes.select("note_id", F.struct(F.lit(0).alias("at_"), *carried).alias("rest"), F.posexplode(F.arrays_zip(parts.alias("before"), found.alias("link"))).alias("nth", "p"))
+    pieces = pieces.withColumn("rest", F.when(F.col("nth") == 0, F.col("rest"))).withColumn("guid", F.regexp_extract("p.link", pattern, 2))
     met = pieces.join(targets.groupBy("guid").agg(F.min("file").alias("file")), "guid", "left")
     link = F.when(F.col("file").isNotNull(), F.concat(F.lit("[["), F.col("file"), F.lit("|"), F.regexp_extract("p.link", pattern, 1), F.lit("]]"))).otherwise(F.coalesce("p.link", F.lit("")))
-    rows = met.select("note_id", F.struct("nth", F.concat("p.before", link).alias("t")).alias("s"))
-    return rows.groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("markdown"))
+    rows = met.select("note_id", "rest", F.struct("nth", F.concat("p.before", link).alias("t")).alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "").alias("markdown")
+    whole = rows.groupBy("note_id").agg(joined, F.first("rest", ignorenulls=True).alias("rest"))
+    return whole.select("note_id", "markdown", *(F.col("rest")[c].alias(c) for c in carried))

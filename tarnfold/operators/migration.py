@@ -106,10 +106,10 @@ class NoteExportSource:
         body = html_job(noted, "stable_key", "content", "names", carry=["source_instance_id", "source_position", "original_url", "title", "created", "updated", "guid"])
         linked = F.regexp_replace("markdown", r"\]\(<?evernote:///view/[^)>]*?([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^)>]*>?\)", "](note:$1)")
         targets = items.filter("guid is not null").select(F.lower("guid").alias("guid"), text.safe_filename(F.col("title")).alias("file"))
-        texts = rewrite_wikilinks(body.select(F.col("stable_key").alias("note_id"), linked.alias("markdown")), targets).withColumnRenamed("note_id", "stable_key")
         codes = F.filter(F.split("degradations", ","), lambda c: c != "")
         told = F.transform(codes, lambda c: F.struct(c.alias("code"), F.lit("normalize").alias("stage"), F.concat(F.lit("found while reading the note: "), c).alias("message")))
-        return body.select("stable_key", "source_instance_id", "source_position", "original_url", "title", "quality", told.alias("degradations")).join(texts, "stable_key")
+        about = ["source_instance_id", "source_position", "original_url", "title", "quality"]
+        return rewrite_wikilinks(body.select(F.col("stable_key").alias("note_id"), *about, told.alias("degradations"), linked.alias("markdown")), targets, [*about, "degradations"]).select(F.col("note_id").alias("stable_key"), *about, "degradations", "markdown")
 
 
 def _before(path: Column, end: Column) -> Column:

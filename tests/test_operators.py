@@ -305,3 +305,10 @@ def test_plan_hash_moves_rows_twice_whatever_its_depth(spark):
     rows = spark.range(2000).selectExpr("id % 1 as j", "id as i")
     plan = aggregates.plan_hash(rows, ["i"], ["j"], leaf=1)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 + aggregates._STEM  # four levels: one of them, and any below, needs none
+
+
+def test_rewritten_notes_carry_columns(spark):
+    guid = "0" * 8 + "-0000-4000-8000-" + "1" * 12
+    notes = spark.createDataFrame([(1, f"a [x](note:{guid}) b [y](note:{guid})", ["q"], None), (2, "", [], "t")], "note_id int, markdown string, codes array<string>, title string")
+    out = rewrite_wikilinks(notes, spark.createDataFrame([(guid, "f")], "guid string, file string"), ["codes", "title"]).collect()
+    assert sorted((r["note_id"], r["markdown"], r["codes"], r["title"]) for r in out) == [(1, "a [[f|x]] b [[f|y]]", ["q"], None), (2, "", [], "t")]

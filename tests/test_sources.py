@@ -114,5 +114,5 @@ def test_folders_of_files_lie_on_shelves(spark, tmp_path):
     _write_folders(spark.range(300).selectExpr("id as book", "'t' || id as html"), "book", f"file://{tmp_path}/out")
     shelves = [p for p in (tmp_path / "out").iterdir() if p.is_dir()]
     assert 32 < len(shelves) <= _SHELVES and sum(1 for _ in (tmp_path / "out").rglob("*.txt")) == 300
-    told = read_html_export(spark, f"file://{tmp_path}/out", "*.txt").select("notebook").collect()
+    told = readers.read_html_export(spark, f"file://{tmp_path}/out", "*.txt").select("notebook").collect()
     assert sorted(r[0] for r in told) == sorted(f"book={i}" for i in range(300))
