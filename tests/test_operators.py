@@ -312,3 +312,25 @@ def test_rewritten_notes_carry_columns(spark):
     notes = spark.createDataFrame([(1, f"a [x](note:{guid}) b [y](note:{guid})", ["q"], None), (2, "", [], "t")], "note_id int, markdown string, codes array<string>, title string")
     out = rewrite_wikilinks(notes, spark.createDataFrame([(guid, "f")], "guid string, file string"), ["codes", "title"]).collect()
     assert sorted((r["note_id"], r["markdown"], r["codes"], r["title"]) for r in out) == [(1, "a [[f|x]] b [[f|y]]", ["q"], None), (2, "", [], "t")]
+
+
+def test_scan_state_asks_for_pages_not_for_keys():
+    import pandas as pd
+
+    from tarnfold.streaming.streams import _PAGES, _FirstRounds
+
+    class Pages(dict):
+        asked = 0
+        getMapState = lambda self, *_: self  # noqa: E731, N815
+
+        def containsKey(self, key):  # noqa: N802
+            self.asked += 1
+            return key in self
+
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+    pages, state = Pages(), _FirstRounds()
+    state.init(pages)
+    batch = lambda r: pd.DataFrame({"round": [r] * 20_001, "key": [*map(str, range(20_000)), None]})
+    told = [next(state.handleInputRows(("s", 0), iter([batch(r)]), None)).set_index("round")["new"].to_dict() for r in (5, 7, 3)]
+    assert told == [{5: 20_001}, {7: 0}, {3: 20_001, 5: -20_001}] and pages.asked <= 3 * _PAGES
