@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tarnfold.llm.common import map_columns
@@ -41,42 +42,108 @@ def library(json_path: str):
 
 #: Pre-tokens that word_encoder remembers, each of at most so many characters.
 _MEMORY, _WORD = 1 << 19, 64
+#: Characters whose classes no version of Unicode has changed; of them, a field with its space that Arrow may part.
+_PLAIN = "[!-~\u00c0-\u024f]"
+_SIMPLE = rf"^(?: ?{_PLAIN}+(?:\n{_PLAIN}+)*)?$"
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each, one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 @lru_cache(4)
 def word_encoder(json_path: str) -> Callable[[list[str | None]], list[np.ndarray]]:
     """A function from whole texts to their ids as the library gives them, each different pre-token encoded once.
 
-    Byte-level BPE encodes pre-tokens one by one, so texts are cut at special strings, parted by the vocabulary's public pattern, and
-    only pre-tokens that the bounded memory doesn't hold go to the library. Tests hold the ids equal to those of whole texts.
+    Byte-level BPE encodes pre-tokens one by one. In the vocabulary's public pattern a space begins a pre-token or stands inside a run of white
+    space, and only such a run looks ahead; so at a single space between two other characters, neither of them white space, a pre-token begins
+    whatever stands around, and the field from that space to the next has the ids that it has alone. Arrow finds the different fields of the
+    texts, parts plain ones by the pattern (alone in its field, a line end is a pre-token) and finds the different pre-tokens; only those
+    that the bounded memory doesn't hold go to the library. Texts with other white space at a space, or with special strings, are cut
+    at these and parted by the pattern as a whole. Tests hold the ids equal to those of whole texts.
     """
     import public_tokenizers
     import regex
 
     tokenizer = library(json_path)
     words = regex.compile(public_tokenizers.PATTERN)
+    plain = public_tokenizers.PATTERN.replace(r"\s+(?!\S)|", "")
     special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
     parts = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+    (line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}  # what was known when half of the memory was full; what isn't asked for again goes
+
+    def ids(different: list[str]) -> list[bytes]:
+        """Ids of pre-tokens. New ones go to the library by lines, as a line end between them is a pre-token, too."""
+        out = list(map(known.get, different))
+        at = [i for i, held in enumerate(out) if held is None]
+        new = []
+        for i in at:
+            out[i] = before.get(different[i])
+            if out[i] is None:
+                new.append(i)
+        line = [i for i in new if different[i][-1:].strip()]  # not white space
+        lines = [line[k : k + 256] for k in range(0, len(line), 256)]
+        for few, e in zip(lines, tokenizer.encode_batch_fast(["\n".join(different[i] for i in few) for few in lines], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(got == line_end) * 4
+            raw = got.tobytes()
+            for i, x, y in zip(few, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True):
+                out[i] = raw[x:y]
+        rest = [i for i in new if out[i] is None]
+        for i, e in zip(rest, tokenizer.encode_batch_fast([different[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        known.update((different[i], out[i]) for i in at if len(different[i]) <= _WORD)
+        if len(known) > _MEMORY // 2:
+            before.clear()
+            before.update(known)
+            known.clear()
+        return out
+
+    def whole(text: str) -> np.ndarray:
+        found = [w for part in (parts.split(text) if parts else (text,)) for w in ((part,) if part in special else words.findall(part))]
+        different = list(set(found))
+        of = dict(zip(different, ids(different), strict=True))
+        return np.frombuffer(b"".join(map(of.__getitem__, found)), "<u4")
 
     def run(texts: list[str | None]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        texts = [t or "" for t in texts]
+        apart = np.array([any(s in t for s in special) for t in texts])
+        fields = pc.split_pattern(pa.array(["" if a else t for t, a in zip(texts, apart, strict=True)], pa.large_string()), " ")
+        offsets, dealt = np.asarray(fields.offsets, np.int64), fields.values.dictionary_encode()
+        unit_of, n = np.asarray(dealt.indices).astype(np.int64), len(dealt.dictionary)
+        unit_of[offsets[:-1]] = n + np.arange(len(texts))  # the first field of a text has no space before it
+        units = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), dealt.dictionary, pa.scalar("", pa.large_string())), fields.values.take(pa.array(offsets[:-1]))])
+        simple = np.asarray(pc.match_substring_regex(units, _SIMPLE))
+        others = np.flatnonzero(~simple)
+        spaced = np.zeros(len(units), bool)
         cut = []
-        for text in texts:
-            found: list[str] = []
-            for part in parts.split(text or "") if parts else (text or "",):
-                if part in special:
-                    found.append(part)
-                else:
-                    found += words.findall(part)
-            cut.append(found)
-        new = list(set().union(*cut) - known.keys())
-        held = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(known) + len(new) > _MEMORY:
-            held |= {w: known[w] for found in cut for w in found if w not in held}
-            known.clear()
-        known.update((w, ids) for w, ids in held.items() if len(w) <= _WORD)
-        of = known if all(len(w) <= _WORD for w in new) and len(known) < _MEMORY else known | held
-        return [np.frombuffer(b"".join(map(of.__getitem__, found)), "<u4") for found in cut]
+        for k, u in zip(others, units.take(pa.array(others)).to_pylist(), strict=True):
+            spaced[k] = u[-1:].isspace() or k < n and u[1:2].isspace()
+            cut.append([] if spaced[k] else words.findall(u))
+        apart |= np.logical_or.reduceat(spaced[unit_of], offsets[:-1])
+
+        marked = pc.split_pattern(pc.replace_substring_regex(units.filter(pa.array(simple)), plain, "\\0\x01"), "\x01")
+        sizes = np.empty(len(units), np.int64)
+        sizes[simple], sizes[others] = np.diff(np.asarray(marked.offsets)), [len(c) for c in cut]
+        place = np.empty(len(units), np.int64)  # of a unit's first pre-token, those of plain ones first
+        order = np.concatenate([np.flatnonzero(simple), others])
+        place[order] = np.cumsum(sizes[order]) - sizes[order]
+        found = pa.concat_arrays([marked.values, pa.array([w for c in cut for w in c], pa.large_string())]).dictionary_encode()
+        held = ids(found.dictionary.to_pylist())
+        length = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        word = np.asarray(found.indices)
+        tokens = _gathered(np.frombuffer(b"".join(held), "<u4"), (np.cumsum(length) - length)[word], length[word])  # of all units
+        upto = np.concatenate([[0], np.cumsum(length[word])])
+        first, size = upto[place], upto[place + sizes] - upto[place]
+        ends = np.concatenate([[0], np.cumsum(size[unit_of])])[offsets]
+        all_ = _gathered(tokens, first[unit_of], size[unit_of])
+        return [whole(t) if a else all_[i:j] for t, a, i, j in zip(texts, apart, ends, ends[1:], strict=False)]
 
     return run
 

@@ -215,6 +215,34 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert [e.tolist() for e in encode(t)] == [run(x) for x in t]
 
 
+def test_fields_parted_by_arrow_give_the_ids_of_whole_texts():
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u180e", "\u200b", "\0", "\x01"]
+    rnd, some = random.Random(2), ["a", "B", "é", "×", "中", "\n", " ", "  ", "\t", ".", "'s", "'", "9", "<|endoftext|>", "the ", " \n", "\x01", "\u3000"]
+    texts = [f"a{x}b{y}c {x}d{y} e" for x in spaces for y in spaces] + ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    assert [e.tolist() for e in tokens.word_encoder(JSON)(texts)] == [run(t) for t in texts]
+
+
+def test_new_words_go_to_the_library_by_lines(monkeypatch):
+    sent, tokenizer = [], tokens.library(JSON)
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(tokenizer, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokens, "library", lambda path: Spy())
+    encode = tokens.word_encoder.__wrapped__(JSON)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600))
+    assert [e.tolist() for e in encode([text, text])] == [run(text)] * 2
+    assert 0 < len(sent) < 10
+    sent.clear()
+    encode([text])
+    assert not sent
+
+
 def test_spliced_chunks_equal_whole_texts():
     rnd = random.Random(1)
     for _ in range(120):
