@@ -95,8 +95,8 @@ def id_bytes(json_path: str) -> int:
 
 
 def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter. with_ids: and the ids themselves, little-endian, of id_bytes each."""
-    kind = f"<u{id_bytes(json_path)}"
+    """Each document's ids, then end_id, cut from its end into pieces of `capacity` tokens; the first piece may be shorter. with_ids: and the ids themselves, little-endian, of id_bytes each; and part and own, the piece's task and its number among those of its length there."""
+    kind, numbers = f"<u{id_bytes(json_path)}", _Numbers()
 
     def run(rows: dict) -> dict:
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -107,9 +107,12 @@ def token_pieces(docs: DataFrame, json_path: str, capacity: int, id_col: str = "
                 for name, value in (("doc_id", doc), ("piece", k), ("start", a), ("length", b - a), ("ids_crc32", zlib.crc32(ids[a:b].tobytes())), ("ids", ids[a:b].astype(kind).tobytes() if with_ids else None)):
                     out[name].append(value)
         kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
-        return {k: pa.array(out[k], v) for k, v in kinds.items()}
+        columns = {k: pa.array(out[k], v) for k, v in kinds.items()}
+        if with_ids:
+            columns["part"], columns["own"] = map(pa.array, numbers(np.array(out["length"], np.int64), capacity))
+        return columns
 
-    return map_columns(docs, [id_col, text_col], "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids, run)
+    return map_columns(docs, [id_col, text_col], "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary, part int, own long" * with_ids, run)
 
 
 def pack(pieces: DataFrame, capacity: int, rows_a_bucket: int = 100_000) -> DataFrame:
@@ -147,32 +150,32 @@ def _placed(ranked: DataFrame, plan: np.ndarray, names: list[str]) -> DataFrame:
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def number_in_task(capacity: int):
-    """For mapInArrow: batches with part, the task, and own, how many pieces of the same length came before in it."""
+class _Numbers:
+    """part, the task, and own, how many pieces of the same length came before in it, for the pieces of one task after the other."""
 
-    def run(batches):
-        from pyspark import TaskContext
+    def __init__(self):
+        self.task, self.seen = None, None
 
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            length = np.asarray(batch.column("length"))
-            order = np.argsort(length, kind="stable")
-            ranked = length[order]
-            own = np.empty(len(length), np.int64)
-            own[order] = np.arange(len(length)) - np.searchsorted(ranked, ranked) + seen[ranked]
-            seen += np.bincount(length, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(own)], [*batch.schema.names, "part", "own"])
+    def __call__(self, length: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+        from pyspark import TaskContext
 
-    return run
+        task = TaskContext.get()
+        if self.task != task.taskAttemptId():
+            self.task, self.seen = task.taskAttemptId(), np.zeros(capacity + 1, np.int64)
+        order = np.argsort(length, kind="stable")
+        ranked = length[order]
+        own = np.empty(len(length), np.int64)
+        own[order] = np.arange(len(length)) - np.searchsorted(ranked, ranked) + self.seen[ranked]
+        self.seen += np.bincount(length, minlength=capacity + 1)
+        return np.full(len(length), task.partitionId(), np.int32), own
 
 
 def pack_with_ids(pieces: DataFrame, capacity: int, rows: int = 1_000_000) -> DataFrame:
     """pieces of token_pieces with sequence_id and offset. A piece is numbered among those of its length in the task that makes it and stored with that number, so
     its ids needn't move: what a task's numbers begin at for each length is joined by broadcast while there are at most `rows` of them (capacity times tasks), and by (task, length) beyond.
     """
-    names = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    held = stored(pieces.mapInArrow(number_in_task(capacity), f"{schema}, part int, own long"), "pieces")  # numbers stay as they are once written
+    names = [c for c in pieces.columns if c not in ("part", "own")]
+    held = stored(pieces, "pieces")  # numbers stay as they are once written
     counts = stored(held.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     plan = plan_bins({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # at most `capacity` rows
     before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))

@@ -243,6 +243,13 @@ def test_new_words_go_to_the_library_by_lines(monkeypatch):
     assert not sent
 
 
+def test_pieces_with_ids_are_numbered_where_they_are_made(spark):
+    pieces = packing.token_pieces(docs(spark, EDGES), JSON, 64, with_ids=True)
+    numbered = [(r["part"], r["length"], r["own"]) for r in pieces.collect()]
+    assert sorted(numbered) == sorted((p, n, k) for p, n in {x[:2] for x in numbered} for k in range(sum(x[:2] == (p, n) for x in numbered)))
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_spliced_chunks_equal_whole_texts():
     rnd = random.Random(1)
     for _ in range(120):
