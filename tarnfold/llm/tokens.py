@@ -1,6 +1,6 @@
 """Token counts of whole texts, and the encoders that other operators use; every id comes from the tokenizers library.
 
-Short texts are encoded whole. A text above one chunk is encoded in overlapping chunks with offsets; neighbours are spliced
+Short texts are encoded by their pre-tokens, each different one once (word_encoder). A text above one chunk is encoded in overlapping chunks with offsets; neighbours are spliced
 at a boundary between pre-tokens that both chunks have and that is proven stable: it lies further from the left chunk's end
 than any look-ahead of the splitter or any special string reaches, so cutting the text there changed nothing before it,
 and from a common boundary on both scans go through the same states. Where chunks have no such boundary in common, the
@@ -217,7 +217,7 @@ def count_tokens(docs: DataFrame, json_path: str, id_col: str = "doc_id", text_c
 
     def run(rows: dict) -> dict:
         texts, tokenizer = [t or "" for t in rows[text_col]], library(json_path)
-        short = iter(tokenizer.encode_batch_fast([t for t in texts if len(t) <= chunk], add_special_tokens=False))
+        short = iter(word_encoder(json_path)([t for t in texts if len(t) <= chunk]))
         n = [len(next(short)) if len(t) <= chunk else sum(b - a for _, a, b in spliced(tokenizer, t, chunk)) for t in texts]
         return {
             "doc_id": pa.array(rows[id_col], pa.int64()), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()),

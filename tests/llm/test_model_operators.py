@@ -243,6 +243,16 @@ def test_new_words_go_to_the_library_by_lines(monkeypatch):
     assert not sent
 
 
+def test_counts_of_short_texts_come_from_remembered_words(monkeypatch):
+    monkeypatch.setattr(tokens, "map_columns", lambda df, columns, schema, function: function)
+    asked, encode = [], tokens.word_encoder(JSON)
+    monkeypatch.setattr(tokens, "word_encoder", lambda path: lambda texts: asked.extend(texts) or encode(texts))
+    texts = [None, "", "a b", "words of many lengths, " * 900]
+    got = tokens.count_tokens(None, JSON, chunk=1000)({"doc_id": [1, 2, 3, 4], "text": texts})
+    assert got["n_tokens"].to_pylist() == [len(run(t or "")) for t in texts]
+    assert asked == ["", "", "a b"]
+
+
 def test_pieces_with_ids_are_numbered_where_they_are_made(spark):
     pieces = packing.token_pieces(docs(spark, EDGES), JSON, 64, with_ids=True)
     numbered = [(r["part"], r["length"], r["own"]) for r in pieces.collect()]
