@@ -17,11 +17,24 @@ from tarnfold.functions.slices import slices
 _OPEN: list[list[str]] = []
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What is written inside goes to Python in Arrow batches of about this size, where the session allows 64 MB; Python works on bounded parts anyway."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written once as Parquet in the shared folder and read again, and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -58,6 +71,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def given_back(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """function for mapInArrow; at a task's end Arrow gives back what it keeps for later use, as workers stay while other stages run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callable[..., dict]) -> DataFrame:
     """mapInArrow over the named columns; function takes a dict of Python lists and returns a dict of columns. It gets a bounded number of bytes at a time."""
 
@@ -67,7 +90,7 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, function: Callab
                 out = function({n: batch.column(i).to_pylist() for i, n in enumerate(columns)})
                 yield pa.RecordBatch.from_pydict(out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(given_back(run), schema)
 
 
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:

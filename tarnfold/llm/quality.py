@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns, slices
+from tarnfold.llm.common import given_back, map_columns, slices
 
 TERMS = 1280
 _EXTRA = 64  # of them for the repetition of words
@@ -166,4 +166,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, neighbours: int = 10, power: f
                 good = vote(held.value, np.stack([term_counts(t) for t in batch.column(text_col).to_pylist()]), neighbours, power) >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(given_back(run), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import map_columns, salted_join, slices, small_side, stored
+from tarnfold.llm.common import given_back, map_columns, salted_join, slices, small_side, stored
 from tarnfold.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -128,7 +128,7 @@ def sampled_keys(fps: DataFrame, key_bits: int, tables: int, seed: int = 11) ->
             again = pa.array(np.tile(np.arange(batch.num_rows), tables))
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(n).take(again) for n in ("node", "fp", "fp2"))], ["key", "node", "fp", "fp2"])
 
-    return fps.select("node", "fp", "fp2").mapInArrow(run, "key long, node long, fp long, fp2 long")
+    return fps.select("node", "fp", "fp2").mapInArrow(given_back(run), "key long, node long, fp long, fp2 long")
 
 
 def _bits(words: list[np.ndarray]) -> np.ndarray:
@@ -311,7 +311,7 @@ def bucket_links(entries: DataFrame, radius: int, tile: int, lone: bool) -> Data
         counted = entries.join(counts.filter("n > 1"), "key")
     else:
         counted = entries.join(small_side(stored(counts.filter(F.col("n") > tile), "hot-buckets")), "key", "left")
-    return _dealt(counted, F.ceil(F.coalesce("n", F.lit(1)) / tile)).mapInArrow(_compare(radius), "a long, b long")
+    return _dealt(counted, F.ceil(F.coalesce("n", F.lit(1)) / tile)).mapInArrow(given_back(_compare(radius)), "a long, b long")
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4, tile: int = 8192) -> DataFrame:
@@ -361,9 +361,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similar
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "fp", "fp2")), sets], ["key", "node", "fp", "fp2", "shingles"]).filter(same)
 
     held = docs.select("at", "text").join(small_side(found.select("at", "key", "node", "set1", "set2", "fp", "fp2")), "at").dropDuplicates(["at"])
-    sets = held.select("key", "node", "set1", "set2", "fp", "fp2", "text").mapInArrow(run, "key long, node long, fp long, fp2 long, shingles binary")
+    sets = held.select("key", "node", "set1", "set2", "fp", "fp2", "text").mapInArrow(given_back(run), "key long, node long, fp long, fp2 long, shingles binary")
     dealt = _dealt(sets.join(weights, "key", "left"), F.coalesce("tiles", F.lit(1)))
-    return dealt.mapInArrow(_decide(radius, similarity), "a long, b long")
+    return dealt.mapInArrow(given_back(_decide(radius, similarity)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, similarity: float | None = None, tile: int = 8192) -> DataFrame:

@@ -50,7 +50,10 @@ _SIMPLE = rf"^(?: ?{_PLAIN}+(?:\n{_PLAIN}+)*)?$"
 def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[start : start + length] of each, one after the other."""
     ends = np.cumsum(lengths)
-    return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    kind = np.int32 if max(len(values), lengths.sum()) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(len(at), dtype=kind)
+    return values[at]
 
 
 @lru_cache(4)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import bisect
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from tarnfold.llm import components, extraction, neighbours, packing, quality, queries, simhash, tokens
+from tarnfold.llm import common, components, extraction, neighbours, packing, quality, queries, simhash, tokens
 
 JSON = tokens.vocabulary("byte_bpe_50k.json")
 LIBRARY = tokens.library(JSON)
@@ -353,6 +355,33 @@ def test_held_out_accuracy(spark):
     assert r["n"] > 500 and r["acc"] > 0.98
 
 
+def test_places_are_found_without_python(spark):
+    d = spark.createDataFrame([(k, "word " * (k % 7)) for k in range(60)], "doc_id long, text string")
+    for with_ids in (True, False):
+        packed = packing.pack_documents(d, JSON, capacity=16, with_ids=with_ids)
+        assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()
+        held = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("upto"), F.count_distinct("offset").alias("k"), F.count("*").alias("m")).collect()
+        assert all(r["n"] == r["upto"] <= 16 and r["k"] == r["m"] for r in held) and sum(r["m"] for r in held) == packed.count() >= 60
+
+
+def test_what_is_stored_goes_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    wide = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("t"))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    found = [r["size"] for r in common.stored(wide.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 9_000_000 and spark.conf.get(name) == before
+
+
+def test_workers_give_memory_back_at_the_end_of_a_task(monkeypatch):
+    told = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: types.SimpleNamespace(release_unused=lambda: told.append("released")))
+    assert list(common.given_back(lambda batches: (told.append(b) or b for b in batches))(iter("ab"))) == ["a", "b"] and told == ["a", "b", "released"]
+
+
 def test_words_take_part_in_scores():
     """Texts of one shape, told apart by their words alone."""
     rnd = random.Random(3)
