@@ -35,7 +35,7 @@ class _Held:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_folder(self.spark, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -144,6 +144,10 @@ class NoteFolder:
         known: (stable_key, relative_path, written_hash) of earlier jobs' notes. An item keeps its path; a new item's is free for its key, and
         where an earlier note has it, the key's short id is added. A file that a job wrote before it could record it is known by its owner.
         """
+        return self.texts(content).drop("target").join(self.paths(content, known), "stable_key")
+
+    def paths(self, content: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """(stable_key, relative_path, expected) of a plan, found without its texts."""
         spark = content.sparkSession
         known = spark.createDataFrame([], _KNOWN) if known is None else known
         path = text.note_path(F.col("title"), F.col("source_instance_id"), F.lit(self.kind), None)
@@ -153,12 +157,14 @@ class NoteFolder:
         own = free.join(held, "relative_path", "left").select("stable_key", F.when(F.col("held"), _before(F.col("relative_path"), F.concat(F.lit("-"), identity.short_id(F.col("stable_key"))))).otherwise(F.col("relative_path")).alias("relative_path"))
         paths = own.withColumn("written_hash", F.lit(None).cast("string")).unionByName(known.join(content.select("stable_key"), "stable_key", "left_semi"))
         ours = self.files(spark).filter("owner is not null").select("relative_path", F.col("owner").alias("stable_key"), F.col("written_hash").alias("left_hash"))
-        told = paths.join(ours, ["relative_path", "stable_key"], "left").select("stable_key", "relative_path", F.coalesce("written_hash", "left_hash").alias("expected"))
+        return paths.join(ours, ["relative_path", "stable_key"], "left").select("stable_key", "relative_path", F.coalesce("written_hash", "left_hash").alias("expected"))
+
+    def texts(self, content: DataFrame) -> DataFrame:
+        """content with the text of a plan and its hashes, content_hash and target, in place of its body."""
         none = F.array().cast("array<string>")
         note = text.render_note(F.col("source_instance_id"), F.col("markdown"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("original_url"), none)
         front = text.front_matter([("title", F.col("title")), ("source_url", F.col("original_url")), ("stable_key", F.col("stable_key"))])
-        hashed = content.withColumn("content_hash", identity.source_hash("title", "markdown")).withColumn("text", F.concat(front, F.lit("\n"), note)).drop("markdown")
-        return hashed.join(told, "stable_key")
+        return content.withColumn("content_hash", identity.source_hash("title", "markdown")).withColumn("text", F.concat(front, F.lit("\n"), note)).withColumn("target", identity.target_hash(F.col("text"))).drop("markdown")
 
     def decide(self, plan: DataFrame) -> DataFrame:
         """(stable_key, relative_path, observed, expected, action, artifact_kind, needs_audit): what to do with each planned note; a variant's path is the first free one."""
@@ -175,13 +181,17 @@ class NoteFolder:
         at = F.when(F.col("action") == "write_new_variant", _before(F.col("relative_path"), end)).otherwise(F.col("relative_path"))
         return out.join(unbroken, "relative_path", "left").select("stable_key", at.alias("relative_path"), "observed", "expected", "action", "artifact_kind", "needs_audit")
 
-    def write(self, plan: DataFrame) -> DataFrame:
-        """(stable_key, relative_path, expected, action, artifact_kind, needs_audit): the files of the decisions that write, by hash; files of the others stay as they are."""
+    def write(self, plan: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """(stable_key, relative_path, expected, action, artifact_kind, needs_audit): the files of the decisions that write, by hash; files of the others stay as they are.
+
+        texts: of a plan that has target in place of text, what texts() gave; a text then moves once, to its decision.
+        """
         told = self._held(self.decide(plan), "decisions")
-        files = plan.select("stable_key", "text", F.col(self.shard).alias("shard")).join(told.filter(F.col("action").isin(*WRITES)), "stable_key")
+        target = identity.target_hash(F.col("text")) if texts is None else F.col("target")
+        files = (plan if texts is None else texts).select("stable_key", "text", F.col(self.shard).alias("shard")).join(told.filter(F.col("action").isin(*WRITES)), "stable_key")
         hashed = files.select("relative_path", "text", "shard", F.col("stable_key").alias("owner"), F.col("artifact_kind").alias("kind"), identity.target_hash(F.col("text")).alias("written_hash"))
         write_notes(hashed, self.root, buckets=self.buckets)
-        return plan.select("stable_key", identity.target_hash(F.col("text")).alias("expected")).join(told.drop("expected", "observed"), "stable_key").select("stable_key", "relative_path", "expected", "action", "artifact_kind", "needs_audit")
+        return plan.select("stable_key", target.alias("expected")).join(told.drop("expected", "observed"), "stable_key").select("stable_key", "relative_path", "expected", "action", "artifact_kind", "needs_audit")
 
     def write_assets(self, assets: DataFrame) -> DataFrame:
         """Resources (sha256, content, relative_path) beside the notes: contents once whatever earlier jobs stored, and which content each path has. What write_assets tells."""
@@ -282,12 +292,14 @@ def migrate(spark: SparkSession, source: Source, target: Target, job_id: str = "
     state: the folder of the state tables. With it, an item that an earlier job verified is skipped while its file is there (skip_verified),
     other items go the whole way again under the path that they had, and items, artifacts, attempts and the job are recorded. A job
     that stopped can run again: files that it had written count as its own. now: the time that is recorded. The index lists the notes of all
-    recorded jobs. What a job stores on the way is removed; states and report stay in the shared folder.
+    recorded jobs. What a job stores on the way is removed; states and report stay in the shared folder. Items of a source that says scans_again
+    (its scan is cheap and gives the same rows again) are scanned twice in place of being stored.
     """
     held = _Held(spark)
     target_id = getattr(target, "target_id", "notes")
     old = {name: read_state(spark, state, name) if state else spark.createDataFrame([], STATE_TABLES[name]) for name in ("source_items", "target_artifacts", "migration_attempts")}
-    items = held(source.scan(spark), "items")
+    items = source.scan(spark)
+    items = items if getattr(source, "scans_again", False) else held(items, "items")
     keys = held(items.select("stable_key"), "keys")
     known = held(known_notes(old["target_artifacts"], old["source_items"], target_id), "known")
     were = old["source_items"].join(keys, "stable_key", "left_semi")
@@ -302,9 +314,15 @@ def migrate(spark: SparkSession, source: Source, target: Target, job_id: str = "
         target.write_assets(held(source.resources(todo), "resources"))
     held.drop_one("items")
     todo = keys.join(skipped, "stable_key", "left_anti") if state else keys
-    plan = held(target.plan(content, known) if state else target.plan(content), "plan")
-    held.drop_one("content")
-    written = held(target.write(plan), "written")
+    if hasattr(target, "texts"):  # plans and decisions without texts
+        texts = target.texts(content)
+        plan = held(texts.drop("text").join(target.paths(content, known if state else None), "stable_key"), "plan")
+        written = held(target.write(plan, texts), "written")
+        held.drop_one("content")
+    else:
+        plan = held(target.plan(content, known) if state else target.plan(content), "plan")
+        held.drop_one("content")
+        written = held(target.write(plan), "written")
     for column, kind in (("action", "write_canonical"), ("artifact_kind", "note")):
         written = written if column in written.columns else written.withColumn(column, F.lit(kind))
     outcome = target.verify(written.filter(F.col("action").isin(*WRITES))).withColumnRenamed("outcome", "file")

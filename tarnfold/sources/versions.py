@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfold.checkpoints import drop_folder, scratch_folder
+
 #: In `touched`: all buckets, those of an older layout, too.
 ALL = "*"
 
@@ -170,26 +172,56 @@ SHARES = 16
 
 
 def merge(new: DataFrame, root: str, schema, keys: list[str], buckets: int = 16, removed: DataFrame | None = None) -> Snapshot:
-    """Rows of new in place of those of the same keys; rows with other keys stay. Only buckets with new or removed keys are written again; no such keys make no commit.
+    """Rows of new in place of those of the same keys; rows with other keys stay. Only data folders that hold new or removed keys are written again; no such keys make no commit.
 
     Keys are compared null-safe; of rows of new with one key the greatest by the other columns counts. removed: keys whose rows go, where new has
-    none. Old and new rows move once, dealt by bucket. A table of another layout is dealt anew, once.
+    none. Which folders hold the keys is told by the keys alone. If none does and no key comes twice, new is added where it lies; else the rows of those
+    folders and of new move once, dealt by bucket. A bucket of more than `PARTS` folders is written again whole. A table of another layout is dealt anew, once.
     """
     spark, base = new.sparkSession, snapshot(new.sparkSession, root)
     gone = new.select(*keys).limit(0) if removed is None else removed.select(*keys)
-    touched = sorted(str(r[0]) for r in new.select(*keys).unionByName(gone).select(bucket_of(keys, buckets)).distinct().collect())  # at most `buckets`
+    asked = new.select(*keys, F.lit(1).alias("n_")).unionByName(gone.withColumn("n_", F.lit(0))).groupBy(*keys).agg(F.sum("n_").alias("n_"))
+    path = scratch_folder(spark, "keys")
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    most = {str(r["b"]): r["n"] for r in asked.groupBy(bucket_of(keys, buckets).alias("b")).agg(F.max("n_").alias("n")).collect()}  # at most `buckets`
+    touched = sorted(most)
     if not touched:
+        drop_folder(spark, path)
         return base
-    fresh = not base.version or (base.buckets, base.keys) != (buckets, tuple(keys))
-    old = rows(spark, root, base, schema, None if fresh else touched)
+    fresh = bool(base.version) and (base.buckets, base.keys) != (buckets, tuple(keys))
+    kept = {} if fresh else {b: p for b, p in base.parts.items() if b in most}
+    again = set() if fresh else _holding(rows(spark, root, base, schema, touched), asked, keys) if kept else set()
+    again |= {p for each in kept.values() if len(each) >= PARTS for p in each}
+    drop_folder(spark, path)
+    old = rows(spark, root, base if fresh else replace(base, parts={b: [p for p in each if p in again] for b, each in kept.items()}), schema)
+    kept = {b: [p for p in each if p not in again] for b, each in kept.items()}
     rest = [c for c in old.columns if c not in keys]
     ranked = lambda df, rank: df.select(*keys, F.struct(F.lit(rank).alias("rank"), *(F.col(c) for c in rest)).alias("row"))
     nothing = F.struct(F.lit(1).alias("rank"), *(F.lit(None).cast(old.schema[c].dataType).alias(c) for c in rest))
     all_ = ranked(old, 0).unionByName(gone.select(*keys, nothing.alias("row"))).unionByName(ranked(new, 2))
-    last = _dealt(all_, keys, buckets).groupBy("bucket_", "share_", *keys).agg(F.max("row").alias("row")).filter("row.rank <> 1")
+    if fresh or again or max(most.values()) > 1:
+        last = _dealt(all_, keys, buckets).groupBy("bucket_", "share_", *keys).agg(F.max("row").alias("row")).filter("row.rank <> 1")
+        last = last.select("bucket_", *(F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in old.columns))
+    else:
+        last = new.select(bucket_of(keys, buckets).alias("bucket_"), *(F.col(c).cast(old.schema[c].dataType).alias(c) for c in old.columns))
     home = f"data/{uuid.uuid4().hex}"
-    last.select("bucket_", *(F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in old.columns)).write.partitionBy("bucket_").parquet(f"{root}/{home}")
-    return commit(spark, root, base, _parts(spark, root, home), None if fresh else touched, buckets, tuple(keys))
+    last.write.option("compression", "zstd").partitionBy("bucket_").parquet(f"{root}/{home}")
+    made = _parts(spark, root, home)
+    parts = {b: each for b in touched if (each := kept.get(b, []) + made.get(b, []))} if not fresh else made
+    return commit(spark, root, base, parts, touched if base.version and not fresh else None, buckets, tuple(keys))
+
+
+#: Data folders of a bucket at which a merge writes it again whole.
+PARTS = 16
+
+
+def _holding(old: DataFrame, asked: DataFrame, keys: list[str]) -> set[str]:
+    """Data folders in which a row has one of the keys."""
+    keyed = old.select(*keys, F.regexp_extract("_metadata.file_path", "(data/[^/]+/[^/]+)/[^/]*$", 1).alias("part_"))
+    to = asked.select(*(F.col(k).alias(f"{k}_") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return {r["part_"] for r in keyed.join(to, same, "left_semi").select("part_").distinct().collect()}  # at most PARTS for each bucket
 
 
 def _parts(spark: SparkSession, root: str, home: str) -> dict[str, list[str]]:

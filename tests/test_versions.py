@@ -102,6 +102,28 @@ def test_merge_compares_nulls_and_removes(spark, tmp_path):
     assert read() == sorted([(None, "A"), ("x", "b"), ("z", "d")], key=str)
 
 
+def test_merge_writes_only_folders_that_hold_its_keys(spark, tmp_path):
+    root, schema = str(tmp_path), "k long, v string"
+    some = lambda a, b, v: spark.range(a, b).select(F.col("id").alias("k"), F.lit(v).alias("v"))
+    parts = lambda: {p for each in versions.snapshot(spark, root).parts.values() for p in each}
+    read = lambda: {r["k"]: r["v"] for r in versions.rows(spark, root, versions.snapshot(spark, root), schema).collect()}
+    versions.merge(some(0, 100, "old"), root, schema, ["k"], 4)
+    first = parts()
+    versions.merge(some(100, 200, "new"), root, schema, ["k"], 4)
+    second = parts() - first
+    assert first < parts() and len(second) == 4
+    versions.merge(some(150, 250, "newer"), root, schema, ["k"], 4, some(120, 130, "").select("k"))
+    assert first < parts() and not second & parts()
+    want = {k: "old" if k < 100 else "new" if k < 150 else "newer" for k in range(250) if not 120 <= k < 130}
+    assert read() == want and versions.rows(spark, root, versions.snapshot(spark, root), schema).count() == len(want)
+    twice = some(300, 310, "a").unionByName(some(300, 310, "b"))
+    versions.merge(twice, root, schema, ["k"], 4)
+    assert read() == want | dict.fromkeys(range(300, 310), "b") and versions.rows(spark, root, versions.snapshot(spark, root), schema).count() == len(want) + 10
+    for i in range(versions.PARTS + 1):  # folders of a bucket stay bounded
+        versions.merge(some(1000 + 40 * i, 1040 + 40 * i, "x"), root, schema, ["k"], 4)
+    assert all(len(p) <= versions.PARTS for p in versions.snapshot(spark, root).parts.values()) and len(read()) == len(want) + 10 + 40 * (versions.PARTS + 1)
+
+
 ROWS = "item_id long, status string, quality string, position long"
 
 
