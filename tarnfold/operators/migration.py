@@ -118,7 +118,7 @@ def _before(path: Column, end: Column) -> Column:
 
 
 class NoteFolder:
-    """Notes in a store of files, among files of others. policy: what becomes of a file that someone else has written or changed (OVERWRITE_POLICIES). buckets: of the store; a job writes the buckets again that its notes fall into, so a large library wants many."""
+    """Notes in a store of files, among files of others. policy: what becomes of a file that someone else has written or changed (OVERWRITE_POLICIES). buckets: of the store; a job writes the data folders of buckets again that hold notes it replaces, so a large library wants many."""
 
     def __init__(self, root: str, shard: str = "source_instance_id", kind: str = "article", policy: str = "preserve", target_id: str = "notes", buckets: int = 16):
         self.root, self.shard, self.kind, self.policy, self.target_id, self.buckets = root, shard, kind, policy, target_id, buckets
