@@ -98,6 +98,20 @@ def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def flagged(big: DataFrame, number: Column, keys: DataFrame, name: str, most: int = 1 << 29) -> DataFrame:
+    """big with a column of this name: true where number is among those of keys, and for about one other row in 32.
+
+    keys has one column of hashes. Each gets a place among 32 bits a key (`most` at most; beyond, more other rows are true), and maps of 32,768 bits are broadcast, so no row of big moves.
+    """
+    bits = min(most, 32 * max(1, keys.count()))
+    at, page, held = (unused(big, n) for n in ("at_", "page_", "held_"))
+    place, byte = F.pmod(F.col(keys.columns[0]), F.lit(bits)), F.expr(f"cast(conv(hex(substring({held}, cast({at} % 32768 div 8 as int) + 1, 1)), 16, 10) as int)")
+    maps = keys.select(place.alias(at)).withColumn(page, F.expr(f"{at} div 32768")).repartition(page).groupBy(page).agg(F.bitmap_construct_agg(F.expr(f"{at} % 32768")).alias(held))
+    met = big.withColumn(at, F.pmod(number, F.lit(bits))).withColumn(page, F.expr(f"{at} div 32768")).join(F.broadcast(maps), page, "left")
+    bit = byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
+    return met.withColumn(name, F.coalesce(bit, F.lit(False))).drop(at, page, held)
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: Column, total: int, size: str = "n", least: int = 1 << 14, hot: int = 20_000) -> DataFrame:
     """big joined with small on keys, no task getting more than a bounded share of a hot key's rows.
 

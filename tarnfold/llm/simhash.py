@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import given_back, map_columns, salted_join, slices, small_side, stored
+from tarnfold.llm.common import flagged, given_back, map_columns, salted_join, slices, small_side, stored, unused
 from tarnfold.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -324,12 +324,12 @@ def table_plan(n: int, similarity: float = 0.8, missed: float = 0.01) -> tuple[i
 
     Two such sets of like size have the least cosine, and their differing bits are binomial. Half of `missed` may lie beyond the radius; the tables
     are so many that these and the pairs within it that share no key, averaged over the differing bits, are `missed` together.
-    A key has as many bits as keep a bucket of chance meetings below some hundred rows.
+    A key has as many bits as keep a bucket of chance meetings at about a thousand rows: with fewer the comparisons, with more the tables would outgrow the input.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     share = np.array([math.comb(128, d) * p**d * (1 - p) ** (128 - d) for d in range(129)])
     radius = next(r for r in range(129) if share[r + 1 :].sum() <= missed / 2)
-    key_bits = max(12, round(math.log2(max(n, 2))) - 8)
+    key_bits = max(12, round(math.log2(max(n, 2))) - 10)
     apart = np.array([1 - math.comb(128 - d, key_bits) / math.comb(128, key_bits) for d in range(radius + 1)])
     low, high = 1, 1 << 20
     while low < high:
@@ -341,11 +341,11 @@ def table_plan(n: int, similarity: float = 0.8, missed: float = 0.01) -> tuple[i
     return radius, key_bits, low
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192, set_tile: int = 2048) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float = 0.8, missed: float = 0.01, tile: int = 8192, set_tile: int = 2048, few: int = 200_000) -> DataFrame:
     """Edges (a, b) that join shingle sets of Jaccard likeness `similarity` or more; nodes has node (any number), set1, set2, fp, fp2, size and at, n rows, one for each distinct set, and docs a text for each at.
 
     Tables join candidates into loose groups; only their members' sets are made again and compared, each pair of a group within the radius.
-    A group above set_tile rows or set_tile * 1024 shingles is cut into tiles like a hot bucket.
+    A group above set_tile rows or set_tile * 1024 shingles is cut into tiles like a hot bucket. Members are broadcast to docs while they are `few`; beyond, only texts that may be theirs move.
     """
     radius, key_bits, tables = table_plan(n, similarity, missed)
     loose = components(bucket_links(sampled_keys(nodes, key_bits, tables), radius, tile, False))
@@ -360,7 +360,10 @@ def similar_links(docs: DataFrame, nodes: DataFrame, n: int, width: int, similar
             sets = pa.array([x[:, 0].astype(np.uint64).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "node", "fp", "fp2")), sets], ["key", "node", "fp", "fp2", "shingles"]).filter(same)
 
-    held = docs.select("at", "text").join(small_side(found.select("at", "key", "node", "set1", "set2", "fp", "fp2")), "at").dropDuplicates(["at"])
+    texts, members = docs.select("at", "text"), found.select("at", "key", "node", "set1", "set2", "fp", "fp2")
+    if found.count() > few:
+        texts = flagged(texts, F.col("at"), found.select("at"), "maybe").filter("maybe").drop("maybe")
+    held = texts.join(small_side(members, few), "at").dropDuplicates(["at"])
     sets = held.select("key", "node", "set1", "set2", "fp", "fp2", "text").mapInArrow(given_back(run), "key long, node long, fp long, fp2 long, shingles binary")
     dealt = _dealt(sets.join(weights, "key", "left"), F.coalesce("tiles", F.lit(1)))
     return dealt.mapInArrow(given_back(_decide(radius, similarity)), "a long, b long")
@@ -410,9 +413,17 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tile: int = 8192) -> DataFrame:
-    """The document with the smallest id of each group of near copies; columns as in docs. Rows without id stay; a repeated id stays in the groups whose smallest it is and goes from others."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tile: int = 8192, few: int = 200_000) -> DataFrame:
+    """The document with the smallest id of each group of near copies; columns as in docs. Rows without id stay; a repeated id stays in the groups whose smallest it is and goes from others.
+
+    While at most `few` documents go, they are broadcast; beyond, only rows that may be theirs are shuffled, and those that surely stay don't move.
+    """
     found = _similar(docs, id_col, text_col, width, similarity, tile)
     gone = stored(found.filter("doc_id != component_id").select("doc_id", "at").distinct(), "copies")
     of = (F.col(f"docs.{id_col}").cast("long") == F.col("gone.doc_id")) & (_at(f"docs.{id_col}", f"docs.{text_col}") == F.col("gone.at"))
-    return docs.alias("docs").join(gone.alias("gone"), of, "left_anti").select(*docs.columns)
+    left = lambda some: some.alias("docs").join(small_side(gone, few).alias("gone"), of, "left_anti").select(*docs.columns)
+    if gone.count() <= few:
+        return left(docs)
+    maybe = unused(docs, "maybe")
+    dealt = flagged(docs, _at(id_col, text_col), gone.select("at"), maybe)
+    return dealt.filter(~F.col(maybe)).select(*docs.columns).unionByName(left(dealt.filter(F.col(maybe))))

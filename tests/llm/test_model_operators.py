@@ -364,6 +364,21 @@ def test_places_are_found_without_python(spark):
         assert all(r["n"] == r["upto"] <= 16 and r["k"] == r["m"] for r in held) and sum(r["m"] for r in held) == packed.count() >= 60
 
 
+@pytest.mark.parametrize("numbers", [1 << 23, 0])
+def test_ids_stay_where_they_are_for_many_tasks(spark, numbers):
+    d = spark.range(3000).repartition(700).selectExpr("id as doc_id", "repeat('word ', cast(id % 90 as int)) as text")
+    pieces = packing.token_pieces(d, JSON, 2048, with_ids=True)
+    packed = packing.pack_with_ids(pieces, 2048, numbers)
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert ("begins" in plan and plan.count("strategy=broadcast") == 2) == (numbers > 0)
+    rows = packed.collect()
+    assert len(rows) == 3000
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(offset == sum(n for _, n in sorted(h)[:k]) for h in held.values() for k, (offset, _) in enumerate(sorted(h))) and max(sum(n for _, n in h) for h in held.values()) <= 2048
+
+
 def test_what_is_stored_goes_to_python_in_small_batches(spark):
     def sizes(batches):
         for b in batches:
@@ -626,6 +641,38 @@ def test_repeated_ids_keep_one_of_each_group(spark):
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect())) == [(0, near(b)), (1, " ".join(a)), (5, " ".join(b))] and kept.columns == docs(spark, []).columns
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, few):
+    rnd = random.Random(7)
+    texts = [[f"w{rnd.randint(0, 50000)}" for _ in range(60)] for _ in range(400)]
+    rows = docs(spark, [(i, " ".join(t)) for i, t in enumerate(texts + texts[:20])] + [(None, None), (None, " ".join(texts[0])), (900, None), (901, None)])
+    monkeypatch.setattr(simhash, "similar_links", lambda *a, f=simhash.similar_links, **b: f(*a, **b, few=few))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        kept = simhash.keep_one(rows, few=few)
+        found = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect())
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert found == [*((False, i) for i in range(400)), (False, 900), (True, 0), (True, 0)] and kept.columns == rows.columns
+    assert ("Union" in plan and "bitmap_construct_agg" in plan) if few == 0 else ("Union" not in plan and "strategy=broadcast" in plan)
+
+
+@pytest.mark.parametrize(("n", "most", "others"), [(300, 1 << 29, 0.06), (2000, 1 << 15, 0.12), (1, 1 << 29, 0.1), (0, 1 << 29, 0.0)])
+def test_flags_hold_all_keys_and_few_others(spark, n, most, others):
+    d = spark.range(20_000).select("id", F.xxhash64("id").alias("at"))
+    got = common.flagged(d, F.col("at"), common.stored(d.filter(F.col("id") < n).select("at"), "keys"), "maybe", most)
+    flags = {r["id"]: r["maybe"] for r in got.collect()}
+    assert got.columns == ["id", "at", "maybe"] and len(flags) == 20_000 and all(flags[i] for i in range(n))
+    assert sum(flags.values()) - n <= others * 20_000
+
+
+def test_tables_do_not_outgrow_the_input():
+    assert [simhash.table_plan(n)[2] for n in (1000, 200_000, 5_000_000)] == [61, 61, 61] and simhash.table_plan(13_000_000)[2] < 2 * 61
+
+
 def test_stars_with_hot_centres(spark, monkeypatch):
     join = simhash.salted_join
     for where in (simhash, components):
