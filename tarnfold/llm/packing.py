@@ -162,19 +162,18 @@ class _Numbers:
         return np.full(len(length), task.partitionId(), np.int32), own
 
 
-def pack_with_ids(pieces: DataFrame, capacity: int, numbers: int = 1 << 23) -> DataFrame:
+def pack_with_ids(pieces: DataFrame, capacity: int, numbers: int = 1 << 22) -> DataFrame:
     """pieces of token_pieces with sequence_id and offset. A piece is numbered among those of its length in the task that makes it and stored with that number, so
-    its ids needn't move: what a task's numbers begin at for each length is broadcast as one array a task while these hold at most so many `numbers` (capacity times tasks), and joined by (task, length) beyond.
+    its ids needn't move: what a task's numbers begin at for each length is broadcast as one map a task while these hold at most so many `numbers` (capacity times tasks), and joined by (task, length) beyond.
     """
     names = [c for c in pieces.columns if c not in ("part", "own")]
     held = stored(pieces, "pieces")  # numbers stay as they are once written
     counts = stored(held.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     plan = plan_bins({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)  # at most `capacity` rows
     before = counts.select("length", "part", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
-    if counts.select("part").distinct().count() * capacity <= numbers:
-        of = F.map_from_entries(F.collect_list(F.struct("length", "before")))
-        tasks = before.groupBy("part").agg(of.alias("of")).select("part", F.transform(F.sequence(F.lit(1), F.lit(capacity)), lambda x: F.col("of")[x.cast("long")]).alias("begins"))
-        ranked = held.join(F.broadcast(stored(tasks, "before")), "part").withColumn("before", F.get("begins", F.col("length").cast("int") - 1))
+    if counts.count() <= numbers:
+        begins = F.map_from_entries(F.collect_list(F.struct(F.col("length").cast("int"), "before"))).alias("begins")
+        ranked = held.join(F.broadcast(stored(before.groupBy("part").agg(begins), "before")), "part").withColumn("before", F.col("begins")[F.col("length").cast("int")])
     else:
         ranked = held.join(stored(before, "before"), ["length", "part"])
     return _placed(ranked.select(*names, (F.col("own") + F.col("before")).alias("rank")), plan, names)

@@ -364,7 +364,7 @@ def test_places_are_found_without_python(spark):
         assert all(r["n"] == r["upto"] <= 16 and r["k"] == r["m"] for r in held) and sum(r["m"] for r in held) == packed.count() >= 60
 
 
-@pytest.mark.parametrize("numbers", [1 << 23, 0])
+@pytest.mark.parametrize("numbers", [1 << 22, 0])
 def test_ids_stay_where_they_are_for_many_tasks(spark, numbers):
     d = spark.range(3000).repartition(700).selectExpr("id as doc_id", "repeat('word ', cast(id % 90 as int)) as text")
     pieces = packing.token_pieces(d, JSON, 2048, with_ids=True)
